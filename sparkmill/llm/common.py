@@ -43,6 +43,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of ids or digests that are broadcast at most (some 20 to 100 bytes each); more are joined by a shuffle.
+MOST_BROADCAST = 200_000
+
+
+def small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """A checkpointed table with a broadcast hint where its counted rows are few enough."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkmill.llm.common import SPACES, cut, text_or_empty
+from sparkmill.llm.common import SPACES, cut, small, text_or_empty
 
 TABLE_BYTES = 48 << 20
 FAN_OUT = 16
@@ -195,11 +195,11 @@ def decide(df: DataFrame, text: str = "text", key: str = "doc_id", carry: tuple[
 
 
 def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", table_bytes: int = TABLE_BYTES) -> DataFrame:
-    """The rows that stay, with all their columns."""
+    """The rows that stay, with all their columns. Only ids and digests of the rows that go are joined back."""
     found = cut(groups(df, text, key, table_bytes))
-    keep = found.select(F.col("keep_id").alias("_keep"), F.col("text_sha256").alias("_sha"))
-    rows = df.withColumn("_own", digest(text))
-    out = rows.join(keep, (F.col("_own") == F.col("_sha")) & F.col(key).eqNullSafe(F.col("_keep")), "left_semi")
-    if not found.filter("n_best > 1").isEmpty():
+    rows = df.select(F.col(key).alias("_id"), digest(text).alias("text_sha256"))
+    gone = rows.join(found.filter("group_size > 1"), "text_sha256").filter(~F.col("_id").eqNullSafe(F.col("keep_id"))).select("_id", F.col("text_sha256").alias("_sha"))
+    out = df.withColumn("_own", digest(text)).join(small(cut(gone)), (F.col("_own") == F.col("_sha")) & F.col(key).eqNullSafe(F.col("_id")), "left_anti")
+    if not found.filter("n_best > 1").isEmpty():  # whole rows repeat
         out = out.dropDuplicates(["_own"])
     return out.drop("_own")

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkmill.llm.common import cut, text_or_empty
+from sparkmill.llm.common import cut, small, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -147,9 +147,7 @@ def annotate(df: DataFrame, text: str = "text", key: str = "doc_id", rounds: int
         return df.withColumn("_spans", F.col("_base")).drop("_text", "_t")
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
     extra = found.filter("not seed").join(added, ["kind", "instance"], "left_semi").groupBy(F.col("_id").alias("_xid"), F.col("_t").alias("_xt")).agg(F.collect_set(F.struct(rank.alias("rank"), "kind", "start", "end")).alias("_extra"))
-    extra = cut(extra)
-    if extra.count() <= BROADCAST_ROWS:
-        extra = F.broadcast(extra)
+    extra = small(cut(extra), BROADCAST_ROWS)
     out = df.join(extra, F.col(key).eqNullSafe(F.col("_xid")) & (F.col("_t") == F.col("_xt")), "left")
     return out.withColumn("_spans", F.array_sort(F.concat("_base", F.coalesce("_extra", F.array().cast("array<struct<rank:int,kind:string,start:int,end:int>>"))))).drop("_text", "_t", "_xid", "_xt", "_extra")
 

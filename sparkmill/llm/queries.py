@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmill.llm import bestfit_packing, exact_dedup, pii, quality_classifier, quality_rules, sentencepiece_codec, toxicity, url_filters
+from sparkmill.llm import bestfit_packing, exact_dedup, ngram_join, pii, quality_classifier, quality_rules, sentencepiece_codec, suffix_dedup, toxicity, url_filters
 from sparkmill.llm.common import documents
 
 
@@ -20,6 +20,14 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove(documents(spark, sf_dir), length=400, keep="none")
+
+
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(documents(spark, sf_dir), width=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
@@ -50,5 +58,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op4_sentencepiece, op5_exact_dedup, op6_quality_rules, op7_url_filters, op8_quality_classifier, op9_bestfit_packing, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_ngram_join, op4_sentencepiece, op5_exact_dedup, op6_quality_rules, op7_url_filters, op8_quality_classifier, op9_bestfit_packing, op10_pii)}
 ORACLE_SQL: dict[str, str] = {}
