@@ -183,7 +183,9 @@ def _able(a: str, b: str, percent: int) -> str:
     )
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(docs: DataFrame, width: int, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that link; only the sets of classes in a pair are built again and moved."""
+    sets = full_sets(docs, width, pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct())
     a = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("_a"))
     b = sets.select(F.col("cls").alias("b"), F.col("tokens").alias("_b"))
     both = pairs.join(a, "a").join(b, "b").withColumn("_i", F.size(F.array_intersect("_a", "_b")))
@@ -208,19 +210,18 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int =
     grouped = Window.partitionBy("key")
     lists = prefixes(docs, width, percent, token[order], count[order], x)
     lists = lists.withColumns({"lo": F.min("cls").over(grouped), "hi": F.max("cls").over(grouped)}).filter("lo <> hi").drop("lo", "hi")
-    lists = cut(lists.dropDuplicates(["key", "cls"]))
     # A set of the overlap zone has pairs and single tokens among its keys; what a pair shares bounds nothing there.
-    shared = lists.groupBy("cls").agg(F.count(F.lit(1)).alias("shared"))
-    bound = F.when(F.col("n") > x, F.col("shared")).otherwise(F.col("n")).cast("int")
+    shared = F.count(F.lit(1)).over(Window.partitionBy("cls"))
+    bound = F.when(F.col("n") > x, shared).otherwise(F.col("n")).cast("int")
     size = F.when(F.col("n") > x, F.col("p")).otherwise(F.lit(0)).cast("int")
-    lists = cut(lists.join(shared, "cls").select("key", "cls", "n", size.alias("p"), bound.alias("shared")))
+    lists = cut(lists.dropDuplicates(["key", "cls"]).select("key", "cls", "n", size.alias("p"), bound.alias("shared")))
 
-    sets = cut(full_sets(docs, width, lists.select("cls").distinct()))
     clear = F.struct((F.col("shared") - F.col("p")).alias("x"), F.col("shared").alias("s"), F.col("cls").alias("cls"), F.col("n").alias("n"), F.col("p").alias("p"))
     centres = lists.groupBy("key").agg(F.max(clear).alias("c")).select("key", F.col("c.cls").alias("cls"), F.col("c.n").alias("n"), F.col("c.p").alias("p"), F.col("c.s").alias("shared"))
     l, c = lists.alias("l"), centres.alias("c")
     stars = l.join(c, F.expr("l.key = c.key AND l.cls <> c.cls AND " + _able("l", "c", percent))).select(F.least("l.cls", "c.cls").alias("a"), F.greatest("l.cls", "c.cls").alias("b")).distinct()
-    links = cut(verified(stars, sets, percent))
+    stars = cut(stars)
+    links = cut(verified(docs, width, stars, percent))
     reached = cut(components(links))
 
     label = lists.join(reached.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
@@ -228,8 +229,9 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int =
     open_lists = cut(label.join(mixed, "key", "left_semi"))
     a, b = open_lists.alias("a"), open_lists.alias("b")
     rest = a.join(b, F.expr("a.key = b.key AND a.component < b.component AND " + _able("a", "b", percent))).select(F.least("a.cls", "b.cls").alias("a"), F.greatest("a.cls", "b.cls").alias("b")).distinct()
-    links = links.unionByName(verified(rest.join(stars, ["a", "b"], "left_anti"), sets, percent))
-    reached = components(links)
+    rest = cut(rest.join(stars, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        reached = components(links.unionByName(verified(docs, width, rest, percent)))
 
     named = rows.filter("cls <> 0").groupBy("cls").agg(F.min("doc_id").alias("first"))
     named = named.join(reached.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
