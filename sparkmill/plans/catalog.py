@@ -2,5 +2,212 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkmill.functions import text
+from sparkmill.operators import dedup, inspect, policies, records
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+POS = "row_number() over (order by doc_id)"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.with_position(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
+
+
+def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the label as the judge's score; no label means a reply without the field."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("score"))
+    return docs(spark, sf_dir).join(labels, "doc_id", "left")
+
+
+# Scans, projections
+
+
+@query(f"select doc_id, {POS} as position, lang from documents")
+def scan_position(spark, d):
+    return docs(spark, d).select("doc_id", "position", "lang")
+
+
+@query("select conv_id, turn, role || ': ' || text as prompt, sha256(role || ': ' || text) as prompt_hash from conversations")
+def prompt_render_concat(spark, d):
+    p = F.concat("role", F.lit(": "), "text")
+    return table(spark, d, "conversations").select("conv_id", "turn", p.alias("prompt"), F.sha2(p, 256).alias("prompt_hash"))
+
+
+@query(f"select doc_id, sha256(({POS})::varchar || ':' || text) as record_id from documents")
+def record_id(spark, d):
+    return docs(spark, d).select("doc_id", F.sha2(F.concat_ws(":", F.col("position").cast("string"), "text"), 256).alias("record_id"))
+
+
+@query("select conv_id, turn, octet_length(encode(text)) + 32 as estimate from conversations")
+def token_estimate(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", (F.octet_length("text") + 32).cast("long").alias("estimate"))
+
+
+# Filters and validation
+
+_REPLY = "case when event_id % 7 = 0 then substr(props, 1, length(props) - 1) when event_id % 11 = 0 then '[1]' else props end"
+
+
+@query(f"with r as (select event_id, {_REPLY} as reply from events) select event_id, case when not json_valid(reply) then 'structured_output' when json_type(reply) <> 'OBJECT' then 'structured_output' when (reply->>'k')::bigint > 50 then 'validation' else 'accepted' end as category from r")
+def schema_validate_range(spark, d):
+    reply = table(spark, d, "events").select("event_id", F.expr(_REPLY).alias("reply"))
+    v = F.try_parse_json("reply")
+    k = F.try_variant_get(v, "$.k", "long")
+    category = F.when(v.isNull() | ~F.schema_of_variant(v).startswith("OBJECT"), "structured_output").when(k > 50, "validation").otherwise("accepted")
+    return reply.select("event_id", category.alias("category"))
+
+
+@query("select d.doc_id, case when l.quality is null then 'judge_output' when l.quality < 1 then 'judge_score' else 'accepted' end as category from documents d left join labels l using (doc_id)")
+def judge_threshold(spark, d):
+    return judged(spark, d).select("doc_id", records.judge_category(F.col("score"), 1.0).alias("category"))
+
+
+@query(
+    f"with j as (select d.doc_id, d.text, {POS.replace('doc_id', 'd.doc_id')} as position, l.quality from documents d left join labels l using (doc_id)), "
+    "c as (select *, case when length(text) < 20 then 'template' when quality is null then 'judge_output' when quality < 1 then 'judge_score' end as early from j), "
+    "n as (select *, row_number() over (partition by lower(text), early is null order by position) as nth from c) "
+    "select doc_id, coalesce(early, case when nth > 1 then 'duplicate' else 'accepted' end) as category from n"
+)
+def rejection_precedence(spark, d):
+    rows = judged(spark, d).withColumn("early", F.when(F.length("text") < 20, "template").otherwise(records.judge_failure(F.col("score"), 1.0)))
+    return dedup.exact(rows, [F.lower("text")], eligible=F.col("early").isNull()).select("doc_id", F.coalesce("early", F.when(F.col("duplicate"), "duplicate").otherwise("accepted")).alias("category"))
+
+
+# Deduplication
+
+def _exact(keys):
+    return lambda spark, d: dedup.exact(docs(spark, d), keys).filter(~F.col("duplicate")).select("doc_id", "position")
+
+
+for _name, _keys, _sql in (("dedup_exact_raw", ["text"], "text"), ("dedup_exact_lower", ["lower"], "lower(text)"), ("dedup_exact_fields", ["lang", "source", "text"], "lang, source, text")):
+
+    def _run(spark, d, keys=tuple(_keys)):
+        return _exact([F.lower("text") if k == "lower" else F.col(k) for k in keys])(spark, d)
+
+    QUERIES[_name] = _run
+    ORACLE_SQL[_name] = f"with p as (select *, {POS} as position from documents) select doc_id, position from p qualify row_number() over (partition by {_sql} order by position) = 1"
+
+
+@query("select a.doc_id from documents a where exists (select 1 from documents b where b.text = a.text and b.doc_id < 100) and a.doc_id >= 100")
+def dedup_semi_probe(spark, d):
+    t = table(spark, d, "documents")
+    return t.filter("doc_id >= 100").join(t.filter("doc_id < 100").select("text"), "text", "left_semi").select("doc_id")
+
+
+@query("select a.doc_id from documents a where not exists (select 1 from documents b where b.text = a.text and b.doc_id < 100) and a.doc_id >= 100")
+def resume_dedup_prefix(spark, d):
+    t = table(spark, d, "documents")
+    return t.filter("doc_id >= 100").join(t.filter("doc_id < 100").select("text"), "text", "left_anti").select("doc_id")
+
+
+@query(r"select doc_id, len(list_filter(regexp_split_to_array(lower(text), '[\s\p{Z}\x{85}\x0b]+'), x -> x <> '')) as n_words from documents")
+def word_shingle_words(spark, d):
+    return docs(spark, d).select("doc_id", F.size(text.words(F.col("text"))).cast("long").alias("n_words"))
+
+
+@query()
+def minhash_greedy_accept(spark, d):
+    return dedup.minhash(docs(spark, d), "text", num_perm=32, bands=8, threshold=0.8).select("doc_id", "position", "duplicate")
+
+
+# Aggregations
+
+_CAT = ORACLE_SQL["judge_threshold"]
+
+
+@query(f"select category, count(*) as n from ({_CAT}) group by category")
+def counters_by_category(spark, d):
+    return judge_threshold(spark, d).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("with v as (select value, row_number() over (order by value) as r, count(*) over () as n from events) select max(case when r = round((n - 1) * 0.5) + 1 then value end) as p50, max(case when r = round((n - 1) * 0.95) + 1 then value end) as p95, max(case when r = round((n - 1) * 0.99) + 1 then value end) as p99 from v")
+def latency_nearest_rank(spark, d):
+    return inspect.nearest_ranks(table(spark, d, "events"), "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+
+
+@query("select role, sum(octet_length(encode(text)) + 32)::bigint as tokens, round(sum(octet_length(encode(text)) + 32) * case role when 'user' then 10.0 else 20.0 end / 1e6, 6)::double as cost from conversations group by role")
+def token_cost_by_provider(spark, d):
+    t = F.sum(F.octet_length("text") + 32)
+    price = F.when(F.col("role") == "user", 10.0).otherwise(20.0)
+    return table(spark, d, "conversations").groupBy("role").agg(t.cast("long").alias("tokens")).select("role", "tokens", F.round(F.col("tokens") * price / 1e6, 6).alias("cost"))
+
+
+for _t, _cols in (("orders", ["o_orderkey", "o_totalprice", "o_orderstatus"]), ("documents", ["doc_id", "lang", "n_chars"]), ("events", ["user_id", "event_type", "value"])):
+
+    def _inspect(spark, d, t=_t, cols=tuple(_cols)):
+        return inspect.profile(table(spark, d, t).select(*cols))
+
+    QUERIES[f"inspect_{_t}"] = _inspect
+    _num = {"o_orderkey", "o_totalprice", "doc_id", "n_chars", "user_id", "value"}
+    ORACLE_SQL[f"inspect_{_t}"] = " union all ".join(
+        f"select '{c}' as name, '{'number' if c in _num else 'string'}' as data_type, count({c}) as count, count(*) - count({c}) as null_count, "
+        + (f"min({c})::double as min, max({c})::double as max, round(avg({c}::double), 6) as mean, " if c in _num else "null::double as min, null::double as max, null::double as mean, ")
+        + f"count(distinct {c}) as distinct from {_t}"
+        for c in _cols
+    )
+
+
+# Policies, commits, rate windows
+
+_RANKED = f"with c as (select d.doc_id, {POS.replace('doc_id', 'd.doc_id')} as position, case when l.quality is null then 0 else 1 - l.quality end as bad from documents d left join labels l using (doc_id)), r as (select *, sum(bad) over (order by position) as failed from c)"
+
+
+def _bad(spark, d):
+    return judged(spark, d).withColumn("bad", F.coalesce(1 - F.col("score"), F.lit(0)).cast("long"))
+
+
+@query(f"{_RANKED} select doc_id, position from r where position <= coalesce((select min(position) from r where failed > 0), 9e18)")
+def policy_strict_cut(spark, d):
+    return policies.cut_at(_bad(spark, d), "bad", most=0).select("doc_id", "position")
+
+
+@query(f"{_RANKED} select doc_id, position from r where position <= coalesce((select min(position) from r where failed > 5), 9e18)")
+def policy_max_failed_cut(spark, d):
+    return policies.cut_at(_bad(spark, d), "bad", most=5).select("doc_id", "position")
+
+
+@query(f"{_RANKED} select count(*) as total, sum(bad)::bigint as rejected, sum(bad) / count(*) > 0.1 as violated, count(*) > 0 and sum(bad) = count(*) as all_rejected from r")
+def policy_ratio(spark, d):
+    return policies.final(_bad(spark, d), "bad", 0.1)
+
+
+@query(f"with p as (select doc_id, {POS} as position from documents) select (position - 1) // 128 as batch, min(position) as first, max(position) as last, count(*) as rows from p group by batch")
+def commit_batches(spark, d):
+    return docs(spark, d).groupBy(F.expr("(position - 1) div 128").alias("batch")).agg(F.min("position").alias("first"), F.max("position").alias("last"), F.count(F.lit(1)).alias("rows"))
+
+
+@query(f"with p as (select doc_id, {POS} as position from documents) select doc_id, position from p where position > 256")
+def resume_suffix(spark, d):
+    return docs(spark, d).filter("position > 256").select("doc_id", "position")
+
+
+@query("select event_id, count(*) over w as requests, round(sum(value) over w, 4) as amount from events window w as (partition by user_id order by ts range between interval 60 seconds preceding and current row)")
+def sliding_rate_window(spark, d):
+    return policies.rate_window(table(spark, d, "events"), "user_id", "ts", "value").select("event_id", "requests", "amount")
+
+
+@query("select event_id, case when value = floor(value) and abs(value) < 9e15 then 'accepted' else 'sink_row' end as category from events")
+def sink_fit_int(spark, d):
+    v = F.col("value")
+    return table(spark, d, "events").select("event_id", F.when((v == F.floor(v)) & (F.abs(v) < 9e15), "accepted").otherwise("sink_row").alias("category"))
