@@ -59,4 +59,34 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_ngram_join, op4_sentencepiece, op5_exact_dedup, op6_quality_rules, op7_url_filters, op8_quality_classifier, op9_bestfit_packing, op10_pii)}
-ORACLE_SQL: dict[str, str] = {}
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_PATH = "case when position('://' in coalesce(url, '')) > 0 then substr(url, position('://' in url) + 3) else '' end"
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_exact_dedup": r"""
+        with n as (select doc_id, length(coalesce(text, '')) as size, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as norm from documents)
+        select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition by norm) as group_size, first_value(doc_id) over w = doc_id as kept, sha256(norm) as text_sha256
+        from n window w as (partition by norm order by size desc, doc_id)""",
+    "op6_quality_rules": rf"""
+        with w as (select doc_id, coalesce(text, '') as t, {_WORDS} as words, list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) as lines from documents),
+        tri as (select doc_id, unnest(range(1, len(words) - 1)) as i, words from w where len(words) >= 3),
+        win as (select doc_id, i, words[i] || chr(32) || words[i + 1] || chr(32) || words[i + 2] as x from tri),
+        twice as (select doc_id, i from win qualify count(*) over (partition by doc_id, x) > 1),
+        rep as (select doc_id, count(distinct j) as n from (select doc_id, unnest([i, i + 1, i + 2]) as j from twice) group by doc_id),
+        m as (select w.doc_id, len(words) as n_words, length(array_to_string(words, '')) as word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) as n_symbols,
+              len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(rep.n, 0) as n_repeat_words, len(lines) as n_lines,
+              len(regexp_extract_all(t, '[A-ZÀ-ÖØ-Þ]')) as n_upper, len(regexp_extract_all(t, '!!')) as n_shouts,
+              len(list_filter(regexp_extract_all(regexp_replace(t, '[\x20\n]', '\0\0', 'g'), '[\x20\n][^\x20\n]+[\x20\n]'), lambda s: substr(s, 2, length(s) - 2) in ({", ".join(f"'{x}'" for x in sorted(set(quality_rules.STOP_WORDS)))}))) as n_stop
+              from w left join rep using (doc_id)),
+        v as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m)
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+          not base_failed and word_chars / n_words between 2 and 30 and n_symbols / n_words <= 0.2 and n_stop / n_words >= 0.01
+          and n_dup_lines / n_lines <= 0.5 and n_upper / word_chars <= 0.5 and n_shouts / n_words <= 0.3 and n_words / n_lines >= 1 as kept from v""",
+    "op7_url_filters": rf"""
+        with a as (select page_id, {_PATH} as rest from pages),
+        b as (select page_id, lower(regexp_extract(rest, '^[^/?#]*')) as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from a),
+        r(action, h, p) as (values ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('block', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+        best as (select page_id, h || p as rule, action from b join r on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) qualify row_number() over (partition by page_id order by length(h || p) desc) = 1)
+        select page_id, host, path, rule, coalesce(action, case when regexp_matches(host || path, '(^|[./-])(spam|link)-farm[./]|[./-](casino|porn|warez)[./-]') then 'block' else 'allow' end) as verdict from b left join best using (page_id)""",
+}

@@ -1,0 +1,168 @@
+import random
+from collections import Counter, defaultdict
+
+import pyarrow as pa
+import pytest
+
+from sparkmill.llm import bestfit_packing, exact_dedup, ngram_join, pii, quality_classifier, quality_rules, sentencepiece_codec, suffix_dedup, toxicity, url_filters
+
+DOCS = "doc_id long, text string, lang string, n_words string"
+
+
+def frame(spark, texts, schema=DOCS):
+    return spark.createDataFrame([(k, t, None, "clash") for k, t in enumerate(texts)], schema)
+
+
+def test_longest_factors_against_brute_force():
+    r = random.Random(1)
+    for _ in range(200):
+        texts = ["".join(r.choice("ab") for _ in range(6)).encode() for _ in range(r.randint(1, 12))]
+        places = r.sample(range(100), len(texts))
+        order, lcp = suffix_dedup.suffix_order(texts, 6)
+        lpf, lnf = suffix_dedup.longest_factors(order, lcp, places)
+        for k, t in enumerate(texts):
+            def reach(other):
+                return next((i for i in range(6) if t[i] != other[i]), 6)
+            assert lpf[k] == max([reach(u) for j, u in enumerate(texts) if places[j] < places[k]], default=0)
+            assert lnf[k] == max([reach(u) for j, u in enumerate(texts) if places[j] > places[k]], default=0)
+
+
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_suffix_dedup(spark, keep):
+    r = random.Random(2)
+    base = ["".join(r.choice("abcdefgh ") for _ in range(700)) for _ in range(4)]
+    texts = [base[0] + base[1], base[1][100:] + "x" + base[2], base[2], base[3], base[3], None, "", base[0][:399], base[3], "z" * 900]
+    texts += [base[0][150:600] + str(k) * k for k in range(8)]
+    got = {x.doc_id: x for x in suffix_dedup.remove(frame(spark, texts), keep=keep, kept_text=True).collect()}
+    seen = defaultdict(list)
+    for k, t in enumerate(texts):
+        for i in range(len(t or "") - 399):
+            seen[t[i : i + 400]].append((k, i))
+    for k, t in enumerate(texts):
+        gone = set()
+        for i in range(len(t or "") - 399):
+            all_at = seen[t[i : i + 400]]
+            if len(all_at) > 1 and (keep == "none" or min(all_at) != (k, i)):
+                gone |= set(range(i, i + 400))
+        assert bytes(got[k].kept).decode() == "".join(c for i, c in enumerate(t or "") if i not in gone), k
+
+
+def test_ngram_join_against_brute_force(spark):
+    r = random.Random(3)
+    vocabulary = [f"w{k}" for k in range(400)]
+    texts = [None, "", " \t", "One two", "one TWO"]
+    for size in (6, 8, 20, 60, 150):
+        base = [r.choice(vocabulary) for _ in range(size)]
+        for k in range(12):
+            own = list(base)
+            for _ in range(k // 3):
+                own[r.randrange(size)] = r.choice(vocabulary)
+            texts.append(" ".join(own))
+    for width, percent in ((4, 85), (5, 80), (1, 80)):
+        sets = [frozenset(tuple(w[k : k + width]) for k in range(len(w) - width + 1)) if len(w := (t or "").lower().split()) >= width else frozenset([tuple(w)] * bool(w)) for t in texts]
+        root = list(range(len(texts)))
+        for _ in texts:
+            for i, a in enumerate(sets):
+                for j, b in enumerate(sets):
+                    if a and 100 * len(a & b) >= percent * len(a | b):
+                        root[i] = root[j] = min(root[i], root[j])
+        got = {x.doc_id: x for x in ngram_join.join(frame(spark, texts), width=width, percent=percent).collect()}
+        assert [got[k].component_id for k in range(len(texts))] == root
+        assert [got[k].n_shingles for k in range(len(texts))] == [len(s) for s in sets]
+    assert ngram_join.join(frame(spark, [])).count() == 0
+
+
+def test_boundary_prefers_lists_where_pairs_are_many():
+    assert ngram_join.boundary({100: 10}, 0.0, 1.0, 85) == 0
+    assert ngram_join.boundary({6: 10, 100: 1}, 0.9, 1000.0, 85) >= 6
+
+
+def test_codec_against_the_library():
+    sentencepiece = pytest.importorskip("sentencepiece")
+    path = pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model")
+    library, codec = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_codec.Codec(path)
+    r = random.Random(4)
+    texts = ["", " ", "▁▁ a", "日本 🤯\u0000\n"] + ["".join(r.choice("ab zç日🤯▁ \n<>0") for _ in range(r.randint(0, 40))) for _ in range(300)]
+    for t in texts:
+        parts = codec.encode(t)
+        ids = [k for k, _, _ in parts]
+        assert ids == library.encode(t) and codec.decode([1, *ids, 2]) == library.decode([1, *ids, 2])
+        assert [k for k, _ in codec.merge(codec.plain(t))] == ids
+        assert all(0 <= a <= b <= len(t.encode()) for _, a, b in parts)
+
+
+def test_exact_dedup_spills_and_keeps_the_longest(spark):
+    texts = ["a b", "ab", "a  b", None, "", "x" * 5000, "x" * 4999 + " x", "y"] + [f"t{k} " * 200 for k in range(40)] * 2
+    got = {x.doc_id: x for x in exact_dedup.decide(frame(spark, texts), table_bytes=3000).collect()}
+    groups = defaultdict(list)
+    for k, t in enumerate(texts):
+        groups["".join((t or "").split())].append((-len(t or ""), k))
+    for own in groups.values():
+        for _, k in own:
+            assert (got[k].keep_id, got[k].group_size, got[k].kept) == (min(own)[1], len(own), min(own)[1] == k)
+    same = spark.createDataFrame([(1, "q", None, ""), (1, "q", None, ""), (None, "r", None, "")], DOCS)
+    assert exact_dedup.dedup(same).count() == 2
+    assert sorted(x.kept for x in exact_dedup.decide(same).collect()) == [False, True, True]
+    assert exact_dedup.decide(frame(spark, [])).count() == 0
+
+
+def test_quality_rules_edges(spark):
+    texts = [None, "", "a b c d a b c d", "the of " * 30, "word " + " ".join(f"the w{k}" for k in range(40))]
+    got = {x.doc_id: x for x in quality_rules.judge(frame(spark, texts)).collect()}
+    assert got[0].n_words == got[1].n_words == 0 and got[0].base_failed
+    assert got[2].n_repeat_words == 8 and got[3].base_failed and got[4].kept
+
+
+def test_url_filters_longest_rule_wins(spark):
+    urls = [None, "no scheme", "http://a.example.com/en/7", "http://com/en/", "http://Example.NET/de/8?x", "https://x.org/fr/#y", "http://b.spam-farm.example.org/fr/1"]
+    got = [(x.rule, x.verdict) for x in url_filters.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).orderBy("page_id").collect()]
+    assert got == [(None, "allow"), (None, "allow"), ("example.com/en/7", "allow"), ("com/en/", "block"), ("example.net/de/8", "block"), (None, "allow"), (None, "block")]
+
+
+def test_pii_spans_and_contexts(spark):
+    seeds = [f"please write to user{k}@mail.example.com soon" for k in range(8)]
+    texts = [None, "", "call +1 (988) 555-2485 or 4041894974608795, ip 1.2.3.4 not 1.2.3.999", "please write to hidden@localhost soon", "1" * 50_000, "a" * 50_000 + "@b.c_d@e.f", *seeds]
+    got = {x.doc_id: x for x in pii.report(frame(spark, texts)).collect()}
+    assert got[0].spans == "" and got[2].n_phone == 1 and got[2].n_ip == 1 and got[2].n_card == 1
+    assert got[3].n_email == 0 and got[3].spans == "email:16:32"
+    assert got[5].n_email == 2
+    out = {x.doc_id: x.text for x in pii.redact(frame(spark, texts)).collect()}
+    assert out[2] == "call [PHONE] or [CARD], ip [IP] not 1.2.3.999" and out[0] is None and out[6] == "please write to [EMAIL] soon"
+
+
+def test_packing_is_whole_and_tight(spark):
+    r = random.Random(5)
+    rows = [(k, 0, 0, r.randint(1, 1024), k) for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    bins = defaultdict(list)
+    for x in bestfit_packing.pack(df, chunk=500).collect():
+        bins[x.sequence_id].append((x.offset, x.length))
+    assert sum(map(len, bins.values())) == 3000
+    for own in bins.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert len(bins) <= 1.02 * sum(x[3] for x in rows) / 1024
+
+
+def test_plan_uses_every_piece_once():
+    r = random.Random(6)
+    counts = Counter(r.randint(1, 64) for _ in range(500))
+    used = Counter()
+    for own, n in bestfit_packing.plan(dict(counts), 64):
+        assert sum(own) <= 64
+        for k in own:
+            used[k] += n
+    assert used == counts
+
+
+def test_models_learn_and_take_empty_texts():
+    clean, foul = "calm words about the sea and the sky ", "you idiot moron the sea "
+    chain = toxicity.fit([clean * 3, foul * 3] * 40, [0, 1] * 40)
+    p = chain.score(pa.array([clean, foul, None, ""]))[:, -1]
+    assert p[1] > 0.5 > p[0] and p[2] == p[3]
+    model = quality_classifier.fit([clean * 20, "%%% ### | " * 60] * 30, [1, 0] * 30)
+    q = model.score(pa.array([clean * 20, "%%% ### | " * 60, None, ""]))
+    assert q[0] > 0.5 > q[1] and q[2] == q[3]
