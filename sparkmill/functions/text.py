@@ -13,12 +13,13 @@ def words(text: Column) -> Column:
 
 def word_shingles(text: Column, n: int = 3) -> Column:
     """Distinct windows of n words joined by U+001F; a shorter text is one window, and an empty one the empty window."""
-    w = words(text)
-    many = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), "\x1f"))
-    return F.array_distinct(many)
+    # The words are bound once, as the variable of a lambda over a one-element array.
+    windows = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), "\x1f"))
+    return F.array_distinct(F.flatten(F.transform(F.array(words(text)), windows)))
 
 
 def char_shingles(text: Column, n: int = 3) -> Column:
     """Distinct windows of n code points of the lower-cased text without white space."""
     t = F.regexp_replace(F.lower(text), r"(?U)\s+", "")
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(n))))
+    windows = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(n)))
+    return F.array_distinct(F.flatten(F.transform(F.array(t), windows)))

@@ -20,5 +20,5 @@ def final(df: DataFrame, bad: str, ratio: float) -> DataFrame:
 
 
 def rate_window(df: DataFrame, key: str, ts: str, amount: str, seconds: int = 60) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(F.unix_micros(ts)).rangeBetween(-seconds * 1_000_000, 0)
+    w = Window.partitionBy(key).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
     return df.withColumns({"requests": F.count(F.lit(1)).over(w), "amount": F.round(F.sum(amount).over(w), 4)})

@@ -121,7 +121,7 @@ def resume_dedup_prefix(spark, d):
     return t.filter("doc_id >= 100").join(t.filter("doc_id < 100").select("text"), "text", "left_anti").select("doc_id")
 
 
-@query(r"select doc_id, len(list_filter(regexp_split_to_array(lower(text), '[\s\p{Z}\x{85}\x0b]+'), x -> x <> '')) as n_words from documents")
+@query(r"select doc_id, len(list_filter(regexp_split_to_array(lower(text), '[\s\p{Z}\x{85}\x0b]+'), lambda x: x <> ''))::bigint as n_words from documents")
 def word_shingle_words(spark, d):
     return docs(spark, d).select("doc_id", F.size(text.words(F.col("text"))).cast("long").alias("n_words"))
 
