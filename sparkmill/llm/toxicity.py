@@ -125,8 +125,11 @@ def fit(texts: list[str], labels: list[int], folds: int = FOLDS, size: int = FEA
     y = _targets(texts, np.array(labels))
     n = len(texts)
     data, offsets = packed(pa.array(texts, pa.string()))
-    row, slot = features(data, offsets)
-    keys = np.unique(row * (1 << _BITS) + slot)
+    found = []
+    for a, b in blocks(offsets):  # the sample's bytes are never expanded all at once
+        row, slot = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        found.append(np.unique((row + a) * (1 << _BITS) + slot))
+    keys = np.concatenate(found) if found else np.zeros(0, np.int64)
     row, slot = keys >> _BITS, keys & ((1 << _BITS) - 1)
     pos = np.bincount(slot, y[row, -1], 1 << _BITS)
     neg = np.bincount(slot, 1 - y[row, -1], 1 << _BITS)
