@@ -101,3 +101,14 @@ def base_failed() -> Column:
 def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = THRESHOLDS) -> DataFrame:
     """The rows with their counts, `base_failed` and `kept`."""
     return measures(df, text).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & compile_rules(rules))
+
+
+def keep(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = THRESHOLDS) -> DataFrame:
+    """The kept rows with their own columns, whatever their names.
+
+    A plain filter would be moved below the projection, and every count written out wherever it is used; the row number
+    that the filter reads holds it above, so each count is computed once.
+    """
+    judged = judge(df.select(F.struct("*").alias("_row"), F.col(text).alias("_text")), "_text", rules)
+    judged = judged.withColumn("_place", F.monotonically_increasing_id())
+    return judged.filter("kept AND _place >= 0").select("_row.*")
