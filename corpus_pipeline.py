@@ -18,7 +18,7 @@ from sparkmill.llm.queries import tokenizer_path
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base or a threshold rejects go."""
-    return quality_rules.judge(docs).filter("kept").select(*docs.columns)
+    return quality_rules.keep(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
