@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkmill.functions import text
+from sparkmill.functions.template import compile_template
+from sparkmill.functions.validation import compile_schema
 from sparkmill.operators import dedup, inspect, policies, records
+from sparkmill.plans import engine, spec
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -109,16 +112,25 @@ for _name, _keys, _sql in (("dedup_exact_raw", ["text"], "text"), ("dedup_exact_
     ORACLE_SQL[_name] = f"with p as (select *, {POS} as position from documents) select doc_id, position from p qualify row_number() over (partition by {_sql} order by position) = 1"
 
 
-@query("select a.doc_id from documents a where exists (select 1 from documents b where b.text = a.text and b.doc_id < 100) and a.doc_id >= 100")
+_COMMITTED = "select b.text from documents b join labels using (doc_id)"
+
+
+def _committed(spark, d):
+    """Texts of the labelled documents, as rows that an earlier run committed; the others are what comes now."""
+    t, labels = table(spark, d, "documents"), table(spark, d, "labels").select("doc_id")
+    return t.join(labels, "doc_id", "left_anti"), t.join(labels, "doc_id", "left_semi").select("text")
+
+
+@query(f"select doc_id from documents where doc_id not in (select doc_id from labels) and text in ({_COMMITTED})")
 def dedup_semi_probe(spark, d):
-    t = table(spark, d, "documents")
-    return t.filter("doc_id >= 100").join(t.filter("doc_id < 100").select("text"), "text", "left_semi").select("doc_id")
+    now, before = _committed(spark, d)
+    return now.join(before, "text", "left_semi").select("doc_id")
 
 
-@query("select a.doc_id from documents a where not exists (select 1 from documents b where b.text = a.text and b.doc_id < 100) and a.doc_id >= 100")
+@query(f"select doc_id from documents where doc_id not in (select doc_id from labels) and text not in ({_COMMITTED})")
 def resume_dedup_prefix(spark, d):
-    t = table(spark, d, "documents")
-    return t.filter("doc_id >= 100").join(t.filter("doc_id < 100").select("text"), "text", "left_anti").select("doc_id")
+    now, before = _committed(spark, d)
+    return now.join(before, "text", "left_anti").select("doc_id")
 
 
 @query(r"select doc_id, len(list_filter(regexp_split_to_array(lower(text), '[\s\p{Z}\x{85}\x0b]+'), lambda x: x <> ''))::bigint as n_words from documents")
@@ -211,3 +223,41 @@ def sliding_rate_window(spark, d):
 def sink_fit_int(spark, d):
     v = F.col("value")
     return table(spark, d, "events").select("event_id", F.when((v == F.floor(v)) & (F.abs(v) < 9e15), "accepted").otherwise("sink_row").alias("category"))
+
+
+# Templates, schemas and whole pipelines over records
+
+
+def _records(spark, d):
+    rows = records.with_position(table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars"), "doc_id")
+    return rows.select("doc_id", "position", F.to_json(F.struct("lang", "n_chars", "source")).alias("record"))
+
+
+@query("select doc_id, case when lang is null or source is null or n_chars is null then null else 'A ' || lang || ' text from ' || source || case when lang = 'en' then '' else ', translated' end || ': ' || n_chars || '..' end as prompt from documents")
+def template_render(spark, d):
+    source = "A {{ lang }} text from {{ record.source }}{% if lang == 'en' %}{% else %}, translated{% endif %}: {{ n_chars }}{% for i in range(2) %}.{% endfor %}"
+    return _records(spark, d).select("doc_id", compile_template(source, F.parse_json("record")).alias("prompt"))
+
+
+@query("select event_id, case when (props->>'k')::bigint > 50 then '/k' end as instance_path, case when (props->>'k')::bigint > 50 then '/properties/k/maximum' end as schema_path from events")
+def schema_validate_paths(spark, d):
+    rule = {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer", "maximum": 50}}}
+    broken = compile_schema(rule, F.try_parse_json("props"))
+    return table(spark, d, "events").select("event_id", broken.alias("b")).select("event_id", "b.instance_path", "b.schema_path")
+
+
+_PIPELINE = {
+    "version": 1, "dataset": {"name": "lengths"}, "source": {"type": "inline", "records": []}, "dedup": {"fields": ["k", "lang"]}, "output": {"format": "jsonl", "path": "lengths"},
+    "providers": {"m": {"type": "mock", "response": '{"k": {{ n_chars | tojson }}, "lang": {{ lang | tojson }}}'}},
+    "generate": {"provider": "m", "prompt": "Describe {{ source }}", "output_schema": {"properties": {"k": {"type": "integer", "maximum": 5000}}}},
+}
+
+
+@query(
+    "with c as (select doc_id, n_chars, lang, case when lang is null or source is null or n_chars is null then 'template' when n_chars > 5000 then 'validation' end as early from documents), "
+    "n as (select *, row_number() over (partition by n_chars, lang, early is null order by doc_id) as nth from c) select doc_id, coalesce(early, case when nth > 1 then 'duplicate' else 'accepted' end) as category from n"
+)
+def pipeline_outcomes(spark, d):
+    rows = _records(spark, d)
+    done = engine.outcomes(rows.select("position", "record"), spec.check(_PIPELINE)).select("position", "category")
+    return rows.select("doc_id", "position").join(done, "position").select("doc_id", F.coalesce("category", F.lit("accepted")).alias("category"))
