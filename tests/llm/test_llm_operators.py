@@ -167,3 +167,15 @@ def test_models_learn_and_take_empty_texts():
     model = quality_classifier.fit([clean * 20, "%%% ### | " * 60] * 30, [1, 0] * 30)
     q = model.score(pa.array([clean * 20, "%%% ### | " * 60, None, ""]))
     assert q[0] > 0.5 > q[1] and q[2] == q[3]
+
+
+def test_quality_keep_returns_own_columns(spark):
+    from sparkmill.llm import quality_rules
+
+    good = "The end of the day is near and it was a good one for us. " * 1 + " ".join(f"word{k} the" for k in range(60))
+    rows = [(1, good, "x"), (2, None, "y"), (3, "", "z"), (1, good, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept string")
+    got = quality_rules.keep(df)
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect())) == [(1, good, "x"), (1, good, "x")]
+    assert quality_rules.keep(df.limit(0)).count() == 0
