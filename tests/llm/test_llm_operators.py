@@ -172,7 +172,7 @@ def test_models_learn_and_take_empty_texts():
 def test_quality_keep_returns_own_columns(spark):
     from sparkmill.llm import quality_rules
 
-    good = "The end of the day is near and it was a good one for us. " * 1 + " ".join(f"word{k} the" for k in range(60))
+    good = "The end of the day is near and it was a good one for us. " + " ".join(f"word{k} the" for k in range(60))
     rows = [(1, good, "x"), (2, None, "y"), (3, "", "z"), (1, good, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, kept string")
     got = quality_rules.keep(df)
