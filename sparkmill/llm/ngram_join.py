@@ -9,7 +9,8 @@ over the sizes that the corpus holds, is least. The order puts tokens that many
 Links of a class with the clearest member of each list are checked first and joined to components; then every pair
 that shares a list, lies in two components and can still reach the threshold by the sizes and by how many of its
 prefix tokens any other set shares, is checked. So a group of near copies costs a star, not all its pairs, and no link
-that would join two components is missed. Every check intersects the full sets.
+that would join two components is missed. A check first compares bitmaps of the sets, four bits or more a token, which
+bound the intersection from above; the pairs that the bound leaves intersect the full sets.
 
 Null and empty texts, and texts without words, have the empty set and link with nothing; a text of fewer words than the
 shingle is one shingle. Repeated rows are one class. A null doc_id never becomes a component's id unless all are null.
@@ -52,7 +53,17 @@ def _class(tokens: np.ndarray) -> int:
     """The hash of a set; 0 is the empty set's."""
     if not len(tokens):
         return 0
-    return int(mix(np.array([np.bitwise_xor.reduce(mix(tokens ^ np.uint64(0x5851F42D4C957F2D))) + tokens.sum(dtype=np.uint64) * np.uint64(3)], np.uint64)).astype(np.int64)[0]) or 1
+    both = np.array([np.bitwise_xor.reduce(mix(tokens ^ np.uint64(0x5851F42D4C957F2D)))]) + np.array([tokens.sum(dtype=np.uint64)]) * np.uint64(3)
+    return int(mix(both).astype(np.int64)[0]) or 1
+
+
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """A bit for each token, in a power of two of words, 16 tokens a word at most; a bitmap of half as many words is its
+    halves' union."""
+    size = 1 << max(0, -(-len(tokens) // 16) - 1).bit_length()
+    hit = np.zeros(64 * size, np.uint8)
+    hit[((tokens & np.uint64(size - 1)) << np.uint64(6) | tokens >> np.uint64(58)).astype(np.int64)] = 1
+    return np.packbits(hit, bitorder="little").view(np.int64)
 
 
 def _required(n: int, percent: int) -> int:
@@ -60,7 +71,9 @@ def _required(n: int, percent: int) -> int:
 
 
 def classes(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, cls, n of every row, and the frequent tokens' counts as rows of their own (kind 1: cls token, n count)."""
+    """doc_id, cls, n of every row, and the frequent tokens' counts as rows of their own (kind 1: cls token, n count).
+    The first row of a class in each task carries the bitmap of its set."""
+    names = ["kind", "doc_id", "cls", "n", "bits"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -70,25 +83,26 @@ def classes(docs: DataFrame, width: int) -> DataFrame:
         def frequent() -> pa.RecordBatch:
             u, c = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             u, c = u[c >= LOCAL_COUNT], c[c >= LOCAL_COUNT]
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(u), np.int32)), pa.nulls(len(u), pa.int64()), pa.array(u.astype(np.int64)), pa.array(c.astype(np.int64))], ["kind", "doc_id", "cls", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(u), np.int32)), pa.nulls(len(u), pa.int64()), pa.array(u.astype(np.int64)), pa.array(c.astype(np.int64)), pa.nulls(len(u), pa.list_(pa.int64()))], names)
 
         for b in batches:
             rows = []
             for doc, tokens in _sets(b, width):
                 key = _class(tokens)
-                rows.append((doc, key, len(tokens)))
-                if key not in seen:
+                new = key not in seen
+                rows.append((doc, key, len(tokens), bitmap(tokens) if new and key else None))
+                if new:
                     seen.add(key)
                     held.append(tokens)
                     size += len(tokens)
                 if size > 4_000_000:
                     yield frequent()
                     held, size = [], 0
-            d, c, n = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(rows), np.int32)), pa.array(d, pa.int64()), pa.array(c, pa.int64()), pa.array(n, pa.int64())], ["kind", "doc_id", "cls", "n"])
+            d, c, n, bits = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(rows), np.int32)), pa.array(d, pa.int64()), pa.array(c, pa.int64()), pa.array(n, pa.int64()), pa.array(bits, pa.list_(pa.int64()))], names)
         yield frequent()
 
-    return docs.mapInArrow(run, "kind int, doc_id long, cls long, n long")
+    return docs.mapInArrow(run, "kind int, doc_id long, cls long, n long, bits array<long>")
 
 
 def boundary(sizes: dict[int, int], share: float, list_length: float, percent: int) -> int:
@@ -183,6 +197,24 @@ def _able(a: str, b: str, percent: int) -> str:
     )
 
 
+def _alike(percent: int) -> str:
+    """Whether two bitmaps leave room for the threshold: a bit that one set alone has stands for a token of it alone.
+    Bitmaps whose sizes differ by more than a factor of two bound nothing."""
+    folded = lambda x, y: f"CASE WHEN size({x}) = 2 * size({y}) THEN transform(slice({x}, 1, size({y})), (v, i) -> v | element_at({x}, i + size({y}) + 1)) ELSE {x} END"
+    alone = lambda x, y: f"aggregate(zip_with({x}, {y}, (p, q) -> bit_count(p & ~q)), 0, (s, v) -> s + v)"
+    left = f"least(n_a - {alone('x.a', 'x.b')}, n_b - {alone('x.b', 'x.a')})"
+    return (
+        f"exists(array(named_struct('a', {folded('bits_a', 'bits_b')}, 'b', {folded('bits_b', 'bits_a')})), x -> "
+        f"size(x.a) <> size(x.b) OR {100 + percent} * {left} >= {percent} * (n_a + n_b))"
+    )
+
+
+def alike(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the bitmaps of `known` (cls, n, bits) leave; no pair that links goes."""
+    side = lambda x: known.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(_alike(percent)).select("a", "b")
+
+
 def verified(docs: DataFrame, width: int, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that link; only the sets of classes in a pair are built again and moved."""
     sets = full_sets(docs, width, pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct())
@@ -202,6 +234,7 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int =
     top = found.filter("kind = 1").groupBy("cls").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "cls").limit(MOST_FREQUENT).toArrow()
     token, count = top.column("cls").to_numpy().astype(np.uint64), top.column("n").to_numpy()
     order = np.argsort(token)
+    known = found.filter("kind = 0 AND bits IS NOT NULL").select("cls", "n", "bits").dropDuplicates(["cls"])
     kinds = rows.filter("cls <> 0").dropDuplicates(["cls"])
     sizes = {r["n"]: r["count"] for r in kinds.filter("n <= 256").groupBy("n").count().collect()}
     total = kinds.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] or 1
@@ -221,7 +254,7 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int =
     l, c = lists.alias("l"), centres.alias("c")
     stars = l.join(c, F.expr("l.key = c.key AND l.cls <> c.cls AND " + _able("l", "c", percent))).select(F.least("l.cls", "c.cls").alias("a"), F.greatest("l.cls", "c.cls").alias("b")).distinct()
     stars = cut(stars)
-    links = cut(verified(docs, width, stars, percent))
+    links = cut(verified(docs, width, cut(alike(stars, known, percent)), percent))
     reached = cut(components(links))
 
     label = lists.join(reached.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
@@ -229,7 +262,7 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int =
     open_lists = cut(label.join(mixed, "key", "left_semi"))
     a, b = open_lists.alias("a"), open_lists.alias("b")
     rest = a.join(b, F.expr("a.key = b.key AND a.component < b.component AND " + _able("a", "b", percent))).select(F.least("a.cls", "b.cls").alias("a"), F.greatest("a.cls", "b.cls").alias("b")).distinct()
-    rest = cut(rest.join(stars, ["a", "b"], "left_anti"))
+    rest = cut(alike(rest.join(stars, ["a", "b"], "left_anti"), known, percent))
     if not rest.isEmpty():
         reached = components(links.unionByName(verified(docs, width, rest, percent)))
 

@@ -1,6 +1,7 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -72,6 +73,21 @@ def test_ngram_join_against_brute_force(spark):
     assert ngram_join.join(frame(spark, [])).count() == 0
 
 
+def test_bitmaps_lose_no_link(spark):
+    r = random.Random(8)
+    tokens = [np.unique(np.array([r.getrandbits(64) for _ in range(n)], np.uint64)) for n in (1, 2, 15, 16, 17, 31, 33, 300, 520)]
+    sets, pairs = [], []
+    for t in tokens:
+        for drop in (0, 1, len(t) // 12, len(t) // 6, len(t) // 2):
+            sets.append(np.sort(np.concatenate((t[drop:], np.array([r.getrandbits(64) for _ in range(drop % 5)], np.uint64)))))
+    rows = [(k, len(s), ngram_join.bitmap(s).tolist()) for k, s in enumerate(sets)]
+    pairs = [(a, b) for b in range(len(sets)) for a in range(b)]
+    linked = {(a, b) for a, b in pairs if 100 * (i := len(np.intersect1d(sets[a], sets[b]))) >= 80 * (len(sets[a]) + len(sets[b]) - i)}
+    left = ngram_join.alike(spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(rows, "cls long, n long, bits array<long>"), 80)
+    left = {(x.a, x.b) for x in left.collect()}
+    assert linked <= left and len(left) < len(pairs) / 2 and len(linked) > 10
+
+
 def test_boundary_prefers_lists_where_pairs_are_many():
     assert ngram_join.boundary({100: 10}, 0.0, 1.0, 85) == 0
     # Size 6 has one pair among its prefix; beyond the zone next to x its lists, long ones here, are saved.
