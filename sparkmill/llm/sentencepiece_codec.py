@@ -88,6 +88,7 @@ class Codec:
         self.dummy, self.trim, self.escape = n.add_dummy_prefix, n.remove_extra_whitespaces, n.escape_whitespaces
         self.map = CharMap(n.precompiled_charsmap)
         self.user = sorted((p for p, k in self.ids.items() if self.kinds[k] == _USER), key=len, reverse=True)
+        self.identity = not self.map.units and not self.trim and not self.suffix and not self.user
         self.splits = self.escape and not self.user and not self.suffix and not any(MARK in p.lstrip(MARK) for p in self.ids)
         self.model = model
         self.lines = not any("\n" in p for p in self.ids)
@@ -95,7 +96,6 @@ class Codec:
         self.changed: set[str] = set()
         self.forms = [self._form(k) for k in range(len(self.pieces))]
         self.sizes_array = np.array([1 if kind == _BYTE else len(p.encode()) for p, kind in zip(self.pieces, self.kinds, strict=True)])
-        self.sizes = [1 if kind == _BYTE else len(p.encode()) for p, kind in zip(self.pieces, self.kinds, strict=True)]
 
     # Normalisation
 
@@ -264,39 +264,50 @@ class Codec:
 
     def encode_batch(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
         """For each text (id, begin, end) of each piece, as byte spans of the original text; no begin or end ids."""
-        normal = [self.normalize(t) for t in texts]
-        out = []
-        for (_, source), (_, found) in zip(normal, self.parts([n.decode() for n, _ in normal]), strict=True):
-            rows, at = [], 0
-            for (k,) in struct.iter_unpack("<I", b"".join(found)):
-                size = self.sizes[k]
-                rows.append((k, source[at], source[at + size]))
-                at += size
-            out.append(rows)
-        return out
+        return [list(zip(ids.tolist(), begins.tolist(), ends.tolist(), strict=True)) for _, _, ids, begins, ends in self.projected(texts)]
 
     def encode(self, text: str) -> list[tuple[int, int, int]]:
         return self.encode_batch([text])[0]
 
+    def projected(self, texts: list[str]) -> Iterator[tuple[str, list[str], np.ndarray, np.ndarray, np.ndarray]]:
+        """The normalised text, its units, ids, begins and ends of each text."""
+        normal = [self.plain(t) for t in texts]
+        for text, n, (units, found) in zip(texts, normal, self.parts(normal), strict=True):
+            ids, source = np.frombuffer(b"".join(found), "<u4"), self.source(text)
+            at = np.concatenate(([0], np.cumsum(self.sizes_array[ids])))
+            yield n, units, ids, source[at[:-1]], source[at[1:]]
+
     def plain(self, text: str) -> str:
         """The normalised text alone; the identity map needs no walk over its characters."""
-        if not self.map.units and not self.trim and not self.suffix and not self.user:
-            return (MARK if self.dummy and text else "") + (text.replace(" ", MARK) if self.escape else text)
+        if self.identity:
+            mark = MARK if self.escape else " "
+            return (mark if self.dummy and text else "") + text.replace(" ", mark)
         return self.normalize(text)[0].decode()
 
-    def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        """Number of ids with begin and end, digest of the ids, digest of the text decoded from them."""
+    def source(self, text: str) -> np.ndarray:
+        """The alignment that `normalize` gives; of the identity map, each byte's character start, in one numpy pass."""
+        if not self.identity:
+            return np.array(self.normalize(text)[1], np.int64)
+        data = np.frombuffer(text.encode(), np.uint8)
+        starts = np.flatnonzero((data & 0xC0) != 0x80)
+        mark = len(MARK.encode()) if self.escape else 1
+        widths = np.where(data[starts] == 32, mark, np.diff(starts, append=len(data)))
+        prefix = mark if self.dummy and text else 0
+        return np.concatenate((np.zeros(prefix, np.int64), np.repeat(starts, widths), [len(data)]))
+
+    def digests(self, texts: list[str]) -> list[tuple[int, str, str, str]]:
+        """Number of ids with begin and end, digests of the ids, of the text decoded from them, and of the pieces' spans."""
         out = []
         bos, eos = struct.pack("<I", self.bos), struct.pack("<I", self.eos)
-        normal = [self.plain(t) for t in texts]
-        for n, (units, found) in zip(normal, self.parts(normal), strict=True):
-            ids = b"".join([bos, *found, eos])
+        for n, units, pieces, begins, ends in self.projected(texts):
+            ids = b"".join([bos, pieces.tobytes(), eos])
             if self.changed and not self.changed.isdisjoint(units) or not self.splits:
                 shown = self.decode([k for (k,) in struct.iter_unpack("<I", ids)])
             else:  # the surface of every unit's ids is the unit
                 shown = n.replace(MARK, " ")
                 shown = shown[1:] if self.dummy else shown
-            out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(shown.encode()).hexdigest()))
+            spans = np.stack((begins, ends), 1).astype("<i8").tobytes()
+            out.append((len(ids) // 4, *(hashlib.sha256(x).hexdigest() for x in (ids, shown.encode(), spans))))
         return out
 
     # Decoding
@@ -354,13 +365,16 @@ def encode(df: DataFrame, path: str, text: str = "text", key: str = "doc_id") ->
 
 
 def digests(df: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text, with begin and end ids."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text, with begin and end ids, and spans_sha256.
+
+    The last is of begin and end of each piece in order, little-endian 64-bit byte offsets into the original text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for b in batches:
             rows = [r for k in range(0, len(b), STEP) for r in c.digests([x or "" for x in b.column(1).slice(k, STEP).to_pylist()])]
-            n, ids, decoded = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            n, *digest = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.string()) for x in digest)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
 
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string")

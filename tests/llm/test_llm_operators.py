@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import Counter, defaultdict
 
@@ -108,6 +109,24 @@ def test_codec_against_the_library():
         assert all(0 <= a <= b <= len(t.encode()) for _, a, b in parts)
 
 
+def test_codec_spans_reproduce_the_source(spark):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    path = pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model")
+    library, codec = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_codec.Codec(path)
+    r = random.Random(9)
+    texts = ["", " ", "▁▁ a", "日本 🤯\u0000\n"] + ["".join(r.choice("ab zç日🤯▁ \n<>0") for _ in range(r.randint(0, 40))) for _ in range(300)]
+    got = {x.doc_id: x for x in sentencepiece_codec.digests(frame(spark, texts), path).collect()}
+    for k, (t, parts) in enumerate(zip(texts, codec.encode_batch(texts), strict=True)):
+        data = t.encode()
+        assert codec.source(t).tolist() == codec.normalize(t)[1]
+        surfaces = [data[a:b] for _, a, b in parts]
+        assert b"".join(surfaces) == data and surfaces == [x.surface.encode() for x in library.encode(t, return_type="proto").pieces]
+        ids = np.array([1, *[x for x, _, _ in parts], 2], "<u4").tobytes()
+        spans = np.array([x[1:] for x in parts], "<i8").tobytes()
+        want = [hashlib.sha256(x).hexdigest() for x in (ids, codec.decode([x for x, _, _ in parts]).encode(), spans)]
+        assert [got[k].ids_sha256, got[k].decoded_sha256, got[k].spans_sha256] == want and got[k].n_tokens == len(parts) + 2
+
+
 def test_exact_dedup_spills_and_keeps_the_longest(spark):
     texts = ["a b", "ab", "a  b", None, "", "x" * 5000, "x" * 4999 + " x", "y"] + [f"t{k} " * 200 for k in range(40)] * 2
     got = {x.doc_id: x for x in exact_dedup.decide(frame(spark, texts), table_bytes=3000).collect()}
