@@ -140,7 +140,7 @@ def word_shingle_words(spark, d):
 
 @query()
 def minhash_greedy_accept(spark, d):
-    return dedup.minhash(docs(spark, d), "text", num_perm=32, bands=8, threshold=0.8).select("doc_id", "position", "duplicate")
+    return dedup.minhash(docs(spark, d), "text").select("doc_id", "position", "duplicate")
 
 
 # Aggregations

@@ -42,3 +42,17 @@ def test_cut_keeps_the_violating_row(spark):
     df = spark.createDataFrame([(k, int(k in (2, 4))) for k in range(1, 7)], "position long, bad int")
     assert sorted(r.position for r in policies.cut_at(df, "bad", 1).collect()) == [1, 2, 3, 4]
     assert policies.cut_at(df, "bad", 2).count() == 6
+
+
+def test_minhash_query_takes_the_default_signature(spark, tmp_path):
+    from sparkmill.plans import catalog
+
+    texts = []
+    for k in range(60):  # pairs of a Jaccard similarity of some 0.75
+        words = [f"w{k}x{i}" for i in range(170)]
+        texts += [" ".join(words), " ".join(words[:-24] + [f"v{k}x{i}" for i in range(24)])]
+    rows = [(k, t, "en", "s") for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = lambda df: {x.position for x in df.filter("duplicate").collect()}
+    whole, short = (found(dedup.minhash(catalog.docs(spark, str(tmp_path)), "text", n, b, 0.8)) for n, b in ((128, 16), (32, 8)))
+    assert found(catalog.minhash_greedy_accept(spark, str(tmp_path))) == whole != short
