@@ -3,7 +3,7 @@
 Seeds are the identifiers that fixed expressions find. The words around a seed induce lexical patterns; patterns and
 instances form a bipartite graph that Spark scores round by round: a pattern's confidence is the share of its distinct
 instances that are known, an instance is promoted where patterns of high confidence (CONFIDENCE) and enough known
-instances (SUPPORT) point at it, and a promoted instance counts as known in the next round. Promoted instances become
+instances (SUPPORT) point at it, and a promoted instance counts as known in the next round, until a round promotes nothing. Promoted instances become
 further spans; seeds always stay.
 
 Positions are code points, found by splitting a text at its matches: a match starts after all gaps and matches before
@@ -13,13 +13,14 @@ named like an output is replaced. No match is too far into a text: nothing is cu
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkmill.llm.common import cut, small, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 3
 SUPPORT = 5
 CONFIDENCE = 0.8
 #: Promoted documents up to this number are broadcast (some 100 bytes each); more are joined by a shuffle.
@@ -118,12 +119,15 @@ def occurrences(df: DataFrame, key: str) -> DataFrame:
     return flat.withColumn("patterns", F.array(F.concat_ws(" ", F.lit("<"), l2, l1), F.concat_ws(" ", F.lit("<>"), l1, r1))).drop("left", "right")
 
 
-def promoted(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame | None:
-    """(kind, instance) that contexts promote, or None; every round counts distinct instances of all patterns."""
+def promoted(found: DataFrame, rounds: int | None = None, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame | None:
+    """(kind, instance) that contexts promote, or None; every round counts distinct instances of all patterns.
+
+    Rounds go on until one promotes nothing (known instances only grow, so they end), or for as many as `rounds` names.
+    """
     edges = cut(found.select("kind", "instance", "seed", F.explode("patterns").alias("pattern")).groupBy("kind", "instance", "pattern").agg(F.max("seed").alias("seed")))
     known = edges.filter("seed").select("kind", "instance").distinct()
     added = None
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         marked = edges.join(known.withColumn("hit", F.lit(1)), ["kind", "instance"], "left")
         scored = marked.groupBy("kind", "pattern").agg(F.sum(F.coalesce("hit", F.lit(0))).alias("hits"), F.count(F.lit(1)).alias("all"))
         good = scored.filter((F.col("hits") >= support) & (F.col("hits") >= confidence * F.col("all")) & (F.col("hits") < F.col("all")))
@@ -132,11 +136,11 @@ def promoted(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, con
         if new.isEmpty():
             break
         known = cut(known.unionByName(new))
-        added = new if added is None else added.unionByName(new)
+        added = new if added is None else cut(added.unionByName(new))
     return added
 
 
-def annotate(df: DataFrame, text: str = "text", key: str = "doc_id", rounds: int = ROUNDS) -> DataFrame:
+def annotate(df: DataFrame, text: str = "text", key: str = "doc_id", rounds: int | None = None) -> DataFrame:
     """The rows with `_base` and `_spans`, arrays of (rank, kind, start, end); `_spans` holds the base and what the method adds."""
     df = base_spans(df, text).withColumn("_t", F.xxhash64("_text", F.length("_text")))
     found = cut(occurrences(df, key))

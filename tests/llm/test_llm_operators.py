@@ -166,6 +166,12 @@ def test_pii_spans_and_contexts(spark):
     assert out[2] == "call [PHONE] or [CARD], ip [IP] not 1.2.3.999" and out[0] is None and out[6] == "please write to [EMAIL] soon"
 
 
+def test_pii_rounds_reach_the_fixed_point(spark):
+    chain = [("phone", "seed", True, ["p0"]), *(("phone", f"i{k}", False, [f"p{k}", f"p{k + 1}"]) for k in range(5))]
+    found = spark.createDataFrame(chain, "kind string, instance string, seed boolean, patterns array<string>")
+    assert {x.instance for x in pii.promoted(found, support=1, confidence=0.5).collect()} == {f"i{k}" for k in range(5)}
+
+
 def test_packing_is_whole_and_tight(spark):
     r = random.Random(5)
     rows = [(k, 0, 0, r.randint(1, 1024), k) for k in range(3000)]
