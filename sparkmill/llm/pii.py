@@ -3,8 +3,9 @@
 Seeds are the identifiers that fixed expressions find. The words around a seed induce lexical patterns; patterns and
 instances form a bipartite graph that Spark scores round by round: a pattern's confidence is the share of its distinct
 instances that are known, an instance is promoted where patterns of high confidence (CONFIDENCE) and enough known
-instances (SUPPORT) point at it, and a promoted instance counts as known in the next round, until a round promotes nothing. Promoted instances become
-further spans; seeds always stay.
+instances (SUPPORT) point at it, and a promoted instance counts as known in the next round, until a round promotes
+nothing. Promoted instances become further spans; seeds always stay. Candidates are tokens between white space, and runs of digit groups joined by single
+spaces, dots, dashes or parentheses; a run is taken whole, with any number that stands next to it.
 
 Positions are code points, found by splitting a text at its matches: a match starts after all gaps and matches before
 it. A null text counts as empty. Rows that repeat get equal results. Extra columns pass through `annotate`; a column
@@ -33,6 +34,8 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IDENTIFIER = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+#: Runs of digit groups, joined by a space, dot, dash or parenthesis.
+GROUPS = r"(?<![0-9])\+?\(?[0-9]++(?:(?:\)[\x20.-]?|[\x20.-]?\(|[\x20.-])[0-9]++)++"
 
 _SPAN = "array<struct<start:int,end:int,value:string>>"
 
@@ -100,18 +103,21 @@ def _coarse(value: str) -> str:
 
 def occurrences(df: DataFrame, key: str) -> DataFrame:
     """Seeds and candidates with their contexts: _id, _t, start, end, kind, instance, seed, patterns."""
-    df = _matches(df.filter(F.col("_text").rlike("[0-9@]")).select(F.col(key).alias("_id"), "_t", "_text", "_base"), "_text", {"_tok": (IDENTIFIER, F.lit(True))})
+    df = _matches(df.filter(F.col("_text").rlike("[0-9@]")).select(F.col(key).alias("_id"), "_t", "_text", "_base"), "_text", {"_tok": (IDENTIFIER, F.lit(True)), "_run": (GROUPS, F.col("_text").rlike(r"[0-9][\x20().-]"))})
     trim = r"regexp_replace(t.value, '^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', '')"
     seeds = "transform(_base, t -> named_struct('start', t.start, 'end', t.end, 'kind', t.kind, 'instance', lower(t.value), 'seed', true))"
-    others = (
-        f"filter(transform(filter(_tok, t -> NOT exists(_base, b -> b.start < t.end AND t.start < b.end)), t -> named_struct('start', t.start, 'end', t.end, "
+    others = lambda t: (
+        f"filter(transform(filter({t}, t -> NOT exists(_base, b -> b.start < t.end AND t.start < b.end)), t -> named_struct('start', t.start, 'end', t.end, "
         f"'kind', {_coarse('t.value')}, 'instance', lower({trim}), 'seed', false)), t -> t.kind IS NOT NULL AND length(t.instance) > 0)"
     )
+    # A run within a candidate token adds nothing.
+    runs = f"filter({others('_run')}, r -> NOT exists(_others, t -> t.start <= r.start AND r.end <= t.end))"
+    df = df.withColumn("_others", F.expr(others("_tok")))
     around = (
         "transform(_all, t -> named_struct('start', t.start, 'end', t.end, 'kind', t.kind, 'instance', t.instance, 'seed', t.seed, "
         "'left', lower(substring(_text, greatest(1, t.start - 59), least(60, t.start))), 'right', lower(substring(_text, t.end + 1, 40))))"
     )
-    one = df.withColumn("_all", F.expr(f"concat({seeds}, {others})")).filter(F.size("_all") > 0).withColumn("_around", F.expr(around))
+    one = df.withColumn("_all", F.expr(f"concat({seeds}, _others, {runs})")).filter(F.size("_all") > 0).withColumn("_around", F.expr(around))
     flat = one.select("_id", "_t", F.explode("_around").alias("o")).select("_id", "_t", "o.*")
     word = r"([^\x20\x09-\x0D]+)"
     l1, l2 = F.regexp_extract("left", word + r"[\x20\x09-\x0D]*$", 1), F.regexp_extract("left", word + r"[\x20\x09-\x0D]+[^\x20\x09-\x0D]+[\x20\x09-\x0D]*$", 1)

@@ -166,6 +166,20 @@ def test_pii_spans_and_contexts(spark):
     assert out[2] == "call [PHONE] or [CARD], ip [IP] not 1.2.3.999" and out[0] is None and out[6] == "please write to [EMAIL] soon"
 
 
+def test_pii_finds_grouped_numbers_by_context(spark):
+    def luhn(body):
+        odd = [2 * int(x) - 9 * (int(x) > 4) if i % 2 == 0 else int(x) for i, x in enumerate(body)]
+        return body + str(-sum(odd) % 10)
+
+    phones = ["(415) 555-2671", "415 555 2671", "415-555.2672"]
+    cards = ["4041 8949 7460 8796", "4041-8949-7460-8797"]
+    seeds = [f"my phone is +1 988 555-{k}485 today" for k in range(20)] + [f"my card is {luhn(f'40418949746{k:04}')} today" for k in range(20)]
+    texts = [f"my phone is {x} today" for x in phones] + [f"my card is {x} today" for x in cards] + ["1-" * 50_000, "my phone is 12 today", *seeds]
+    out = [x.text for x in pii.redact(frame(spark, texts)).orderBy("doc_id").collect()]
+    assert out[:3] == ["my phone is [PHONE] today"] * 3 and out[3:5] == ["my card is [CARD] today"] * 2
+    assert out[5:7] == texts[5:7]
+
+
 def test_pii_rounds_reach_the_fixed_point(spark):
     chain = [("phone", "seed", True, ["p0"]), *(("phone", f"i{k}", False, [f"p{k}", f"p{k + 1}"]) for k in range(5))]
     found = spark.createDataFrame(chain, "kind string, instance string, seed boolean, patterns array<string>")
