@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkmill.llm.common import UnitStore, cut, mix, rolling
+from sparkmill.llm.common import UnitStore, cut, unit_hashes
 
 CAPACITY = 1024
 END = 2
@@ -94,8 +94,7 @@ class Tokens:
         if len(data):
             starts = split_units(data, offsets)
             ends = np.append(starts[1:], len(data))
-            sums, down = rolling(data)
-            ids, counts = self.store.lookup(data, starts, ends, mix((sums[ends] - sums[starts]) * down[starts]))
+            ids, counts = self.store.lookup(data, starts, ends, unit_hashes(data, starts, ends)[0])
             total = np.concatenate(([0], np.cumsum(counts)))
             edges = total[np.searchsorted(starts, offsets)].tolist()
             for k, s in enumerate(safe):

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -20,10 +21,6 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-#: Odd, so that it has an inverse modulo 2**64.
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def session_paths(spark: SparkSession) -> None:
@@ -47,9 +44,10 @@ def cut(df: DataFrame) -> DataFrame:
 MOST_BROADCAST = 200_000
 
 
-def small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
-    """A checkpointed table with a broadcast hint where its counted rows are few enough."""
-    return F.broadcast(df) if df.count() <= most else df
+def small(df: DataFrame, most: int = MOST_BROADCAST, weight: Column | None = None) -> DataFrame:
+    """A checkpointed table with a broadcast hint where its rows (or the sum of their weights) are few enough."""
+    n = df.count() if weight is None else df.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    return F.broadcast(df) if n <= most else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,22 +77,6 @@ def blocks(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]
         first = min(last, n)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse, modulo 2**64."""
-    have = _POWERS.get(0)
-    if have is None or len(have[0]) < n:
-        size = max(n, 1 << 20)
-        pair = []
-        for base in (_BASE, _INVERSE):
-            p = np.full(size, base, U64)
-            p[0] = 1
-            pair.append(np.multiply.accumulate(p))
-        have = (pair[0], pair[1])
-        if size <= 1 << 22:
-            _POWERS[0] = have
-    return have[0][:n], have[1][:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: xor-shifts and odd multipliers."""
     x = x ^ (x >> U64(32))
@@ -104,99 +86,189 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
-_TABLE = mix(np.arange(1, 257, dtype=U64) * U64(0xA0761D6478BD642F))
+#: Longer units are hashed one by one; a text of n bytes holds n / LONG of them at most.
+LONG = 256
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], U64)
 
 
-def rolling(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums P and inverse powers so that (P[j] - P[i]) * inv[i] hashes data[i:j]."""
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, U64)
-    np.cumsum(_TABLE[data] * up[:-1], out=sums[1:])
-    return sums, down
+def unit_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lanes: int = 1) -> list[np.ndarray]:
+    """Hashes of the byte runs data[start:end], 64 bits for each of up to two lanes that share no constants.
 
-
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, row, start and end of each word (a run of bytes other than ASCII white space) of the packed rows."""
+    A run is taken in words of eight bytes, each mixed into what came before it (no polynomial, so no family of texts
+    collides by its form); of equal length up to eight bytes no two runs collide.
+    """
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    window = np.ndarray((len(data) + 1,), np.dtype("<u8"), padded.data, strides=(1,))
+    size = ends - starts
+    out = [mix(size.astype(U64) * U64(c)) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)[:lanes]]
+    own, at, rest = np.flatnonzero((size > 0) & (size <= LONG)), None, None
+    at, rest = starts[own], size[own]
+    while len(own):
+        chunk = window[at] & _MASKS[np.minimum(rest, 8)]
+        out[0][own] = mix(out[0][own] ^ chunk)
+        if lanes > 1:
+            out[1][own] = mix((out[1][own] + chunk) * U64(0xA0761D6478BD642F))
+        more = rest > 8
+        own, at, rest = own[more], at[more] + 8, rest[more] - 8
+    for k in np.flatnonzero(size > LONG).tolist():
+        digest = hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=16).digest()
+        for lane in range(lanes):
+            out[lane][k] = int.from_bytes(digest[8 * lane : 8 * lane + 8], "little")
+    return out
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start and end of each word (a run of bytes other than ASCII white space) of the packed rows."""
     n = len(data)
     if n == 0:
-        return np.zeros(0, U64), *(np.zeros(0, np.int64) for _ in range(3))
+        return tuple(np.zeros(0, np.int64) for _ in range(3))
     inside = ~_IS_SPACE[data]
     first = np.zeros(n + 1, bool)
     first[offsets] = True
     starts = np.flatnonzero(inside & (first[:n] | ~np.concatenate(([False], inside[:-1]))))
     ends = np.flatnonzero(inside & (first[1:] | ~np.concatenate((inside[1:], [False])))) + 1
-    sums, down = rolling(_LOWER[data] if lower else data)
-    hashes = mix((sums[ends] - sums[starts]) * down[starts])
-    return hashes, np.searchsorted(offsets, starts, side="right") - 1, starts, ends
-
-
-def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
-    """The distinct hashes of the word windows of one text, sorted; a shorter text is one window."""
-    if len(hashes) == 0:
-        return hashes
-    w = min(width, len(hashes))
-    total = np.full(len(hashes) - w + 1, w, U64)
-    for k in range(w):
-        total = mix(total + hashes[k : len(hashes) - w + 1 + k] * U64(2 * k + 3))
-    return np.unique(total)
+    return np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets))), starts, ends
 
 
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, row, start and end of each word of the packed rows."""
+    row, starts, ends = word_spans(data, offsets)
+    (hashes,) = unit_hashes(_LOWER[data] if lower else data, starts, ends)
+    return hashes, row, starts, ends
+
+
+_WINDOW = (0x9FB21C651E98DF25, 0xD1B54A32D192ED03)
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int, lanes: int = 1) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct windows of `width` words of each packed row, A-Z lowered: where each row's begin (one more entry
+    than rows), and the hashes of each lane, sorted by the first lane within a row. Fewer words are one window."""
+    n = len(offsets) - 1
+    row, starts, ends = word_spans(data, offsets)
+    hashes = unit_hashes(_LOWER[data], starts, ends, lanes)
+    edges = np.searchsorted(row, np.arange(n + 1))
+    count = np.diff(edges)
+    windows = np.where(count >= width, count - width + 1, (count > 0).astype(np.int64))
+    begins = np.concatenate(([0], np.cumsum(windows)))
+    doc = np.repeat(np.arange(n), windows)
+    place = np.arange(begins[-1]) - begins[doc] + edges[doc]
+    size = np.minimum(count, width)[doc]
+    found = [mix(size.astype(U64) * U64(c)) for c in _WINDOW[:lanes]]
+    full = bool((size == width).all())
+    for k in range(width):
+        own = slice(None) if full else np.flatnonzero(size > k)
+        for lane in range(lanes):
+            found[lane][own] = mix(found[lane][own] * U64(_WINDOW[lane]) + hashes[lane][place[own] + k])
+    if lanes == 1:
+        only = found[0]
+        for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+            only[a:b].sort()
+    else:
+        edge = begins.tolist()
+        order = np.concatenate([np.zeros(0, np.int64), *[found[0][a:b].argsort() + a for a, b in zip(edge[:-1], edge[1:], strict=True)]])
+        found = [x[order] for x in found]
+        tie = (found[0][1:] == found[0][:-1]) & (doc[1:] == doc[:-1])
+        if (found[1][1:] != found[1][:-1])[tie].any():
+            order = np.lexsort((found[1], found[0], doc))
+            found = [x[order] for x in found]
+    fresh = np.ones(len(doc), bool)
+    fresh[1:] = doc[1:] != doc[:-1]
+    for x in found:
+        fresh[1:] |= x[1:] != x[:-1]
+    kept = np.concatenate(([0], np.cumsum(fresh)))
+    return kept[begins], [x[fresh] for x in found]
+
+
+def same_bytes(data: np.ndarray, starts: np.ndarray, other: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether data[start:start + size] equals other[at:at + size], for each of many runs."""
+    begins = np.cumsum(sizes) - sizes
+    step = np.arange(int(sizes.sum()))
+    unlike = data[step + np.repeat(starts - begins, sizes)] != other[step + np.repeat(at - begins, sizes)]
+    out = np.ones(len(sizes), bool)
+    if unlike.any():
+        out[np.searchsorted(begins + sizes, np.flatnonzero(unlike), side="right")] = False
+    return out
 
 
 class UnitStore:
-    """Ids of text units by 64-bit hash, in sorted numpy arrays: lookups and output are vectorised.
+    """Ids of text units in sorted numpy arrays: lookups and output are vectorised.
 
-    `encode` maps a list of new units to lists of ids. The store holds at most `most` units and starts anew beyond that.
+    Units are found by a 64-bit hash, and every hit is compared byte by byte; a unit whose hash another one holds is
+    encoded whenever it comes. `encode` maps a list of units to lists of ids. The store holds at most `most` units and
+    `most_bytes` of their text and starts anew beyond that.
     """
 
-    def __init__(self, encode, most: int = 3_000_000) -> None:
-        self.encode, self.most = encode, most
+    def __init__(self, encode, most: int = 3_000_000, most_bytes: int = 64 << 20) -> None:
+        self.encode, self.most, self.most_bytes = encode, most, most_bytes
         self.clear()
 
     def clear(self) -> None:
-        self.main = (np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int32))
-        self.recent = (np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+        none = (np.zeros(0, U64), *(np.zeros(0, np.int64) for _ in range(4)))  # hash; place, number of ids; place, size of the text
+        self.main, self.recent = none, none
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.texts, self.filled = np.zeros(1 << 16, np.uint8), 0
 
     @staticmethod
-    def _find(level: tuple, keys: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
-        if len(level[0]):
-            k = np.minimum(np.searchsorted(level[0], keys), len(level[0]) - 1)
-            hit = level[0][k] == keys
-            at[hit], size[hit] = level[1][k[hit]], level[2][k[hit]]
-
-    def _add(self, keys: np.ndarray, ids: list) -> tuple[np.ndarray, np.ndarray]:
-        sizes = np.fromiter(map(len, ids), np.int32, len(ids))
-        flat = np.fromiter((x for i in ids for x in i), np.uint32, int(sizes.sum()))
-        while self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate((self.pool, np.zeros(len(self.pool), np.uint32)))
-        self.pool[self.used : self.used + len(flat)] = flat
-        places = self.used + np.cumsum(sizes, dtype=np.int64) - sizes
-        self.used += len(flat)
-        self.recent = self._merged(self.recent, (keys, places, sizes))
-        if 4 * len(self.recent[0]) > len(self.main[0]):
-            self.main, self.recent = self._merged(self.main, self.recent), tuple(x[:0] for x in self.recent)
+    def _grown(pool: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+        while used + len(more) > len(pool):
+            pool = np.concatenate((pool, np.zeros(len(pool), pool.dtype)))
+        pool[used : used + len(more)] = more
+        return pool
+
+    def _put(self, ids: list) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.pool = self._grown(self.pool, self.used, np.fromiter((x for i in ids for x in i), np.uint32, int(sizes.sum())))
+        places = self.used + np.cumsum(sizes) - sizes
+        self.used += int(sizes.sum())
         return places, sizes
 
     @staticmethod
     def _merged(a: tuple, b: tuple) -> tuple:
-        keys = np.concatenate((a[0], b[0]))
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(np.concatenate((a[0], b[0])), kind="stable")
         return tuple(np.concatenate((x, y))[order] for x, y in zip(a, b, strict=True))
 
     def lookup(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the units one after the other, and how many each unit has."""
-        if len(self.main[0]) + len(self.recent[0]) > self.most:
+        if len(self.main[0]) + len(self.recent[0]) > self.most or self.filled > self.most_bytes:
             self.clear()
+        sizes = ends - starts
         keys, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        at, size = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int32)
-        self._find(self.main, keys, at, size)
-        self._find(self.recent, keys, at, size)
-        lost = np.flatnonzero(at < 0)
+        at, count = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
+        taken = np.zeros(len(keys), bool)  # another unit holds the hash
+        for level in (self.main, self.recent):
+            if len(level[0]):
+                k = np.minimum(np.searchsorted(level[0], keys), len(level[0]) - 1)
+                hit = np.flatnonzero(level[0][k] == keys)
+                own, k = first[hit], k[hit]
+                same = level[4][k] == sizes[own]
+                same[same] = same_bytes(data, starts[own[same]], self.texts, level[3][k[same]], sizes[own[same]])
+                at[hit[same]], count[hit[same]] = level[1][k[same]], level[2][k[same]]
+                taken[hit[~same]] = True
+        raw = None
+
+        def encoded(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            nonlocal raw
+            raw = data.tobytes() if raw is None else raw
+            return self._put(self.encode([raw[a:b].decode() for a, b in zip(starts[units].tolist(), ends[units].tolist(), strict=True)]))
+
+        lost = np.flatnonzero((at < 0) & ~taken)
         if len(lost):
-            raw = data.tobytes()
-            new = [raw[a:b].decode() for a, b in zip(starts[first[lost]].tolist(), ends[first[lost]].tolist(), strict=True)]
-            at[lost], size[lost] = self._add(keys[lost], self.encode(new))
-        counts = size[back].astype(np.int64)
-        begins = np.cumsum(counts) - counts
-        return self.pool[np.arange(int(counts.sum())) + np.repeat(at[back] - begins, counts)], counts
+            at[lost], count[lost] = encoded(first[lost])
+            text = np.concatenate([data[a:b] for a, b in zip(starts[first[lost]].tolist(), ends[first[lost]].tolist(), strict=True)])
+            self.texts = self._grown(self.texts, self.filled, text)
+            width = sizes[first[lost]]
+            self.recent = self._merged(self.recent, (keys[lost], at[lost], count[lost], self.filled + np.cumsum(width) - width, width))
+            self.filled += len(text)
+            if 4 * len(self.recent[0]) > len(self.main[0]):
+                self.main, self.recent = self._merged(self.main, self.recent), tuple(x[:0] for x in self.recent)
+        at, count = at[back], count[back]
+        own = first[back]
+        odd = taken[back] | (sizes != sizes[own])
+        like = np.flatnonzero(~odd & (own != np.arange(len(own))))
+        odd[like] = ~same_bytes(data, starts[like], data, starts[own[like]], sizes[like])
+        odd = np.flatnonzero(odd)
+        if len(odd):
+            at[odd], count[odd] = encoded(odd)
+        begins = np.cumsum(count) - count
+        return self.pool[np.arange(int(count.sum())) + np.repeat(at - begins, count)], count

@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from sparkmill.llm.common import cut
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, component) of every node of `edges` (a, b), both long; the component is its smallest node.
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of every node of `edges` (a, b), of any type with an order; the component is its smallest node.
 
     Every round links each node's neighbours to the smallest among them, so a star grows around the smallest node of a
-    component; hubs are aggregated before they are joined back, never gathered into one row.
+    component; hubs are aggregated before they are joined back, never gathered into one row. Rounds go on until one changes
+    nothing; every round lowers some node's least neighbour, so they end.
     """
     pairs = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     if pairs.isEmpty():
         return pairs.select(F.col("a").alias("node"), F.col("b").alias("component"))
     before = None
-    for _ in range(most_rounds):
+    while True:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -29,4 +30,3 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if now == before:
             return pairs.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).unionByName(pairs.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         before = now
-    raise RuntimeError("components did not settle")

@@ -6,14 +6,21 @@ the pairs of that longer prefix, fixed-size subsets that few sets share; large s
 enough to the boundary to link with them, go by inverted lists of single tokens. x is where the cost of both, summed
 over the sizes that the corpus holds, is least. The order puts tokens that many sets hold last.
 
-Links of a class with the clearest member of each list are checked first and joined to components; then every pair
-that shares a list, lies in two components and can still reach the threshold by the sizes and by how many of its
-prefix tokens any other set shares, is checked. So a group of near copies costs a star, not all its pairs, and no link
-that would join two components is missed. A check first compares bitmaps of the sets, four bits or more a token, which
-bound the intersection from above; the pairs that the bound leaves intersect the full sets.
+Candidates come in three steps, each checked and joined to components before the next, and lists whose sets are all in
+one component take no further part. First every class meets one other: the least class of most of its lists, so a group
+of near copies costs a pair for each member. Then, in the lists that still mix components, one representative of
+each component meets the clearest representative. Last, in the lists that are mixed even so, every pair across
+components that can still reach the threshold by the sizes and by how many of its prefix tokens any other set shares
+is checked; no link that would join two components is missed. A check first compares bitmaps of the sets, four bits or
+more a token, which bound the intersection from above; the pairs that the bound leaves intersect the full sets.
+
+Words and shingles have two 64-bit hashes that share no constants. Sets and classes are known by both (two classes whose
+first halves meet get ids of their own); candidates come by the first, and intersections are counted by the second.
 
 Null and empty texts, and texts without words, have the empty set and link with nothing; a text of fewer words than the
 shingle is one shingle. Repeated rows are one class. A null doc_id never becomes a component's id unless all are null.
+Extra columns take no part in `join` and are carried by `keep_one`, whatever their names; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -25,36 +32,64 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkmill.llm.common import blocks, cut, mix, packed, shingles, small, words
+from sparkmill.llm.common import U64, blocks, cut, mix, packed, shingle_sets, small
 from sparkmill.llm.components import components
 
 SHINGLE = 5
 PERCENT = 80
-#: Frequent tokens that the order knows by count; others count as rare. A bound of what is broadcast (8 bytes each).
+#: Frequent tokens that the order knows by count; others count as rare. A bound of what is broadcast (16 bytes each).
 MOST_FREQUENT = 1 << 18
 #: A token that so many sets of one task hold is a candidate for the frequent ones.
 LOCAL_COUNT = 8
-#: Bits of the bounded filter of classes that need their sets again.
+#: Longs of the bounded filters of texts and classes that need their sets again.
 FILTER_WORDS = 1 << 16
 
 
-def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int | None, np.ndarray]]:
-    """The id and the sorted distinct shingle hashes of each row."""
-    ids = batch.column(0).to_pylist()
-    data, offsets = packed(batch.column(1))
-    for a, b in blocks(offsets):
-        h, row, _, _ = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        edges = np.searchsorted(row, np.arange(b - a + 1))
-        for k in range(b - a):
-            yield ids[a + k], shingles(h[edges[k] : edges[k + 1]], width)
+class Identity:
+    """Class ids: 64 bits of a set, or those that `clashes` renames by the other 64 bits. 0 is the empty set's.
+
+    `bits` below 64 makes ids meet; tests use it."""
 
+    def __init__(self, bits: int = 64) -> None:
+        self.bits, self.clashes = bits, [np.zeros(0, np.int64)]
 
-def _class(tokens: np.ndarray) -> int:
-    """The hash of a set; 0 is the empty set's."""
-    if not len(tokens):
-        return 0
-    both = np.array([np.bitwise_xor.reduce(mix(tokens ^ np.uint64(0x5851F42D4C957F2D)))]) + np.array([tokens.sum(dtype=np.uint64)]) * np.uint64(3)
-    return int(mix(both).astype(np.int64)[0]) or 1
+    def renamed(self, clash: list[int]) -> None:
+        self.clashes.append(np.sort(np.array(clash, np.int64)))
+
+    def of(self, edges: np.ndarray, lanes: list[np.ndarray]) -> list[np.ndarray]:
+        """The id of each set and, with two lanes, what tells apart the sets of one id."""
+        n = len(edges) - 1
+        if not len(lanes[0]):
+            return [np.zeros(n, np.int64) for _ in range(2)]
+        held = np.flatnonzero(np.diff(edges))
+        out = []
+        for tokens in lanes:
+            both = np.bitwise_xor.reduceat(mix(tokens ^ U64(0x5851F42D4C957F2D)), edges[held]) + np.add.reduceat(tokens, edges[held]) * U64(3)
+            out.append(mix(both))
+        key = out[0] & U64(2**self.bits - 1)
+        for clash in self.clashes:
+            if len(clash):
+                meets = np.isin(key.astype(np.int64), clash)
+                if meets.any() and len(lanes) < 2:
+                    raise ValueError("renamed classes need both lanes")
+                key = np.where(meets, mix(out[-1] + key), key)
+        key = np.maximum(key, U64(1))
+        full = [np.zeros(n, np.int64) for _ in range(2)]
+        full[0][held] = key.astype(np.int64)
+        full[1][held] = out[-1].astype(np.int64)
+        return full
+
+    @property
+    def lanes(self) -> int:
+        return 1 if len(self.clashes) == 1 else 2
+
+
+def _sets(batch: pa.RecordBatch, width: int, known: Identity, lanes: int, where: np.ndarray | None = None) -> Iterator[tuple]:
+    """Blocks of rows: the first row, edges of the rows' sets, tokens of each lane, class ids and their other halves."""
+    data, offsets = packed(batch.column(1))
+    for a, b in blocks(offsets):
+        edges, tokens = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width, lanes)
+        yield a, edges, tokens, *known.of(edges, tokens)
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
@@ -70,10 +105,11 @@ def _required(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def classes(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, cls, n of every row, and the frequent tokens' counts as rows of their own (kind 1: cls token, n count).
-    The first row of a class in each task carries the bitmap of its set."""
-    names = ["kind", "doc_id", "cls", "n", "bits"]
+def classes(docs: DataFrame, width: int, known: Identity) -> DataFrame:
+    """Rows of kind 0: doc_id, cls, n, other half of the class; the first row of a class in each task carries the hash
+    of its text and the bitmap of its set. Rows of kind 1 hold frequent tokens (cls) and their counts (n)."""
+    names = ["kind", "doc_id", "cls", "n", "half", "mark", "bits"]
+    long, some = pa.int64(), pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -81,28 +117,32 @@ def classes(docs: DataFrame, width: int) -> DataFrame:
         size = 0
 
         def frequent() -> pa.RecordBatch:
-            u, c = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            u, c = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, U64), np.zeros(0, np.int64))
             u, c = u[c >= LOCAL_COUNT], c[c >= LOCAL_COUNT]
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(u), np.int32)), pa.nulls(len(u), pa.int64()), pa.array(u.astype(np.int64)), pa.array(c.astype(np.int64)), pa.nulls(len(u), pa.list_(pa.int64()))], names)
+            none = [pa.nulls(len(u), t) for t in (long, long, some)]
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(u), np.int32)), pa.nulls(len(u), long), pa.array(u.astype(np.int64)), pa.array(c.astype(np.int64)), *none], names)
 
         for b in batches:
-            rows = []
-            for doc, tokens in _sets(b, width):
-                key = _class(tokens)
-                new = key not in seen
-                rows.append((doc, key, len(tokens), bitmap(tokens) if new and key else None))
-                if new:
-                    seen.add(key)
-                    held.append(tokens)
-                    size += len(tokens)
+            for first, edges, tokens, cls, half in _sets(b, width, known, 2):
+                n = np.diff(edges)
+                bits: list = [None] * len(cls)
+                for k, key in enumerate(cls.tolist()):
+                    if key and key not in seen:
+                        seen.add(key)
+                        own = tokens[0][edges[k] : edges[k + 1]]
+                        bits[k] = bitmap(own)
+                        held.append(own)
+                        size += len(own)
+                rows = b.slice(first, len(cls))
+                new = pa.array([x is None for x in bits], pa.bool_())
+                mark = pa.compute.if_else(new, pa.scalar(None, long), rows.column(2))
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(cls), np.int32)), rows.column(0), pa.array(cls), pa.array(n), pa.array(half), mark, pa.array(bits, some)], names)
                 if size > 4_000_000:
                     yield frequent()
                     held, size = [], 0
-            d, c, n, bits = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(rows), np.int32)), pa.array(d, pa.int64()), pa.array(c, pa.int64()), pa.array(n, pa.int64()), pa.array(bits, pa.list_(pa.int64()))], names)
         yield frequent()
 
-    return docs.mapInArrow(run, "kind int, doc_id long, cls long, n long, bits array<long>")
+    return docs.mapInArrow(run, "kind int, doc_id long, cls long, n long, half long, mark long, bits array<long>")
 
 
 def boundary(sizes: dict[int, int], share: float, list_length: float, percent: int) -> int:
@@ -120,12 +160,12 @@ def boundary(sizes: dict[int, int], share: float, list_length: float, percent: i
     return where
 
 
-def prefixes(docs: DataFrame, width: int, percent: int, frequent: np.ndarray, ranks: np.ndarray, x: int) -> DataFrame:
+def prefixes(docs: DataFrame, width: int, percent: int, known: Identity, frequent: np.ndarray, ranks: np.ndarray, x: int) -> DataFrame:
     """(key, cls, n, p) of each class: p keys that a similar set must share one of."""
-    known = docs.sparkSession.sparkContext.broadcast((frequent, ranks))
+    shared = docs.sparkSession.sparkContext.broadcast((frequent, ranks))
 
     def keys(tokens: np.ndarray) -> list[np.ndarray]:
-        frequent, ranks = known.value
+        frequent, ranks = shared.value
         n = len(tokens)
         p = n - _required(n, percent) + 1
         rank = np.zeros(n, np.int64)
@@ -145,47 +185,56 @@ def prefixes(docs: DataFrame, width: int, percent: int, frequent: np.ndarray, ra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
-            found: list[tuple[np.ndarray, int, int]] = []
-            for _, tokens in _sets(b, width):
-                cls = _class(tokens)
-                if cls and cls not in seen:
-                    seen.add(cls)
-                    found += [(k, cls, len(tokens)) for k in keys(tokens)]
-            sizes = [len(k) for k, _, _ in found]
-            cols = [np.concatenate([k for k, _, _ in found]).astype(np.int64) if found else np.zeros(0, np.int64), np.repeat(np.array([c for _, c, _ in found], np.int64), sizes), np.repeat(np.array([n for _, _, n in found], np.int32), sizes), np.repeat(np.array(sizes, np.int32), sizes)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "cls", "n", "p"])
+            for _, edges, tokens, cls, _ in _sets(b, width, known, known.lanes):
+                found: list[tuple[np.ndarray, int, int]] = []
+                for k, key in enumerate(cls.tolist()):
+                    if key and key not in seen:
+                        seen.add(key)
+                        own = tokens[0][edges[k] : edges[k + 1]]
+                        found += [(x, key, len(own)) for x in keys(own)]
+                sizes = [len(k) for k, _, _ in found]
+                cols = [np.concatenate([k for k, _, _ in found]).astype(np.int64) if found else np.zeros(0, np.int64), np.repeat(np.array([c for _, c, _ in found], np.int64), sizes), np.repeat(np.array([n for _, _, n in found], np.int32), sizes), np.repeat(np.array(sizes, np.int32), sizes)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "cls", "n", "p"])
 
     return docs.mapInArrow(run, "key long, cls long, n int, p int")
 
 
-def _filter_words(wanted: DataFrame) -> np.ndarray:
-    """A bitmap of class ids, FILTER_WORDS longs however many there are; false positives cost, and lose nothing."""
-    slot = F.pmod(F.col("cls"), F.lit(FILTER_WORDS)).cast("int")
-    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(cls, 40) & 63 AS int))")
+def _filter(values: DataFrame) -> np.ndarray:
+    """A bitmap of the longs in the one column of `values`, FILTER_WORDS longs however many there are; false positives
+    cost, and lose nothing."""
+    slot, bit = F.pmod("v", F.lit(FILTER_WORDS)).cast("int"), F.expr("shiftleft(1L, cast(shiftrightunsigned(v, 40) & 63 AS int))")
     out = np.zeros(FILTER_WORDS, np.int64)
-    for r in wanted.select(slot.alias("s"), bit.alias("b")).groupBy("s").agg(F.bit_or("b").alias("b")).collect():
+    for r in values.toDF("v").select(slot.alias("s"), bit.alias("b")).groupBy("s").agg(F.bit_or("b").alias("b")).collect():
         out[r["s"]] = r["b"]
     return out
 
 
-def full_sets(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
-    """(cls, tokens) of the classes in `wanted`, each once."""
-    bits = docs.sparkSession.sparkContext.broadcast(_filter_words(wanted))
+def _passes(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    return (bits[values % FILTER_WORDS] >> (values.view(np.uint64) >> U64(40) & U64(63)).astype(np.int64) & 1).astype(bool)
+
+
+def full_sets(docs: DataFrame, width: int, known: Identity, wanted: DataFrame) -> DataFrame:
+    """(cls, tokens) of the classes in `wanted` (cls, mark), each once; of the texts, only those marked build sets. The
+    tokens are of the second lane."""
+    both = docs.sparkSession.sparkContext.broadcast((_filter(wanted.select("mark")), _filter(wanted.select("cls"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        held = bits.value
+        marks, bits = both.value
         for b in batches:
-            rows = []
-            for _, tokens in _sets(b, width):
-                cls = _class(tokens)
-                if cls not in seen and held[cls % FILTER_WORDS] >> ((cls & (2**64 - 1)) >> 40 & 63) & 1:
-                    seen.add(cls)
-                    rows.append((cls, tokens.astype(np.int64)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int64()), pa.array([t for _, t in rows], pa.list_(pa.int64()))], ["cls", "tokens"])
+            b = b.filter(pa.array(_passes(marks, b.column(2).to_numpy())))
+            for _, edges, tokens, cls, _ in _sets(b, width, known, 2):
+                rows = []
+                for k in np.flatnonzero(_passes(bits, cls)).tolist():
+                    key = int(cls[k])
+                    if key and key not in seen:
+                        seen.add(key)
+                        rows.append((key, tokens[1][edges[k] : edges[k + 1]].astype(np.int64)))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int64()), pa.array([t for _, t in rows], pa.list_(pa.int64()))], ["cls", "tokens"])
 
-    return docs.mapInArrow(run, "cls long, tokens array<long>").join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
+    found = docs.mapInArrow(run, "cls long, tokens array<long>")
+    return found.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
 
 
 def _able(a: str, b: str, percent: int) -> str:
@@ -215,61 +264,95 @@ def alike(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").filter(_alike(percent)).select("a", "b")
 
 
-def verified(docs: DataFrame, width: int, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that link; only the sets of classes in a pair are built again and moved."""
-    sets = full_sets(docs, width, pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct())
+def verified(docs: DataFrame, width: int, known: Identity, pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that link. `bitmaps` (cls, n, bits, mark) rules most others out; only the sets of the
+    classes that are left in a pair are built again and moved."""
+    pairs = cut(alike(pairs, bitmaps.select("cls", "n", "bits"), percent))
+    if pairs.isEmpty():
+        return pairs
+    own = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    sets = full_sets(docs, width, known, cut(bitmaps.select("cls", "mark").join(own, "cls", "left_semi")))
     a = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("_a"))
     b = sets.select(F.col("cls").alias("b"), F.col("tokens").alias("_b"))
     both = pairs.join(a, "a").join(b, "b").withColumn("_i", F.size(F.array_intersect("_a", "_b")))
-    return both.filter(100 * F.col("_i") >= percent * (F.size("_a") + F.size("_b") - F.col("_i"))).select("a", "b")
+    return cut(both.filter(100 * F.col("_i") >= percent * (F.size("_a") + F.size("_b") - F.col("_i"))).select("a", "b"))
+
+
+def mixed(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """The lists whose sets lie in more than one component, each set with its component."""
+    reached = components(links).withColumnRenamed("node", "cls")
+    label = lists.join(reached, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    open_keys = label.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+    return cut(label.join(open_keys, "key", "left_semi"))
+
+
+def _pairs(a: DataFrame, b: DataFrame, condition: str, percent: int) -> DataFrame:
+    """Pairs of classes of two tables of list entries (as `x` and `y`) under a condition."""
+    both = a.alias("x").join(b.alias("y"), F.expr(f"x.key = y.key AND {condition} AND " + _able("x", "y", percent)))
+    return both.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
+
+
+def identified(docs: DataFrame, width: int, known: Identity) -> DataFrame:
+    """The checkpointed rows of `classes`, with classes that share an id renamed. The ids that meet are some
+    N squared / 2^65 of N sets: none at a billion, some seventy at fifty billion."""
+    while True:
+        found = cut(classes(docs, width, known))
+        clash = found.filter("kind = 0 AND cls <> 0").groupBy("cls").agg(F.min("half").alias("lo"), F.max("half").alias("hi")).filter("lo <> hi").select("cls")
+        clash = [r["cls"] for r in clash.collect()]
+        if not clash:
+            return found
+        known.renamed(clash)
 
 
-def join(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def join(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = SHINGLE, percent: int = PERCENT, bits: int = 64) -> DataFrame:
     """One row per row of `docs`: doc_id, cls (equal sets), n_shingles, component_id."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    found = cut(classes(docs, width))
+    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
+    known = Identity(bits)
+    found = identified(docs, width, known)
     rows = found.filter("kind = 0").select("doc_id", "cls", "n")
 
     top = found.filter("kind = 1").groupBy("cls").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "cls").limit(MOST_FREQUENT).toArrow()
     token, count = top.column("cls").to_numpy().astype(np.uint64), top.column("n").to_numpy()
     order = np.argsort(token)
-    known = found.filter("kind = 0 AND bits IS NOT NULL").select("cls", "n", "bits").dropDuplicates(["cls"])
-    kinds = rows.filter("cls <> 0").dropDuplicates(["cls"])
-    sizes = {r["n"]: r["count"] for r in kinds.filter("n <= 256").groupBy("n").count().collect()}
-    total = kinds.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] or 1
+    bitmaps = cut(found.filter("kind = 0 AND bits IS NOT NULL").select("cls", "n", "bits", "mark").dropDuplicates(["cls"]))
+    # Sizes beyond 256 count as the power of two above them: at most 256 + 55 rows.
+    sizes = {r["size"]: r["count"] for r in bitmaps.groupBy(F.expr("CASE WHEN n <= 256 THEN n ELSE shiftleft(1L, cast(ceil(log2(n)) AS int)) END").alias("size")).count().collect()}
+    total = bitmaps.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] or 1
     x = boundary(sizes, float(count.sum()) / total, float(count.mean()) if len(count) else 1.0, percent)
 
     grouped = Window.partitionBy("key")
-    lists = prefixes(docs, width, percent, token[order], count[order], x)
-    lists = lists.withColumns({"lo": F.min("cls").over(grouped), "hi": F.max("cls").over(grouped)}).filter("lo <> hi").drop("lo", "hi")
+    lists = prefixes(docs, width, percent, known, token[order], count[order], x)
+    lists = lists.withColumns({"lo": F.min("cls").over(grouped), "hi": F.max("cls").over(grouped)}).filter("lo <> hi").drop("hi")
     # A set of the overlap zone has pairs and single tokens among its keys; what a pair shares bounds nothing there.
     shared = F.count(F.lit(1)).over(Window.partitionBy("cls"))
     bound = F.when(F.col("n") > x, shared).otherwise(F.col("n")).cast("int")
     size = F.when(F.col("n") > x, F.col("p")).otherwise(F.lit(0)).cast("int")
-    lists = cut(lists.dropDuplicates(["key", "cls"]).select("key", "cls", "n", size.alias("p"), bound.alias("shared")))
-
-    clear = F.struct((F.col("shared") - F.col("p")).alias("x"), F.col("shared").alias("s"), F.col("cls").alias("cls"), F.col("n").alias("n"), F.col("p").alias("p"))
-    centres = lists.groupBy("key").agg(F.max(clear).alias("c")).select("key", F.col("c.cls").alias("cls"), F.col("c.n").alias("n"), F.col("c.p").alias("p"), F.col("c.s").alias("shared"))
-    l, c = lists.alias("l"), centres.alias("c")
-    stars = l.join(c, F.expr("l.key = c.key AND l.cls <> c.cls AND " + _able("l", "c", percent))).select(F.least("l.cls", "c.cls").alias("a"), F.greatest("l.cls", "c.cls").alias("b")).distinct()
-    stars = cut(stars)
-    links = cut(verified(docs, width, cut(alike(stars, known, percent)), percent))
-    reached = cut(components(links))
-
-    label = lists.join(reached.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    mixed = label.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    open_lists = cut(label.join(mixed, "key", "left_semi"))
-    a, b = open_lists.alias("a"), open_lists.alias("b")
-    rest = a.join(b, F.expr("a.key = b.key AND a.component < b.component AND " + _able("a", "b", percent))).select(F.least("a.cls", "b.cls").alias("a"), F.greatest("a.cls", "b.cls").alias("b")).distinct()
-    rest = cut(alike(rest.join(stars, ["a", "b"], "left_anti"), known, percent))
-    if not rest.isEmpty():
-        reached = components(links.unionByName(verified(docs, width, rest, percent)))
-
-    named = rows.filter("cls <> 0").groupBy("cls").agg(F.min("doc_id").alias("first"))
-    named = named.join(reached.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    firsts = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    ids = named.join(firsts, "component").select("cls", "component_id")
+    lists = cut(lists.dropDuplicates(["key", "cls"]).select("key", "cls", "lo", "n", size.alias("p"), bound.alias("shared")))
+
+    meets = lists.filter("lo <> cls").groupBy("cls", "lo").agg(F.count(F.lit(1)).alias("times"))
+    best = meets.groupBy("cls").agg(F.max(F.struct("times", "lo")).alias("m")).select(F.least("cls", "m.lo").alias("a"), F.greatest("cls", "m.lo").alias("b")).distinct()
+    links = verified(docs, width, known, best, bitmaps, percent)
+    open_lists = mixed(lists.drop("lo"), links)
+    if not open_lists.isEmpty():
+        clear = F.struct((F.col("shared") - F.col("p")).alias("x"), F.col("shared").alias("shared"), F.col("cls").alias("cls"), F.col("n").alias("n"), F.col("p").alias("p"))
+        ones = open_lists.groupBy("key", "component").agg(F.max(clear).alias("c")).select("key", "component", "c.*")
+        centres = ones.groupBy("key").agg(F.max(F.struct("x", "shared", "cls", "n", "p", "component")).alias("c")).select("key", "c.*")
+        stars = cut(_pairs(ones, centres, "x.component <> y.component", percent).join(best, ["a", "b"], "left_anti"))
+        more = verified(docs, width, known, stars, bitmaps, percent)
+        if not more.isEmpty():
+            links = cut(links.unionByName(more))
+            open_lists = mixed(lists.drop("lo"), links)
+        rest = _pairs(open_lists, open_lists, "x.component < y.component", percent)
+        rest = cut(rest.join(stars.unionByName(best), ["a", "b"], "left_anti"))
+        if not rest.isEmpty():
+            links = links.unionByName(verified(docs, width, known, rest, bitmaps, percent))
+
+    # Nodes are a class's smallest doc_id (a class without any comes last), so a component's smallest node names it.
+    node = F.struct(F.col("first").isNull().alias("none"), "first", "cls")
+    named = cut(rows.filter("cls <> 0").groupBy("cls").agg(F.min("doc_id").alias("first")).select("cls", node.alias("node")))
+    edge = links.join(named.select(F.col("cls").alias("a"), F.col("node").alias("m")), "a").join(named.select(F.col("cls").alias("b"), F.col("node").alias("n")), "b")
+    reached = components(edge.select(F.col("m").alias("a"), F.col("n").alias("b")))
+    ids = named.join(reached.select(F.col("node.cls").alias("cls"), "component"), "cls", "left").select("cls", F.coalesce("component", "node").getField("first").alias("component_id"))
     out = rows.filter("cls <> 0").join(ids, "cls").select("doc_id", "cls", F.col("n").alias("n_shingles"), "component_id")
     return out.unionByName(rows.filter("cls = 0").select("doc_id", "cls", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
@@ -277,5 +360,6 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int =
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of the smallest doc_id of each component, with all their columns. Rows without id stay, and so do rows that
     repeat the id that stays."""
-    found = join(docs, text, key, width, percent).filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(small(cut(found)), F.col(key) == F.col("_gone"), "left_anti")
+    found = join(docs, text, key, width, percent).filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone")).distinct()
+    whole = docs.select(F.struct("*").alias("row"))
+    return whole.join(small(cut(found)), F.col("row").getField(key) == F.col("gone"), "left_anti").select("row.*")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkmill.llm.common import blocks, mix, packed, rolling, text_or_empty
+from sparkmill.llm.common import U64, blocks, mix, packed, text_or_empty
 
 LENGTH = 400
 GRAM = 32
@@ -34,6 +34,37 @@ CHUNK = 192
 PAIRS = 5
 
 
+#: Odd, so that it has an inverse modulo 2**64.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_TABLE = mix(np.arange(1, 257, dtype=U64) * U64(0xA0761D6478BD642F))
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse, modulo 2**64."""
+    have = _POWERS.get(0)
+    if have is None or len(have[0]) < n:
+        size = max(n, 1 << 20)
+        pair = []
+        for base in (_BASE, _INVERSE):
+            p = np.full(size, base, U64)
+            p[0] = 1
+            pair.append(np.multiply.accumulate(p))
+        have = (pair[0], pair[1])
+        if size <= 1 << 22:
+            _POWERS[0] = have
+    return have[0][:n], have[1][:n]
+
+
+def rolling(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums P and inverse powers so that (P[j] - P[i]) * inv[i] hashes data[i:j]; it picks anchors, and texts are compared by their bytes."""
+    up, down = powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, U64)
+    np.cumsum(_TABLE[data] * up[:-1], out=sums[1:])
+    return sums, down
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """Row, anchor, first and last window start (all within the packed bytes) and anchor hash of each run of windows."""
     none = tuple(np.zeros(0, np.int64) for _ in range(5))

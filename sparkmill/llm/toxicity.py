@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkmill.llm.common import blocks, mix, packed, rolling, words
+from sparkmill.llm.common import blocks, packed, unit_hashes, words
 from sparkmill.llm.training import labelled
 
 MOST_LABELLED = 6000
@@ -44,12 +44,11 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     if not len(hashes):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     lower = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
-    sums, down = rolling(lower)
     rows, slots = [row], [hashes]
     for n in (4, 5):
         long = ends - starts > n
         rows.append(row[long])
-        slots.append(mix((sums[starts[long] + n] - sums[starts[long]]) * down[starts[long]] + np.uint64(n)))
+        slots.append(~unit_hashes(lower, starts[long], starts[long] + n)[0])
     return np.concatenate(rows), (np.concatenate(slots) >> np.uint64(64 - _BITS)).astype(np.int64)
 
 
