@@ -3,8 +3,12 @@
 Every rule is a row (name, measure, least, most) of THRESHOLDS; `compile_rules` turns the table into one boolean
 expression over ratios that Spark computes in the same projection. No user function runs, in Python or elsewhere.
 
-Nulls and empty texts have no words; they fail the base. Repeated rows are judged one by one. Extra columns pass
-through `judge` untouched; a column that clashes with an output column is replaced by the output.
+Three-word windows are brought together by a hash and then compared word by word; where windows of one hash differ, the
+text's windows are sorted by their words instead.
+
+Nulls and empty texts have no words; they fail the base. Repeated rows are judged one by one, texts of any length whole;
+an empty table gives an empty result. Extra columns pass through `judge` untouched, whatever their names; a column that
+clashes with an output column is replaced by the output.
 """
 
 from __future__ import annotations
@@ -55,31 +59,50 @@ def _stop_regex() -> str:
     return r"(?<=[\x20\n])(?:" + "|".join(f"{k}(?:{'|'.join(sorted(v, key=len, reverse=True))})" for k, v in rest.items()) + r")(?=[\x20\n])"
 
 
-def measures(df: DataFrame, text: str = "text") -> DataFrame:
+#: The hash of a window `x`, as SQL; tests replace it by one that collides.
+WINDOW_HASH = "xxhash64(x)"
+OUTPUTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_shouts", "n_stop_words")
+
+
+_WINDOW = "struct<x:string,y:string,z:string>"
+
+
+def _beside(entries: str, kind: str) -> str:
+    """The entries of an array, each with its successor."""
+    return f"cast(slice(arrays_zip({entries}, slice({entries}, 2, size({entries}))), 1, size({entries}) - 1) AS array<struct<a:{kind},b:{kind}>>)"
+
+
+def measures(df: DataFrame, text: str = "text", window_hash: str = "") -> DataFrame:
     """Adds the counts that the rules use, each a long, from built-in functions only."""
-    t = text_or_empty(text)
-    df = df.withColumn("_words", F.array_remove(F.split(t, WS_REGEX), ""))
-    w, n = F.col("_words"), F.size("_words")
-    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    row = df.select(F.struct("*").alias("row"), text_or_empty(text).alias("t"))
+    row = row.withColumn("words", F.array_remove(F.split("t", WS_REGEX), ""))
+    n = F.size("words")
+    row = row.withColumn("lines", F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     # Window hashes with the window's place in the low bits, so that a sort of longs brings equal windows together.
-    df = df.withColumn("_bits", F.when(n >= 4, F.ceil(F.log2(n + F.lit(1)))).otherwise(1).cast("int")).withColumn("_lines", lines)
-    df = df.withColumn("_low", F.expr("shiftleft(1L, _bits) - 1")).withColumn("_high", F.expr("~_low"))
-    df = df.withColumn("_windows", F.expr("CASE WHEN size(_words) >= 4 THEN slice(arrays_zip(_words, slice(_words, 2, size(_words)), slice(_words, 3, size(_words))), 1, size(_words) - 2) END"))
-    df = df.withColumn("_sorted", F.expr("sort_array(transform(_windows, (x, i) -> (xxhash64(x) & _high) | i))"))
-    df = df.withColumn("_pairs", F.expr("filter(slice(arrays_zip(_sorted, slice(_sorted, 2, size(_sorted))), 1, size(_sorted) - 1), x -> shiftrightunsigned(x._sorted ^ x.`1`, _bits) = 0)").cast("array<struct<a:long,b:long>>"))
-    covered = F.expr("size(array_distinct(flatten(transform(_pairs, x -> array(x.a & _low, (x.a & _low) + 1, (x.a & _low) + 2, x.b & _low, (x.b & _low) + 1, (x.b & _low) + 2)))))")
+    row = row.withColumn("bits", F.when(n >= 4, F.ceil(F.log2(n + F.lit(1)))).otherwise(1).cast("int"))
+    row = row.withColumn("low", F.expr("shiftleft(1L, bits) - 1")).withColumn("high", F.expr("~low"))
+    row = row.withColumn("windows", F.expr("CASE WHEN size(words) >= 4 THEN cast(slice(arrays_zip(words, slice(words, 2, size(words)), slice(words, 3, size(words))), 1, size(words) - 2) AS array<" + _WINDOW + ">) END"))
+    row = row.withColumn("sorted", F.expr(f"sort_array(transform(windows, (x, i) -> ({window_hash or WINDOW_HASH} & high) | i))"))
+    met = f"filter({_beside('sorted', 'bigint')}, e -> shiftrightunsigned(e.a ^ e.b, bits) = 0)"
+    row = row.withColumn("met", F.expr(f"transform({met}, e -> named_struct('a', cast(e.a & low AS int), 'b', cast(e.b & low AS int)))"))
+    row = row.withColumn("exact", F.expr("forall(met, e -> windows[e.a] = windows[e.b])"))
+    by_words = f"filter({_beside('s', f'struct<w:{_WINDOW},i:int>')}, e -> e.a.w = e.b.w)"
+    slow = f"flatten(transform(array(sort_array(transform(windows, (w, i) -> named_struct('w', w, 'i', i)))), s -> transform({by_words}, e -> named_struct('a', e.a.i, 'b', e.b.i))))"
+    row = row.withColumn("pairs", F.expr(f"CASE WHEN exact THEN met ELSE {slow} END"))
+    covered = F.expr("size(array_distinct(flatten(transform(pairs, e -> array(e.a, e.a + 1, e.a + 2, e.b, e.b + 1, e.b + 2)))))")
     out = {
         "n_words": n,
-        "word_chars": F.length(F.array_join(w, "")),
-        "n_symbols": F.regexp_count(t, F.lit("[#*$%&|<>]")),
-        "n_lines": F.size("_lines"),
-        "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
-        "n_repeat_words": F.when(F.size("_pairs") > 0, covered).otherwise(0),
-        "n_upper": F.regexp_count(t, F.lit("[A-ZÀ-ÖØ-Þ]")),
-        "n_shouts": F.regexp_count(t, F.lit(r"!!")),
-        "n_stop_words": F.regexp_count(t, F.lit(_stop_regex())),
+        "word_chars": F.length(F.array_join("words", "")),
+        "n_symbols": F.regexp_count("t", F.lit("[#*$%&|<>]")),
+        "n_lines": F.size("lines"),
+        "n_dup_lines": F.size("lines") - F.size(F.array_distinct("lines")),
+        "n_repeat_words": F.when(F.size("pairs") > 0, covered).otherwise(0),
+        "n_upper": F.regexp_count("t", F.lit("[A-ZÀ-ÖØ-Þ]")),
+        "n_shouts": F.regexp_count("t", F.lit(r"!!")),
+        "n_stop_words": F.regexp_count("t", F.lit(_stop_regex())),
     }
-    return df.withColumns({k: v.cast("long") for k, v in out.items()}).drop("_words", "_bits", "_low", "_high", "_windows", "_sorted", "_pairs", "_lines")
+    own = [F.col("row").getField(c).alias(c) for c in df.columns if c not in OUTPUTS]
+    return row.select(*own, *[out[k].cast("long").alias(k) for k in OUTPUTS])
 
 
 def compile_rules(rules: tuple[Rule, ...] = THRESHOLDS) -> Column:
@@ -98,9 +121,9 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = THRESHOLDS) -> DataFrame:
+def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = THRESHOLDS, window_hash: str = "") -> DataFrame:
     """The rows with their counts, `base_failed` and `kept`."""
-    return measures(df, text).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & compile_rules(rules))
+    return measures(df, text, window_hash).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & compile_rules(rules))
 
 
 def keep(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = THRESHOLDS) -> DataFrame:
@@ -109,6 +132,6 @@ def keep(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = THRESHOLDS
     A plain filter would be moved below the projection, and every count written out wherever it is used; the row number
     that the filter reads holds it above, so each count is computed once.
     """
-    judged = judge(df.select(F.struct("*").alias("_row"), F.col(text).alias("_text")), "_text", rules)
-    judged = judged.withColumn("_place", F.monotonically_increasing_id())
-    return judged.filter("kept AND _place >= 0").select("_row.*")
+    judged = judge(df.select(F.struct("*").alias("row"), F.col(text).alias("text")), "text", rules)
+    judged = judged.withColumn("place", F.monotonically_increasing_id())
+    return judged.filter("kept AND place >= 0").select("row.*")
