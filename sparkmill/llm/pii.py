@@ -4,19 +4,25 @@ Seeds are the identifiers that fixed expressions find. The words around a seed i
 instances form a bipartite graph that Spark scores round by round: a pattern's confidence is the share of its distinct
 instances that are known, an instance is promoted where patterns of high confidence (CONFIDENCE) and enough known
 instances (SUPPORT) point at it, and a promoted instance counts as known in the next round, until a round promotes
-nothing. Promoted instances become further spans; seeds always stay. Candidates are tokens between white space, and runs of digit groups joined by single
-spaces, dots, dashes or parentheses; a run is taken whole, with any number that stands next to it.
+nothing. Promoted instances become further spans; seeds always stay. Candidates are tokens between white space, and runs
+of digit groups joined by single spaces, dots, dashes or parentheses; a run is taken whole, with any number that stands
+next to it.
 
 Positions are code points, found by splitting a text at its matches: a match starts after all gaps and matches before
-it. A null text counts as empty. Rows that repeat get equal results. Extra columns pass through `annotate`; a column
-named like an output is replaced. No match is too far into a text: nothing is cut.
+it. Their sums are folded in blocks, and contexts come from the gaps, so the work is linear in the text. A pattern holds
+whole words, however long; it reaches back over two matches of the expression and on over one, and what is glued to
+the far one is not part of it.
+
+A null text counts as empty and has no spans; texts are taken whole. Rows that repeat get equal results, ids that repeat
+with other texts their own. An empty table gives an empty result. Extra columns pass through `redact`, whatever their
+names; `report` returns its own columns.
 """
 
 from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkmill.llm.common import cut, small, text_or_empty
@@ -24,8 +30,12 @@ from sparkmill.llm.common import cut, small, text_or_empty
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT = 5
 CONFIDENCE = 0.8
-#: Promoted documents up to this number are broadcast (some 100 bytes each); more are joined by a shuffle.
-BROADCAST_ROWS = 100_000
+#: Promoted spans up to this number are broadcast (some 50 bytes each); more are joined by a shuffle.
+BROADCAST_SPANS = 200_000
+#: Entries of an array that are folded together; the folds of such blocks are folded in turn.
+BLOCK = 256
+#: Code points of the blocks that a text is cut into before its spans are replaced.
+CUT = 1024
 
 # The four base expressions. Possessive quantifiers keep Java's matcher from recursing; a look-behind (or
 # the end of the last match) starts an address where its run of characters starts, so that long runs take linear time.
@@ -37,92 +47,106 @@ IDENTIFIER = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]
 #: Runs of digit groups, joined by a space, dot, dash or parenthesis.
 GROUPS = r"(?<![0-9])\+?\(?[0-9]++(?:(?:\)[\x20.-]?|[\x20.-]?\(|[\x20.-])[0-9]++)++"
 
-_SPAN = "array<struct<start:int,end:int,value:string>>"
-
-
-def _matches(df: DataFrame, text: str, found: dict[str, tuple[str, Column]]) -> DataFrame:
-    """Adds for each name an array of (start, end, value) of the expression's matches; texts without its trigger have none."""
-    for name, (regex, trigger) in found.items():
-        none = F.array().cast("array<string>")
-        df = df.withColumns({f"_g_{name}": F.when(trigger, F.split(text, regex, -1)).otherwise(none), f"_m_{name}": F.when(trigger, F.regexp_extract_all(text, F.lit(regex), F.lit(0))).otherwise(none)})
-        df = df.withColumn(
-            name,
-            F.expr(
-                f"CASE WHEN size(_m_{name}) = 0 THEN cast(array() AS {_SPAN}) ELSE aggregate(sequence(1, size(_m_{name})), "
-                f"named_struct('at', 0, 'out', cast(array() AS {_SPAN})), (a, i) -> named_struct("
-                f"'at', a.at + length(_g_{name}[i - 1]) + length(_m_{name}[i - 1]), "
-                f"'out', array_append(a.out, named_struct('start', a.at + length(_g_{name}[i - 1]), 'end', a.at + length(_g_{name}[i - 1]) + length(_m_{name}[i - 1]), 'value', _m_{name}[i - 1]))), a -> a.out) END"
-            ),
-        )
-    return df.drop(*[f"_{x}_{n}" for n in found for x in "gm"])
-
-
 _PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 _LUHN = (
     "aggregate(sequence(1, length(d)), 0, (a, i) -> a + CASE WHEN i % 2 = 1 THEN int(substr(d, -i, 1)) "
     "WHEN int(substr(d, -i, 1)) > 4 THEN 2 * int(substr(d, -i, 1)) - 9 ELSE 2 * int(substr(d, -i, 1)) END) % 10 = 0"
 )
 
-
-def _valid() -> dict[str, Column]:
-    """The matches that hold; a failing match is dropped and not tried again."""
-    return {
-        "_email": F.col("_email"),
-        "_ip": F.filter("_ip", lambda x: x["value"].rlike(rf"^{_PART}\.{_PART}\.{_PART}\.{_PART}$")),
-        "_card": F.expr(f"filter(_card, x -> exists(array(regexp_replace(x.value, '[^0-9]', '')), d -> CASE WHEN length(d) BETWEEN 16 AND 19 THEN {_LUHN} ELSE false END))"),
-        "_phone": F.filter("_phone", lambda x: F.length(F.regexp_replace(x["value"], "[^0-9]", "")).between(8, 15)),
-    }
-
-
-def base_spans(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds `_text` (null as empty) and `_base`: (rank of kind, kind, start, end, value), by kind as listed, then start."""
-    df = df.withColumn("_text", text_or_empty(text))
-    digit = F.col("_text").rlike("[0-9]")
-    df = _matches(
-        df,
-        "_text",
-        {
-            "_email": (EMAIL, F.col("_text").contains("@")),
-            "_ip": (IP, digit & F.col("_text").contains(".")),
-            "_card": (CARD, digit),
-            "_phone": (PHONE, digit & F.col("_text").contains("+")),
-        },
-    ).withColumns(_valid())
-    tag = lambda k, kind: F.transform(f"_{kind}", lambda x: F.struct(F.lit(k).alias("rank"), F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))
-    return df.withColumn("_base", F.concat(*[tag(k, kind) for k, kind in enumerate(KINDS)])).drop(*[f"_{k}" for k in KINDS])
-
-
-def _coarse(value: str) -> str:
-    """The kind that a token's coarse shape allows, as SQL; null for tokens that no kind takes."""
-    digits = f"length(regexp_replace({value}, '[^0-9]', ''))"
-    return (
-        f"CASE WHEN {value} RLIKE '[^@]@[^@]' THEN 'email' WHEN {value} RLIKE '^[^0-9]*[0-9]+([.][0-9]+)+[^0-9]*$' AND {digits} >= 4 THEN 'ip' "
-        f"WHEN {digits} BETWEEN 14 AND 19 AND {value} RLIKE '^[^A-Za-z]*$' THEN 'card' WHEN {digits} BETWEEN 7 AND 13 AND {value} RLIKE '^[^A-Za-z]*$' THEN 'phone' END"
-    )
-
-
-def occurrences(df: DataFrame, key: str) -> DataFrame:
-    """Seeds and candidates with their contexts: _id, _t, start, end, kind, instance, seed, patterns."""
-    df = _matches(df.filter(F.col("_text").rlike("[0-9@]")).select(F.col(key).alias("_id"), "_t", "_text", "_base"), "_text", {"_tok": (IDENTIFIER, F.lit(True)), "_run": (GROUPS, F.col("_text").rlike(r"[0-9][\x20().-]"))})
-    trim = r"regexp_replace(t.value, '^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', '')"
-    seeds = "transform(_base, t -> named_struct('start', t.start, 'end', t.end, 'kind', t.kind, 'instance', lower(t.value), 'seed', true))"
-    others = lambda t: (
-        f"filter(transform(filter({t}, t -> NOT exists(_base, b -> b.start < t.end AND t.start < b.end)), t -> named_struct('start', t.start, 'end', t.end, "
-        f"'kind', {_coarse('t.value')}, 'instance', lower({trim}), 'seed', false)), t -> t.kind IS NOT NULL AND length(t.instance) > 0)"
-    )
-    # A run within a candidate token adds nothing.
-    runs = f"filter({others('_run')}, r -> NOT exists(_others, t -> t.start <= r.start AND r.end <= t.end))"
-    df = df.withColumn("_others", F.expr(others("_tok")))
-    around = (
-        "transform(_all, t -> named_struct('start', t.start, 'end', t.end, 'kind', t.kind, 'instance', t.instance, 'seed', t.seed, "
-        "'left', lower(substring(_text, greatest(1, t.start - 59), least(60, t.start))), 'right', lower(substring(_text, t.end + 1, 40))))"
-    )
-    one = df.withColumn("_all", F.expr(f"concat({seeds}, _others, {runs})")).filter(F.size("_all") > 0).withColumn("_around", F.expr(around))
-    flat = one.select("_id", "_t", F.explode("_around").alias("o")).select("_id", "_t", "o.*")
-    word = r"([^\x20\x09-\x0D]+)"
-    l1, l2 = F.regexp_extract("left", word + r"[\x20\x09-\x0D]*$", 1), F.regexp_extract("left", word + r"[\x20\x09-\x0D]+[^\x20\x09-\x0D]+[\x20\x09-\x0D]*$", 1)
-    r1 = F.regexp_extract("right", r"^[^\x20\x09-\x0D]*[\x20\x09-\x0D]+" + word, 1)
-    return flat.withColumn("patterns", F.array(F.concat_ws(" ", F.lit("<"), l2, l1), F.concat_ws(" ", F.lit("<>"), l1, r1))).drop("left", "right")
+_INTS = "array<int>"
+_PLAIN = "struct<rank:int,kind:string,start:int,end:int>"
+
+
+def running(values: str, combine: str) -> str:
+    """SQL for the fold of all entries before each entry of an array of int, from 0; `combine` joins {a} and {b}."""
+    f = lambda a, b: combine.format(a=a, b=b)
+    block = f"aggregate(slice(v, {BLOCK} * b + 1, {BLOCK}), named_struct('at', 0, 'out', cast(array() AS {_INTS})), (a, x) -> named_struct('at', {f('a.at', 'x')}, 'out', array_append(a.out, a.at)))"
+    blocks = f"transform(sequence(0, cast((size(v) - 1) div {BLOCK} AS int)), b -> {block})"
+    whole = f"aggregate({blocks}, named_struct('at', 0, 'out', cast(array() AS array<{_INTS}>)), (a, y) -> named_struct('at', {f('a.at', 'y.at')}, 'out', array_append(a.out, transform(y.out, x -> {f('a.at', 'x')}))), a -> flatten(a.out))"
+    return f"get(transform(array({values}), v -> CASE WHEN size(v) = 0 THEN cast(array() AS {_INTS}) ELSE {whole} END), 0)"
+
+
+def _matched(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """Adds for each expression the texts between its matches (g_), the matches (m_) and where each gap starts (p_)."""
+    digit = F.col("text").rlike("[0-9]")
+    found = {
+        "email": (EMAIL, F.col("text").contains("@")), "ip": (IP, digit & F.col("text").contains(".")), "card": (CARD, digit), "phone": (PHONE, digit & F.col("text").contains("+")),
+        "token": (IDENTIFIER, F.lit(True)), "run": (GROUPS, F.col("text").rlike(r"[0-9][\x20().-]")),
+    }
+    none = F.array().cast("array<string>")
+    for n in names:
+        regex, trigger = found[n]
+        df = df.withColumns({f"g_{n}": F.when(trigger, F.split("text", regex, -1)).otherwise(none), f"m_{n}": F.when(trigger, F.regexp_extract_all("text", F.lit(regex), F.lit(0))).otherwise(none)})
+    return df.withColumns({f"p_{n}": F.expr(running(f"transform(m_{n}, (x, i) -> length(g_{n}[i]) + length(x))", "{a} + {b}")) for n in names})
+
+
+# What holds of a match `x`; a failing match is dropped and not tried again.
+_HOLDS = {
+    "email": "true",
+    "ip": rf"x RLIKE r'^{_PART}\.{_PART}\.{_PART}\.{_PART}$'",
+    "card": f"exists(array(regexp_replace(x, '[^0-9]', '')), d -> CASE WHEN length(d) BETWEEN 16 AND 19 THEN {_LUHN} ELSE false END)",
+    "phone": "length(regexp_replace(x, '[^0-9]', '')) BETWEEN 8 AND 15",
+}
+
+
+def _held(n: str) -> str:
+    """Places of the matches of an expression that hold."""
+    holds = _HOLDS.get(n, "true")
+    return f"filter(transform(m_{n}, (x, i) -> CASE WHEN {holds} THEN i END), i -> i IS NOT NULL)"
+
+
+def _spans(n: str, rank: int) -> str:
+    start = f"p_{n}[i] + length(g_{n}[i])"
+    return f"transform({_held(n)}, i -> named_struct('rank', {rank}, 'kind', '{n}', 'start', {start}, 'end', {start} + length(m_{n}[i])))"
+
+
+def base_spans(df: DataFrame) -> DataFrame:
+    """Adds `base` to rows with a text: (rank of kind, kind, start, end), by kind as listed, then start."""
+    own = df.columns
+    df = _matched(df, KINDS)
+    return df.select(*own, F.expr(f"concat({', '.join(_spans(n, k) for k, n in enumerate(KINDS))})").cast(f"array<{_PLAIN}>").alias("base"))
+
+
+_KIND = """CASE WHEN rank < 4 THEN element_at(array('email', 'ip', 'card', 'phone'), rank + 1)
+ WHEN value RLIKE '[^@]@[^@]' THEN 'email' WHEN value RLIKE '^[^0-9]*[0-9]+([.][0-9]+)+[^0-9]*$' AND digits >= 4 THEN 'ip'
+ WHEN digits BETWEEN 14 AND 19 AND value RLIKE '^[^A-Za-z]*$' THEN 'card' WHEN digits BETWEEN 7 AND 13 AND value RLIKE '^[^A-Za-z]*$' THEN 'phone' END"""
+_WORD, _GAP = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
+
+
+def _around(n: str, rank: int) -> str:
+    """The matches of an expression that hold, with the text before and behind, cut down to the words that count."""
+    at = lambda array, i: f"coalesce(get({array}, {i}), '')"
+    near = lambda array, i, end: f"coalesce(get({array}, {i}).{end}, '')"
+    left = f"concat({at(f'm_{n}', 'i - 2')}, {near(f'c_{n}', 'i - 1', 'tail')}, {at(f'm_{n}', 'i - 1')}, {near(f'c_{n}', 'i', 'tail')})"
+    right = f"concat({near(f'c_{n}', 'i + 1', 'head')}, {at(f'm_{n}', 'i + 1')}, {near(f'c_{n}', 'i + 2', 'head')})"
+    start = f"p_{n}[i] + length(g_{n}[i])"
+    return f"transform({_held(n)}, i -> named_struct('rank', {rank}, 'start', {start}, 'end', {start} + length(m_{n}[i]), 'value', m_{n}[i], 'left', lower({left}), 'right', lower({right})))"
+
+
+def occurrences(df: DataFrame) -> DataFrame:
+    """Seeds and candidates of rows (id, text, mark) with their contexts: id, mark, start, end, kind, instance, seed, patterns."""
+    names = (*KINDS, "token", "run")
+    df = _matched(df.filter(F.col("text").rlike("[0-9@]")), names)
+    ends = "struct(array_join(slice(w, 1, 3), ' ') AS head, array_join(slice(w, greatest(1, size(w) - 3), 4), ' ') AS tail)"
+    df = df.withColumns({f"c_{n}": F.expr(f"transform(CASE WHEN size(m_{n}) > 0 THEN transform(g_{n}, x -> split(x, r'{_GAP}')) END, w -> {ends})") for n in names})
+    # The row number keeps the filter that comes with `inline` above this projection, which would be computed twice.
+    df = df.select("id", "mark", F.expr(f"concat({', '.join(_around(n, k) for k, n in enumerate(names))})").alias("all"), F.monotonically_increasing_id().alias("place"))
+    rows = df.filter("place >= 0").select("id", "mark", F.inline("all"))
+    rows = rows.withColumn("digits", F.length(F.regexp_replace("value", "[^0-9]", ""))).withColumn("kind", F.expr(_KIND)).filter("kind IS NOT NULL")
+    trimmed = F.regexp_replace("value", "^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", "")
+    rows = rows.withColumn("instance", F.lower(F.when(F.col("rank") < 4, F.col("value")).otherwise(trimmed))).filter("instance <> ''")
+    l1, l2 = F.regexp_extract("left", f"({_WORD})[\\x20\\x09-\\x0D]*$", 1), F.regexp_extract("left", f"({_WORD}){_GAP}{_WORD}[\\x20\\x09-\\x0D]*$", 1)
+    r1 = F.regexp_extract("right", f"^[^\\x20\\x09-\\x0D]*{_GAP}({_WORD})", 1)
+    patterns = F.array(F.concat_ws(" ", F.lit("<"), l2, l1), F.concat_ws(" ", F.lit("<>"), l1, r1))
+    rows = rows.select("id", "mark", "rank", "start", "end", "kind", "instance", patterns.alias("patterns"))
+    # A candidate that meets a seed goes, and so does a run within a candidate token.
+    text = Window.partitionBy("id", "mark")
+    up, down = text.orderBy("start").rangeBetween(Window.unboundedPreceding, 0), text.orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, 0)
+    seed = F.col("rank") < 4
+    rows = rows.withColumns({"before": F.max(F.when(seed, F.col("end"))).over(up), "next": F.min(F.when(seed, F.col("start"))).over(down)})
+    rows = rows.filter("rank < 4 OR (coalesce(before, 0) <= start AND coalesce(next, end) >= end)")
+    rows = rows.withColumn("held", F.max(F.when(F.col("rank") == 4, F.col("end"))).over(up)).filter("rank < 5 OR coalesce(held, 0) < end")
+    return rows.select("id", "mark", "start", "end", "kind", "instance", seed.alias("seed"), "patterns")
 
 
 def promoted(found: DataFrame, rounds: int | None = None, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame | None:
@@ -147,19 +171,20 @@ def promoted(found: DataFrame, rounds: int | None = None, support: int = SUPPORT
 
 
 def annotate(df: DataFrame, text: str = "text", key: str = "doc_id", rounds: int | None = None) -> DataFrame:
-    """The rows with `_base` and `_spans`, arrays of (rank, kind, start, end); `_spans` holds the base and what the method adds."""
-    df = base_spans(df, text).withColumn("_t", F.xxhash64("_text", F.length("_text")))
-    found = cut(occurrences(df, key))
+    """row (the whole input row), id, text, and base and spans, arrays of (rank, kind, start, end); spans holds the base and
+    what the method adds."""
+    whole = df.select(F.struct("*").alias("row"), F.col(key).alias("id"), text_or_empty(text).alias("text"))
+    marked = whole.withColumn("mark", F.sha2("text", 256))
+    found = cut(occurrences(marked.select("id", "text", "mark")))
     added = promoted(found, rounds)
-    plain = F.transform("_base", lambda x: F.struct(x["rank"], x["kind"], x["start"], x["end"]))
-    df = df.withColumn("_base", plain)
     if added is None:
-        return df.withColumn("_spans", F.col("_base")).drop("_text", "_t")
+        return base_spans(whole).withColumn("spans", F.col("base"))
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
-    extra = found.filter("not seed").join(added, ["kind", "instance"], "left_semi").groupBy(F.col("_id").alias("_xid"), F.col("_t").alias("_xt")).agg(F.collect_set(F.struct(rank.alias("rank"), "kind", "start", "end")).alias("_extra"))
-    extra = small(cut(extra), BROADCAST_ROWS)
-    out = df.join(extra, F.col(key).eqNullSafe(F.col("_xid")) & (F.col("_t") == F.col("_xt")), "left")
-    return out.withColumn("_spans", F.array_sort(F.concat("_base", F.coalesce("_extra", F.array().cast("array<struct<rank:int,kind:string,start:int,end:int>>"))))).drop("_text", "_t", "_xid", "_xt", "_extra")
+    extra = found.filter("not seed").join(added, ["kind", "instance"], "left_semi")
+    extra = extra.groupBy(F.col("id").alias("xid"), F.col("mark").alias("xmark")).agg(F.collect_set(F.struct(rank.alias("rank"), "kind", "start", "end")).alias("extra"))
+    extra = small(cut(extra), BROADCAST_SPANS, F.size("extra"))
+    out = base_spans(marked).join(extra, F.col("id").eqNullSafe(F.col("xid")) & (F.col("mark") == F.col("xmark")), "left")
+    return out.select("row", "id", "text", "base", F.array_sort(F.concat("base", F.coalesce(F.col("extra").cast(f"array<{_PLAIN}>"), F.array().cast(f"array<{_PLAIN}>")))).alias("spans"))
 
 
 def joined(spans: str) -> Column:
@@ -169,17 +194,19 @@ def joined(spans: str) -> Column:
 def report(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
     out = annotate(df, text, key)
-    number = lambda k: F.size(F.filter("_base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
-    counts = [number(k) for k in KINDS]
-    return out.select(F.col(key).alias("doc_id"), *counts, F.sha2(joined("_base").cast("binary"), 256).alias("base_sha256"), joined("_spans").alias("spans"))
+    number = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
+    return out.select(F.col("id").alias("doc_id"), *[number(k) for k in KINDS], F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
 def redact(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows, each span of the text replaced by its kind in brackets; overlapping spans become one."""
-    out = annotate(df, text, key).withColumn("_s", F.array_sort(F.transform("_spans", lambda x: F.struct(x["start"], x["end"], x["kind"]))))
-    body = F.expr(
-        f"CASE WHEN size(_s) = 0 THEN `{text}` ELSE aggregate(_s, named_struct('at', 0, 'out', ''), (a, x) -> named_struct("
-        f"'at', greatest(a.at, x.end), 'out', CASE WHEN x.start >= a.at THEN concat(a.out, substring(`{text}`, a.at + 1, x.start - a.at), '[', upper(x.kind), ']') ELSE a.out END), "
-        f"a -> concat(a.out, substring(`{text}`, a.at + 1))) END"
-    )
-    return out.withColumn(text, body).drop("_base", "_spans", "_s")
+    out = annotate(df, text, key).withColumn("s", F.array_sort(F.transform("spans", lambda x: F.struct(x["start"], x["end"], x["kind"]))))
+    out = out.withColumn("at", F.expr(running("transform(s, x -> x.end)", "greatest({a}, {b})")))
+    out = out.withColumn("parts", F.when(F.size("s") > 0, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))))
+    piece = lambda a, b: f"substring(array_join(slice(parts, cast({a} div {CUT} AS int) + 1, cast({b} div {CUT} - {a} div {CUT} AS int) + 1), ''), {a} % {CUT} + 1, {b} - {a})"
+    pieces = f"transform(s, (x, i) -> CASE WHEN x.start >= at[i] THEN concat({piece('at[i]', 'x.start')}, '[', upper(x.kind), ']') ELSE '' END)"
+    last = "array_max(transform(s, x -> x.end))"
+    body = F.expr(f"concat(array_join({pieces}, ''), {piece(last, 'length(text)')})")
+    changed = F.when(F.size("s") > 0, body).otherwise(F.col("row").getField(text))
+    out = out.withColumn("changed", changed)
+    return out.select(*[(F.col("changed") if c == text else F.col("row").getField(c)).alias(c) for c in df.columns])
