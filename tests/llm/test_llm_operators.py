@@ -234,3 +234,139 @@ def test_quality_keep_returns_own_columns(spark):
     assert got.columns == df.columns
     assert sorted(map(tuple, got.collect())) == [(1, good, "x"), (1, good, "x")]
     assert quality_rules.keep(df.limit(0)).count() == 0
+
+
+def thue_morse(flip):
+    return "".join("ab"[(bin(k).count("1") + flip) % 2] for k in range(1024))
+
+
+def test_words_of_one_polynomial_hash_are_told_apart(spark):
+    a, b = thue_morse(0), thue_morse(1)
+    got = {x.doc_id: x.component_id for x in ngram_join.join(frame(spark, [a, b, a])).collect()}
+    assert got == {0: 0, 1: 1, 2: 0}
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    t = bestfit_packing.Tokens(path)
+    for text, ids in zip([a, b], t.encode([a, b]), strict=True):
+        assert ids.tolist() == t.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_unit_store_compares_bytes_where_hashes_meet():
+    from sparkmill.llm.common import UnitStore
+
+    r = random.Random(11)
+    store = UnitStore(lambda units: [[ord(c) for c in u] * 2 for u in units], most=300)
+    for _ in range(60):
+        units = ["".join(r.choice("abc") for _ in range(r.randint(1, 6))) for _ in range(r.randint(1, 50))]
+        data = np.frombuffer("".join(units).encode(), np.uint8)
+        ends = np.cumsum([len(u) for u in units])
+        ids, counts = store.lookup(data, ends - [len(u) for u in units], ends, np.array([len(u) % 3 for u in units], np.uint64))
+        assert ids.tolist() == [ord(c) for u in units for c in u * 2] and counts.tolist() == [2 * len(u) for u in units]
+
+
+def roots(sets, percent):
+    root = list(range(len(sets)))
+    for _ in sets:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if a and 100 * len(a & b) >= percent * len(a | b):
+                    root[i] = root[j] = min(root[i], root[j])
+    return root
+
+
+def test_ngram_join_with_meeting_class_ids(spark):
+    r = random.Random(12)
+    texts = [" ".join(r.choice("abcdefghij") for _ in range(r.randint(1, 12))) for _ in range(40)]
+    texts += texts[:10]
+    sets = [frozenset(tuple(w[k : k + 2]) for k in range(len(w) - 1)) if len(w := t.split()) > 1 else frozenset([tuple(w)]) for t in texts]
+    got = {x.doc_id: x for x in ngram_join.join(frame(spark, texts), width=2, percent=60, bits=4).collect()}
+    assert [got[k].component_id for k in range(len(texts))] == roots(sets, 60)
+    assert [got[k].n_shingles for k in range(len(texts))] == [len(s) for s in sets]
+
+
+def test_ngram_join_of_a_chain_and_of_a_large_group(spark):
+    chain = [" ".join(f"c{k}" for k in range(at, at + 100)) for at in range(0, 80, 4)]  # each links with its neighbours alone
+    base = [f"g{k}" for k in range(120)]
+    r = random.Random(13)
+    near = []
+    for k in range(5000):
+        own = list(base)
+        own[r.randrange(120)] = f"x{k}"
+        near.append(" ".join(own))
+    texts = [*chain, *near, *["hello there this is short", "alone " * 3, "a b c d e f"]]
+    got = {x.doc_id: x.component_id for x in ngram_join.join(frame(spark, texts)).collect()}
+    n = len(chain)
+    assert all(got[k] == 0 for k in range(n)) and all(got[k] == n for k in range(n, n + 5000))
+    assert [got[k] for k in range(n + 5000, len(texts))] == list(range(n + 5000, len(texts)))
+
+
+def test_ngram_join_edges(spark):
+    rows = [(None, "p q r s t u"), (None, "p q r s t u"), (7, "p q r s t u"), (7, "p q r s t u"), (None, "m n o p q r"), (9, None)]
+    df = spark.createDataFrame([(k, t, 1, 2, 3) for k, t in rows], "doc_id long, text string, cls int, component_id int, gone int")
+    got = sorted(((x.doc_id, x.n_shingles, x.component_id) for x in ngram_join.join(df).collect()), key=str)
+    assert got == sorted([(None, 2, 7), (None, 2, 7), (7, 2, 7), (7, 2, 7), (None, 2, None), (9, 0, 9)], key=str)
+    kept = ngram_join.keep_one(df)
+    assert kept.columns == df.columns and kept.count() == 6
+    assert ngram_join.keep_one(df.limit(0)).count() == 0
+
+
+def test_quality_windows_that_share_a_hash_are_compared(spark):
+    r = random.Random(14)
+    texts = [" ".join(r.choice("abcd") for _ in range(n)) for n in (0, 1, 2, 3, 4, 5, 9, 30, 80)] + [" ".join(f"w{k}" for k in range(60)), "é ß " * 40]
+    for window_hash in ("", "0L", "xxhash64(x) & 3L"):
+        got = {x.doc_id: x.n_repeat_words for x in quality_rules.judge(frame(spark, texts), window_hash=window_hash).collect()}
+        for k, t in enumerate(texts):
+            w = t.split()
+            at = defaultdict(list)
+            for i in range(len(w) - 2):
+                at[tuple(w[i : i + 3])].append(i)
+            assert got[k] == len({j for own in at.values() if len(own) > 1 for i in own for j in (i, i + 1, i + 2)}), (k, window_hash)
+
+
+def test_quality_rules_take_clashing_names(spark):
+    df = spark.createDataFrame([(1, "the end of it " * 30, "a", "b", "c", 9)], "doc_id long, text string, words string, row string, t string, n_words int")
+    got = quality_rules.judge(df).first()
+    assert (got.words, got.row, got.t, got.n_words) == ("a", "b", "c", 120)
+    assert quality_rules.judge(df.limit(0)).count() == 0 and quality_rules.keep(df).columns == df.columns
+
+
+def base_by_hand(text):
+    import re
+
+    def luhn(d):
+        return sum(int(x) if k % 2 == 0 else sum(divmod(2 * int(x), 10)) for k, x in enumerate(reversed(d))) % 10 == 0
+
+    kinds = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 16 <= len(d := re.sub("[^0-9]", "", m)) <= 19 and luhn(d)),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= len(re.sub("[^0-9]", "", m)) <= 15),
+    }
+    return [(k, m.start(), m.end()) for k, (pattern, holds) in kinds.items() for m in re.finditer(pattern, text) if holds(m[0])]
+
+
+def test_pii_base_spans_against_brute_force(spark):
+    r = random.Random(15)
+    bits = ["a@b.c", "x.y+z@q-r.st.", "@", ".", "-", " ", "  ", "\n", "+1 (22) 333-4444", "+", "12.34.56.78", "256.1.1.1", "1.2.3.4.5", "4041894974608795", "4041 8949 7460 8795", "7", "42", "é", "日本", "🤯", "(", "word", "A1", "%", "_"]
+    texts = [None, "", *["".join(r.choice(bits) for _ in range(r.randint(1, 30))) for _ in range(400)], "9" * 20_000, "1.2.3.4 a@b.cd 42 " * 700]
+    got = {x.doc_id: x for x in pii.report(frame(spark, texts)).collect()}
+    for k, t in enumerate(texts):
+        want = base_by_hand(t or "")
+        assert got[k].base_sha256 == hashlib.sha256(",".join(f"{a}:{b}:{c}" for a, b, c in want).encode()).hexdigest(), t
+        assert [got[k].n_email, got[k].n_ip, got[k].n_card, got[k].n_phone] == [sum(x[0] == kind for x in want) for kind in pii.KINDS]
+        assert {f"{a}:{b}:{c}" for a, b, c in want} <= set(got[k].spans.split(","))
+
+
+def test_pii_edges(spark):
+    df = spark.createDataFrame([(1, "mail a@b.cd now", "r", "i"), (1, "mail a@b.cd now", "r", "i"), (1, "other +1 988 555 2485", "r", "i"), (None, "ip 1.2.3.4", "r", "i"), (2, None, "r", "i")], "doc_id long, text string, row string, id string")
+    out = pii.redact(df)
+    assert out.columns == df.columns
+    assert sorted(map(str, (x.text for x in out.collect()))) == ["None", "ip [IP]", "mail [EMAIL] now", "mail [EMAIL] now", "other [PHONE]"]
+    assert pii.report(df.limit(0)).count() == 0 and pii.redact(df.limit(0)).count() == 0
+
+
+def test_pii_promotes_across_long_gaps_and_words(spark):
+    long = "w" * 300
+    texts = [f"{long} contact {long}{k} at user{k}@mail.example.com now" for k in range(1)] * 1
+    texts += [f"{long}y contact at u{k}@mail.example.com {long}z rest" for k in range(8)] + [f"{'pad ' * 500}{long}y contact at hidden@localhost {long}z rest", f"{long[1:]}y contactx at other@localhost {long[1:]}z rest"]
+    got = {x.doc_id: x.spans for x in pii.report(frame(spark, texts)).collect()}
+    assert got[9].startswith("email:") and got[10] == ""
