@@ -8,11 +8,17 @@ that stand in many different texts so fall into many groups, and a group holds o
 
 Within a group the windows' suffixes are sorted. Of the positions in suffix order, the previous and the next smaller
 give the longest earlier match of every suffix (LPF), the previous and next larger ones the longest later match (LNF).
-`keep="first"` removes what an earlier copy covers (LPF >= length); `keep="none"` what any other copy covers.
+Windows of a group that are equal lie at one place relative to the core, so a group is taken one such place after the
+other, and only one place's windows are held at once. `keep="first"` removes what an earlier copy covers
+(LPF >= length); `keep="none"` what any other copy covers.
+
+Anchors and segments that repeat within a task are known there: only one of each goes to where its group meets, so a
+string that a third of all texts hold reaches that task once for each task of the stage before.
 
 Texts are UTF-8 bytes; null is empty; no match crosses texts. Equal texts (repeated rows, too) are one text with a
-count: where they are long enough, all of each is covered (with keep="first", of all but the smallest doc_id's).
-Lists gathered per text are bounded by that text's length.
+count, known by 128 bits of SHA-256; windows are compared by their bytes. Where equal texts are long enough, all of
+each is covered (with keep="first", of all but the smallest doc_id's). Lists gathered per text are bounded by that
+text's length. Extra columns take no part, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,8 +36,9 @@ from sparkmill.llm.common import U64, blocks, mix, packed, text_or_empty
 LENGTH = 400
 GRAM = 32
 CHUNK = 192
-#: Groups of up to so many different segments are compared pair by pair, which takes one LCP each.
-PAIRS = 5
+#: Anchors, and bytes of different segments, that a task holds to find those that repeat in it.
+HELD_ANCHORS = 2_000_000
+HELD_BYTES = 64 << 20
 
 
 #: Odd, so that it has an inverse modulo 2**64.
@@ -95,55 +102,118 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int = GRAM
 
 
 def _anchor_rows(length: int):
+    """Runs of windows by anchor. `state` is 0 for anchors that the task met at one place alone; those met at more are
+    dealt by a salt above 0, and one of them goes along with state -1 to tell other tasks."""
+    names = ["key", "at", "first", "last", "h", "state"]
+
+    def flushed(held: list[tuple]) -> pa.RecordBatch:
+        key = pa.concat_arrays([x[0] for x in held])
+        at, first, last, h = (np.concatenate([x[k] for x in held]) for k in range(1, 5))
+        place = mix(np.frombuffer(key.buffers()[1], "<u8")[2 * key.offset : 2 * (key.offset + len(key)) : 2] + at.astype(U64))
+        order = np.argsort(h, kind="stable")
+        begins = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1])))
+        again = np.minimum.reduceat(place[order], begins) != np.maximum.reduceat(place[order], begins)
+        state = np.zeros(len(h), np.int32)
+        sizes = np.diff(np.append(begins, len(h)))
+        sure = order[np.repeat(again, sizes)]
+        state[sure] = 1 + (place[sure] & U64(1023)).astype(np.int32)
+        told = order[begins[again]]
+        rows = np.concatenate((np.arange(len(h)), told))
+        state = np.concatenate((state, np.full(len(told), -1, np.int32)))
+        return pa.RecordBatch.from_arrays([key.take(pa.array(rows)).cast(pa.binary()), *(pa.array(x[rows].astype(np.int32)) for x in (at, first, last)), pa.array(h[rows]), pa.array(state)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
         for b in batches:
-            k1, k2 = b.column(0).to_numpy(), b.column(1).to_numpy()
-            data, offsets = packed(b.column(2))
+            keys = b.column(0).cast(pa.binary(16)) if len(b) else None
+            data, offsets = packed(b.column(1))
             for i, j in blocks(offsets):
                 base = offsets[i : j + 1] - offsets[i]
                 row, at, first, last, h = anchors(data[offsets[i] : offsets[j]], base, length)
-                zero = base[row]
-                cols = [k1[i + row], k2[i + row], (at - zero).astype(np.int32), (first - zero).astype(np.int32), (last - zero).astype(np.int32), h]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["k1", "k2", "at", "first", "last", "h"])
+                if len(row):
+                    zero = base[row]
+                    held.append((keys.take(pa.array(i + row)), at - zero, first - zero, last - zero, h))
+                    size += len(row)
+                if size > HELD_ANCHORS:
+                    yield flushed(held)
+                    held, size = [], 0
+        if held:
+            yield flushed(held)
 
     return run
 
 
-def _segment_rows(length: int, chunk: int):
-    """Segments of the chunks of each repeated anchor: group, place of the core in the segment, text, start, bytes."""
+def _segment_rows(length: int, chunk: int, keep: str):
+    """Segments of the chunks of each repeated anchor: group, place of the core in the segment, text, start, bytes.
+
+    Of equal segments the first place stands for all; the others, and with keep="none" the first as well, are covered
+    whole, which rows without bytes say (`align` is their length)."""
+    names = ["core", "align", "doc_id", "key", "start", "segment"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        cols = zip(*rows, strict=True) if rows else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["core", "align", "doc_id", "k1", "k2", "start", "segment"]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        held: dict[tuple, list] = {}
+        done: list[tuple] = []
+        size = 0
+
+        def covered(place: tuple, n: int) -> None:
+            (_, doc, key), start = place
+            done.append((int.from_bytes(key[:8], "little", signed=True) ^ start, n, doc, key, start, None))
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            rows, bytes_ = done[:], 0
+            for (core, align, segment), (((none, doc, key), start), _) in held.items():
+                rows.append((core, align, None if none else doc, key, start, segment))
+                bytes_ += len(segment)
+                if bytes_ > 8 << 20:
+                    yield batch(rows)
+                    rows, bytes_ = [], 0
+            yield batch(rows)
+
         for b in batches:
-            cols: list[list] = [[] for _ in names]
-            held = 0
-            for doc, k1, k2, text, runs in zip(*(b.column(k) for k in range(5)), strict=True):
-                raw, doc, k1, k2 = text.as_py().encode(), doc.as_py(), k1.as_py(), k2.as_py()
+            for doc, key, text, runs in zip(*(b.column(k) for k in range(4)), strict=True):
+                raw, doc, key = text.as_py().encode(), doc.as_py(), key.as_py()
+                own = (doc is None, doc or 0, key)
                 for at, first, last in sorted({(r["at"], r["first"], r["last"]) for r in runs.as_py()}):
                     for c in range((at - last) // chunk, (at - first) // chunk + 1):
                         low, high = max(first, at - chunk * c - chunk + 1), min(last, at - chunk * c)
                         core = at - chunk * c
-                        key = hashlib.blake2b(raw[core : core - chunk + 1 + length], digest_size=8, key=c.to_bytes(2, "little")).digest()
-                        segment = raw[low : high + length]
-                        for col, v in zip(cols, (int.from_bytes(key, "little", signed=True), core - low, doc, k1, k2, low, segment), strict=True):
-                            col.append(v)
-                        held += len(segment)
-                if held > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names)
-                    cols, held = [[] for _ in names], 0
-            if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names)
+                        digest = hashlib.blake2b(raw[core : core - chunk + 1 + length], digest_size=8, key=c.to_bytes(2, "little")).digest()
+                        entry = (int.from_bytes(digest, "little", signed=True), core - low, raw[low : high + length])
+                        before = held.get(entry)
+                        if before is None:
+                            held[entry] = [(own, low), False]
+                            size += len(entry[2]) + 200
+                        elif before[0] != (own, low):
+                            if keep == "none" and not before[1]:
+                                covered(before[0], len(entry[2]))
+                                before[1] = True
+                            early, late = sorted((before[0], (own, low)))
+                            covered((own, low) if keep == "none" else late, len(entry[2]))
+                            before[0] = early
+                if size + 100 * len(done) > HELD_BYTES:
+                    yield from flushed()
+                    held, done, size = {}, [], 0
+        yield from flushed()
 
     return run
 
 
 def _common(a: bytes, b: bytes) -> int:
-    """Length of the longest common prefix."""
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n
-    return int(np.argmax(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)))
+    """Length of the longest common prefix, by halving."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
 
 
 def suffix_order(texts: list[bytes], size: int) -> tuple[list[int], list[int]]:
@@ -184,84 +254,74 @@ def longest_factors(order: list[int], lcp: list[int], places: list) -> tuple[lis
 
 def group_spans(members: list[tuple], length: int, keep: str) -> Iterator[tuple[int, int, int]]:
     """(member, first, last window) that are covered, of different segments (align, place, bytes) of one group."""
-    if len(members) <= PAIRS:
-        flip = [m[2][: m[0]][::-1] for m in members]
-        for j in range(1, len(members)):
-            for i in range(j):
-                right = _common(members[i][2][members[i][0] :], members[j][2][members[j][0] :])
-                left = _common(flip[i], flip[j])
-                if left + right >= length:
-                    both = (i, j) if keep == "none" else (i,) if members[j][1] < members[i][1] else (j,)
-                    for k in both:
-                        align, _, segment = members[k]
-                        first, last = max(0, align - left), min(len(segment) - length, align - length + right)
-                        if first <= last:
-                            yield k, first, last
-        return
-    windows, places, owner = [], [], []
-    for k, (_, (doc, start), segment) in enumerate(members):
-        for i in range(len(segment) - length + 1):
-            windows.append(segment[i : i + length])
-            places.append((doc, start + i))
-            owner.append((k, i))
-    order, lcp = suffix_order(windows, length)
-    earlier, later = longest_factors(order, lcp, places)
-    hits = [k for k in range(len(windows)) if earlier[k] >= length or keep == "none" and later[k] >= length]
-    run: tuple[int, int, int] | None = None
-    for k in hits:
-        member, i = owner[k]
-        if run and run[0] == member and run[2] + 1 == i:
-            run = (member, run[1], i)
-        else:
-            if run:
-                yield run
-            run = (member, i, i)
-    if run:
-        yield run
+    own = [(align, len(segment) - length - align, (place[0], place[1]), segment) for align, place, segment in members]
+    open_: dict[int, list[int]] = {}
+    for r in range(-max(x[0] for x in own), max(x[1] for x in own) + 1):
+        there = [k for k, x in enumerate(own) if -x[0] <= r <= x[1]]
+        if len(there) < 2:
+            continue
+        windows = [own[k][3][own[k][0] + r : own[k][0] + r + length] for k in there]
+        order, lcp = suffix_order(windows, length)
+        earlier, later = longest_factors(order, lcp, [(own[k][2][0], own[k][2][1] + own[k][0] + r) for k in there])
+        for k, before, after in zip(there, earlier, later, strict=True):
+            if before >= length or keep == "none" and after >= length:
+                i = own[k][0] + r
+                run = open_.get(k)
+                if run and run[1] + 1 == i:
+                    run[1] = i
+                else:
+                    if run:
+                        yield k, *run
+                    open_[k] = [i, i]
+    for k, run in open_.items():
+        yield k, *run
 
 
 def _span_rows(length: int, keep: str):
     """Covered bytes from segments that come sorted by group and bytes; equal segments pass through in a stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[], [], []]
         core, last, first_row, repeats = None, None, None, False
         members: list[tuple] = []
-        rows: list[tuple] = []
 
-        def put(k1: int, k2: int, a: int, b: int) -> None:
-            for c, v in zip(out, (k1, k2, a, b), strict=True):
+        def put(key: bytes, a: int, b: int) -> None:
+            for c, v in zip(out, (key, a, b), strict=True):
                 c.append(v)
 
         def close() -> None:
             if len(members) > 1:
                 for k, a, b in group_spans(members, length, keep):
-                    k1, k2, start = rows[k]
-                    put(k1, k2, start + a, start + b + length)
+                    ((_, _, key), start) = members[k][1]
+                    put(key, start + a, start + b + length)
 
-        for batch in batches:
-            for key, align, doc, k1, k2, start, segment in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
-                if key != core:
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32())], ["key", "a", "b"])
+
+        for rows in batches:
+            for group, align, doc, key, start, segment in zip(*(rows.column(k).to_pylist() for k in range(6)), strict=True):
+                if segment is None:
+                    put(key, start, start + align)
+                    continue
+                if group != core:
                     close()
-                    core, last, members, rows = key, None, [], []
-                place = ((doc is None, doc or 0, k1, k2), start)
+                    core, last, members = group, None, []
+                place = ((doc is None, doc or 0, key), start)
                 if (align, segment) == last:
-                    if place == first_row[0]:
+                    if place == first_row:
                         continue  # the same place, from another row of the same text
-                    put(k1, k2, start, start + len(segment))
+                    put(key, start, start + len(segment))
                     if keep == "none" and not repeats:
-                        a, b, at = first_row[1]
-                        put(a, b, at, at + len(segment))
+                        put(first_row[0][2], first_row[1], first_row[1] + len(segment))
                         repeats = True
                     continue
-                last, first_row, repeats = (align, segment), (place, (k1, k2, start)), False
+                last, first_row, repeats = (align, segment), place, False
                 members.append((align, place, segment))
-                rows.append((k1, k2, start))
             if len(out[0]) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32())], ["k1", "k2", "a", "b"])
-                out = [[], [], [], []]
+                yield batch()
+                out = [[], [], []]
         close()
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32())], ["k1", "k2", "a", "b"])
+        yield batch()
 
     return run
 
@@ -279,23 +339,24 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def keyed(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     t = text_or_empty(text).cast("string")
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(t).alias("k1"), F.xxhash64(t, F.lit(7), F.length(t)).alias("k2"), t.alias("text"))
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.substring(F.unhex(F.sha2(t.cast("binary"), 256)), 1, 16).alias("key"), t.alias("text"))
 
 
 def spans(rows: DataFrame, length: int = LENGTH, keep: str = "none", chunk: int = CHUNK) -> DataFrame:
-    """(k1, k2, spans) of each text that has covered bytes besides what equal texts cover."""
-    found = rows.select("k1", "k2", "text").mapInArrow(_anchor_rows(length), "k1 long, k2 long, at int, first int, last int, h long")
-    w = Window.partitionBy("h")
-    place = F.xxhash64("k1", "k2", "at")
-    again = found.withColumn("p", place).withColumns({"lo": F.min("p").over(w), "hi": F.max("p").over(w)}).filter("lo <> hi")
-    runs = again.groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "first", "last")).alias("runs"))
-    first = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"))
-    wanted = runs.join(first, ["k1", "k2"])
-    texts = rows.join(wanted, ["k1", "k2"]).filter(F.col("doc_id").eqNullSafe(F.col("least"))).select("doc_id", "k1", "k2", "text", "runs")
-    schema = "core long, align int, doc_id long, k1 long, k2 long, start int, segment binary"
-    dealt = texts.mapInArrow(_segment_rows(length, chunk), schema).repartition("core").sortWithinPartitions("core", "align", "segment", "doc_id", "k1", "k2", "start")
-    covered = dealt.mapInArrow(_span_rows(length, keep), "k1 long, k2 long, a int, b int")
-    return covered.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    """(key, spans) of each text that has covered bytes besides what equal texts cover."""
+    found = rows.select("key", "text").mapInArrow(_anchor_rows(length), "key binary, at int, first int, last int, h long, state int")
+    w = Window.partitionBy("h", F.greatest("state", F.lit(0)))
+    place = F.struct("key", "at")
+    again = found.withColumns({"lo": F.min(place).over(w), "hi": F.max(place).over(w), "told": F.max(F.col("state") != 0).over(w)}).filter("(told OR lo <> hi) AND state >= 0")
+    runs = again.groupBy("key").agg(F.collect_set(F.struct("at", "first", "last")).alias("runs"))
+    first = rows.groupBy("key").agg(F.min("doc_id").alias("least"))
+    # By key and id, so that the rows of one text that very many documents hold do not meet in one task.
+    wanted = runs.join(first, "key").select(F.col("key").alias("own"), "least", "runs")
+    texts = rows.join(wanted, (F.col("key") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("doc_id", "key", "text", "runs")
+    schema = "core long, align int, doc_id long, key binary, start int, segment binary"
+    dealt = texts.mapInArrow(_segment_rows(length, chunk, keep), schema).repartition("core").sortWithinPartitions("core", "align", "segment", "doc_id", "key", "start")
+    covered = dealt.mapInArrow(_span_rows(length, keep), "key binary, a int, b int")
+    return covered.groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
 def remove(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, keep: str = "none", kept_text: bool = False) -> DataFrame:
@@ -304,9 +365,9 @@ def remove(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int
     if keep not in ("none", "first"):
         raise ValueError("keep is none or first")
     rows = keyed(docs, text, key)
-    counts = rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")).filter("n > 1")
-    info = spans(rows, length, keep).join(counts, ["k1", "k2"], "full_outer")
-    both = rows.join(info, ["k1", "k2"], "left").select("doc_id", "text", "spans", "n", "least")
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")).filter("n > 1")
+    info = spans(rows, length, keep).join(counts, "key", "full_outer")
+    both = rows.join(info, "key", "left").select("doc_id", "text", "spans", "n", "least")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", starts array<long>, ends array<long>, kept binary" * kept_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
