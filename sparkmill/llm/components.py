@@ -20,12 +20,14 @@ def components(edges: DataFrame) -> DataFrame:
         return pairs.select(F.col("a").alias("node"), F.col("b").alias("component"))
     before = None
     while True:
-        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small_m = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(small_m, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        pairs = cut(small.filter("a <> b").distinct())
+        for _ in range(2):
+            both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+            large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            small_m = large.groupBy("a").agg(F.min("b").alias("m"))
+            small = large.join(small_m, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+            pairs = small.filter("a <> b").distinct()
+        pairs = cut(pairs)
         now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return pairs.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).unionByName(pairs.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

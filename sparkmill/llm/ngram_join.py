@@ -6,13 +6,13 @@ the pairs of that longer prefix, fixed-size subsets that few sets share; large s
 enough to the boundary to link with them, go by inverted lists of single tokens. x is where the cost of both, summed
 over the sizes that the corpus holds, is least. The order puts tokens that many sets hold last.
 
-Candidates come in three steps, each checked and joined to components before the next, and lists whose sets are all in
-one component take no further part. First every class meets one other: the least class of most of its lists, so a group
-of near copies costs a pair for each member. Then, in the lists that still mix components, one representative of
-each component meets the clearest representative. Last, in the lists that are mixed even so, every pair across
-components that can still reach the threshold by the sizes and by how many of its prefix tokens any other set shares
-is checked; no link that would join two components is missed. A check first compares bitmaps of the sets, four bits or
-more a token, which bound the intersection from above; the pairs that the bound leaves intersect the full sets.
+Candidates come in three steps, each checked and joined to components before the next. First every class meets one
+other: of the clearest members of its lists, the one of most of them, so a group of near copies costs a pair for each
+member. Then the other clearest members that lie in another component. Last, in the lists that are mixed even so, every
+pair across components. At each step a pair must still be able to reach the threshold by the sizes and by how many of
+its prefix tokens any other set shares; no link that would join two components is missed. A check first compares bitmaps
+of the sets, four bits or more a token, which bound the intersection from above; the pairs that the bound leaves
+intersect the full sets.
 
 Words and shingles have two 64-bit hashes that share no constants. Sets and classes are known by both (two classes whose
 first halves meet get ids of their own); candidates come by the first, and intersections are counted by the second.
@@ -278,20 +278,18 @@ def verified(docs: DataFrame, width: int, known: Identity, pairs: DataFrame, bit
     return cut(both.filter(100 * F.col("_i") >= percent * (F.size("_a") + F.size("_b") - F.col("_i"))).select("a", "b"))
 
 
-def mixed(lists: DataFrame, links: DataFrame) -> DataFrame:
+def labelled(rows: DataFrame, reached: DataFrame, cls: str, out: str) -> DataFrame:
+    """The rows with the component of a class column, a class without links being its own."""
+    return rows.join(reached.toDF("node_", "component_"), F.col(cls) == F.col("node_"), "left").withColumn(out, F.coalesce("component_", cls)).drop("node_", "component_")
+
+
+def mixed(lists: DataFrame, reached: DataFrame) -> DataFrame:
     """The lists whose sets lie in more than one component, each set with its component."""
-    reached = components(links).withColumnRenamed("node", "cls")
-    label = lists.join(reached, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    label = labelled(lists, reached, "cls", "component")
     open_keys = label.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
     return cut(label.join(open_keys, "key", "left_semi"))
 
 
-def _pairs(a: DataFrame, b: DataFrame, condition: str, percent: int) -> DataFrame:
-    """Pairs of classes of two tables of list entries (as `x` and `y`) under a condition."""
-    both = a.alias("x").join(b.alias("y"), F.expr(f"x.key = y.key AND {condition} AND " + _able("x", "y", percent)))
-    return both.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
-
-
 def identified(docs: DataFrame, width: int, known: Identity) -> DataFrame:
     """The checkpointed rows of `classes`, with classes that share an id renamed. The ids that meet are some
     N squared / 2^65 of N sets: none at a billion, some seventy at fifty billion."""
@@ -322,30 +320,34 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int =
 
     grouped = Window.partitionBy("key")
     lists = prefixes(docs, width, percent, known, token[order], count[order], x)
-    lists = lists.withColumns({"lo": F.min("cls").over(grouped), "hi": F.max("cls").over(grouped)}).filter("lo <> hi").drop("hi")
+    lists = lists.withColumns({"lo": F.min("cls").over(grouped), "hi": F.max("cls").over(grouped)}).filter("lo <> hi").drop("lo", "hi")
     # A set of the overlap zone has pairs and single tokens among its keys; what a pair shares bounds nothing there.
     shared = F.count(F.lit(1)).over(Window.partitionBy("cls"))
     bound = F.when(F.col("n") > x, shared).otherwise(F.col("n")).cast("int")
     size = F.when(F.col("n") > x, F.col("p")).otherwise(F.lit(0)).cast("int")
-    lists = cut(lists.dropDuplicates(["key", "cls"]).select("key", "cls", "lo", "n", size.alias("p"), bound.alias("shared")))
-
-    meets = lists.filter("lo <> cls").groupBy("cls", "lo").agg(F.count(F.lit(1)).alias("times"))
-    best = meets.groupBy("cls").agg(F.max(F.struct("times", "lo")).alias("m")).select(F.least("cls", "m.lo").alias("a"), F.greatest("cls", "m.lo").alias("b")).distinct()
+    lists = cut(lists.dropDuplicates(["key", "cls"]).select("key", "cls", "n", size.alias("p"), bound.alias("shared")))
+
+    clear = F.struct((F.col("shared") - F.col("p")).alias("x"), F.col("shared").alias("s"), F.col("cls").alias("cls"), F.col("n").alias("n"), F.col("p").alias("p"))
+    centres = lists.groupBy("key").agg(F.max(clear).alias("c")).select("key", F.col("c.cls").alias("cls"), F.col("c.n").alias("n"), F.col("c.p").alias("p"), F.col("c.s").alias("shared"))
+    met = lists.alias("l").join(centres.alias("c"), F.expr("l.key = c.key AND l.cls <> c.cls AND " + _able("l", "c", percent)))
+    stars = cut(met.select(F.col("l.cls").alias("cls"), F.col("c.cls").alias("centre")).groupBy("cls", "centre").agg(F.count(F.lit(1)).alias("times")))
+    pair = lambda df: df.select(F.least("cls", "centre").alias("a"), F.greatest("cls", "centre").alias("b")).distinct()
+    best = cut(pair(stars.groupBy("cls").agg(F.max(F.struct("times", "centre")).alias("m")).select("cls", "m.centre")))
     links = verified(docs, width, known, best, bitmaps, percent)
-    open_lists = mixed(lists.drop("lo"), links)
-    if not open_lists.isEmpty():
-        clear = F.struct((F.col("shared") - F.col("p")).alias("x"), F.col("shared").alias("shared"), F.col("cls").alias("cls"), F.col("n").alias("n"), F.col("p").alias("p"))
-        ones = open_lists.groupBy("key", "component").agg(F.max(clear).alias("c")).select("key", "component", "c.*")
-        centres = ones.groupBy("key").agg(F.max(F.struct("x", "shared", "cls", "n", "p", "component")).alias("c")).select("key", "c.*")
-        stars = cut(_pairs(ones, centres, "x.component <> y.component", percent).join(best, ["a", "b"], "left_anti"))
-        more = verified(docs, width, known, stars, bitmaps, percent)
+    reached = cut(components(links))
+    others = labelled(labelled(stars, reached, "cls", "own"), reached, "centre", "other").filter("own <> other")
+    others = cut(pair(others).join(best, ["a", "b"], "left_anti"))
+    if not others.isEmpty():
+        more = verified(docs, width, known, others, bitmaps, percent)
         if not more.isEmpty():
             links = cut(links.unionByName(more))
-            open_lists = mixed(lists.drop("lo"), links)
-        rest = _pairs(open_lists, open_lists, "x.component < y.component", percent)
-        rest = cut(rest.join(stars.unionByName(best), ["a", "b"], "left_anti"))
-        if not rest.isEmpty():
-            links = links.unionByName(verified(docs, width, known, rest, bitmaps, percent))
+            reached = cut(components(links))
+    open_lists = mixed(lists, reached)
+    x, y = open_lists.alias("x"), open_lists.alias("y")
+    rest = x.join(y, F.expr("x.key = y.key AND x.component < y.component AND " + _able("x", "y", percent))).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
+    rest = cut(rest.join(pair(stars), ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        links = links.unionByName(verified(docs, width, known, rest, bitmaps, percent))
 
     # Nodes are a class's smallest doc_id (a class without any comes last), so a component's smallest node names it.
     node = F.struct(F.col("first").isNull().alias("none"), "first", "cls")
