@@ -7,11 +7,17 @@ piece did; the piece goes back to the unpacked ones.
 A plan needs only how many pieces there are of each length, so it works on counts: at most `capacity` numbers reach
 the driver however many documents there are, and bins of one pattern (a multiset of lengths) are planned together with
 their number. Packing all pieces on counts is a global plan, not one per task. Spark then numbers the pieces within
-each length (ranges counted first, so that a length that a third of all pieces share stays spread) and looks up
-sequence and offset in the plan's table of runs, whose size depends on the number of patterns alone.
+each length (counts of salted parts first, summed in the cluster, so that a length that a third of all pieces share
+stays spread) and every piece finds its run in the plan's table by halving. A plan exhausts a length with each pattern
+or two, so the table's size depends on `capacity` alone, not on the input.
+
+Texts are cut into units that the tokenizer encodes independently; units that repeat are looked up, by a hash and then
+byte by byte.
 
 A null text counts as empty: one end id. Documents over the capacity are cut into pieces of `capacity` ids; the first
-piece takes what is left over. Rows repeated in full are packed as often as they come.
+piece takes what is left over. Rows repeated in full are packed as often as they come; an empty table gives an empty
+result. Extra columns of documents take no part, whatever their names; those of pieces are carried by `pack`, but for
+columns named like its outputs, which are replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkmill.llm.common import UnitStore, cut, unit_hashes
+from sparkmill.llm.common import UnitStore, cut, small, unit_hashes
 
 CAPACITY = 1024
 END = 2
@@ -212,33 +218,30 @@ def runs(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, in
 def pack(found: DataFrame, capacity: int = CAPACITY, chunk: int = 1 << 13) -> DataFrame:
     """Adds sequence_id and offset to pieces; `found` should be cheap to read twice (written or checkpointed).
 
-    The ranks of a length's pieces come in two steps: counts by (length, salt), whose running sums the driver holds
-    (capacity x salts numbers, a bound of the parameters), then a rank within each (length, salt).
+    The ranks of a length's pieces come in two steps: counts by (length, salt) and their running sums over the salts of
+    a length, which stay in the cluster, then a rank within each (length, salt).
     """
     spark = found.sparkSession
-    total = found.count()
-    salts = max(1, min(4096, total // chunk))
-    order = ["doc_id", "piece", "start", "ids_crc32"]
-    salted = found.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
-    counted = salted.groupBy("length", "_salt").count().orderBy("length", "_salt").collect()
-    by_length: Counter[int] = Counter()
-    starts = []
-    for r in counted:
-        starts.append((r["length"], r["_salt"], by_length[r["length"]]))
-        by_length[r["length"]] += r["count"]
-    table = runs(plan(dict(by_length), capacity))
-    begun = spark.createDataFrame(starts, "length long, _salt int, _begin long")
-    places = spark.createDataFrame(table, "length long, _from long, _to long, _first long, _at long")
-    ranked = salted.join(F.broadcast(begun), ["length", "_salt"]).withColumn("_rank", F.col("_begin") + F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*order)) - 1)
-    return _place(ranked, places)
-
-
-def _place(ranked: DataFrame, places: DataFrame) -> DataFrame:
-    """The run of a piece is the one of its length that holds its rank: an equi-join on length with a range condition."""
-    p = F.broadcast(places.withColumnRenamed("length", "_length"))
-    joined = ranked.join(p, (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
-    keep = [c for c in ranked.columns if not c.startswith("_")]
-    return joined.select(*keep, (F.col("_first") + F.col("_rank") - F.col("_from")).alias("sequence_id"), F.col("_at").alias("offset"))
+    salts = max(1, min(4096, found.count() // chunk))
+    order = ["row.doc_id", "row.piece", "row.start", "row.ids_crc32"]
+    own = [c for c in found.columns if c not in ("sequence_id", "offset")]
+    rows = found.select(F.struct(*own).alias("row")).withColumns({"length": F.col("row.length").cast("long"), "salt": F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int")})
+    counts = cut(rows.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")))
+    by_length = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    table = np.array(sorted(runs(plan(by_length, capacity))), np.int64).reshape(-1, 5)
+    known = spark.sparkContext.broadcast((table[:, 0] << 40 | table[:, 1], table[:, 3] - table[:, 1], table[:, 4]))
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")
+    begun = small(cut(counts.select("length", "salt", before.alias("begin"))))
+    ranked = rows.join(begun, ["length", "salt"]).select("row", "length", (F.col("begin") + F.row_number().over(Window.partitionBy("length", "salt").orderBy(*order)) - 1).alias("rank"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, shift, offsets = known.value
+        for b in batches:
+            rank = b.column(2).to_numpy()
+            k = np.searchsorted(keys, b.column(1).to_numpy() << 40 | rank, side="right") - 1
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rank + shift[k]), pa.array(offsets[k])], ["row", "sequence_id", "offset"])
+
+    return ranked.mapInArrow(place, f"row {ranked.schema['row'].dataType.simpleString()}, sequence_id long, offset long").select("row.*", "sequence_id", "offset")
 
 
 def pack_documents(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, end: int = END) -> DataFrame:
