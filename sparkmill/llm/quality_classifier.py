@@ -4,9 +4,10 @@ A document is a bag of passages of PASSAGE words, all of them. Every passage is
 characters, and hashed words, through one tanh layer); gated attention, learned from document labels alone, weighs the
 passages, and a logistic unit scores the weighted sum. Ids, languages, sources and labels are never inputs.
 
-The model is fitted on at most MOST_LABELLED labelled rows outside the held-out fifth; every text is then scored whole.
-A null text, or one without words, is a single passage of zeros and gets that bag's score. Repeated rows are scored
-one by one; extra columns do not matter.
+The model is fitted on at most MOST_LABELLED labelled rows (and MOST_BYTES of their text) outside the held-out fifth;
+every text is then scored whole. A null text, or one without words, is a single passage of zeros and gets that bag's
+score. Repeated rows are scored one by one; an empty table gives an empty result, and without any labelled row every
+bag gets the untrained model's score. Extra columns take no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -137,12 +138,18 @@ class Mil:
 def fit(texts: list[str], labels: list[int]) -> Mil:
     """Bags that are longer than others count as one label each, as any bag does."""
     data, offsets = packed(pa.array(texts, pa.string()))
-    doc, x = passages(data, offsets)
-    return Mil(MEASURES + HASHED).fit(doc, x.astype(np.float64), np.array(labels, float))
+    parts = []
+    for a, b in blocks(offsets):  # the sample's words are never held all at once
+        doc, x = passages(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        parts.append((doc + a, x))
+    doc = np.concatenate([np.zeros(0, np.int64), *[d for d, _ in parts]])
+    x = np.concatenate([np.zeros((0, MEASURES + HASHED), np.float32), *[x for _, x in parts]])
+    return Mil(MEASURES + HASHED).fit(doc, x, np.array(labels, float))
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, label: str = "quality") -> Mil:
-    return fit(*labelled(docs, labels, label, most))
+    texts, y = labelled(docs, labels, (label,), most)
+    return fit(texts, y[:, 0])
 
 
 def score(df: DataFrame, model: Mil, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:

@@ -2,12 +2,18 @@
 
 The chain predicts its categories in order. Every link is a logistic regression over hashed words and word beginnings
 plus the probabilities of the links before it; a link is trained with the earlier links' out-of-fold predictions, so
-that it sees earlier probabilities as unsure as they will be on new texts. The last category is the label itself; the
-ones before it are labelled weakly, by a positive label and a word of the category.
-
-The model is fitted on at most MOST_LABELLED labelled rows and then scores every whole text. A null or empty text has no
-features and gets the intercepts' probabilities, which are low; with no positive or no negative label in the sample every
-score is the share of positives. Repeated rows are scored one by one; extra columns do not matter.
+that it sees earlier probabilities as unsure as they will be on new texts. Within a fold the features are selected, and
+the link is fitted, from the other folds' rows alone.
+
+The categories are the label columns that `train` is given, the last one the verdict. Where there is one label alone,
+the categories before it are kinds of positive texts: the words that tell positive from negative texts best are
+clustered by the positive texts they stand in, and a positive text is of the kind that its words point at most. No word
+is listed here; kinds are numbered by size.
+
+The model is fitted on at most MOST_LABELLED labelled rows (and MOST_BYTES of their text) and then scores every whole
+text. A null or empty text has no features and gets the intercepts' probabilities, which are low; with no positive or no
+negative label in the sample every score is about the share of positives. Repeated rows are scored one by one; an empty
+table gives an empty result. Extra columns take no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,13 +35,9 @@ FOLDS = 4
 THRESHOLD = 0.5
 _BITS = 20
 
-# Words that mark the weakly labelled categories.
-CATEGORIES = {
-    "insult": "idiot moron stupid clown loser".split(),
-    "contempt": "worthless pathetic trash".split(),
-    "disgust": "scum disgusting".split(),
-}
-NAMES = (*CATEGORIES, "toxic")
+#: Kinds of positive texts that come before the one label in the chain, and the words that they are found by.
+KINDS = 3
+MARKS = 48
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +74,7 @@ class Link:
 def fit_link(row: np.ndarray, feature: np.ndarray, earlier: np.ndarray, y: np.ndarray, size: int, steps: int = 120, decay: float = 1e-3) -> Link:
     """Logistic regression by Adam over all rows, with an L2 penalty."""
     n, k = len(y), earlier.shape[1]
-    share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+    share = np.clip(y.mean() if n else 0, 1e-3, 1 - 1e-3)
     theta = np.zeros(size + k + 1)
     theta[-1] = np.log(share / (1 - share))
     if not 0 < y.sum() < n:
@@ -88,8 +90,49 @@ def fit_link(row: np.ndarray, feature: np.ndarray, earlier: np.ndarray, y: np.nd
     return Link(theta[:size], theta[size:-1], float(theta[-1]))
 
 
+def select(row: np.ndarray, slot: np.ndarray, y: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The slots that tell positive from negative rows best, at most `size`, and how far each speaks for positive.
+    `row` and `slot` hold each slot of a row once; slots of fewer than four rows take no part."""
+    pos, neg = np.bincount(slot, y[row], 1 << _BITS), np.bincount(slot, 1 - y[row], 1 << _BITS)
+    a, b = max(1.0, y.sum()), max(1.0, len(y) - y.sum())
+    weight = np.where(pos + neg >= 4, (pos / a - neg / b) / np.sqrt((pos + neg + 1) / max(1, len(y))), 0)
+    top = np.argsort(-np.abs(weight), kind="stable")[:size]
+    return top, weight[top]
+
+
+def kinds(row: np.ndarray, slot: np.ndarray, y: np.ndarray, n: int = KINDS, marks: int = MARKS) -> np.ndarray:
+    """A column for each of n kinds: 1 for the positive rows of that kind. Marks are clustered by their cosine over the
+    positive rows, from the first marks that are farthest from each other."""
+    out = np.zeros((len(y), n))
+    top, weight = select(row, slot, y, 1 << _BITS)
+    top = top[weight > 0][:marks]
+    positive = np.flatnonzero(y > 0)
+    if len(top) < n or not len(positive):
+        return out
+    where, place = np.full(1 << _BITS, -1), np.cumsum(y > 0) - 1
+    where[top] = np.arange(len(top))
+    hit = (where[slot] >= 0) & (y[row] > 0)
+    there = np.zeros((len(top), len(positive)))
+    there[where[slot[hit]], place[row[hit]]] = 1
+    unit = there / np.maximum(1e-9, np.linalg.norm(there, axis=1, keepdims=True))
+    centre = unit[:1]
+    for _ in range(n - 1):
+        centre = np.vstack((centre, unit[np.argmin((unit @ centre.T).max(1))]))
+    for _ in range(20):
+        own = np.argmax(unit @ centre.T, 1)
+        moved = np.array([unit[own == k].sum(0) if (own == k).any() else centre[k] for k in range(n)])
+        centre = moved / np.maximum(1e-9, np.linalg.norm(moved, axis=1, keepdims=True))
+    votes = np.array([there[own == k].sum(0) for k in range(n)])
+    kind = np.where(votes.sum(0) > 0, votes.argmax(0), -1)
+    order = np.argsort([-(kind == k).sum() for k in range(n)], kind="stable")
+    for k, old in enumerate(order):
+        out[positive[kind == old], k] = 1
+    return out
+
+
 @dataclass
 class Chain:
+    names: tuple[str, ...]
     table: np.ndarray
     links: list[Link] = field(default_factory=list)
 
@@ -114,14 +157,19 @@ class Chain:
         return np.concatenate(parts) if parts else np.zeros((0, len(self.links)))
 
 
-def _targets(texts: list[str], labels: np.ndarray) -> np.ndarray:
-    split = [set(t.lower().split()) for t in texts]
-    weak = [[bool(y) and not s.isdisjoint(marks) for s, y in zip(split, labels, strict=True)] for marks in CATEGORIES.values()]
-    return np.array([*weak, labels > 0], float).T.reshape(len(texts), len(NAMES))
+def _fold(row: np.ndarray, slot: np.ndarray, y: np.ndarray, seen: np.ndarray, train: np.ndarray, size: int) -> tuple[Link, np.ndarray]:
+    """The link of the rows of `train`, and every row's features by what those rows select."""
+    where, mine = np.cumsum(train) - 1, train[row]
+    top, _ = select(where[row[mine]], slot[mine], y[train, -1], size)
+    table = np.full(1 << _BITS, -1, np.int64)
+    table[top] = np.arange(len(top))
+    use = mine & (table[slot] >= 0)
+    return fit_link(where[row[use]], table[slot[use]], seen[train], y[train, seen.shape[1]], len(top)), table
 
 
-def fit(texts: list[str], labels: list[int], folds: int = FOLDS, size: int = FEATURES) -> Chain:
-    y = _targets(texts, np.array(labels))
+def fit(texts: list[str], labels, folds: int = FOLDS, size: int = FEATURES, names: tuple[str, ...] = ("toxic",)) -> Chain:
+    """`labels`: a number for each text, or a matrix with a column for each of `names`."""
+    y = np.array(labels, float).reshape(len(texts), len(names))
     n = len(texts)
     data, offsets = packed(pa.array(texts, pa.string()))
     found = []
@@ -130,45 +178,42 @@ def fit(texts: list[str], labels: list[int], folds: int = FOLDS, size: int = FEA
         found.append(np.unique((row + a) * (1 << _BITS) + slot))
     keys = np.concatenate(found) if found else np.zeros(0, np.int64)
     row, slot = keys >> _BITS, keys & ((1 << _BITS) - 1)
-    pos = np.bincount(slot, y[row, -1], 1 << _BITS)
-    neg = np.bincount(slot, 1 - y[row, -1], 1 << _BITS)
-    a, b = max(1.0, y[:, -1].sum()), max(1.0, n - y[:, -1].sum())
-    weight = np.where(pos + neg >= 4, np.abs(pos / a - neg / b) / np.sqrt((pos + neg + 1) / n), 0)
-    top = np.argsort(-weight, kind="stable")[:size]
-    table = np.full(1 << _BITS, -1, np.int64)
-    table[top] = np.arange(len(top))
-    chain = Chain(table)
-    hit = table[slot] >= 0
-    row, feature = row[hit], table[slot[hit]]
+    if len(names) == 1:
+        y = np.column_stack((kinds(row, slot, y[:, 0]), y))
+        names = (*(f"{names[0]}_kind_{k + 1}" for k in range(y.shape[1] - 1)), *names)
     fold = np.arange(n) % folds
     seen = np.zeros((n, 0))
-    for k in range(y.shape[1]):
+    chain = None
+    for k in range(len(names)):
         out = np.zeros(n)
         for f in range(folds):
             train, test = fold != f, fold == f
-            where = np.cumsum(train) - 1
-            mine = train[row]
-            link = fit_link(where[row[mine]], feature[mine], seen[train], y[train, k], len(top))
-            out[test] = link.predict(row, feature, seen, n)[test]
-        chain.links.append(fit_link(row, feature, seen, y[:, k], len(top)))
+            if not train.any() or not test.any():
+                continue
+            link, table = _fold(row, slot, y, seen, train, size)
+            use = table[slot] >= 0
+            out[test] = link.predict(row[use], table[slot[use]], seen, n)[test]
+        link, table = _fold(row, slot, y, seen, np.ones(n, bool), size)
+        chain = chain or Chain(names, table)
+        chain.links.append(link)
         seen = np.column_stack((seen, out))
     return chain
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, label: str = "toxic", held_out: bool = True) -> Chain:
-    texts, y = labelled(docs, labels, label, most, held_out)
-    return fit(texts, y)
+def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, names: tuple[str, ...] = ("toxic",), held_out: bool = True) -> Chain:
+    texts, y = labelled(docs, labels, names, most, held_out)
+    return fit(texts, y, names=names)
 
 
 def score(df: DataFrame, chain: Chain, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, the probability of each category, and `predicted` (1 where the last one reaches the threshold)."""
-    model = df.sparkSession.sparkContext.broadcast(chain)
+    model, names = df.sparkSession.sparkContext.broadcast(chain), chain.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             p = model.value.score(b.column(1))
             cols = [pa.array(p[:, k]) for k in range(p.shape[1])]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols, pa.array((p[:, -1] >= threshold).astype(np.int32))], ["doc_id", *NAMES, "predicted"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols, pa.array((p[:, -1] >= threshold).astype(np.int32))], ["doc_id", *names, "predicted"])
 
-    schema = "doc_id long, " + ", ".join(f"{c} double" for c in NAMES) + ", predicted int"
+    schema = "doc_id long, " + ", ".join(f"`{c}` double" for c in names) + ", predicted int"
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
