@@ -370,3 +370,158 @@ def test_pii_promotes_across_long_gaps_and_words(spark):
     texts += [f"{long}y contact at u{k}@mail.example.com {long}z rest" for k in range(8)] + [f"{'pad ' * 500}{long}y contact at hidden@localhost {long}z rest", f"{long[1:]}y contactx at other@localhost {long[1:]}z rest"]
     got = {x.doc_id: x.spans for x in pii.report(frame(spark, texts)).collect()}
     assert got[9].startswith("email:") and got[10] == ""
+
+
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_groups_go_through_suffix_order(keep, monkeypatch):
+    """Every group of two or more segments runs the longest previous factors, and they find what pairs by hand find."""
+    calls = []
+    real = suffix_dedup.longest_factors
+    monkeypatch.setattr(suffix_dedup, "longest_factors", lambda *a: calls.append(1) or real(*a))
+    r = random.Random(16)
+    for n in (2, 3, 5, 9):
+        for _ in range(20):
+            calls.clear()
+            core = bytes(r.choice(b"ab") for _ in range(12))
+            members = []
+            for k in range(n):
+                left, right = (bytes(r.choice(b"ab") for _ in range(r.randint(0, 6))) for _ in range(2))
+                members.append((len(left), ((False, k, b"k"), r.randint(0, 3)), left + core + right))
+            if len({(a, s) for a, _, s in members}) < n:
+                continue
+            size = 14
+            members = [m for m in members if len(m[2]) >= size]
+            if len(members) < 2:
+                continue
+            at = defaultdict(list)
+            for k, (_, (doc, start), s) in enumerate(members):
+                for i in range(len(s) - size + 1):
+                    at[s[i : i + size], i - members[k][0]].append(((doc, start + i), k, i))
+            want = {(k, i) for own in at.values() if len(own) > 1 for place, k, i in own if keep == "none" or place != min(own)[0]}
+            got = {(k, i) for k, a, b in suffix_dedup.group_spans(members, size, keep) for i in range(a, b + 1)}
+            assert got == want and calls
+
+
+def test_suffix_dedup_edges(spark):
+    text = "".join(random.Random(17).choice("abcdef") for _ in range(900))
+    rows = [(1, text), (1, text), (2, text[100:600] + "?"), (None, text), (3, "short"), (4, None), (5, ""), (6, "é" * 500)]
+    df = spark.createDataFrame([(k, t, "key", 7) for k, t in rows], "doc_id long, text string, key string, spans int")
+    got = sorted((x.doc_id or 0, x.n_bytes, x.n_removed, x.n_spans) for x in suffix_dedup.remove(df).collect())
+    assert got == sorted([(1, 900, 900, 1), (1, 900, 900, 1), (2, 501, 500, 1), (0, 900, 900, 1), (3, 5, 0, 0), (4, 0, 0, 0), (5, 0, 0, 0), (6, 1000, 1000, 1)])
+    assert suffix_dedup.remove(df.limit(0)).count() == 0
+
+
+def test_suffix_dedup_of_a_hot_passage(spark):
+    r = random.Random(18)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(450))
+    texts = ["".join(r.choice("xyz") for _ in range(r.randint(0, 60))) + passage + "".join(r.choice("uvw") for _ in range(r.randint(0, 60))) for _ in range(300)]
+    got = {x.doc_id: x for x in suffix_dedup.remove(frame(spark, texts).repartition(3), kept_text=True).collect()}
+    seen = Counter(t[i : i + 400] for t in texts for i in range(len(t) - 399))
+    for k, t in enumerate(texts):
+        gone = {j for i in range(len(t) - 399) if seen[t[i : i + 400]] > 1 for j in range(i, i + 400)}
+        assert bytes(got[k].kept).decode() == "".join(c for i, c in enumerate(t) if i not in gone)
+
+
+def test_packing_documents_against_the_tokenizer(spark):
+    import zlib
+
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    t = bestfit_packing.Tokens(path).tokenizer
+    r = random.Random(19)
+    bits = ["the ", "cat's", " 42", "\n\n", "  ", "é", "日本", "🤯", "<|endoftext|>", "don't ", "x" * 9, "\t", "a" * 3000]
+    texts = [None, "", *["".join(r.choice(bits) for _ in range(r.randint(1, 300))) for _ in range(40)], "word " * 5000]
+    texts += texts[:5]
+    df = spark.createDataFrame([(k, x, 1, 2) for k, x in enumerate(texts)], "doc_id long, text string, length int, rank int")
+    rows = bestfit_packing.pack_documents(df, path).collect()
+    own, bins = defaultdict(list), defaultdict(list)
+    for x in rows:
+        own[x.doc_id].append(x)
+        bins[x.sequence_id].append((x.offset, x.length))
+    for k, x in enumerate(texts):
+        ids = [*t.encode(x or "", add_special_tokens=False).ids, 2]
+        at = 0
+        for p in sorted(own[k], key=lambda p: p.piece):
+            assert p.start == at and p.ids_crc32 == zlib.crc32(np.array(ids[at : at + p.length], "<u4").tobytes())
+            assert p.length == 1024 or p.piece == 0
+            at += p.length
+        assert at == len(ids)
+    for places in bins.values():
+        ends = [a + b for a, b in sorted(places)]
+        assert [a for a, _ in sorted(places)] == [0, *ends[:-1]] and ends[-1] <= 1024
+    assert bestfit_packing.pack_documents(df.limit(0), path).count() == 0
+
+
+def made_texts(seed, n):
+    """Labelled texts whose positives hold one of three groups of marks that no list names."""
+    r = random.Random(seed)
+    plain = [f"plain{k}" for k in range(200)]
+    groups = [[f"{g}mark{k}" for k in range(4)] for g in ("red", "blue", "green")]
+    out = []
+    for k in range(n):
+        own = [r.choice(plain) for _ in range(40)]
+        if k % 4 == 0:
+            own[r.randrange(40)], own[r.randrange(40)] = (r.choice(groups[k // 4 % 3]) for _ in range(2))
+        out.append((" ".join(own), int(k % 4 == 0)))
+    return out
+
+
+def test_toxicity_learns_kinds_and_the_label():
+    texts, y = zip(*made_texts(20, 1200), strict=True)
+    chain = toxicity.fit(list(texts[:900]), list(y[:900]))
+    assert chain.names == ("toxic_kind_1", "toxic_kind_2", "toxic_kind_3", "toxic")
+    p = chain.score(pa.array(texts[900:]))
+    hit = (p[:, -1] >= 0.5) == np.array(y[900:], bool)
+    assert hit.mean() > 0.97
+    told = [[w[: w.index("mark")] for w in t.split() if "mark" in w] for t in texts[900:]]
+    top = defaultdict(Counter)
+    for own, row in zip(told, p, strict=True):
+        if own:
+            top[own[0]][int(row[:3].argmax())] += 1
+    assert len({c.most_common(1)[0][0] for c in top.values()}) == 3  # each kind is a group of marks
+
+
+def test_toxicity_folds_never_see_their_own_rows(monkeypatch):
+    texts, y = zip(*made_texts(21, 200), strict=True)
+    seen = []
+    real = toxicity.select
+    monkeypatch.setattr(toxicity, "select", lambda row, slot, labels, size: seen.append(len(labels)) or real(row, slot, labels, size))
+    toxicity.fit(list(texts), list(y), folds=4)
+    assert seen.count(150) == 16 and seen.count(200) == 5  # four links of four folds; the last fits, and the kinds
+
+
+def test_toxicity_takes_label_columns_and_edges(spark):
+    texts, y = zip(*made_texts(22, 300), strict=True)
+    docs = spark.createDataFrame([(k, t, 1.0) for k, t in enumerate(texts)], "doc_id long, text string, toxic double")
+    labels = spark.createDataFrame([(k, v, 1 - v) for k, v in enumerate(y)] + [(None, 1, 1), (5, None, 1)], "doc_id long, toxic int, calm int")
+    chain = toxicity.train(docs, labels, names=("calm", "toxic"))
+    rows = [(1, texts[0], 0.5), (1, texts[0], 0.5), (2, None, 0.5), (None, "", 0.5), (3, "long " * 200_000, 0.5)]
+    got = toxicity.score(spark.createDataFrame(rows, "doc_id long, text string, toxic double"), chain).collect()
+    assert len(got) == 5 and got[0] == got[1] and got[2].toxic == got[3].toxic and set(got[0].asDict()) == {"doc_id", "calm", "toxic", "predicted"}
+    assert toxicity.score(docs.limit(0), chain).count() == 0
+    empty = toxicity.train(docs, labels.limit(0))
+    assert [x.predicted for x in toxicity.score(docs.limit(2), empty).collect()] == [0, 0]
+
+
+def test_quality_classifier_on_held_out_rows_and_edges(spark):
+    r = random.Random(23)
+    good = lambda: " ".join(r.choice(["sea", "sky", "day", "the", "of"]) + r.choice([".", ",", ""]) for _ in range(150))
+    bad = lambda: " ".join(r.choice(["sea###", "$$$", "|", "sky***"]) for _ in range(150))
+    rows = [(k, good() if k % 3 else good() + " " + bad(), 0.0) for k in range(300)] + [(900, None, 0.0), (901, "", 0.0), (901, "", 0.0), (None, "sea", 0.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(300)], "doc_id long, quality int")
+    model = quality_classifier.train(docs, labels)
+    got = quality_classifier.score(docs, model).collect()
+    held = [x for x in got if x.held_out and x.doc_id < 300]
+    assert len(held) > 30 and np.mean([x.predicted == int(x.doc_id % 3 > 0) for x in held]) > 0.95
+    assert len({x.score for x in got if x.doc_id in (900, 901)}) == 1 and all(0 <= x.score <= 1 for x in got)
+    assert quality_classifier.score(docs.limit(0), model).count() == 0
+    assert 0 <= quality_classifier.score(docs.limit(1), quality_classifier.train(docs, labels.limit(0))).first().score <= 1
+
+
+def test_samples_are_bounded_by_bytes(spark):
+    from sparkmill.llm.training import labelled
+
+    docs = spark.createDataFrame([(k, "x" * 100 * (1 + k % 3)) for k in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    texts, y = labelled(docs, labels, ("quality",), 50, most_bytes=2000)
+    assert 1500 < sum(map(len, texts)) <= 2000 and y.shape == (len(texts), 1)
