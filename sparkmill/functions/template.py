@@ -155,3 +155,25 @@ def compile_template(source: str, record: Column, context: dict[str, Column] | N
         tokens.append(("text", source[at:]))
     out, _ = _Compiler({"record": record, **(context or {})}, record).body(tokens, (), 1)
     return F.when(F.octet_length(out) <= MOST_BYTES, out)
+
+
+def parts(source: str) -> int:
+    """The number of parts of a template whose form is right; TemplateError where it is not."""
+    depth, seen = [], 0
+    for m in _TAG.finditer(source):
+        seen += 1
+        if m[1] is not None:
+            if not m[1].strip():
+                raise TemplateError("an expression is empty")
+            continue
+        word = m[2].strip().partition(" ")[0]
+        if word in ("if", "for"):
+            depth.append(word)
+        elif word in ("endif", "endfor"):
+            if not depth or depth.pop() != word[3:]:
+                raise TemplateError(f"{word} without its beginning")
+        elif word != "else":
+            raise TemplateError(f"unknown tag {word}")
+    if depth:
+        raise TemplateError(f"end{depth[-1]} is missing")
+    return seen

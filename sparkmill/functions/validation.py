@@ -1,7 +1,8 @@
 """JSON Schema compiled into one Spark expression over a variant: the first rule that a value breaks.
 
 Rules: type (one or a list), enum, const, minimum, maximum, exclusiveMinimum, exclusiveMaximum, multipleOf, minLength,
-maxLength, pattern, required, properties, additionalProperties false, items, minItems, maxItems, allOf, anyOf, not. A
+maxLength, pattern, required, properties, additionalProperties false, items, minItems, maxItems, uniqueItems, minProperties,
+maxProperties, allOf, anyOf, oneOf, not. A
 schema with another rule is refused when it is compiled. The result is null for a valid value, else a struct of
 instance_path and schema_path; values never appear in it.
 """
@@ -13,7 +14,7 @@ import json
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_KNOWN = set("type enum const minimum maximum exclusiveMinimum exclusiveMaximum multipleOf minLength maxLength pattern required properties additionalProperties items minItems maxItems allOf anyOf not".split())
+_KNOWN = set("type enum const minimum maximum exclusiveMinimum exclusiveMaximum multipleOf minLength maxLength pattern required properties additionalProperties items minItems maxItems allOf anyOf oneOf uniqueItems minProperties maxProperties not".split())
 _NOTES = {"$schema", "$id", "title", "description", "default", "examples"}
 
 
@@ -105,6 +106,18 @@ def _rules(schema: object, v: Column, at: Column, path: str) -> list[Column]:
         for k, sub in enumerate(schema["anyOf"]):
             holds = holds | _first(_rules(sub, v, at, f"{path}/anyOf/{k}")).isNull()
         need("anyOf", always, holds)
+    if schema.get("oneOf"):
+        hits = F.lit(0)
+        for k, sub in enumerate(schema["oneOf"]):
+            hits = hits + _first(_rules(sub, v, at, f"{path}/oneOf/{k}")).isNull().cast("int")
+        need("oneOf", always, hits == 1)
+    if schema.get("uniqueItems") is True:
+        need("uniqueItems", _is(v, "array"), F.size(items) == F.size(F.array_distinct(F.transform(items, lambda e: F.to_json(e)))))
+    count = F.size(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")))
+    if "minProperties" in schema:
+        need("minProperties", _is(v, "object"), count >= schema["minProperties"])
+    if "maxProperties" in schema:
+        need("maxProperties", _is(v, "object"), count <= schema["maxProperties"])
     if "not" in schema:
         need("not", always, _first(_rules(schema["not"], v, at, f"{path}/not")).isNotNull())
     return out
@@ -120,3 +133,21 @@ def _first(rules: list[Column]) -> Column:
 def compile_schema(schema: object, value: Column) -> Column:
     """Null where `value` is valid, else {instance_path, schema_path} of the first broken rule."""
     return _first(_rules(schema, value, F.lit(""), ""))
+
+
+def check_schema(schema: object, path: str = "") -> None:
+    """SchemaError where a schema holds a rule that is not compiled; names of properties and values are free."""
+    if isinstance(schema, bool):
+        return
+    if not isinstance(schema, dict):
+        raise SchemaError(f"{path or '/'} is not a schema")
+    if odd := set(schema) - _KNOWN - _NOTES:
+        raise SchemaError(f"{path}/{sorted(odd)[0]} is not supported")
+    for n, sub in schema.get("properties", {}).items():
+        check_schema(sub, f"{path}/properties/{n}")
+    for n in ("allOf", "anyOf", "oneOf"):
+        for k, sub in enumerate(schema.get(n, [])):
+            check_schema(sub, f"{path}/{n}/{k}")
+    for n in ("items", "not"):
+        if n in schema:
+            check_schema(schema[n], f"{path}/{n}")

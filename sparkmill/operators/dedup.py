@@ -1,66 +1,143 @@
-"""First-accepted-wins deduplication, exact and by MinHash, in source order."""
+"""First-accepted-wins deduplication, exact and by MinHash, in source order.
 
-from __future__ import annotations
+`exact` marks rows whose key an earlier eligible row has. `minhash` is greedy: a row is a duplicate when some accepted
+earlier row shares a band of its signature and enough of its slots. Rows that an earlier run accepted (`before`) block
+others and are never decided again. A row that the sink cannot hold (`fits` false) is never accepted, so it blocks none.
+"""
 
-import tempfile
+from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkmill.functions.text import word_shingles
+from sparkmill.functions.text import char_shingles, word_shingles
+from sparkmill.operators.checkpoints import cut
 
 _PRIME = 2**31 - 1
 
 
+def digest(keys: list) -> Column:
+    """256 bits of the values of several columns, each with its length, so that no two lists of values read alike."""
+    parts = [F.col(k) if isinstance(k, str) else k for k in keys]
+    texts = [F.coalesce(F.concat(F.octet_length(p.cast("string")).cast("string"), F.lit(":"), p.cast("string")), F.lit("-")) for p in parts]
+    return F.sha2(F.concat(*texts), 256)
+
+
+def late_positions(rows: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """The positions of (position, key, fits) that an earlier accepted row has the key of; of each key the first that fits
+    is accepted. `before` holds keys that are accepted already."""
+    first = rows.filter("fits").groupBy("key").agg(F.min("position").alias("first"))
+    late = rows.join(first, "key").filter("position > first").select("position")
+    if before is not None:
+        late = late.unionByName(rows.join(before.select("key").distinct(), "key", "left_semi").select("position")).distinct()
+    return late
+
+
 def exact(df: DataFrame, keys: list, eligible: Column | None = None) -> DataFrame:
-    """Adds `duplicate`: an earlier eligible row has the same key. Rows that are not eligible never block others."""
+    """Adds `duplicate`: an earlier eligible row has the same key. Rows that are not eligible never block others. What
+    moves are positions and 256-bit keys."""
     ok = F.lit(True) if eligible is None else eligible
-    nth = F.row_number().over(Window.partitionBy(*[F.col(k) if isinstance(k, str) else k for k in keys], ok).orderBy("position"))
-    return df.withColumn("duplicate", ok & (nth > 1))
+    late = late_positions(df.filter(ok).select("position", digest(keys).alias("key"), F.lit(True).alias("fits")))
+    return df.join(late.withColumn("late", F.lit(True)), "position", "left").withColumn("duplicate", F.coalesce("late", F.lit(False))).drop("late")
+
 
+def hashes(shingles: Column) -> Column:
+    """28 bits of each shingle's MD5, so that an affine map of them stays within a long."""
+    return F.transform(shingles, lambda s: F.conv(F.substring(F.md5(s.cast("binary")), 1, 7), 16, 10).cast("long"))
 
-def signatures(df: DataFrame, field: str, num_perm: int, words: int = 3) -> DataFrame:
+
+def signatures(df: DataFrame, field: str, num_perm: int, words: int = 3, tokenization: str = "words", chars: int = 3) -> DataFrame:
     """Adds `signature`: the least value of each affine permutation over the hashes of the shingles."""
-    hashes = F.transform(word_shingles(F.col(field), words), lambda s: F.conv(F.substring(F.md5(s.cast("binary")), 1, 7), 16, 10).cast("long"))
-    df = df.withColumn("_h", hashes)
+    shingles = word_shingles(F.col(field), words) if tokenization == "words" else char_shingles(F.col(field), chars)
+    df = df.withColumn("_h", hashes(shingles))
     slots = [F.array_min(F.transform("_h", _permutation(k))) for k in range(num_perm)]
     return df.withColumn("signature", F.array(*slots)).drop("_h")
 
 
+def permutation(k: int) -> tuple[int, int]:
+    return (1_103_515_245 * (k + 1) + 12_345) % _PRIME, (69_069 * (k + 7) + 362_437) % _PRIME
+
+
 def _permutation(k: int):
-    a, b = (1_103_515_245 * (k + 1) + 12_345) % _PRIME, (69_069 * (k + 7) + 362_437) % _PRIME
+    a, b = permutation(k)
     return lambda h: (h * F.lit(a) + F.lit(b)) % F.lit(_PRIME)
 
 
-def near_pairs(df: DataFrame, bands: int, threshold: float, num_perm: int) -> DataFrame:
-    """(early, late) positions that share a band and agree in a fraction of slots of at least the threshold."""
+def bands(df: DataFrame, bands: int, num_perm: int) -> DataFrame:
+    """(band, part, position) of rows with signatures: a row for each band, part the digest of its slots."""
     rows = num_perm // bands
-    split = df.select("position", "signature", F.posexplode(F.array(*[F.slice("signature", 1 + rows * k, rows) for k in range(bands)])).alias("band", "part"))
-    a = split.select(F.col("position").alias("early"), F.col("signature").alias("s"), "band", "part")
-    b = split.select(F.col("position").alias("late"), F.col("signature").alias("t"), "band", "part")
-    same = F.size(F.filter(F.zip_with("s", "t", lambda x, y: x == y), lambda z: z)) / num_perm
-    return a.join(b, ["band", "part"]).filter("early < late").filter(same >= threshold).select("early", "late").distinct()
-
-
-def greedy(positions: DataFrame, pairs: DataFrame) -> DataFrame:
-    """`duplicate` of each position: some earlier neighbour is accepted. Rounds decide every position whose earlier
-    neighbours are decided; the least undecided one always is, so they end."""
-    spark = positions.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkmill-"))
-    pairs = pairs.checkpoint()
+    parts = F.array(*[F.xxhash64(F.slice("signature", 1 + rows * k, rows)) for k in range(bands)])
+    return df.select("position", F.posexplode(parts).alias("band", "part"))
+
+
+def similarity(num_perm: int) -> Column:
+    return F.size(F.filter(F.zip_with("s", "t", lambda x, y: x == y), lambda z: z)) / num_perm
+
+
+def near_pairs(df: DataFrame, bands_: int, threshold: float, num_perm: int) -> DataFrame:
+    """(early, late) positions that share a band and agree in a fraction of slots of at least the threshold. Buckets hold
+    positions alone; signatures come to the distinct pairs, where a band that only its digest shares is seen too."""
+    rows = num_perm // bands_
+    split = bands(df, bands_, num_perm)
+    a, b = split.withColumnRenamed("position", "early"), split.withColumnRenamed("position", "late")
+    pairs = a.join(b, ["band", "part"]).filter("early < late").select("early", "late").distinct()
+    signed = df.select("position", "signature")
+    both = pairs.join(signed.toDF("early", "s"), "early").join(signed.toDF("late", "t"), "late")
+    shared = F.lit(False)
+    for k in range(bands_):
+        shared = shared | (F.slice("s", 1 + rows * k, rows) == F.slice("t", 1 + rows * k, rows))
+    return both.filter(shared & (similarity(num_perm) >= threshold)).select("early", "late")
+
+
+def greedy(positions: DataFrame, pairs: DataFrame, fixed: DataFrame | None = None) -> DataFrame:
+    """`duplicate` of each position: some earlier neighbour is accepted. `fixed` (position, accepted) is known before.
+
+    Rounds decide every position whose earlier neighbours are decided, or one of whose earlier neighbours is accepted;
+    the least undecided one always is, so they end. A round runs several such steps before it is written.
+    """
+    pairs = cut(pairs)
     late = pairs.select(F.col("late").alias("position")).distinct()
-    state = positions.join(late, "position", "left_semi").withColumn("duplicate", F.lit(None).cast("boolean")).checkpoint()
-    while not state.filter("duplicate is null").isEmpty():
-        known = pairs.join(state.withColumnRenamed("position", "early").withColumnRenamed("duplicate", "gone"), "early", "left").join(late.withColumnRenamed("position", "early").withColumn("node", F.lit(True)), "early", "left")
-        kept = F.when(F.col("node").isNull(), F.lit(True)).otherwise(~F.col("gone"))
-        seen = known.groupBy(F.col("late").alias("position")).agg(F.bool_or(F.coalesce(kept, F.lit(False))).alias("hit"), F.bool_and(kept.isNotNull()).alias("done"))
-        state = state.join(seen, "position").select("position", F.coalesce("duplicate", F.when(F.col("hit"), True).when(F.col("done"), False)).alias("duplicate")).checkpoint()
-    return positions.join(state, "position", "left").select("position", F.coalesce("duplicate", F.lit(False)).alias("duplicate"))
-
-
-def minhash(df: DataFrame, field: str, num_perm: int = 128, bands: int = 16, threshold: float = 0.8, words: int = 3) -> DataFrame:
-    if not 8 <= num_perm <= 1024 or num_perm % bands or not 0 <= threshold <= 1 or not 1 <= words <= 10:
-        raise ValueError("num_perm is 8 to 1024 and a multiple of bands, threshold 0 to 1, words 1 to 10")
-    signed = signatures(df.select("position", field), field, num_perm, words).select("position", "signature")
-    return df.join(greedy(df.select("position"), near_pairs(signed, bands, threshold, num_perm)), "position")
+    early = pairs.select(F.col("early").alias("position")).distinct()
+    nodes = late.unionByName(early).distinct()
+    state = nodes.join(late.withColumn("late", F.lit(True)), "position", "left").select("position", F.when(F.col("late").isNull(), F.lit(True)).alias("accepted"))
+    if fixed is not None:
+        state = state.join(fixed.withColumnRenamed("accepted", "known"), "position", "left").select("position", F.coalesce("known", "accepted").alias("accepted"))
+    state = cut(state)
+    while not state.filter("accepted is null").isEmpty():
+        for _ in range(2):
+            known = pairs.join(state.toDF("early", "accepted"), "early")
+            seen = known.groupBy(F.col("late").alias("position")).agg(F.bool_or(F.coalesce("accepted", F.lit(False))).alias("hit"), F.bool_and(F.col("accepted").isNotNull()).alias("done"))
+            state = state.join(seen, "position", "left").select("position", F.coalesce("accepted", F.when(F.col("hit"), False).when(F.col("done"), True)).alias("accepted"))
+        state = cut(state)
+    return positions.join(state, "position", "left").select("position", (~F.coalesce("accepted", F.lit(True))).alias("duplicate"))
+
+
+def check_parameters(num_perm: int, bands_: int, threshold: float, words: int, tokenization: str, chars: int) -> None:
+    if not 8 <= num_perm <= 1024 or bands_ < 1 or num_perm % bands_ or not 0 <= threshold <= 1 or not 1 <= words <= 10 or not 1 <= chars <= 32 or tokenization not in ("words", "characters"):
+        raise ValueError("num_perm is 8 to 1024 and a multiple of bands, threshold 0 to 1, shingle_words 1 to 10, shingle_chars 1 to 32, tokenization words or characters")
+
+
+def minhash(df: DataFrame, field: str, num_perm: int = 128, bands: int = 16, threshold: float = 0.8, words: int = 3, tokenization: str = "words", chars: int = 3, before: DataFrame | None = None) -> DataFrame:
+    """Adds `duplicate` to rows with a position and a text. A `fits` column, where there is one, holds whether the sink
+    takes the row; `before` (position, signature) holds accepted rows of an earlier run, at positions before all others.
+
+    Of equal signatures only the first row that fits is compared with others: the later ones are duplicates of it, or of
+    what it is a duplicate of.
+    """
+    check_parameters(num_perm, bands, threshold, words, tokenization, chars)
+    fits = F.col("fits") if "fits" in df.columns else F.lit(True)
+    signed = signatures(df.select("position", field, fits.alias("fits")), field, num_perm, words, tokenization, chars).select("position", "signature", "fits")
+    if before is not None:
+        signed = signed.unionByName(before.select("position", "signature", F.lit(True).alias("fits")))
+    signed = cut(signed)
+    heads = signed.filter("fits").groupBy("signature").agg(F.min("position").alias("head"))
+    owned = signed.join(heads, "signature", "left")
+    # A row that does not fit and precedes its head is compared by itself; it blocks none.
+    alone = owned.filter("head is null OR position <= head")
+    pairs = near_pairs(alone, bands, threshold, num_perm)
+    unfit = alone.filter("NOT fits").select(F.col("position").alias("early"))
+    pairs = pairs.join(unfit, "early", "left_anti")
+    fixed = None if before is None else before.select("position", F.lit(True).alias("accepted"))
+    decided = greedy(alone.select("position"), pairs, fixed)
+    out = owned.join(decided, "position", "left").select("position", F.coalesce("duplicate", F.lit(True)).alias("duplicate"))
+    return df.join(out, "position")

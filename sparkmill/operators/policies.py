@@ -6,12 +6,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def allowed(errors) -> int | None:
+    """Rejections that a run survives; None without a policy that stops it on the way."""
+    return 0 if errors.strict else errors.max_failed_records
+
+
+def violated(errors, good: int, bad: int, final: bool) -> str | None:
+    """The policy that the counts break. Shares, and that not all may be rejected, count at the end alone."""
+    most, total = allowed(errors), good + bad
+    if most is not None and bad > most:
+        return "strict" if errors.strict else "max_failed_records"
+    if not final or not total:
+        return None
+    if not good:
+        return "all_rejected"
+    return "max_failed_ratio" if errors.max_failed_ratio is not None and bad / total > errors.max_failed_ratio else None
+
+
 def cut_at(df: DataFrame, bad: str, most: int) -> DataFrame:
     """Rows up to and with the one whose rejection is one too many. The violating row is the (most + 1)-th rejection,
     so a top-k over the rejections finds it; no running sum over all rows is needed."""
     nth = df.filter(F.col(bad) > 0).select("position").orderBy("position").limit(most + 1)
     edge = nth.agg(F.when(F.count(F.lit(1)) > most, F.max("position")).alias("edge"))
-    return df.crossJoin(F.broadcast(edge)).filter(F.col("edge").isNull() | (F.col("position") <= F.col("edge"))).drop("edge")
+    return df.join(F.broadcast(edge), F.col("edge").isNull() | (F.col("position") <= F.col("edge"))).drop("edge")  # one row
 
 
 def final(df: DataFrame, bad: str, ratio: float) -> DataFrame:

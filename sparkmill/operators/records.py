@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from sparkmill.operators.ordering import positions
 
 RESERVED = ("generated", "judge", "_meta")
 
@@ -17,12 +18,14 @@ def admit(df: DataFrame) -> DataFrame:
     return df
 
 
-def with_position(df: DataFrame, order: str) -> DataFrame:
-    """1-based positions in the order of a column, without a window over one partition: rows are range-partitioned and
-    sorted, then each partition's rows are numbered after those before it (one count per partition)."""
-    schema = T.StructType([*df.schema.fields, T.StructField("position", T.LongType(), False)])
-    ordered = admit(df).repartitionByRange(order).sortWithinPartitions(order)
-    return df.sparkSession.createDataFrame(ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1)), schema)
+def reserved(keys: Column) -> Column:
+    """Whether the names of an object's fields hold a reserved one."""
+    return F.arrays_overlap(keys, F.array(*map(F.lit, RESERVED)))
+
+
+def with_position(df: DataFrame, *order: str) -> DataFrame:
+    """1-based positions in the order of the columns that name a row."""
+    return positions(admit(df), list(order))
 
 
 def judge_failure(score: Column, least: float) -> Column:

@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmill.functions import text
+from sparkmill.functions import strictjson, text
 from sparkmill.functions.template import compile_template
 from sparkmill.functions.validation import compile_schema
 from sparkmill.operators import dedup, inspect, policies, records
-from sparkmill.plans import engine, spec
+from sparkmill.plans import contracts, engine, providers, runs, spec, statistics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -53,32 +53,64 @@ def scan_position(spark, d):
 
 @query("select conv_id, turn, role || ': ' || text as prompt, sha256(role || ': ' || text) as prompt_hash from conversations")
 def prompt_render_concat(spark, d):
-    p = F.concat("role", F.lit(": "), "text")
-    return table(spark, d, "conversations").select("conv_id", "turn", p.alias("prompt"), F.sha2(p, 256).alias("prompt_hash"))
+    t = table(spark, d, "conversations").select("conv_id", "turn", F.lit(1).alias("position"), F.to_json(F.struct("role", "text")).alias("record"))
+    return engine.prompted(t, "{{ role }}: {{ record.text }}").select("conv_id", "turn", "prompt", "prompt_hash")
 
 
-@query(f"select doc_id, sha256(({POS})::varchar || ':' || text) as record_id from documents")
+_RECORD = "'{' || concat_ws(',', '\"lang\":\"' || lang || '\"', '\"n_chars\":' || n_chars, '\"source\":\"' || source || '\"') || '}'"
+
+
+@query(f"select doc_id, sha256(({POS})::varchar || ':' || {_RECORD}) as record_id from documents")
 def record_id(spark, d):
-    return docs(spark, d).select("doc_id", F.sha2(F.concat_ws(":", F.col("position").cast("string"), "text"), 256).alias("record_id"))
+    return engine.prompted(_records(spark, d), "{{ n_chars }}").select("doc_id", "record_id")
 
 
 @query("select conv_id, turn, octet_length(encode(text)) + 32 as estimate from conversations")
 def token_estimate(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", (F.octet_length("text") + 32).cast("long").alias("estimate"))
+    return table(spark, d, "conversations").select("conv_id", "turn", providers.estimated(F.col("text")).alias("estimate"))
 
 
 # Filters and validation
 
+_KEYED = "'{\"' || case event_id % 5 when 0 then 'generated' when 1 then 'judge' when 2 then '_meta' else event_type end || '\":' || props || '}'"
+
+
+@query("select event_id, event_id % 5 < 3 or event_type in ('generated', 'judge', '_meta') as reserved from events")
+def reserved_field_check(spark, d):
+    t = table(spark, d, "events").select("event_id", F.expr(_KEYED).alias("record"))
+    return t.select("event_id", records.reserved(F.map_keys(strictjson.fields("record"))).alias("reserved"))
+
+
 _REPLY = "case when event_id % 7 = 0 then substr(props, 1, length(props) - 1) when event_id % 11 = 0 then '[1]' else props end"
 
 
+def _mock(response, **more):
+    """A specification around a mock; its records come as a table."""
+    part = lambda k: more.get(k, {})
+    return spec.check(
+        {
+            "version": 1, "dataset": {"name": "catalog"}, "source": {"type": "inline", "records": []}, "output": {"format": "jsonl", "path": "/catalog"},
+            "providers": {"m": {"type": "mock", "response": response}, **part("providers")}, "generate": {"provider": "m", "prompt": "{{ record }}", **part("generate")},
+            **{k: v for k, v in more.items() if k not in ("providers", "generate")},
+        }
+    )
+
+
+def _replies(spark, d, pipeline):
+    """What becomes of events whose reply is their `props`, some of them cut short or no object."""
+    rows = table(spark, d, "events").select("event_id", F.col("event_id").alias("position"), F.to_json(F.struct(F.expr(_REPLY).alias("reply"))).alias("record"))
+    return engine.outcomes(rows.select("position", "record"), pipeline).withColumnRenamed("position", "event_id")
+
+
+@query(f"with r as (select event_id, {_REPLY} as reply from events) select event_id, case when not json_valid(reply) or json_type(reply) <> 'OBJECT' then 'structured_output' else 'accepted' end as category from r")
+def json_parse_classify(spark, d):
+    return _replies(spark, d, _mock("{{ record.reply }}")).select("event_id", F.coalesce("category", F.lit("accepted")).alias("category"))
+
+
 @query(f"with r as (select event_id, {_REPLY} as reply from events) select event_id, case when not json_valid(reply) then 'structured_output' when json_type(reply) <> 'OBJECT' then 'structured_output' when (reply->>'k')::bigint > 50 then 'validation' else 'accepted' end as category from r")
 def schema_validate_range(spark, d):
-    reply = table(spark, d, "events").select("event_id", F.expr(_REPLY).alias("reply"))
-    v = F.try_parse_json("reply")
-    k = F.try_variant_get(v, "$.k", "long")
-    category = F.when(v.isNull() | ~F.schema_of_variant(v).startswith("OBJECT"), "structured_output").when(k > 50, "validation").otherwise("accepted")
-    return reply.select("event_id", category.alias("category"))
+    rule = _mock("{{ record.reply }}", generate={"output_schema": {"properties": {"k": {"maximum": 50}}}})
+    return _replies(spark, d, rule).select("event_id", F.coalesce("category", F.lit("accepted")).alias("category"))
 
 
 @query("select d.doc_id, case when l.quality is null then 'judge_output' when l.quality < 1 then 'judge_score' else 'accepted' end as category from documents d left join labels l using (doc_id)")
@@ -124,13 +156,13 @@ def _committed(spark, d):
 @query(f"select doc_id from documents where doc_id not in (select doc_id from labels) and text in ({_COMMITTED})")
 def dedup_semi_probe(spark, d):
     now, before = _committed(spark, d)
-    return now.join(before, "text", "left_semi").select("doc_id")
+    return runs.repeated(now, before, "text").select("doc_id")
 
 
 @query(f"select doc_id from documents where doc_id not in (select doc_id from labels) and text not in ({_COMMITTED})")
 def resume_dedup_prefix(spark, d):
     now, before = _committed(spark, d)
-    return now.join(before, "text", "left_anti").select("doc_id")
+    return runs.uncommitted(now, before, "text").select("doc_id")
 
 
 @query(r"select doc_id, len(list_filter(regexp_split_to_array(lower(text), '[\s\p{Z}\x{85}\x0b]+'), lambda x: x <> ''))::bigint as n_words from documents")
@@ -138,11 +170,75 @@ def word_shingle_words(spark, d):
     return docs(spark, d).select("doc_id", F.size(text.words(F.col("text"))).cast("long").alias("n_words"))
 
 
+@query(
+    f"with j as (select d.doc_id, d.text, {POS.replace('doc_id', 'd.doc_id')} as position, l.quality from documents d left join labels l using (doc_id)) "
+    "select doc_id, row_number() over (partition by text order by position) > 1 as duplicate from j where quality >= 1"
+)
+def dedup_exact_after_judge(spark, d):
+    passed = records.judge_failure(F.col("score"), 1.0).isNull()
+    rows = judged(spark, d).withColumn("passed", passed)
+    return dedup.exact(rows, ["text"], eligible=F.col("passed")).filter("passed").select("doc_id", "duplicate")
+
+
+@query(r"with t as (select doc_id, regexp_replace(lower(text), '[\s\p{Z}\x{85}\x0b]+', '', 'g') as t from documents where text is not null) select doc_id, len(list_distinct(list_transform(range(1, greatest(length(t) - 2, 1) + 1), lambda i: substr(t, i, 3))))::bigint as n_shingles from t")
+def char_shingle_count(spark, d):
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", F.size(text.char_shingles(F.col("text"))).cast("long").alias("n_shingles"))
+
+
 @query()
 def minhash_greedy_accept(spark, d):
     return dedup.minhash(docs(spark, d), "text").select("doc_id", "position", "duplicate")
 
 
+@query()
+def minhash_greedy_chars(spark, d):
+    """Shingles of eight characters instead of words, on the shorter texts of the conversations."""
+    t = records.with_position(table(spark, d, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn")
+    return dedup.minhash(t, "text", num_perm=64, bands=16, tokenization="characters", chars=8).select("conv_id", "turn", "duplicate")
+
+
+#: Few permutations, so that the SQL stays short: two bands of two slots.
+_PERM, _BANDS = 4, 2
+_SIGNED = (
+    r"with w as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[\s\p{Z}\x{85}\x0b]+'), lambda x: x <> '') as w from documents), "
+    "s as (select doc_id, list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i : i + 2], chr(31))) as s from w), "
+    "h as (select doc_id, list_transform(list_distinct(s), lambda x: ('0x' || substr(md5(x), 1, 7))::bigint) as h from s), "
+    "g as (select doc_id, [" + ", ".join(f"list_min(list_transform(h, lambda x: (x * {a} + {b}) % 2147483647))" for a, b in map(dedup.permutation, range(_PERM))) + "] as signature from h)"
+)
+
+
+def _signed(spark, d):
+    return dedup.signatures(table(spark, d, "documents").select("doc_id", F.col("doc_id").alias("position"), "text"), "text", _PERM)
+
+
+@query(f"{_SIGNED} select doc_id, array_to_string(signature, ',') as signature from g")
+def minhash_signature_affine(spark, d):
+    return _signed(spark, d).select("doc_id", F.array_join(F.transform("signature", lambda x: x.cast("string")), ",").alias("signature"))
+
+
+@query(f"{_SIGNED}, b as (select doc_id, unnest([0, 1]) as band, signature from g), c as (select doc_id, band, signature[2 * band + 1 : 2 * band + 2] as part from b) select band, count(*) as buckets, max(n) as largest from (select band, part, count(*) as n from c group by band, part) group by band")
+def minhash_band_candidates(spark, d):
+    found = dedup.bands(_signed(spark, d), _BANDS, _PERM).groupBy("band", "part").agg(F.count(F.lit(1)).alias("n"))
+    return found.groupBy("band").agg(F.count(F.lit(1)).alias("buckets"), F.max("n").alias("largest"))
+
+
+_SHARED = "(a.signature[1:2] = b.signature[1:2] or a.signature[3:4] = b.signature[3:4])"
+_EQUAL = " + ".join(f"(a.signature[{k}] = b.signature[{k}])::int" for k in range(1, _PERM + 1))
+
+
+@query(f"{_SIGNED} select a.doc_id as early, b.doc_id as late from g a join g b on a.doc_id < b.doc_id and {_SHARED} where ({_EQUAL}) / {_PERM} >= 0.75")
+def minhash_pairs(spark, d):
+    return dedup.near_pairs(_signed(spark, d), _BANDS, 0.75, _PERM)
+
+
+@query(f"{_SIGNED} select a.doc_id as early, b.doc_id as late, ({_EQUAL}) / {_PERM} as similarity from g a join g b on a.doc_id < b.doc_id and {_SHARED}")
+def minhash_similarity(spark, d):
+    signed = _signed(spark, d).select("position", "signature")
+    pairs = dedup.near_pairs(signed, _BANDS, 0.0, _PERM)
+    both = pairs.join(signed.toDF("early", "s"), "early").join(signed.toDF("late", "t"), "late")
+    return both.select("early", "late", dedup.similarity(_PERM).cast("double").alias("similarity"))
+
+
 # Aggregations
 
 _CAT = ORACLE_SQL["judge_threshold"]
@@ -150,7 +246,7 @@ _CAT = ORACLE_SQL["judge_threshold"]
 
 @query(f"select category, count(*) as n from ({_CAT}) group by category")
 def counters_by_category(spark, d):
-    return judge_threshold(spark, d).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    return statistics.by_category(judge_threshold(spark, d))
 
 
 @query("with v as (select value, row_number() over (order by value) as r, count(*) over () as n from events) select max(case when r = round((n - 1) * 0.5) + 1 then value end) as p50, max(case when r = round((n - 1) * 0.95) + 1 then value end) as p95, max(case when r = round((n - 1) * 0.99) + 1 then value end) as p99 from v")
@@ -158,17 +254,49 @@ def latency_nearest_rank(spark, d):
     return inspect.nearest_ranks(table(spark, d, "events"), "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
 
 
-@query("select role, sum(octet_length(encode(text)) + 32)::bigint as tokens, round(sum(octet_length(encode(text)) + 32) * case role when 'user' then 10.0 else 20.0 end / 1e6, 6)::double as cost from conversations group by role")
+@query("select avg(value) as mean_ms from events")
+def latency_mean(spark, d):
+    return inspect.latency(table(spark, d, "events"), "value").select(F.round("mean_ms", 6).alias("mean_ms"))
+
+
+ORACLE_SQL["latency_mean"] = "select round(avg(value), 6) as mean_ms from events"
+
+
+def _usage(spark, d):
+    tokens = F.sum(providers.estimated(F.col("text"))).cast("long")
+    return table(spark, d, "conversations").groupBy(F.col("role").alias("provider")).agg(tokens.alias("prompt_tokens"), F.count(F.lit(1)).alias("completion_tokens"))
+
+
+_USAGE = "select role, sum(octet_length(encode(text)) + 32)::bigint as tokens, count(*) as replies from conversations group by role"
+
+
+@query(f"select role, tokens, round((tokens * case role when 'user' then 10.0 else 20.0 end + replies * case role when 'user' then 30.0 else 40.0 end) / 1e6, 6)::double as cost from ({_USAGE})")
 def token_cost_by_provider(spark, d):
-    t = F.sum(F.octet_length("text") + 32)
-    price = F.when(F.col("role") == "user", 10.0).otherwise(20.0)
-    return table(spark, d, "conversations").groupBy("role").agg(t.cast("long").alias("tokens")).select("role", "tokens", F.round(F.col("tokens") * price / 1e6, 6).alias("cost"))
+    costed = statistics.costs(_usage(spark, d), {"user": spec.Price(10.0, 30.0)}, spec.Price(20.0, 40.0))
+    return costed.select(F.col("provider").alias("role"), F.col("prompt_tokens").alias("tokens"), F.round("cost", 6).alias("cost"))
+
+
+@query(f"select case when count(*) filter (role <> 'user') = 0 then round(sum(tokens * 10.0) / 1e6, 6) end::double as total from ({_USAGE})")
+def cost_null_when_unpriced(spark, d):
+    return statistics.total_cost(statistics.costs(_usage(spark, d), {"user": spec.Price(10.0, 0.0)})).select(F.round("total", 6).alias("total"))
+
+
+@query(
+    f"with r as (select event_id, {_REPLY} as reply from events), c as (select case when not json_valid(reply) or json_type(reply) <> 'OBJECT' then 's' when (reply->>'k')::bigint > 50 then 'v' else 'a' end as c from r) "
+    "select count(*) as processed_records_total, count(*) + count(*) filter (c <> 'a') as generation_requests_total, count(*) + count(*) filter (c <> 'a') as generation_success_total, count(*) filter (c <> 'a') as regeneration_attempts_total, "
+    "count(*) filter (c = 's') as structured_output_failed_total, count(*) filter (c = 'v') as validation_failed_total, count(*) filter (c = 'a') as accepted_records_total, count(*) filter (c <> 'a') as rejected_records_total from c"
+)
+def run_counters(spark, d):
+    """Every failing reply is asked for once more, and fails again."""
+    rule = _mock("{{ record.reply }}", generate={"regenerate_on_invalid": 1, "output_schema": {"properties": {"k": {"maximum": 50}}}})
+    shown = "processed_records_total generation_requests_total generation_success_total regeneration_attempts_total structured_output_failed_total validation_failed_total accepted_records_total rejected_records_total".split()
+    return statistics.counters(_replies(spark, d, rule)).select(*shown)
 
 
 for _t, _cols in (("orders", ["o_orderkey", "o_totalprice", "o_orderstatus"]), ("documents", ["doc_id", "lang", "n_chars"]), ("events", ["user_id", "event_type", "value"])):
 
     def _inspect(spark, d, t=_t, cols=tuple(_cols)):
-        return inspect.profile(table(spark, d, t).select(*cols))
+        return inspect.profile(table(spark, d, t).select(*cols)).withColumns({"min": F.col("min").cast("double"), "max": F.col("max").cast("double")})
 
     QUERIES[f"inspect_{_t}"] = _inspect
     _num = {"o_orderkey", "o_totalprice", "doc_id", "n_chars", "user_id", "value"}
@@ -180,6 +308,20 @@ for _t, _cols in (("orders", ["o_orderkey", "o_totalprice", "o_orderstatus"]), (
     )
 
 
+@query("select 'doc_id' as name, count(*) as count, null::bigint as distinct from documents union all select 'lang', count(lang), count(distinct lang) from documents")
+def inspect_distinct_capped(spark, d):
+    return inspect.profile(table(spark, d, "documents").select("doc_id", "lang"), most_distinct=100).select("name", "count", "distinct")
+
+
+@query(
+    "with k as (select try_cast(props->>'k' as bigint) as k from events where props is not null) "
+    "select 'k' as name, 'number' as data_type, count(k) as count, count(*) - count(k) as null_count, min(k)::varchar as min, max(k)::varchar as max, round(avg(k::double), 6) as mean, count(distinct k) as distinct from k"
+)
+def inspect_json_props(spark, d):
+    found = inspect.profile_json(table(spark, d, "events").filter("props is not null").select(strictjson.canonical("props").alias("record")))
+    return found.filter("name = 'k'").withColumn("mean", F.round("mean", 6))
+
+
 # Policies, commits, rate windows
 
 _RANKED = f"with c as (select d.doc_id, {POS.replace('doc_id', 'd.doc_id')} as position, case when l.quality is null then 0 else 1 - l.quality end as bad from documents d left join labels l using (doc_id)), r as (select *, sum(bad) over (order by position) as failed from c)"
@@ -206,12 +348,12 @@ def policy_ratio(spark, d):
 
 @query(f"with p as (select doc_id, {POS} as position from documents) select (position - 1) // 128 as batch, min(position) as first, max(position) as last, count(*) as rows from p group by batch")
 def commit_batches(spark, d):
-    return docs(spark, d).groupBy(F.expr("(position - 1) div 128").alias("batch")).agg(F.min("position").alias("first"), F.max("position").alias("last"), F.count(F.lit(1)).alias("rows"))
+    return runs.batches(docs(spark, d), 128)
 
 
 @query(f"with p as (select doc_id, {POS} as position from documents) select doc_id, position from p where position > 256")
 def resume_suffix(spark, d):
-    return docs(spark, d).filter("position > 256").select("doc_id", "position")
+    return runs.after(docs(spark, d), 256).select("doc_id", "position")
 
 
 @query("select event_id, count(*) over w as requests, round(sum(value) over w, 4) as amount from events window w as (partition by user_id order by ts range between interval 60 seconds preceding and current row)")
@@ -219,10 +361,25 @@ def sliding_rate_window(spark, d):
     return policies.rate_window(table(spark, d, "events"), "user_id", "ts", "value").select("event_id", "requests", "amount")
 
 
-@query("select event_id, case when value = floor(value) and abs(value) < 9e15 then 'accepted' else 'sink_row' end as category from events")
+def _fits(spark, d, kind, row):
+    contract = contracts.compile_contract({"type": "object", "required": ["v"], "properties": {"v": kind}})
+    t = table(spark, d, "events").select("event_id", F.expr(row).alias("row"))
+    return t.select("event_id", F.when(contract.fits("row"), "accepted").otherwise("sink_row").alias("category"))
+
+
+@query("select event_id, case event_id % 4 when 0 then 'accepted' else 'sink_row' end as category from events")
 def sink_fit_int(spark, d):
-    v = F.col("value")
-    return table(spark, d, "events").select("event_id", F.when((v == F.floor(v)) & (F.abs(v) < 9e15), "accepted").otherwise("sink_row").alias("category"))
+    return _fits(spark, d, {"type": "integer"}, "concat('{\"v\":', case event_id % 4 when 0 then string(cast(value as bigint)) when 1 then concat(cast(value as bigint), '.0') when 2 then '18446744073709551615' else '\"7\"' end, '}')")
+
+
+@query("select event_id, case when event_id % 4 in (0, 1) then 'accepted' else 'sink_row' end as category from events")
+def sink_fit_double(spark, d):
+    return _fits(spark, d, {"type": "number"}, "concat('{\"v\":', case event_id % 4 when 0 then '12' when 1 then '12.5' when 2 then '9007199254740993' else 'null' end, '}')")
+
+
+@query("select count(*) as total, count(*) as rejected, true as violated, true as all_rejected from labels where quality = 0")
+def policy_all_rejected(spark, d):
+    return policies.final(table(spark, d, "labels").filter("quality = 0").select(F.lit(1).alias("bad")), "bad", 0.5)
 
 
 # Templates, schemas and whole pipelines over records
@@ -246,18 +403,12 @@ def schema_validate_paths(spark, d):
     return table(spark, d, "events").select("event_id", broken.alias("b")).select("event_id", "b.instance_path", "b.schema_path")
 
 
-_PIPELINE = {
-    "version": 1, "dataset": {"name": "lengths"}, "source": {"type": "inline", "records": []}, "dedup": {"fields": ["k", "lang"]}, "output": {"format": "jsonl", "path": "lengths"},
-    "providers": {"m": {"type": "mock", "response": '{"k": {{ n_chars | tojson }}, "lang": {{ lang | tojson }}}'}},
-    "generate": {"provider": "m", "prompt": "Describe {{ source }}", "output_schema": {"properties": {"k": {"type": "integer", "maximum": 5000}}}},
-}
-
-
 @query(
     "with c as (select doc_id, n_chars, lang, case when lang is null or source is null or n_chars is null then 'template' when n_chars > 5000 then 'validation' end as early from documents), "
     "n as (select *, row_number() over (partition by n_chars, lang, early is null order by doc_id) as nth from c) select doc_id, coalesce(early, case when nth > 1 then 'duplicate' else 'accepted' end) as category from n"
 )
 def pipeline_outcomes(spark, d):
     rows = _records(spark, d)
-    done = engine.outcomes(rows.select("position", "record"), spec.check(_PIPELINE)).select("position", "category")
+    pipeline = _mock('{"k": {{ n_chars | tojson }}, "lang": {{ lang | tojson }}}', generate={"prompt": "Describe {{ source }}", "output_schema": {"properties": {"k": {"type": "integer", "maximum": 5000}}}}, dedup={"fields": ["k", "lang"]})
+    done = engine.outcomes(rows.select("position", "record"), pipeline).select("position", "category")
     return rows.select("doc_id", "position").join(done, "position").select("doc_id", F.coalesce("category", F.lit("accepted")).alias("category"))

@@ -1,43 +1,45 @@
 """A pipeline as one declarative plan: every record is accepted, or rejected with the category of its first failure.
 
-The order of failures is template, reply, schema, judge, dedup field, duplicate. Templates, schemas and the mock
-provider are expressions, so everything up to deduplication is one projection over the source; deduplication shuffles
-32-byte keys, never records.
+The order of failures is template, provider, reply, schema (after the allowed regenerations), judge, dedup field,
+duplicate, sink. Templates, schemas and the mock provider are expressions; an HTTP provider is an Arrow stage whose
+outcome is checkpointed, so that no call is made twice. Deduplication shuffles positions and keys, never records.
 """
 
 from __future__ import annotations
 
-import json
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkmill.functions import strictjson
 from sparkmill.functions.template import compile_template
 from sparkmill.functions.validation import compile_schema
 from sparkmill.operators import dedup as dedups
 from sparkmill.operators.checkpoints import cut
+from sparkmill.plans import providers
+from sparkmill.plans.contracts import Contract
 from sparkmill.plans.spec import Spec
-from sparkmill.sources import readers, sinks
+from sparkmill.sources import readers
 
 MODEL = "sparkmill-mock-1"
+ENGINE = "sparkmill"
 
-
-class PolicyError(RuntimeError):
-    """The failure policy that the run broke."""
+# The stage of each category, and a message that holds no value of a record.
+STAGES = {"configuration": "configuration", "structured_output": "parse", "validation": "validate", "judge_output": "judge", "judge_score": "judge", "duplicate": "dedup", "dedup_field": "dedup", "sink_row": "sink"}
+MESSAGES = {
+    "configuration": "the provider cannot take the request", "template": "the template failed", "structured_output": "the reply was not a valid JSON object", "validation": "the reply broke a rule of the schema",
+    "judge_output": "the judge's reply has no usable score", "judge_score": "the judge's score is too low", "duplicate": "an accepted record has the same key", "dedup_field": "a field of the key is missing or no text",
+    "sink_row": "the row does not fit the output schema", "provider_timeout": "the provider took too long", "provider_network": "the provider could not be reached", "provider_http": "the provider answered with an error",
+    "provider_response": "the provider's answer cannot be read", "provider_response_size": "the provider's answer is too long", "provider_refusal": "the provider refused", "provider_truncated": "the provider's answer was cut",
+}
 
 
 @dataclass(frozen=True)
-class Report:
-    run_id: str
-    status: str
-    processed: int
-    accepted: int
-    rejected: int
-    rejections: dict[str, int]
-    source_fingerprint: str
-    pipeline_hash: str
+class Earlier:
+    """What rows that are committed already mean for the ones to come: their keys, or signatures and positions."""
+
+    keys: DataFrame | None = None
 
 
 def source(spark: SparkSession, spec: Spec) -> DataFrame:
@@ -47,122 +49,137 @@ def source(spark: SparkSession, spec: Spec) -> DataFrame:
     return (readers.jsonl if kind == "jsonl" else readers.csv)(spark, spec.source["path"])
 
 
-def _reply(spec: Spec, provider: str, record: Column, **context: Column) -> Column:
-    return compile_template(spec.providers[provider]["response"], record, context)
-
-
 def _text_variant(text: Column) -> Column:
     """A text as a variant of its own."""
     return F.try_variant_get(F.to_variant_object(F.struct(text.alias("t"))), "$.t", "variant")
 
 
-def outcomes(rows: DataFrame, spec: Spec) -> DataFrame:
-    """position, record, record_id, prompt_hash, generated, score, category, instance_path, schema_path of every row."""
-    # Each step is bound by the one before; replies are checked by their parsed form alone.
-    df = rows.withColumn("_r", F.parse_json("record")).withColumn("record_id", F.sha2(F.concat_ws(":", F.col("position").cast("string"), "record"), 256))
-    df = df.withColumn("_prompt", compile_template(spec.generate["prompt"], F.col("_r"))).withColumn("prompt_hash", F.sha2("_prompt", 256))
-    mock = _reply(spec, spec.generate["provider"], F.col("_r"), prompt=_text_variant(F.col("_prompt")), prompt_hash=_text_variant(F.col("prompt_hash")))
-    df = df.withColumn("_text", mock).withColumn("_g", F.try_parse_json("_text"))
-    broken = compile_schema(spec.generate.get("output_schema", True), F.col("_g"))
-    df = df.withColumn("_broken", broken)
-    category = (
-        F.when(F.col("_prompt").isNull() | F.col("_text").isNull(), "template")
-        .when(F.col("_g").isNull() | ~F.schema_of_variant("_g").startswith("OBJECT"), "structured_output")
-        .when(F.col("_broken").isNotNull(), "validation")
-    )
-    if spec.judge:
-        context = {"generated": F.col("_g"), "prompt": _text_variant(compile_template(spec.judge.prompt, F.col("_r"), {"generated": F.col("_g"), "prompt": _text_variant(F.col("_prompt"))}))}
-        df = df.withColumn("_verdict", _reply(spec, spec.judge.provider, F.col("_r"), **context)).withColumn("_v", F.try_parse_json("_verdict"))
-        found = F.try_variant_get("_v", "$['" + spec.judge.score_field.replace("'", "\\'") + "']", "variant")
-        kind = F.schema_of_variant(found)
-        numeric = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
-        df = df.withColumn("score", F.when(numeric, F.try_variant_get(found, "$", "double")))
-        category = category.when(F.col("_verdict").isNull(), "template").when(F.col("score").isNull(), "judge_output").when(F.col("score") < spec.judge.min_score, "judge_score")
+def _call(df: DataFrame, spec: Spec, name: str, applies: Column, prompt: str, feedback: str | None, out: str, context: dict[str, Column]) -> DataFrame:
+    """Adds the reply of a provider to the rows that ask it."""
+    provider = spec.providers[name]
+    if provider["type"] == "mock":
+        own = {"prompt": _text_variant(F.col(prompt)), "prompt_hash": _text_variant(F.sha2(prompt, 256)), **context}
+        if feedback:
+            own["feedback"] = F.coalesce(_text_variant(F.col(feedback)), F.parse_json(F.lit("null")))
+        return df.withColumn(out, providers.mocked(compile_template(provider["response"], F.col("_r"), own), MODEL, applies))
+    http = spec.http(name)
+    tasks = max(1, min(http.concurrency, df.sparkSession.sparkContext.defaultParallelism))
+    asked = df.withColumn("_ask", F.when(applies, F.col(prompt)))
+    return cut(providers.called(asked.drop("_r", "_g"), http, "_ask", feedback, out, tasks)).withColumn("_r", F.parse_json("record")).drop("_ask")
+
+
+def prompted(rows: DataFrame, template: str) -> DataFrame:
+    """Rows (position, record) with record_id, prompt (null where the template fails) and prompt_hash. The id is of the
+    position and the canonical record; the record's variant is `_r`."""
+    df = rows.withColumn("_r", F.parse_json("record"))
+    df = df.withColumn("record_id", F.sha2(F.concat_ws(":", F.col("position").cast("string"), "record"), 256))
+    return df.withColumn("prompt", compile_template(template, F.col("_r"))).withColumn("prompt_hash", F.sha2("prompt", 256))
+
+
+def unstructured(canonical: str) -> Column:
+    """Whether a reply, as its canonical spelling (null: no JSON), is no object."""
+    return F.col(canonical).isNull() | (F.substring(canonical, 1, 1) != "{")
+
+
+def generated(rows: DataFrame, spec: Spec) -> DataFrame:
+    """position, record, record_id, prompt, prompt_hash, generated (canonical), calls, category, stage and paths."""
+    df = prompted(rows.select("position", "record"), spec.generate["prompt"])
+    text = F.lit(None).cast("string")
+    df = df.withColumns({"calls": F.array().cast(f"array<{providers.REPLY}>"), "generated": text, "category": F.when(F.col("prompt").isNull(), "template"), "stage": F.when(F.col("prompt").isNull(), "generate"), "broken": F.lit(None).cast("struct<instance_path:string,schema_path:string>"), "feedback": text, "again": F.col("prompt").isNotNull()})
+    for _ in range(1 + spec.generate.get("regenerate_on_invalid", 0)):
+        df = _call(df, spec, spec.generate["provider"], F.col("again"), "prompt", "feedback", "reply", {})
+        df = df.withColumn("_c", strictjson.canonical(F.col("reply.text"))).withColumn("_g", F.try_parse_json("_c"))
+        df = df.withColumn("_b", compile_schema(spec.generate.get("output_schema", True), F.col("_g")))
+        failed = F.when(F.col("reply.category").isNotNull(), F.col("reply.category")).when(unstructured("_c"), "structured_output").when(F.col("_b").isNotNull(), "validation")
+        df = df.withColumn("_failed", failed)
+        now = lambda new, old: F.when(F.col("again"), new).otherwise(F.col(old))
+        said = F.when(F.col("_failed") == "structured_output", MESSAGES["structured_output"]).when(F.col("_failed") == "validation", F.concat(F.lit("schema validation failed at "), "_b.instance_path", F.lit(" (rule "), "_b.schema_path", F.lit(")")))
+        stage = F.when(F.col("_failed") == "template", "mock").when(F.col("_failed").startswith("provider"), "generate").otherwise(F.col("_failed"))
+        df = df.withColumns({"calls": F.when(F.col("again"), F.array_append("calls", F.col("reply"))).otherwise(F.col("calls")), "generated": now(F.when(F.col("_failed").isNull(), F.col("_c")), "generated"), "category": now(F.col("_failed"), "category"), "stage": now(stage, "stage"), "broken": now(F.col("_b"), "broken"), "feedback": said, "again": F.col("again") & F.coalesce(F.col("_failed").isin("structured_output", "validation"), F.lit(False))})
+        df = df.drop("reply", "_c", "_g", "_b", "_failed")
+    return df.drop("again", "feedback")
+
+
+def scored(df: DataFrame, spec: Spec) -> DataFrame:
+    """Adds judge_call, judge_model and score, and rejects what the judge does not pass."""
+    none = F.lit(None)
+    if not spec.judge:
+        return df.withColumns({"judge_call": none.cast(providers.REPLY), "score": none.cast("double"), "judged": F.lit(False)})
+    j = spec.judge
+    df = df.withColumn("_g", F.try_parse_json("generated")).withColumn("judged", F.col("category").isNull())
+    df = df.withColumn("_jp", compile_template(j.prompt, F.col("_r"), {"generated": F.col("_g"), "prompt": _text_variant(F.col("prompt"))}))
+    df = _call(df, spec, j.provider, F.col("judged") & F.col("_jp").isNotNull(), "_jp", None, "judge_call", {"generated": F.try_parse_json("generated")})
+    df = df.withColumn("_v", F.get(F.transform(F.array(strictjson.fields(F.col("judge_call.text"))), lambda m: F.try_element_at(m, F.lit(j.score_field))), F.lit(0)))
+    number = F.when(F.col("_v").rlike(r"^-?[0-9]"), F.col("_v").cast("double"))
+    df = df.withColumn("score", number)
+    failed = F.when(F.col("_jp").isNull(), "template").when(F.col("judge_call.category").isNotNull(), F.col("judge_call.category")).when(F.col("score").isNull(), "judge_output").when(F.col("score") < j.min_score, "judge_score")
+    stage = F.when(F.col("_jp").isNull(), "judge").when(F.col("judge_call.category") == "template", "mock")
+    return df.withColumns({"category": F.when(F.col("judged"), failed).otherwise(F.col("category")), "stage": F.when(F.col("judged"), stage).otherwise(F.col("stage"))}).drop("_g", "_jp", "_v")
+
+
+def _keyed(df: DataFrame, spec: Spec) -> DataFrame:
+    """Adds `key`: the 256-bit key of exact dedup, or the text of MinHash; rejects rows that have none."""
+    d = spec.dedup
+    if d is None:
+        return df.withColumn("key", F.lit(None).cast("string"))
+    if d.method == "minhash":
+        found = strictjson.key("generated", [d.field], False)
+        df = df.withColumn("_k", found)
+        text = F.get(F.from_json("_k", "array<string>"), F.lit(0))
+        df = df.withColumn("key", F.when(F.col("_k").startswith('["'), text)).drop("_k")
     else:
-        df = df.withColumn("score", F.lit(None).cast("double"))
-    df = df.withColumn("category", category)
+        df = df.withColumn("key", F.sha2(strictjson.key("generated", d.fields, d.normalize == "lowercase"), 256))
+    return df.withColumn("category", F.when(F.col("category").isNull() & F.col("key").isNull(), "dedup_field").otherwise(F.col("category")))
+
+
+def reached(rows: DataFrame, spec: Spec) -> DataFrame:
+    """Every row with its category so far; those without one have passed all but dedup and the sink. Checkpointed."""
+    return cut(_keyed(scored(generated(rows, spec), spec).drop("_r"), spec))
+
+
+def admitted(df: DataFrame, spec: Spec, contract: Contract | None = None, earlier: Earlier | None = None) -> DataFrame:
+    """`reached` rows after dedup and the sink: duplicates of accepted rows, and rows that the contract does not take."""
+    row = strictjson.merged("record", ("generated", F.col("generated")), ("judge", F.to_json(F.when(F.col("judged"), F.struct(F.coalesce("judge_call.model", F.lit("")).alias("model"), F.lit(spec.judge.provider if spec.judge else "").alias("provider"), "score")))))
+    df = df.withColumn("fits", F.when(F.col("category").isNull(), contract.fits(row)).otherwise(F.lit(True)) if contract else F.lit(True))
     if spec.dedup:
-        df = df.withColumn("_key", _key(spec))
-        df = df.withColumn("category", F.when(F.col("category").isNotNull(), F.col("category")).when(F.col("_key").isNull(), "dedup_field"))
-    out = ["position", "record", "record_id", "prompt_hash", F.to_json("_g").alias("generated"), "score", "category", "_broken.instance_path", "_broken.schema_path"]
-    df = df.select(*out, *(["_key"] if spec.dedup else []))
-    return _without_duplicates(cut(df), spec) if spec.dedup else df
+        able = df.filter("category is null").select("position", "key", "fits")
+        d, before = spec.dedup, earlier.keys if earlier else None
+        if d.method == "exact":
+            late = dedups.late_positions(able, before)
+        else:
+            signed = None if before is None else dedups.signatures(before, "key", d.num_perm, d.shingle_words, d.tokenization, d.shingle_chars).select("position", "signature")
+            late = dedups.minhash(able, "key", d.num_perm, d.bands, d.threshold, d.shingle_words, d.tokenization, d.shingle_chars, signed).filter("duplicate").select("position")
+        df = df.join(late.withColumn("late", F.lit(True)), "position", "left").withColumn("category", F.coalesce("category", F.when(F.col("late"), "duplicate"))).drop("late")
+    return df.withColumn("category", F.coalesce("category", F.when(~F.col("fits"), "sink_row"))).drop("fits")
 
 
-def _key(spec: Spec) -> Column:
-    d, g = spec.dedup, F.col("_g")
-    step = lambda p: "$" + "".join(f"[{s}]" if s.isdigit() else f"['{s}']" for s in p.split("."))
-    if d.method == "minhash":
-        v = F.try_variant_get(g, step(d.field), "variant")
-        return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
-    parts = [F.to_json(F.try_variant_get(g, step(p), "variant")) for p in d.fields] if d.fields else [F.to_json(g)]
-    parts = [F.lower(p) if d.normalize == "lowercase" else p for p in parts]
-    whole = F.concat(F.lit(""), *[F.concat(F.length(p).cast("string"), F.lit(":"), p) for p in parts])
-    return F.sha2(whole, 256)
+def outcomes(rows: DataFrame, spec: Spec, contract: Contract | None = None, earlier: Earlier | None = None) -> DataFrame:
+    """position, record, record_id, prompt_hash, generated, calls, judge_call, score, key, category, stage, broken."""
+    return admitted(reached(rows, spec), spec, contract, earlier)
 
 
-def _without_duplicates(df: DataFrame, spec: Spec) -> DataFrame:
-    d = spec.dedup
-    able = df.filter("category is null").select("position", "_key")
-    if d.method == "exact":
-        first = able.groupBy("_key").agg(F.min("position").alias("_first"))
-        late = able.join(first, "_key").filter("position > _first").select("position")
-    else:
-        late = dedups.minhash(able, "_key", d.num_perm, d.bands, d.threshold, d.shingle_words).filter("duplicate").select("position")
-    late = late.withColumn("_late", F.lit(True))
-    return df.join(late, "position", "left").withColumn("category", F.coalesce("category", F.when(F.col("_late"), "duplicate"))).drop("_late", "_key")
+def _attempts() -> Column:
+    return F.coalesce(F.aggregate("calls", F.lit(0).cast("long"), lambda a, c: a + F.coalesce(c["attempts"], F.lit(0))), F.lit(0))
 
 
 def accepted(rows: DataFrame, spec: Spec, run_id: str, mark: str) -> DataFrame:
     """(position, row): the record's fields, the judge's evidence, the reply and the lineage as one JSON object."""
-    known = F.from_json("record", "map<string,variant>")
-    meta = {"run_id": F.lit(run_id), "record_id": F.col("record_id"), "source_position": F.col("position"), "source_fingerprint": F.lit(mark), "pipeline_hash": F.lit(spec.digest()), "pipeline_version": F.lit(spec.version).cast("long"), "stage": F.lit("generate"), "attempt": F.lit(1).cast("long"), "generator_provider": F.lit(spec.generate["provider"]), "generator_model": F.lit(MODEL), "prompt_hash": F.col("prompt_hash"), "template_engine": F.lit("sparkmill")}
-    extra = [F.lit("generated"), F.parse_json("generated")]
+    last = F.element_at("calls", -1)
+    meta = {"run_id": F.lit(run_id), "record_id": F.col("record_id"), "source_position": F.col("position"), "source_fingerprint": F.lit(mark), "pipeline_hash": F.lit(spec.digest()), "pipeline_version": F.lit(spec.version).cast("long"), "stage": F.lit("generate"), "attempt": _attempts(), "generator_provider": F.lit(spec.generate["provider"]), "generator_model": last["model"], "prompt_hash": F.col("prompt_hash"), "template_engine": F.lit(ENGINE)}
+    evidence = F.lit(None).cast("string")
     if spec.judge:
-        meta |= {"judge_provider": F.lit(spec.judge.provider), "judge_model": F.lit(MODEL), "judge_score": F.col("score")}
-        extra += [F.lit("judge"), F.to_variant_object(F.struct(F.lit(MODEL).alias("model"), F.lit(spec.judge.provider).alias("provider"), F.col("score").alias("score")))]
-    extra += [F.lit("_meta"), F.to_variant_object(F.struct(*[meta[k].alias(k) for k in sorted(meta)]))]
-    whole = F.map_concat(known, F.create_map(*extra))
-    # Through a variant, so that keys are in order.
-    return rows.filter("category is null").select("position", F.to_json(F.parse_json(F.to_json(whole))).alias("row"))
+        meta |= {"judge_provider": F.lit(spec.judge.provider), "judge_model": F.col("judge_call.model"), "judge_score": F.col("score")}
+        evidence = F.to_json(F.struct(F.col("judge_call.model").alias("model"), F.lit(spec.judge.provider).alias("provider"), "score"))
+    lineage = F.to_json(F.struct(*[meta[k].alias(k) for k in sorted(meta)]))
+    good = rows.filter("category is null")
+    return good.select("position", strictjson.merged("record", ("generated", F.col("generated")), ("judge", evidence), ("_meta", lineage)).alias("row"))
 
 
 def rejected(rows: DataFrame, run_id: str) -> DataFrame:
     """(position, row): the diagnostic of each rejected record, without any of its values."""
-    stage = F.when(F.col("category").startswith("judge"), "judge").when(F.col("category").isin("duplicate", "dedup_field"), "dedup").otherwise("generate")
+    lookup = lambda table, default: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.col("category")), default)
     broken = F.col("category") == "validation"
-    diagnostic = F.struct(F.lit(1).alias("attempts"), "category", F.when(broken, F.col("instance_path")).alias("instance_path"), F.when(broken, F.col("schema_path")).alias("schema_path"), stage.alias("stage"))
-    return rows.filter("category is not null").select("position", F.to_json(F.struct(diagnostic.alias("diagnostic"), "record_id", F.lit(run_id).alias("run_id"), F.col("position").alias("source_position"))).alias("row"))
-
-
-def policy(spec: Spec, good: int, bad: int) -> str | None:
-    e, total = spec.errors, good + bad
-    if e.strict and bad:
-        return "strict"
-    if e.max_failed_records is not None and bad > e.max_failed_records:
-        return "max_failed_records"
-    if e.max_failed_ratio is not None and total and bad / total > e.max_failed_ratio:
-        return "max_failed_ratio"
-    return "all_rejected" if total and not good else None
-
-
-def run(spark: SparkSession, spec: Spec) -> Report:
-    """Runs and publishes. Nothing is published when a policy is broken or the source changed meanwhile; the target is
-    never replaced."""
-    run_id, target = uuid.uuid4().hex, sinks.Target(spark, spec.output["path"])
-    target.reserve()
-    rows = source(spark, spec)
-    mark = readers.fingerprint(rows)
-    done = cut(outcomes(rows, spec))
-    counts = {r["category"]: r["count"] for r in done.groupBy("category").count().collect()}
-    good = counts.pop(None, 0)
-    report = lambda status: Report(run_id, status, good + sum(counts.values()), good, sum(counts.values()), counts, mark, spec.digest())
-    failed = policy(spec, good, sum(counts.values()))
-    if failed is None and readers.fingerprint(source(spark, spec)) != mark:
-        failed = "source changed"
-    if failed is not None:
-        target.manifest(json.dumps(vars(report("failed")), sort_keys=True))
-        raise PolicyError(failed)
-    target.write(accepted(done, spec, run_id, mark), rejected(done, run_id), spec.output["format"])
-    target.publish(json.dumps(vars(report("completed")), sort_keys=True))
-    return report("completed")
+    stage = F.when(F.col("category").isin("template"), F.col("stage")).otherwise(lookup(STAGES, F.lit("generate")))
+    attempts = F.greatest(F.lit(1), _attempts())
+    diagnostic = F.struct(attempts.alias("attempts"), "category", F.when(broken, F.col("broken.instance_path")).alias("instance_path"), lookup(MESSAGES, F.lit("the record failed")).alias("message"), F.when(broken, F.col("broken.schema_path")).alias("schema_path"), stage.alias("stage"))
+    return rows.filter("category is not null").select("position", F.to_json(F.struct(diagnostic.alias("diagnostic"), "record_id", F.lit(run_id).alias("run_id"), F.col("position").alias("source_position")), {"ignoreNullFields": "false"}).alias("row"))

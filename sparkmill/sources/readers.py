@@ -6,12 +6,11 @@ so no row moves for them. A fatal row names the first position that fails; nothi
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkmill.operators.records import RESERVED
+from sparkmill.functions import strictjson
+from sparkmill.operators.records import RESERVED, reserved
 
 MOST_BYTES = 8 << 20
 MOST_FIELDS = 65_536
@@ -19,7 +18,12 @@ _LOCAL = (1 << 33) - 1
 
 
 class SourceError(ValueError):
-    """A source that cannot be read; the message holds a position and a rule, never a value."""
+    """A source that cannot be read; the message holds a position and a rule, never a value. `position` is the row that
+    cannot be read; the rows before it can."""
+
+    def __init__(self, message: str, position: int = 1) -> None:
+        super().__init__(message)
+        self.position = position
 
 
 def inline(spark: SparkSession, records: list) -> DataFrame:
@@ -27,10 +31,10 @@ def inline(spark: SparkSession, records: list) -> DataFrame:
     rows = []
     for k, r in enumerate(records, 1):
         if not isinstance(r, dict):
-            raise SourceError(f"record {k} is not an object")
+            raise SourceError(f"record {k} is not an object", k)
         if clash := [c for c in RESERVED if c in r]:
-            raise SourceError(f"record {k} holds the reserved field {clash[0]}")
-        rows.append((k, json.dumps(r, sort_keys=True, ensure_ascii=False, separators=(",", ":"))))
+            raise SourceError(f"record {k} holds the reserved field {clash[0]}", k)
+        rows.append((k, strictjson.dump(r)))
     return spark.createDataFrame(rows, "position long, record string")
 
 
@@ -44,27 +48,39 @@ def numbered(df: DataFrame) -> DataFrame:
     return rows.join(blocks, ["_file", "_start"]).withColumn("position", F.col("_place") + F.col("_shift") + 1).drop("_file", "_start", "_place", "_shift")
 
 
-def _problem(line, value):
-    kind = F.schema_of_variant(value)
-    reserved = F.lit(False)
-    for name in RESERVED:
-        reserved = reserved | F.try_variant_get(value, f"$.{name}", "variant").isNotNull()
-    return (
-        F.when(F.octet_length(line) > MOST_BYTES, "longer than 8 MiB").when(F.trim(line) == "", "blank").when(value.isNull(), "not valid JSON")
-        .when(~kind.startswith("OBJECT"), "not an object").when(reserved, "holds a reserved field")
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(position, record, problem) of lines that end with LF or CRLF (the last end may lack). Blank lines, bad JSON, other
+    roots than objects, reserved fields and lines beyond 8 MiB have a problem."""
+    lines = numbered(spark.read.option("lineSep", "\n").text(path)).select("position", F.regexp_replace("value", "\r$", "").alias("line"))
+    rows = lines.withColumn("record", strictjson.canonical("line")).withColumn("keys", F.map_keys(strictjson.fields("record")))
+    problem = (
+        F.when(F.octet_length("line") > MOST_BYTES, "longer than 8 MiB").when(F.trim("line") == "", "blank").when(F.col("record").isNull(), "not valid JSON")
+        .when(F.col("keys").isNull(), "not an object").when(reserved(F.col("keys")), "holds a reserved field")
     )
+    return rows.select("position", "record", problem.alias("problem"))
 
 
 def jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """Lines end with LF or CRLF, the last end may lack. Blank lines, bad JSON, other roots than objects, reserved
-    fields and lines beyond 8 MiB are fatal."""
-    lines = numbered(spark.read.option("lineSep", "\n").text(path)).select("position", F.regexp_replace("value", "\r$", "").alias("line"))
-    value = F.try_parse_json("line")
-    rows = lines.select("position", F.to_json(value).alias("record"), _problem(F.col("line"), value).alias("problem"))
+    """(position, record); SourceError where a line has a problem."""
+    rows, error = _stopped(read_lines(spark, path))
+    if error:
+        raise error
+    return rows
+
+
+def _stopped(rows: DataFrame) -> tuple[DataFrame, SourceError | None]:
+    """The rows before the first that has a problem, and that problem."""
     bad = rows.filter("problem is not null").agg(F.min(F.struct("position", "problem")).alias("first")).first()["first"]
-    if bad is not None:
-        raise SourceError(f"row {bad['position']}: {bad['problem']}")
-    return rows.select("position", "record")
+    if bad is None:
+        return rows.select("position", "record"), None
+    return rows.filter(F.col("position") < bad["position"]).select("position", "record"), SourceError(f"row {bad['position']}: {bad['problem']}", bad["position"])
+
+
+def scan(spark: SparkSession, source: dict) -> tuple[DataFrame, SourceError | None]:
+    """The rows of a source up to its first error, and the error."""
+    if source["type"] == "inline":
+        return inline(spark, source["records"]), None
+    return _stopped(read_lines(spark, source["path"])) if source["type"] == "jsonl" else _stopped(read_csv(spark, source["path"]))
 
 
 def csv_header(names: list[str]) -> list[str]:
@@ -81,15 +97,33 @@ def csv_header(names: list[str]) -> list[str]:
     return names
 
 
-def csv(spark: SparkSession, path: str) -> DataFrame:
-    """A header row, strings alone, quotes doubled inside quotes, line ends allowed in them; ragged rows are fatal."""
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """(position, record, problem) of a file with a header row: strings alone, quotes doubled inside quotes, line ends
+    allowed in them. Ragged rows, rows beyond 8 MiB and bytes that are no UTF-8 have a problem."""
     options = {"quote": '"', "escape": '"', "multiLine": "true", "nullValue": "\0", "emptyValue": "", "encoding": "UTF-8", "maxCharsPerColumn": str(MOST_BYTES), "maxColumns": str(MOST_FIELDS)}
     first = spark.read.options(**options, header="false").csv(path).limit(1).collect()
     names = csv_header([x or "" for x in first[0]] if first else [])
-    schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
-    rows = spark.read.options(**options, header="true", enforceSchema="true", mode="FAILFAST").schema(schema).csv(path)
-    fields = [F.coalesce(F.col(f"`{n.replace('`', '``')}`"), F.lit("")).alias(n) for n in sorted(names)]
-    return numbered(rows).select("position", F.to_json(F.struct(*fields)).alias("record"))
+    quoted = [f"`{n.replace('`', '``')}`" for n in names]
+    ragged = "_ragged" + "_" * max(map(len, names))
+    schema = ", ".join(f"{q} string" for q in [*quoted, f"`{ragged}`"])
+    rows = numbered(spark.read.options(**options, header="true", enforceSchema="true", mode="PERMISSIVE", columnNameOfCorruptRecord=ragged).schema(schema).csv(path))
+    own = {n: F.coalesce(F.col(q), F.lit("")) for n, q in zip(names, quoted, strict=True)}
+    size = F.lit(0)
+    for x in own.values():
+        size = size + F.octet_length(x) + 1
+    broken = F.lit(False)
+    for x in own.values():
+        broken = broken | x.contains("\ufffd")
+    problem = F.when(F.col(f"`{ragged}`").isNotNull(), "has more or fewer fields than the header").when(size > MOST_BYTES, "longer than 8 MiB").when(broken, "not UTF-8")
+    return rows.select("position", F.to_json(F.struct(*[own[n].alias(n) for n in sorted(names)])).alias("record"), problem.alias("problem"))
+
+
+def csv(spark: SparkSession, path: str) -> DataFrame:
+    """(position, record); SourceError where a row has a problem."""
+    rows, error = _stopped(read_csv(spark, path))
+    if error:
+        raise error
+    return rows
 
 
 def fingerprint(rows: DataFrame) -> str:

@@ -1 +1 @@
-
+"""Commits as a stream: files that arrive are taken batch by batch."""
