@@ -24,7 +24,7 @@ import tempfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkmill.llm.common import SPACES, cut, small, text_or_empty
@@ -189,17 +189,19 @@ def decide(df: DataFrame, text: str = "text", key: str = "doc_id", carry: tuple[
     out = rows.join(found, "text_sha256").withColumn("kept", F.col("_id").eqNullSafe(F.col("keep_id")))
     if not found.filter("n_best > 1").isEmpty():  # whole rows repeat: the first of each stays
         alone, same = out.filter("not kept or n_best = 1"), out.filter("kept and n_best > 1")
-        nth = F.row_number().over(Window.partitionBy("text_sha256").orderBy("_id"))
-        out = alone.unionByName(same.withColumn("kept", nth == 1))
+        same = cut(same.withColumn("_place", F.monotonically_increasing_id()))
+        firsts = same.groupBy("text_sha256").agg(F.min("_place").alias("_place")).withColumn("_first", F.lit(True))
+        out = alone.unionByName(same.join(firsts, ["text_sha256", "_place"], "left").withColumn("kept", F.coalesce("_first", F.lit(False))).drop("_place", "_first").select(*alone.columns))
     return out.select(F.col("_id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256", *[F.col(f"_c{k}").alias(c) for k, c in enumerate(carry)])
 
 
 def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", table_bytes: int = TABLE_BYTES) -> DataFrame:
     """The rows that stay, with all their columns. Only ids and digests of the rows that go are joined back."""
     found = cut(groups(df, text, key, table_bytes))
-    rows = df.select(F.col(key).alias("_id"), digest(text).alias("text_sha256"))
-    gone = rows.join(found.filter("group_size > 1"), "text_sha256").filter(~F.col("_id").eqNullSafe(F.col("keep_id"))).select("_id", F.col("text_sha256").alias("_sha"))
-    out = df.withColumn("_own", digest(text)).join(small(cut(gone)), (F.col("_own") == F.col("_sha")) & F.col(key).eqNullSafe(F.col("_id")), "left_anti")
+    whole = df.select(F.struct("*").alias("row"), F.col(key).alias("id"), digest(text).alias("text_sha256"))
+    rows = whole.select("id", "text_sha256")
+    gone = rows.join(found.filter("group_size > 1"), "text_sha256").filter(~F.col("id").eqNullSafe(F.col("keep_id"))).select(F.col("id").alias("gone"), F.col("text_sha256").alias("sha")).distinct()
+    out = whole.join(small(cut(gone)), (F.col("text_sha256") == F.col("sha")) & F.col("id").eqNullSafe(F.col("gone")), "left_anti")
     if not found.filter("n_best > 1").isEmpty():  # whole rows repeat
-        out = out.dropDuplicates(["_own"])
-    return out.drop("_own")
+        out = out.dropDuplicates(["text_sha256"])
+    return out.select("row.*")

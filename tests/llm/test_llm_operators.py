@@ -525,3 +525,16 @@ def test_samples_are_bounded_by_bytes(spark):
     labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
     texts, y = labelled(docs, labels, ("quality",), 50, most_bytes=2000)
     assert 1500 < sum(map(len, texts)) <= 2000 and y.shape == (len(texts), 1)
+
+
+def test_url_filters_take_clashing_names(spark):
+    df = spark.createDataFrame([(1, "http://a.com/en/x", "a", "b", "c")], "page_id long, url string, tokens string, row string, rule string")
+    got = url_filters.judge(df)
+    assert got.columns == ["page_id", "url", "tokens", "row", "host", "path", "rule", "verdict"] and got.first().tokens == "a" and got.first().rule == "com/en/"
+    assert url_filters.judge(df.limit(0)).count() == 0
+
+
+def test_exact_dedup_carries_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b", "x", "y"), (2, "ab", "x", "y"), (1, "a b", "x", "y")], "doc_id long, text string, id string, gone string")
+    assert exact_dedup.dedup(df).columns == df.columns and [tuple(x) for x in exact_dedup.dedup(df).collect()] == [(1, "a b", "x", "y")]
+    assert exact_dedup.dedup(df.limit(0)).count() == 0
