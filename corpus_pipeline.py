@@ -1,7 +1,12 @@
 """A corpus pipeline: quality rules, exact dedup, n-gram Jaccard join, PII redaction, best-fit packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; each result is written as Parquet
-in the shared folder and read again as the next stage's input, so a lost executor costs at most one stage.
+in the shared folder and read again as the next stage's input, so a lost executor costs at most one stage. A stage's
+input is removed once its result is written; the last result stays for as long as the shared folder keeps it.
+
+Null and empty texts have no words, so the first stage rejects them, and an empty table passes through all stages.
+Repeated rows are one after exact dedup; ties go to the smallest doc_id. Texts are taken whole, and extra columns of
+documents are carried up to packing, whatever their names.
 """
 
 from __future__ import annotations
@@ -54,7 +59,14 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     session_paths(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    before = None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        at = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(at)
+        docs = spark.read.parquet(at)
+        if before:
+            files.delete(path(before), True)
+        before = at
     return docs
