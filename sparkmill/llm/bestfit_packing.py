@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkmill.llm.common import UnitStore, cut, small, unit_hashes
+from sparkmill.llm.common import UnitStore, cut, released, small, unit_hashes
 
 CAPACITY = 1024
 END = 2
@@ -139,7 +139,7 @@ def pieces(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", ca
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, kinds[i]) for i, c in enumerate(cols)], names[: len(cols)])
 
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(released(run), schema)
 
 
 def _below(left: np.ndarray, most: int) -> int:
@@ -241,7 +241,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY, chunk: int = 1 << 13) -> Da
             k = np.searchsorted(keys, b.column(1).to_numpy() << 40 | rank, side="right") - 1
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rank + shift[k]), pa.array(offsets[k])], ["row", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, f"row {ranked.schema['row'].dataType.simpleString()}, sequence_id long, offset long").select("row.*", "sequence_id", "offset")
+    return ranked.mapInArrow(released(place), f"row {ranked.schema['row'].dataType.simpleString()}, sequence_id long, offset long").select("row.*", "sequence_id", "offset")
 
 
 def pack_documents(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, end: int = END) -> DataFrame:

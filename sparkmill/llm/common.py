@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +52,23 @@ def small(df: DataFrame, most: int = MOST_BROADCAST, weight: Column | None = Non
     return F.broadcast(df) if n <= most else df
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same stage, which gives what its task held back to the system at its end: workers live on for other stages."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # a C library without it
+                pass
+
+    return wrapped
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -199,7 +218,7 @@ class UnitStore:
     `most_bytes` of their text and starts anew beyond that.
     """
 
-    def __init__(self, encode, most: int = 3_000_000, most_bytes: int = 64 << 20) -> None:
+    def __init__(self, encode, most: int = 1_000_000, most_bytes: int = 32 << 20) -> None:
         self.encode, self.most, self.most_bytes = encode, most, most_bytes
         self.clear()
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkmill.llm.common import U64, blocks, cut, mix, packed, shingle_sets, small
+from sparkmill.llm.common import U64, blocks, cut, mix, packed, released, shingle_sets, small
 from sparkmill.llm.components import components
 
 SHINGLE = 5
@@ -41,6 +41,8 @@ PERCENT = 80
 MOST_FREQUENT = 1 << 18
 #: A token that so many sets of one task hold is a candidate for the frequent ones.
 LOCAL_COUNT = 8
+#: Tokens that a task holds to count them.
+HELD_TOKENS = 2_000_000
 #: Longs of the bounded filters of texts and classes that need their sets again.
 FILTER_WORDS = 1 << 16
 
@@ -137,12 +139,12 @@ def classes(docs: DataFrame, width: int, known: Identity) -> DataFrame:
                 new = pa.array([x is None for x in bits], pa.bool_())
                 mark = pa.compute.if_else(new, pa.scalar(None, long), rows.column(2))
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(cls), np.int32)), rows.column(0), pa.array(cls), pa.array(n), pa.array(half), mark, pa.array(bits, some)], names)
-                if size > 4_000_000:
+                if size > HELD_TOKENS:
                     yield frequent()
                     held, size = [], 0
         yield frequent()
 
-    return docs.mapInArrow(run, "kind int, doc_id long, cls long, n long, half long, mark long, bits array<long>")
+    return docs.mapInArrow(released(run), "kind int, doc_id long, cls long, n long, half long, mark long, bits array<long>")
 
 
 def boundary(sizes: dict[int, int], share: float, list_length: float, percent: int) -> int:
@@ -196,7 +198,7 @@ def prefixes(docs: DataFrame, width: int, percent: int, known: Identity, frequen
                 cols = [np.concatenate([k for k, _, _ in found]).astype(np.int64) if found else np.zeros(0, np.int64), np.repeat(np.array([c for _, c, _ in found], np.int64), sizes), np.repeat(np.array([n for _, _, n in found], np.int32), sizes), np.repeat(np.array(sizes, np.int32), sizes)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "cls", "n", "p"])
 
-    return docs.mapInArrow(run, "key long, cls long, n int, p int")
+    return docs.mapInArrow(released(run), "key long, cls long, n int, p int")
 
 
 def _filter(values: DataFrame) -> np.ndarray:
@@ -233,7 +235,7 @@ def full_sets(docs: DataFrame, width: int, known: Identity, wanted: DataFrame) -
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int64()), pa.array([t for _, t in rows], pa.list_(pa.int64()))], ["cls", "tokens"])
 
-    found = docs.mapInArrow(run, "cls long, tokens array<long>")
+    found = docs.mapInArrow(released(run), "cls long, tokens array<long>")
     return found.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
 
 

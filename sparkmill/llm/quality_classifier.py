@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkmill.llm.common import blocks, packed, words
+from sparkmill.llm.common import blocks, packed, released, words
 from sparkmill.llm.training import labelled
 
 MOST_LABELLED = 5000
@@ -161,6 +161,6 @@ def score(df: DataFrame, model: Mil, text: str = "text", key: str = "doc_id", th
             p = shared.value.score(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    out = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
+    out = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(released(run), "doc_id long, score double, predicted int")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", "predicted")

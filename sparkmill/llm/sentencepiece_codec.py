@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkmill.llm.common import released
+
 MARK = "▁"
 MOST_UNITS = 400_000
 #: Texts whose units are looked up together.
@@ -361,7 +363,7 @@ def encode(df: DataFrame, path: str, text: str = "text", key: str = "doc_id") ->
             lists = [pa.array([[p[k] for p in r] for r in rows], pa.list_(kind)) for k, kind in ((0, pa.int32()), (1, pa.int64()), (2, pa.int64()))]
             yield pa.RecordBatch.from_arrays([b.column(0), *lists], ["doc_id", "ids", "begins", "ends"])
 
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>, begins array<long>, ends array<long>")
+    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(released(run), "doc_id long, ids array<int>, begins array<long>, ends array<long>")
 
 
 def digests(df: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -377,4 +379,4 @@ def digests(df: DataFrame, path: str, text: str = "text", key: str = "doc_id") -
             n, *digest = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.string()) for x in digest)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
 
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string")
+    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(released(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkmill.llm.common import U64, blocks, mix, packed, text_or_empty
+from sparkmill.llm.common import U64, blocks, mix, packed, released, text_or_empty
 
 LENGTH = 400
 GRAM = 32
@@ -344,7 +344,7 @@ def keyed(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
 
 def spans(rows: DataFrame, length: int = LENGTH, keep: str = "none", chunk: int = CHUNK) -> DataFrame:
     """(key, spans) of each text that has covered bytes besides what equal texts cover."""
-    found = rows.select("key", "text").mapInArrow(_anchor_rows(length), "key binary, at int, first int, last int, h long, state int")
+    found = rows.select("key", "text").mapInArrow(released(_anchor_rows(length)), "key binary, at int, first int, last int, h long, state int")
     w = Window.partitionBy("h", F.greatest("state", F.lit(0)))
     place = F.struct("key", "at")
     again = found.withColumns({"lo": F.min(place).over(w), "hi": F.max(place).over(w), "told": F.max(F.col("state") != 0).over(w)}).filter("(told OR lo <> hi) AND state >= 0")
@@ -354,8 +354,8 @@ def spans(rows: DataFrame, length: int = LENGTH, keep: str = "none", chunk: int
     wanted = runs.join(first, "key").select(F.col("key").alias("own"), "least", "runs")
     texts = rows.join(wanted, (F.col("key") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("doc_id", "key", "text", "runs")
     schema = "core long, align int, doc_id long, key binary, start int, segment binary"
-    dealt = texts.mapInArrow(_segment_rows(length, chunk, keep), schema).repartition("core").sortWithinPartitions("core", "align", "segment", "doc_id", "key", "start")
-    covered = dealt.mapInArrow(_span_rows(length, keep), "key binary, a int, b int")
+    dealt = texts.mapInArrow(released(_segment_rows(length, chunk, keep)), schema).repartition("core").sortWithinPartitions("core", "align", "segment", "doc_id", "key", "start")
+    covered = dealt.mapInArrow(released(_span_rows(length, keep)), "key binary, a int, b int")
     return covered.groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
@@ -388,4 +388,4 @@ def remove(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends", "kept"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=False)], names[: len(cols)])
 
-    return both.mapInArrow(run, schema)
+    return both.mapInArrow(released(run), schema)

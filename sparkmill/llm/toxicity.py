@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkmill.llm.common import blocks, packed, unit_hashes, words
+from sparkmill.llm.common import blocks, packed, released, unit_hashes, words
 from sparkmill.llm.training import labelled
 
 MOST_LABELLED = 6000
@@ -216,4 +216,4 @@ def score(df: DataFrame, chain: Chain, text: str = "text", key: str = "doc_id",
             yield pa.RecordBatch.from_arrays([b.column(0), *cols, pa.array((p[:, -1] >= threshold).astype(np.int32))], ["doc_id", *names, "predicted"])
 
     schema = "doc_id long, " + ", ".join(f"`{c}` double" for c in names) + ", predicted int"
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(released(run), schema)
