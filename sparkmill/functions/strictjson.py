@@ -97,7 +97,7 @@ def fields(col: str | Column) -> Column:
 
 
 def key(col: str | Column, paths: list[str] | None, lower: bool) -> Column:
-    """The canonical array of the values at the paths of an object (the object itself without paths), strings in lower
+    """The canonical array of the values at the paths of an object (without paths, of the object alone), strings in lower
     case if asked for; null where a path is missing."""
 
     def one(value: Any) -> str | None:

@@ -21,5 +21,6 @@ def word_shingles(text: Column, n: int = 3) -> Column:
 def char_shingles(text: Column, n: int = 3) -> Column:
     """Distinct windows of n code points of the lower-cased text without white space."""
     t = F.regexp_replace(F.lower(text), r"(?U)\s+", "")
-    windows = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(n)))
+    # A look-ahead matches at every place, in one pass over the text.
+    windows = lambda t: F.when(F.length(t) >= n, F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))).otherwise(F.array(t))
     return F.array_distinct(F.flatten(F.transform(F.array(t), windows)))

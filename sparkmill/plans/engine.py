@@ -86,7 +86,9 @@ def generated(rows: DataFrame, spec: Spec) -> DataFrame:
     df = prompted(rows.select("position", "record"), spec.generate["prompt"])
     text = F.lit(None).cast("string")
     df = df.withColumns({"calls": F.array().cast(f"array<{providers.REPLY}>"), "generated": text, "category": F.when(F.col("prompt").isNull(), "template"), "stage": F.when(F.col("prompt").isNull(), "generate"), "broken": F.lit(None).cast("struct<instance_path:string,schema_path:string>"), "feedback": text, "again": F.col("prompt").isNotNull()})
-    for _ in range(1 + spec.generate.get("regenerate_on_invalid", 0)):
+    for attempt in range(1 + spec.generate.get("regenerate_on_invalid", 0)):
+        if attempt:  # a plan that holds several attempts grows with their product
+            df = cut(df.drop("_r")).withColumn("_r", F.parse_json("record"))
         df = _call(df, spec, spec.generate["provider"], F.col("again"), "prompt", "feedback", "reply", {})
         df = df.withColumn("_c", strictjson.canonical(F.col("reply.text"))).withColumn("_g", F.try_parse_json("_c"))
         df = df.withColumn("_b", compile_schema(spec.generate.get("output_schema", True), F.col("_g")))

@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from sparkmill.functions.template import TemplateError, compile_template
 from sparkmill.functions.validation import SchemaError, compile_schema
-from sparkmill.plans import engine, spec
-from sparkmill.sources import readers, sinks
+from sparkmill.plans import runs, spec
+from sparkmill.sources import readers
 
 RESPONSE = '{"q": {{ ("On " ~ record.topic ~ ".") | tojson }}, "n": {{ record.n | tojson }}}'
 
@@ -76,24 +76,37 @@ def test_csv_quotes_lines_and_headers(spark, tmp_path):
             readers.csv(spark, str(path))
 
 
+def categories(spark, path):
+    out = {}
+    for r in spark.read.text(path).collect():
+        d = json.loads(r.value)
+        out[d["source_position"]] = d["diagnostic"]
+    return out
+
+
+def rows_of(spark, path):
+    return sorted((json.loads(r.value) for r in spark.read.text(path).collect()), key=lambda g: g["_meta"]["source_position"])
+
+
 def test_run_publishes_and_refuses_to_replace(spark, tmp_path):
     rows = [{"topic": "a", "n": 1}, {"topic": "b", "n": 9}, {"n": 1}, {"topic": "a", "n": 1}, {"topic": "c", "n": 2}]
     (tmp_path / "in.jsonl").write_text("\n".join(map(json.dumps, rows)))
     s = spec.check(made(tmp_path, dedup={"fields": ["q"]}))
-    report = engine.run(spark, s)
-    assert (report.accepted, report.rejections) == (2, {"validation": 1, "template": 1, "duplicate": 1})
-    good = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out/accepted")).collect()]
-    assert [(g["_meta"]["source_position"], g["generated"]["q"], g["topic"]) for g in sorted(good, key=lambda g: g["_meta"]["source_position"])] == [(1, "On a.", "a"), (5, "On c.", "c")]
-    bad = {json.loads(r.value)["source_position"]: json.loads(r.value)["diagnostic"] for r in spark.read.text(str(tmp_path / "out/rejected")).collect()}
-    assert bad[2]["schema_path"] == "/properties/n/maximum" and bad[4]["category"] == "duplicate"
-    with pytest.raises(sinks.SinkError):
-        engine.run(spark, s)
+    report = runs.run(spark, s)
+    bad = categories(spark, s.dead_letter)
+    assert (report["status"], report["accepted"], {k: v["category"] for k, v in bad.items()}) == ("completed", 2, {2: "validation", 3: "template", 4: "duplicate"})
+    assert [(g["_meta"]["source_position"], g["generated"]["q"], g["topic"]) for g in rows_of(spark, s.output["path"])] == [(1, "On a.", "a"), (5, "On c.", "c")]
+    assert bad[2]["schema_path"] == "/properties/n/maximum" and bad[2]["stage"] == "validate" and bad[2]["message"]
+    counts = report["statistics"]
+    assert (counts["processed_records_total"], counts["generation_requests_total"], counts["template_failed_total"], counts["validation_failed_total"], counts["duplicate_records_total"]) == (5, 4, 1, 1, 1)
+    with pytest.raises(runs.RunFailed, match="exists"):
+        runs.run(spark, s)
 
 
 def test_policies_stop_publication(spark, tmp_path):
     (tmp_path / "in.jsonl").write_text('{"topic":"a","n":9}\n{"topic":"b","n":1}\n')
-    with pytest.raises(engine.PolicyError, match="strict"):
-        engine.run(spark, spec.check(made(tmp_path, errors={"strict": True})))
+    with pytest.raises(runs.RunFailed, match="strict"):
+        runs.run(spark, spec.check(made(tmp_path, errors={"strict": True})))
     assert not (tmp_path / "out").exists()
 
 
@@ -101,7 +114,11 @@ def test_judge_rejects_low_and_missing_scores(spark, tmp_path):
     (tmp_path / "in.jsonl").write_text('{"topic":"a","n":1,"s":0.9}\n{"topic":"b","n":1,"s":0.1}\n{"topic":"c","n":1,"s":"x"}\n')
     s = made(tmp_path, judge={"provider": "j", "prompt": "Rate {{ generated.q }}", "min_score": 0.5})
     s["providers"]["j"] = {"type": "mock", "response": '{"score": {{ record.s | tojson }}}'}
-    assert engine.run(spark, spec.check(s)).rejections == {"judge_score": 1, "judge_output": 1}
+    s = spec.check(s)
+    report = runs.run(spark, s)
+    assert {k: v["category"] for k, v in categories(spark, s.dead_letter).items()} == {2: "judge_score", 3: "judge_output"}
+    assert (report["statistics"]["judge_requests_total"], report["statistics"]["judge_rejected_total"], report["statistics"]["judge_failed_total"]) == (3, 1, 1)
+    assert rows_of(spark, s.output["path"])[0]["judge"]["score"] == 0.9
 
 
 def test_specifications_are_strict(tmp_path):
