@@ -42,6 +42,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def packed_in(rows: int, each: int = 20_000) -> int:
+    """Partitions for so many short rows: a stage of few rows then leaves few files, whatever the shuffle's partitions."""
+    return max(8, -(-rows // each))
+
+
 #: Rows of ids or digests that are broadcast at most (some 20 to 100 bytes each); more are joined by a shuffle.
 MOST_BROADCAST = 200_000
 

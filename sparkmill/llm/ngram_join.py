@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkmill.llm.common import U64, blocks, cut, mix, packed, released, shingle_sets, small
+from sparkmill.llm.common import U64, blocks, cut, mix, packed, packed_in, released, shingle_sets, small
 from sparkmill.llm.components import components
 
 SHINGLE = 5
@@ -270,14 +270,17 @@ def verified(docs: DataFrame, width: int, known: Identity, pairs: DataFrame, bit
     """The pairs (a, b) of classes that link. `bitmaps` (cls, n, bits, mark) rules most others out; only the sets of the
     classes that are left in a pair are built again and moved."""
     pairs = cut(alike(pairs, bitmaps.select("cls", "n", "bits"), percent))
-    if pairs.isEmpty():
+    rows = pairs.count()
+    if not rows:
         return pairs
+    pairs = pairs.coalesce(packed_in(rows))
     own = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    sets = full_sets(docs, width, known, cut(bitmaps.select("cls", "mark").join(own, "cls", "left_semi")))
+    wanted = cut(bitmaps.select("cls", "mark").join(own, "cls", "left_semi")).coalesce(packed_in(2 * rows))
+    sets = full_sets(docs, width, known, wanted)
     a = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("_a"))
     b = sets.select(F.col("cls").alias("b"), F.col("tokens").alias("_b"))
     both = pairs.join(a, "a").join(b, "b").withColumn("_i", F.size(F.array_intersect("_a", "_b")))
-    return cut(both.filter(100 * F.col("_i") >= percent * (F.size("_a") + F.size("_b") - F.col("_i"))).select("a", "b"))
+    return cut(both.filter(100 * F.col("_i") >= percent * (F.size("_a") + F.size("_b") - F.col("_i"))).select("a", "b").coalesce(packed_in(rows)))
 
 
 def labelled(rows: DataFrame, reached: DataFrame, cls: str, out: str) -> DataFrame:
