@@ -352,14 +352,17 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int =
     rest = x.join(y, F.expr("x.key = y.key AND x.component < y.component AND " + _able("x", "y", percent))).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
     rest = cut(rest.join(pair(stars), ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        links = links.unionByName(verified(docs, width, known, rest, bitmaps, percent))
+        last = verified(docs, width, known, rest, bitmaps, percent)
+        if not last.isEmpty():
+            reached = cut(components(links.unionByName(last)))
 
-    # Nodes are a class's smallest doc_id (a class without any comes last), so a component's smallest node names it.
+    # Nodes are a class's smallest doc_id (a class without any comes last), so a component's smallest one names it.
     node = F.struct(F.col("first").isNull().alias("none"), "first", "cls")
     named = cut(rows.filter("cls <> 0").groupBy("cls").agg(F.min("doc_id").alias("first")).select("cls", node.alias("node")))
-    edge = links.join(named.select(F.col("cls").alias("a"), F.col("node").alias("m")), "a").join(named.select(F.col("cls").alias("b"), F.col("node").alias("n")), "b")
-    reached = components(edge.select(F.col("m").alias("a"), F.col("n").alias("b")))
-    ids = named.join(reached.select(F.col("node.cls").alias("cls"), "component"), "cls", "left").select("cls", F.coalesce("component", "node").getField("first").alias("component_id"))
+    members = reached.withColumnRenamed("node", "cls").join(named, "cls")
+    firsts = small(cut(members.groupBy("component").agg(F.min("node").alias("least"))))
+    joined = members.join(firsts, "component").select("cls", "least")
+    ids = named.join(joined, "cls", "left").select("cls", F.coalesce("least", "node").getField("first").alias("component_id"))
     out = rows.filter("cls <> 0").join(ids, "cls").select("doc_id", "cls", F.col("n").alias("n_shingles"), "component_id")
     return out.unionByName(rows.filter("cls = 0").select("doc_id", "cls", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
