@@ -8,12 +8,18 @@ over the sizes that the corpus holds, is least. The order puts tokens that many
 
 Candidates come in three steps, each checked and joined to components before the next. First every class meets one
 other: of the clearest members of its lists, the one of most of them, so a group of near copies costs a pair for each
-member. Then the other clearest members that lie in another component. Last, in the lists that are mixed even so, every
-pair across components. At each step a pair must still be able to reach the threshold by the sizes and by how many of
+member. Then the other clearest members that lie in another component. Last, in the lists that are mixed even so, the
+pairs across components. At each step a pair must still be able to reach the threshold by the sizes and by how many of
 its prefix tokens any other set shares; no link that would join two components is missed. A check first compares bitmaps
 of the sets, four bits or more a token, which bound the intersection from above; the pairs that the bound leaves
 intersect the full sets.
 
+In the last step, a component of many sets and the sets that met it without a link are a group, whose pairs come from
+what its sets differ in: with c the tokens that more than half of the group hold and D(s) those in which s and c differ,
+s and t differ in |D(s)| + |D(t)| - 2 |D(s) and D(t) in common| tokens. Sets that are near c link with the set nearest to
+it; any other link needs common tokens of D, at least as many as sizes say, and is found by prefixes of D. Only pairs
+that do not lie in one group go by the mixed lists.
+
 Words and shingles have two 64-bit hashes that share no constants. Sets and classes are known by both (two classes whose
 first halves meet get ids of their own); candidates come by the first, and intersections are counted by the second.
 
@@ -43,6 +49,8 @@ MOST_FREQUENT = 1 << 18
 LOCAL_COUNT = 8
 #: Tokens that a task holds to count them.
 HELD_TOKENS = 2_000_000
+#: Classes of a component, and of those that met it, that go by their differences in the last step; fewer go by lists.
+GROUP = 32
 #: Longs of the bounded filters of texts and classes that need their sets again.
 FILTER_WORDS = 1 << 16
 
@@ -295,6 +303,83 @@ def mixed(lists: DataFrame, reached: DataFrame) -> DataFrame:
     return cut(label.join(open_keys, "key", "left_semi"))
 
 
+def grouped(lists: DataFrame, stars: DataFrame, reached: DataFrame) -> DataFrame:
+    """(cls, hub) of the classes of mixed lists that lie in a group of GROUP classes or more: a component, and the classes
+    without links that met one of it in most lists."""
+    met = stars.groupBy("cls").agg(F.max(F.struct("times", "centre")).alias("m")).select("cls", "m.centre")
+    met = labelled(met, reached, "centre", "near").select("cls", "near")
+    own = lists.select("cls").distinct().join(reached.toDF("cls", "linked"), "cls", "left").join(met, "cls", "left")
+    own = cut(own.select("cls", F.coalesce("linked", "near", "cls").alias("hub")))
+    return cut(own.join(own.groupBy("hub").count().filter(F.col("count") >= GROUP).select("hub"), "hub", "left_semi").select("cls", "hub"))
+
+
+def _common_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hub, token, times) of the sets (hub, tokens) that a task reads, counted in bounded lots."""
+    held: dict[int, list[np.ndarray]] = {}
+    size = 0
+
+    def counts() -> Iterator[pa.RecordBatch]:
+        for hub, sets in held.items():
+            token, times = np.unique(np.concatenate(sets), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(token), hub, np.int64)), pa.array(token), pa.array(times.astype(np.int64))], ["hub", "token", "times"])
+
+    for b in batches:
+        for hub, tokens in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            held.setdefault(hub, []).append(tokens.values.to_numpy())
+            size += len(tokens.values)
+            if size > HELD_TOKENS:
+                yield from counts()
+                held, size = {}, 0
+    yield from counts()
+
+
+def differing(docs: DataFrame, width: int, known: Identity, members: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) across components of the members (cls, hub, n, p, shared, component) of one group; every pair of
+    different components that links is among them, or both link with a third that it is in a pair with."""
+    wanted = cut(bitmaps.select("cls", "mark").join(members.select("cls"), "cls", "left_semi"))
+    sets = cut(full_sets(docs, width, known, wanted).join(members, "cls"))
+    size = members.groupBy("hub").agg(F.count(F.lit(1)).alias("size"))
+    times = sets.select("hub", "tokens").mapInArrow(released(_common_counts), "hub long, token long, times long").groupBy("hub", "token").agg(F.sum("times").alias("times"))
+    middle = times.join(size, "hub").filter("2 * times > size").groupBy("hub").agg(F.collect_list("token").alias("middle"))
+    # A hub whose sets share no token has an empty middle.
+    apart = sets.join(small(cut(size.select("hub").join(middle, "hub", "left"))), "hub").withColumn("middle", F.coalesce("middle", F.array().cast("array<long>")))
+    apart = apart.withColumn("diff", F.concat(F.array_except("tokens", "middle"), F.array_except("middle", "tokens")))
+    weight = (100 - percent) * F.size("tokens") - (100 + percent) * F.size("diff")
+    apart = cut(apart.select("hub", "cls", "component", "n", "p", "shared", weight.cast("long").alias("weight"), "diff"))
+    # Two sets link if their weights and 2 (100 + percent) for each common token of their differences sum to 0 or more.
+    best = apart.groupBy("hub").agg(F.max(F.struct("weight", "cls", "component")).alias("best"))
+    edge = apart.select("hub", "weight").join(best, "hub").filter("weight + best.weight < 0").groupBy("hub").agg(F.max("weight").alias("beyond"))
+    bounds = small(cut(best.join(edge, "hub", "left").select("hub", "best", "beyond")))
+    both = apart.join(bounds, "hub").withColumn("far", F.expr("weight + best.weight < 0"))
+    near = both.filter("NOT far AND component <> best.component").select(F.least("cls", "best.cls").alias("a"), F.greatest("cls", "best.cls").alias("b"))
+    step = 2 * (100 + percent)
+    need = F.expr(f"greatest(1, ({step - 1} - weight - CASE WHEN far THEN best.weight ELSE beyond END) div {step})")
+    tokens = both.filter("beyond IS NOT NULL").withColumn("need", need.cast("int")).select("hub", "cls", "component", "n", "p", "shared", "weight", "far", "need", F.explode("diff").alias("token"))
+    tokens = tokens.withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("hub", "token"))).filter("times > 1")
+    own = Window.partitionBy("cls")
+    tokens = tokens.withColumns({"at": F.row_number().over(own.orderBy("times", "token")), "rows": F.count(F.lit(1)).over(own)}).filter("at <= rows - need + 1")
+    tokens = cut(tokens.withColumn("left", (F.col("rows") - F.col("at") + 1).cast("int")).drop("times", "rows", "need", "at"))
+    x, y = tokens.alias("x"), tokens.alias("y")
+    link = f"x.hub = y.hub AND x.token = y.token AND x.cls < y.cls AND x.component <> y.component AND (x.far OR y.far) AND x.weight + y.weight + {step} * least(x.left, y.left) >= 0 AND " + _able("x", "y", percent)
+    return near.unionByName(x.join(y, F.expr(link)).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))).distinct()
+
+
+def last_pairs(docs: DataFrame, width: int, known: Identity, lists: DataFrame, stars: DataFrame, reached: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) across components that mixed lists leave: those of one group by their differences, others by lists."""
+    groups = grouped(lists, stars, reached)
+    rows = lists.join(small(groups), "cls", "left")
+    most = rows.filter("hub IS NOT NULL").groupBy("key", "hub").count().groupBy("key").agg(F.max(F.struct("count", "hub")).alias("m")).select("key", F.col("m.hub").alias("main"))
+    # Of a list's largest group, two sets do not meet here.
+    rows = cut(rows.join(most, "key", "left").withColumn("other", F.expr("hub IS NULL OR hub <> main")).drop("main"))
+    x, y = rows.filter("other").alias("x"), rows.alias("y")
+    pair = "x.key = y.key AND x.component <> y.component AND (NOT y.other OR x.component < y.component) AND (x.hub IS NULL OR y.hub IS NULL OR x.hub <> y.hub) AND "
+    rest = x.join(y, F.expr(pair + _able("x", "y", percent))).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
+    if groups.isEmpty():
+        return rest.distinct()
+    members = cut(lists.select("cls", "n", "p", "shared", "component").distinct().join(groups, "cls"))
+    return rest.unionByName(differing(docs, width, known, members, bitmaps, percent)).distinct()
+
+
 def identified(docs: DataFrame, width: int, known: Identity) -> DataFrame:
     """The checkpointed rows of `classes`, with classes that share an id renamed. The ids that meet are some
     N squared / 2^65 of N sets: none at a billion, some seventy at fifty billion."""
@@ -348,8 +433,7 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int =
             links = cut(links.unionByName(more))
             reached = cut(components(links))
     open_lists = mixed(lists, reached)
-    x, y = open_lists.alias("x"), open_lists.alias("y")
-    rest = x.join(y, F.expr("x.key = y.key AND x.component < y.component AND " + _able("x", "y", percent))).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
+    rest = last_pairs(docs, width, known, open_lists, stars, reached, bitmaps, percent)
     rest = cut(rest.join(pair(stars), ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         last = verified(docs, width, known, rest, bitmaps, percent)

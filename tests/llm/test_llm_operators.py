@@ -299,6 +299,48 @@ def test_ngram_join_of_a_chain_and_of_a_large_group(spark):
     assert [got[k] for k in range(n + 5000, len(texts))] == list(range(n + 5000, len(texts)))
 
 
+def linked(sets, percent):
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
+                low, high = sorted((find(i), find(j)))
+                root[high] = low
+    return [find(i) for i in range(len(sets))]
+
+
+def test_ngram_join_of_near_copies_around_the_threshold(spark, monkeypatch):
+    """Sets of one base that link with some of their group or none: few pairs are checked, and no link is lost."""
+    r = random.Random(19)
+    texts = []
+    for g, size in enumerate((150, 110)):
+        base = [f"g{g}w{k}" for k in range(size)]
+        for k in range(260):
+            own = list(base)
+            for _ in range(r.choice((1, 2, 2, 3, 3, 3, 4, 4))):
+                at = r.randrange(size)
+                own[at : at + r.choice((0, 1, 1, 2))] = [f"x{r.randrange(400)}"]
+            texts.append(" ".join(own))
+    r.shuffle(texts)
+    sets = [frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for w in map(str.split, texts)]
+    checked = []
+    real = ngram_join.alike
+    monkeypatch.setattr(ngram_join, "alike", lambda pairs, *a: checked.append(pairs.count()) or real(pairs, *a))
+    for most in (None, 2):
+        checked.clear()
+        if most:
+            monkeypatch.setattr(ngram_join, "GROUP", most)
+        got = {x.doc_id: x.component_id for x in ngram_join.join(frame(spark, texts)).collect()}
+        assert [got[k] for k in range(len(texts))] == linked(sets, 80)
+        assert len(set(got.values())) > 20 and sum(checked) < 10 * len(texts), checked
+
+
 def test_ngram_join_edges(spark):
     rows = [(None, "p q r s t u"), (None, "p q r s t u"), (7, "p q r s t u"), (7, "p q r s t u"), (None, "m n o p q r"), (9, None)]
     df = spark.createDataFrame([(k, t, 1, 2, 3) for k, t in rows], "doc_id long, text string, cls int, component_id int, gone int")
