@@ -581,3 +581,22 @@ def test_exact_dedup_carries_clashing_names(spark):
     df = spark.createDataFrame([(1, "a b", "x", "y"), (2, "ab", "x", "y"), (1, "a b", "x", "y")], "doc_id long, text string, id string, gone string")
     assert exact_dedup.dedup(df).columns == df.columns and [tuple(x) for x in exact_dedup.dedup(df).collect()] == [(1, "a b", "x", "y")]
     assert exact_dedup.dedup(df.limit(0)).count() == 0
+
+
+def test_suffix_dedup_moves_only_texts_that_repeat_something(spark):
+    r = random.Random(20)
+    letters = "".join(map(chr, range(48, 122)))
+    passage = "".join(r.choices(letters, k=500))
+    texts = ["".join(r.choices(letters, k=20_000)) for _ in range(100)] + [passage + str(k) for k in range(3)]
+    jvm = spark.sparkContext._jvm
+    none = spark.sparkContext._gateway.new_array(jvm.double, 0)
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, none, jvm.java.util.ArrayList())
+        return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteBytes() for k in range(stages.size())}
+
+    before = shuffled()
+    got = {x.doc_id: x.n_removed for x in suffix_dedup.remove(frame(spark, texts)).collect()}
+    assert all(n == (500 if k >= 100 else 0) for k, n in got.items()) and len(got) == len(texts)
+    assert sum(v for k, v in shuffled().items() if k not in before) < 0.5 * sum(map(len, texts))
