@@ -76,14 +76,14 @@ class Identity:
         for tokens in lanes:
             both = np.bitwise_xor.reduceat(mix(tokens ^ U64(0x5851F42D4C957F2D)), edges[held]) + np.add.reduceat(tokens, edges[held]) * U64(3)
             out.append(mix(both))
-        key = out[0] & U64(2**self.bits - 1)
-        for clash in self.clashes:
+        key = np.maximum(out[0] & U64(2**self.bits - 1), U64(1))
+        for turn, clash in enumerate(self.clashes):
             if len(clash):
                 meets = np.isin(key.astype(np.int64), clash)
                 if meets.any() and len(lanes) < 2:
                     raise ValueError("renamed classes need both lanes")
-                key = np.where(meets, mix(out[-1] + key), key)
-        key = np.maximum(key, U64(1))
+                fresh = mix(out[-1] + mix(key + U64(turn) * U64(0x9E3779B97F4A7C15)))
+                key = np.where(meets, np.maximum(fresh, U64(1)), key)
         full = [np.zeros(n, np.int64) for _ in range(2)]
         full[0][held] = key.astype(np.int64)
         full[1][held] = out[-1].astype(np.int64)
@@ -382,13 +382,18 @@ def last_pairs(docs: DataFrame, width: int, known: Identity, lists: DataFrame, s
 
 def identified(docs: DataFrame, width: int, known: Identity) -> DataFrame:
     """The checkpointed rows of `classes`, with classes that share an id renamed. The ids that meet are some
-    N squared / 2^65 of N sets: none at a billion, some seventy at fifty billion."""
+    N squared / 2^65 of N sets: none at a billion, some seventy at fifty billion. New ids have all 64 bits of both halves,
+    so a round that leaves as many clashes as before means a fault, and ends the job."""
+    before = None
     while True:
         found = cut(classes(docs, width, known))
         clash = found.filter("kind = 0 AND cls <> 0").groupBy("cls").agg(F.min("half").alias("lo"), F.max("half").alias("hi")).filter("lo <> hi").select("cls")
         clash = [r["cls"] for r in clash.collect()]
         if not clash:
             return found
+        if before is not None and len(clash) >= before:
+            raise RuntimeError(f"{len(clash)} class ids meet after renaming, {before} before")
+        before = len(clash)
         known.renamed(clash)
 
 
