@@ -21,7 +21,9 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove(documents(spark, sf_dir), length=400, keep="none")
+    """With the removed runs, and the text that stays (a character that a run cuts reads as U+FFFD)."""
+    found = suffix_dedup.remove(documents(spark, sf_dir), length=400, keep="none", kept_text=True)
+    return found.withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
