@@ -2,26 +2,27 @@
 
 Rules: type (one or a list), enum, const, minimum, maximum, exclusiveMinimum, exclusiveMaximum, multipleOf, minLength,
 maxLength, pattern, required, properties, additionalProperties false, items, minItems, maxItems, uniqueItems, minProperties,
-maxProperties, allOf, anyOf, oneOf, not. A
-schema with another rule is refused when it is compiled. The result is null for a valid value, else a struct of
-instance_path and schema_path; values never appear in it.
+maxProperties, allOf, anyOf, oneOf, not. A schema that holds a rule of `schemas` (local references, also recursive ones,
+patternProperties, if and others) is checked value by value, in Arrow batches; one with any other rule is refused when it
+is compiled. The result is null for a valid value, else a struct of instance_path and schema_path; values never appear
+in it.
 """
 
 from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sparkmill.functions import schemas
+from sparkmill.functions.schemas import SchemaError
+
 _KNOWN = set("type enum const minimum maximum exclusiveMinimum exclusiveMaximum multipleOf minLength maxLength pattern required properties additionalProperties items minItems maxItems allOf anyOf oneOf uniqueItems minProperties maxProperties not".split())
 _NOTES = {"$schema", "$id", "title", "description", "default", "examples"}
 
 
-class SchemaError(ValueError):
-    pass
-
-
 def _is(v: Column, name: str) -> Column:
     kind = F.schema_of_variant(v)
     number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
@@ -130,24 +131,42 @@ def _first(rules: list[Column]) -> Column:
     return F.coalesce(*rules).cast(_NOTHING) if rules else F.lit(None).cast(_NOTHING)
 
 
+def broken(schema: object, value: object) -> tuple[str, str] | None:
+    """The first rule that a value of this process breaks: (instance_path, schema_path)."""
+    return schemas.Checker(schema).first(value)
+
+
+def _checked(schema: object, value: Column) -> Column:
+    """The rules of `schemas`, over the texts of values."""
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        checker = schemas.Checker(schema)
+        found = [None if t is None else checker.first(schemas.parsed(t)) for t in texts]
+        return pd.DataFrame({"instance_path": [f and f[0] for f in found], "schema_path": [f and f[1] for f in found]})
+
+    got = F.pandas_udf(run, _NOTHING)(F.to_json(value))
+    return F.when(got.getField("schema_path").isNotNull(), got)
+
+
 def compile_schema(schema: object, value: Column) -> Column:
     """Null where `value` is valid, else {instance_path, schema_path} of the first broken rule."""
+    if schemas.rules_of(schema):
+        check_schema(schema)
+        return _checked(schema, value)
     return _first(_rules(schema, value, F.lit(""), ""))
 
 
-def check_schema(schema: object, path: str = "") -> None:
-    """SchemaError where a schema holds a rule that is not compiled; names of properties and values are free."""
+def check_schema(schema: object, path: str = "", root: object = None) -> None:
+    """SchemaError where a schema holds a rule that is not known, or a reference that names no schema; names of properties
+    and values are free."""
+    root = schema if root is None else root
     if isinstance(schema, bool):
         return
     if not isinstance(schema, dict):
         raise SchemaError(f"{path or '/'} is not a schema")
-    if odd := set(schema) - _KNOWN - _NOTES:
+    if odd := set(schema) - _KNOWN - _NOTES - schemas.RULES:
         raise SchemaError(f"{path}/{sorted(odd)[0]} is not supported")
-    for n, sub in schema.get("properties", {}).items():
-        check_schema(sub, f"{path}/properties/{n}")
-    for n in ("allOf", "anyOf", "oneOf"):
-        for k, sub in enumerate(schema.get(n, [])):
-            check_schema(sub, f"{path}/{n}/{k}")
-    for n in ("items", "not"):
-        if n in schema:
-            check_schema(schema[n], f"{path}/{n}")
+    if "$ref" in schema and not isinstance(schemas.resolved(root, schema["$ref"]), (bool, dict)):
+        raise SchemaError(f"{path}/$ref names no schema")
+    for at, sub in schemas.each(schema):
+        check_schema(sub, path + at, root)

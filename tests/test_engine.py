@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from sparkmill.functions import validation
 from sparkmill.functions.template import TemplateError, compile_template
 from sparkmill.functions.validation import SchemaError, compile_schema
 from sparkmill.plans import runs, spec
@@ -126,3 +127,55 @@ def test_specifications_are_strict(tmp_path):
         with pytest.raises(spec.SpecError):
             spec.check(made(tmp_path, **more))
     assert spec.load(json.dumps(made(tmp_path))).digest() == spec.check(made(tmp_path)).digest()
+
+
+TREE = {"$defs": {"node": {"type": "object", "required": ["v"], "properties": {"v": {"type": "integer"}, "kids": {"type": "array", "items": {"$ref": "#/$defs/node"}}}}}, "$ref": "#/$defs/node"}
+
+
+@pytest.mark.parametrize(
+    ("schema", "value", "broken"),
+    [
+        (TREE, {"v": 1, "kids": [{"v": 2, "kids": []}, {"v": 3}]}, None),
+        (TREE, {"v": 1, "kids": [{"v": 2, "kids": [{"v": "x"}]}]}, ("/kids/0/kids/0/v", "/$ref/properties/kids/items/$ref/properties/kids/items/$ref/properties/v/type")),
+        ({"properties": {"n": {"$ref": "#"}}, "additionalProperties": False}, {"n": {"n": {"m": 1}}}, ("/n/n", "/properties/n/$ref/properties/n/$ref/additionalProperties")),
+        ({"$ref": "#"}, {"a": 1}, None),
+        ({"patternProperties": {"^s_": {"type": "string"}}, "additionalProperties": {"type": "integer"}}, {"s_a": "x", "b": 1}, None),
+        ({"patternProperties": {"^s_": {"type": "string"}}}, {"s_a": 1}, ("/s_a", "/patternProperties/^s_/type")),
+        ({"properties": {"a": True}, "additionalProperties": {"type": "integer"}}, {"a": "x", "b": "y"}, ("/b", "/additionalProperties/type")),
+        ({"if": {"required": ["a"]}, "then": {"required": ["b"]}, "else": {"required": ["c"]}}, {"a": 1}, ("", "/if/then/required")),
+        ({"if": {"required": ["a"]}, "then": {"required": ["b"]}, "else": {"required": ["c"]}}, {"x": 1}, ("", "/if/else/required")),
+        ({"if": {"required": ["a"]}, "then": {"required": ["b"]}}, {"x": 1}, None),
+        ({"prefixItems": [{"type": "integer"}], "items": {"type": "string"}}, [1, "a", 2], ("/2", "/items/type")),
+        ({"contains": {"const": 3}}, [1, 2], ("", "/contains")), ({"contains": {"minimum": 3}, "maxContains": 1}, [3, 4], ("", "/maxContains")),
+        ({"propertyNames": {"maxLength": 2}}, {"abc": 1}, ("", "/propertyNames/maxLength")),
+        ({"dependentRequired": {"a": ["b"]}}, {"a": 1}, ("", "/dependentRequired")),
+        ({"properties": {"a/b~": {"$ref": "#/$defs/x~1y"}}, "$defs": {"x/y": {"const": True}}}, {"a/b~": 1}, ("/a~1b~0", "/properties/a~1b~0/$ref/const")),
+    ],
+)
+def test_schemas_with_references_and_branches(spark, schema, value, broken):
+    df = spark.createDataFrame([(json.dumps(value),), ("{}",)], "r string").select(F.parse_json("r").alias("v"))
+    got = df.select(compile_schema(schema, F.col("v")).alias("b")).first()["b"]
+    assert (tuple(got) if got else None) == broken == validation.broken(schema, value)
+
+
+def test_both_ways_of_checking_find_the_same_rule(spark):
+    schema = {
+        "type": "object", "required": ["a"], "minProperties": 2,
+        "properties": {"a": {"type": ["integer", "null"], "minimum": 2, "multipleOf": 2}, "l": {"type": "array", "minItems": 1, "maxItems": 2, "uniqueItems": True, "items": {"type": "string", "maxLength": 2}}, "o": {"oneOf": [{"const": 1}, {"type": "integer"}]}, "n": {"not": {"enum": ["x"]}}},
+        "anyOf": [{"required": ["l"]}, {"required": ["o"]}],
+    }
+    values = [{}, {"a": 1}, {"a": 4, "l": []}, {"a": None, "l": ["a", "a"]}, {"a": 3, "l": ["b"]}, {"a": 4, "l": ["abc"]}, {"a": 4, "o": 1}, {"a": 4, "o": 2}, {"a": 4, "o": 2, "n": "x"}, {"a": 4, "z": 1}, {"a": True, "l": ["b"]}, [1], {"a": 4.0, "l": ["b", "c", "d"]}]
+    df = spark.createDataFrame([(k, json.dumps(v)) for k, v in enumerate(values)], "k int, r string").select("k", F.parse_json("r").alias("v"))
+    got = {r.k: r.b for r in df.select("k", compile_schema(schema, F.col("v")).alias("b")).collect()}
+    assert [tuple(got[k]) if got[k] else None for k in range(len(values))] == [validation.broken(schema, v) for v in values]
+
+
+@pytest.mark.parametrize("schema", [{"properties": {"x": {"$ref": "file:///secret"}}}, {"allOf": [{"$ref": "https://x.invalid"}]}, {"$ref": "#/$defs/none"}, {"if": {"odd": 1}}])
+def test_references_stay_within_the_schema(schema):
+    with pytest.raises(SchemaError):
+        validation.check_schema(schema)
+
+
+def test_names_and_values_are_no_references():
+    for schema in ({"properties": {"$ref": {"type": "string"}}}, {"enum": [{"$ref": "data"}]}, {"default": {"$ref": "data"}}):
+        validation.check_schema(schema)
