@@ -7,20 +7,22 @@ outcome is checkpointed, so that no call is made twice. Deduplication shuffles p
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import contextlib
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkmill.functions import strictjson
 from sparkmill.functions.template import compile_template
-from sparkmill.functions.validation import compile_schema
+from sparkmill.functions.validation import broken, compile_schema
 from sparkmill.operators import dedup as dedups
 from sparkmill.operators.checkpoints import cut
-from sparkmill.plans import providers
+from sparkmill.plans import leases, providers
 from sparkmill.plans.contracts import Contract
 from sparkmill.plans.spec import Spec
-from sparkmill.sources import readers
+from sparkmill.sources import readers, sinks
 
 MODEL = "sparkmill-mock-1"
 ENGINE = "sparkmill"
@@ -28,7 +30,7 @@ ENGINE = "sparkmill"
 # The stage of each category, and a message that holds no value of a record.
 STAGES = {"configuration": "configuration", "structured_output": "parse", "validation": "validate", "judge_output": "judge", "judge_score": "judge", "duplicate": "dedup", "dedup_field": "dedup", "sink_row": "sink"}
 MESSAGES = {
-    "configuration": "the provider cannot take the request", "template": "the template failed", "structured_output": "the reply was not a valid JSON object", "validation": "the reply broke a rule of the schema",
+    "configuration": "the provider cannot take the request", "template": "the template failed", "structured_output": "no JSON object could be read from the reply", "validation": "the reply broke a rule of the schema",
     "judge_output": "the judge's reply has no usable score", "judge_score": "the judge's score is too low", "duplicate": "an accepted record has the same key", "dedup_field": "a field of the key is missing or no text",
     "sink_row": "the row does not fit the output schema", "provider_timeout": "the provider took too long", "provider_network": "the provider could not be reached", "provider_http": "the provider answered with an error",
     "provider_response": "the provider's answer cannot be read", "provider_response_size": "the provider's answer is too long", "provider_refusal": "the provider refused", "provider_truncated": "the provider's answer was cut",
@@ -42,6 +44,55 @@ class Earlier:
     keys: DataFrame | None = None
 
 
+@dataclass
+class Calls:
+    """What the HTTP stages of a run share: the lease service with a pool for each provider, the folder that keeps replies
+    (None: a checkpoint does), and how many of the records from `first` on may still fail (None: no policy stops calls)."""
+
+    service: leases.Service
+    folder: str | None = None
+    first: int = 1
+    allowed: int | None = None
+    stage: int = 0
+    pools: dict[str, leases.Pool] = field(default_factory=dict)
+
+    def begin(self, first: int, allowed: int | None) -> None:
+        """Stages count from here: the records from `first` on go through all of them."""
+        self.first, self.allowed, self.stage = first, allowed, 0
+
+    def address(self, name: str, http: providers.Http) -> leases.Address:
+        pool = self.pools.get(name)
+        if pool is None:
+            pool = self.pools[name] = leases.Pool(http.concurrency, http.requests_per_minute, http.tokens_per_minute, http.timeout_ms / 1000 + 30)
+        pool.gate = None if self.allowed is None else leases.Gate(self.first, self.allowed)
+        return self.service.add(name, pool)
+
+    def kept(self, rows: DataFrame, ask: str, out: str, call: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """The called rows. With a folder, each task's replies are there from its own commit on, so that a run which goes
+        on after its driver was lost calls for no row whose task had ended."""
+        at, self.stage = f"{self.folder}/{self.stage:03d}", self.stage + 1
+        if self.folder is None:
+            return cut(call(rows))
+        files = sinks.Files(rows.sparkSession, at)
+        wanted = rows.columns + [out]
+        if any(n.endswith(".parquet") for n in files.names(at)):
+            schema = rows.sparkSession.read.parquet(at).schema
+            done = cut(rows.sparkSession.read.schema(schema).parquet(at).join(rows.select("position"), "position", "left_semi").select(*wanted))
+            held = done.select("position", F.col(f"{out}.category").isNotNull().alias("_bad"), F.lit(True).alias("_held"))
+            rest = rows.join(held, "position", "left").withColumns({ask: F.when(F.col("_held").isNull(), F.col(ask)), "category": F.coalesce("category", F.when(F.col("_bad"), "provider"))})
+            fresh = call(rest.drop("_bad")).filter("_held is null").drop("_held")
+        else:
+            done, fresh = None, call(rows)
+        fresh.select(*wanted).write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(at)
+        return rows.sparkSession.read.parquet(at).join(rows.select("position"), "position", "left_semi").select(*wanted)
+
+
+@contextlib.contextmanager
+def calling(spark: SparkSession, folder: str | None = None) -> Iterator[Calls]:
+    with leases.beside(spark) as service:
+        yield Calls(service, folder)
+
+
 def source(spark: SparkSession, spec: Spec) -> DataFrame:
     kind = spec.source["type"]
     if kind == "inline":
@@ -54,7 +105,7 @@ def _text_variant(text: Column) -> Column:
     return F.try_variant_get(F.to_variant_object(F.struct(text.alias("t"))), "$.t", "variant")
 
 
-def _call(df: DataFrame, spec: Spec, name: str, applies: Column, prompt: str, feedback: str | None, out: str, context: dict[str, Column]) -> DataFrame:
+def _call(df: DataFrame, spec: Spec, name: str, applies: Column, prompt: str, feedback: str | None, out: str, context: dict[str, Column], calls: Calls | None, rejects: Callable[[dict], bool]) -> DataFrame:
     """Adds the reply of a provider to the rows that ask it."""
     provider = spec.providers[name]
     if provider["type"] == "mock":
@@ -63,9 +114,40 @@ def _call(df: DataFrame, spec: Spec, name: str, applies: Column, prompt: str, fe
             own["feedback"] = F.coalesce(_text_variant(F.col(feedback)), F.parse_json(F.lit("null")))
         return df.withColumn(out, providers.mocked(compile_template(provider["response"], F.col("_r"), own), MODEL, applies))
     http = spec.http(name)
-    tasks = max(1, min(http.concurrency, df.sparkSession.sparkContext.defaultParallelism))
-    asked = df.withColumn("_ask", F.when(applies, F.col(prompt)))
-    return cut(providers.called(asked.drop("_r", "_g"), http, "_ask", feedback, out, tasks)).withColumn("_r", F.parse_json("record")).drop("_ask")
+    asked = df.withColumn("_ask", F.when(applies, F.col(prompt))).drop("_r", "_g")
+    with contextlib.ExitStack() as stack:
+        shared = calls or stack.enter_context(calling(df.sparkSession))
+        address = shared.address(name, http)
+        tasks = df.sparkSession.sparkContext.defaultParallelism
+        called = shared.kept(asked, "_ask", out, lambda rows: providers.called(rows, http, "_ask", feedback, out, tasks, address, F.col("category").isNotNull(), rejects))
+    return called.withColumn("_r", F.parse_json("record")).drop("_ask")
+
+
+def _unusable(schema: object) -> Callable[[dict], bool]:
+    """Whether a reply is no object of the schema."""
+
+    def check(reply: dict) -> bool:
+        try:
+            value = strictjson.parse(reply["text"])
+        except ValueError:
+            return True
+        return not isinstance(value, dict) or broken(schema, value) is not None
+
+    return check
+
+
+def _unpassed(name: str, least: float) -> Callable[[dict], bool]:
+    """Whether a judge's reply has no score, or too low a one."""
+
+    def check(reply: dict) -> bool:
+        try:
+            value = strictjson.parse(reply["text"])
+        except ValueError:
+            return True
+        score = value.get(name) if isinstance(value, dict) else None
+        return isinstance(score, bool) or not isinstance(score, (int, float)) or score < least
+
+    return check
 
 
 def prompted(rows: DataFrame, template: str) -> DataFrame:
@@ -81,28 +163,29 @@ def unstructured(canonical: str) -> Column:
     return F.col(canonical).isNull() | (F.substring(canonical, 1, 1) != "{")
 
 
-def generated(rows: DataFrame, spec: Spec) -> DataFrame:
+def generated(rows: DataFrame, spec: Spec, calls: Calls | None = None) -> DataFrame:
     """position, record, record_id, prompt, prompt_hash, generated (canonical), calls, category, stage and paths."""
     df = prompted(rows.select("position", "record"), spec.generate["prompt"])
     text = F.lit(None).cast("string")
     df = df.withColumns({"calls": F.array().cast(f"array<{providers.REPLY}>"), "generated": text, "category": F.when(F.col("prompt").isNull(), "template"), "stage": F.when(F.col("prompt").isNull(), "generate"), "broken": F.lit(None).cast("struct<instance_path:string,schema_path:string>"), "feedback": text, "again": F.col("prompt").isNotNull()})
-    for attempt in range(1 + spec.generate.get("regenerate_on_invalid", 0)):
+    attempts = 1 + spec.generate.get("regenerate_on_invalid", 0)
+    for attempt in range(attempts):
         if attempt:  # a plan that holds several attempts grows with their product
             df = cut(df.drop("_r")).withColumn("_r", F.parse_json("record"))
-        df = _call(df, spec, spec.generate["provider"], F.col("again"), "prompt", "feedback", "reply", {})
+        df = _call(df, spec, spec.generate["provider"], F.col("again"), "prompt", "feedback", "reply", {}, calls, _unusable(spec.generate.get("output_schema", True)) if attempt == attempts - 1 else lambda _: False)
         df = df.withColumn("_c", strictjson.canonical(F.col("reply.text"))).withColumn("_g", F.try_parse_json("_c"))
         df = df.withColumn("_b", compile_schema(spec.generate.get("output_schema", True), F.col("_g")))
         failed = F.when(F.col("reply.category").isNotNull(), F.col("reply.category")).when(unstructured("_c"), "structured_output").when(F.col("_b").isNotNull(), "validation")
         df = df.withColumn("_failed", failed)
         now = lambda new, old: F.when(F.col("again"), new).otherwise(F.col(old))
-        said = F.when(F.col("_failed") == "structured_output", MESSAGES["structured_output"]).when(F.col("_failed") == "validation", F.concat(F.lit("schema validation failed at "), "_b.instance_path", F.lit(" (rule "), "_b.schema_path", F.lit(")")))
+        said = F.when(F.col("_failed") == "structured_output", MESSAGES["structured_output"]).when(F.col("_failed") == "validation", F.concat(F.lit("the value at '"), "_b.instance_path", F.lit("' breaks the rule "), "_b.schema_path"))
         stage = F.when(F.col("_failed") == "template", "mock").when(F.col("_failed").startswith("provider"), "generate").otherwise(F.col("_failed"))
         df = df.withColumns({"calls": F.when(F.col("again"), F.array_append("calls", F.col("reply"))).otherwise(F.col("calls")), "generated": now(F.when(F.col("_failed").isNull(), F.col("_c")), "generated"), "category": now(F.col("_failed"), "category"), "stage": now(stage, "stage"), "broken": now(F.col("_b"), "broken"), "feedback": said, "again": F.col("again") & F.coalesce(F.col("_failed").isin("structured_output", "validation"), F.lit(False))})
         df = df.drop("reply", "_c", "_g", "_b", "_failed")
     return df.drop("again", "feedback")
 
 
-def scored(df: DataFrame, spec: Spec) -> DataFrame:
+def scored(df: DataFrame, spec: Spec, calls: Calls | None = None) -> DataFrame:
     """Adds judge_call, judge_model and score, and rejects what the judge does not pass."""
     none = F.lit(None)
     if not spec.judge:
@@ -110,7 +193,7 @@ def scored(df: DataFrame, spec: Spec) -> DataFrame:
     j = spec.judge
     df = df.withColumn("_g", F.try_parse_json("generated")).withColumn("judged", F.col("category").isNull())
     df = df.withColumn("_jp", compile_template(j.prompt, F.col("_r"), {"generated": F.col("_g"), "prompt": _text_variant(F.col("prompt"))}))
-    df = _call(df, spec, j.provider, F.col("judged") & F.col("_jp").isNotNull(), "_jp", None, "judge_call", {"generated": F.try_parse_json("generated")})
+    df = _call(df, spec, j.provider, F.col("judged") & F.col("_jp").isNotNull(), "_jp", None, "judge_call", {"generated": F.try_parse_json("generated")}, calls, _unpassed(j.score_field, j.min_score))
     df = df.withColumn("_v", F.get(F.transform(F.array(strictjson.fields(F.col("judge_call.text"))), lambda m: F.try_element_at(m, F.lit(j.score_field))), F.lit(0)))
     number = F.when(F.col("_v").rlike(r"^-?[0-9]"), F.col("_v").cast("double"))
     df = df.withColumn("score", number)
@@ -134,9 +217,9 @@ def _keyed(df: DataFrame, spec: Spec) -> DataFrame:
     return df.withColumn("category", F.when(F.col("category").isNull() & F.col("key").isNull(), "dedup_field").otherwise(F.col("category")))
 
 
-def reached(rows: DataFrame, spec: Spec) -> DataFrame:
+def reached(rows: DataFrame, spec: Spec, calls: Calls | None = None) -> DataFrame:
     """Every row with its category so far; those without one have passed all but dedup and the sink. Checkpointed."""
-    return cut(_keyed(scored(generated(rows, spec), spec).drop("_r"), spec))
+    return cut(_keyed(scored(generated(rows, spec, calls), spec, calls).drop("_r"), spec))
 
 
 def admitted(df: DataFrame, spec: Spec, contract: Contract | None = None, earlier: Earlier | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ import fcntl
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -153,8 +153,11 @@ def write_typed(rows: DataFrame, path: str, schema, typed, batch_size: int) -> N
     ordered.select(typed.alias("t")).select("t.*").write.option("parquet.block.row.count.limit", str(batch_size)).parquet(path)
 
 
+def summary(column: str) -> Column:
+    """Number of rows and a digest of all of them with their positions, from partial sums."""
+    sums = [F.coalesce(F.sum(F.xxhash64(F.lit(k), "position", column).cast("decimal(38,0)")), F.lit(0)).cast("string") for k in range(3)]
+    return F.struct(F.count(F.lit(1)).alias("rows"), F.concat_ws(":", *sums).alias("digest"))
+
+
 def digest(rows: DataFrame, column: str = "row") -> dict:
-    """Number of rows and a digest of all of them, from one pass of partial sums."""
-    sums = [F.sum(F.xxhash64(F.lit(k), "position", column).cast("decimal(38,0)")).cast("string").alias(f"h{k}") for k in range(3)]
-    one = rows.agg(F.count(F.lit(1)).alias("n"), *sums).first()
-    return {"rows": one["n"], "digest": ":".join(one[f"h{k}"] or "0" for k in range(3))}
+    return rows.agg(summary(column).alias("s")).first()["s"].asDict()

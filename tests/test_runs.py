@@ -36,7 +36,9 @@ class StopAfter(runs.Progress):
         super().__init__(lambda x: token.cancel() if x["phase"] == "commit" else None, every=60)
 
 
-def test_a_cancelled_run_resumes_where_it_was(spark, tmp_path):
+@pytest.mark.parametrize("least", [4096, 1])
+def test_a_cancelled_run_resumes_where_it_was(spark, tmp_path, monkeypatch, least):
+    monkeypatch.setattr(runs, "LEAST_SPAN", least)
     s = made(tmp_path, dedup={"fields": ["t"]})
     token = runs.Token()
     with pytest.raises(runs.Cancelled):
@@ -147,7 +149,9 @@ def test_contracts_reject_rows_that_lose_something(spark, tmp_path):
             contracts.compile_contract(bad)
 
 
-def test_the_first_accepted_row_fixes_inferred_types_and_unfit_rows_block_none(spark, tmp_path):
+@pytest.mark.parametrize("least", [4096, 1])
+def test_the_first_accepted_row_fixes_inferred_types_and_unfit_rows_block_none(spark, tmp_path, monkeypatch, least):
+    monkeypatch.setattr(runs, "LEAST_SPAN", least)
     lines = [{"n": 1}, {"t": "a", "n": 1}, {"t": "b", "n": 1.5}, {"t": "b", "n": 3}, {"t": "b", "n": 4}, {"t": "c", "n": None}]
     (tmp_path / "in.jsonl").write_text("\n".join(map(json.dumps, lines)))
     s = made(tmp_path, dedup={"fields": ["t"]}, output={"format": "parquet", "path": str(tmp_path / "out"), "commit_every": 2})
