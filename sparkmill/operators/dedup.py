@@ -1,19 +1,40 @@
 """First-accepted-wins deduplication, exact and by MinHash, in source order.
 
 `exact` marks rows whose key an earlier eligible row has. `minhash` is greedy: a row is a duplicate when some accepted
-earlier row shares a band of its signature and enough of its slots. Rows that an earlier run accepted (`before`) block
-others and are never decided again. A row that the sink cannot hold (`fits` false) is never accepted, so it blocks none.
+earlier row shares a band of its signature and enough of its slots. Rows that earlier commits accepted (an `Index`) block
+others and are neither signed nor decided again. A row that the sink cannot hold (`fits` false) is never accepted, so it
+blocks none.
+
+Rows meet in buckets, a band and its slots. Where buckets are crowded, rows do not meet each other but leaders: of every
+bucket, its first undecided row. A row that is behind no leader is accepted, and the rows behind it that are like it go.
+A group of n near copies so costs n comparisons for each band, not n squared. What is left, once that decides few rows
+more, is rows that share slots but are not alike; they are compared in pairs.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkmill.functions.text import char_shingles, word_shingles
 from sparkmill.operators.checkpoints import cut
+from sparkmill.operators.lookups import looked_up
 
 _PRIME = 2**31 - 1
+#: Pairs in buckets for each row and band, above which rows meet leaders first.
+CROWDED = 4
+#: A round that decides a smaller share of its rows is the last one.
+LEAST_SHARE = 0.05
+
+
+@dataclass(frozen=True)
+class Index:
+    """Accepted rows of earlier commits: (band, part, position) of their buckets, and (position, signature)."""
+
+    bands: DataFrame
+    signatures: DataFrame
 
 
 def digest(keys: list) -> Column:
@@ -74,23 +95,82 @@ def similarity(num_perm: int) -> Column:
     return F.size(F.filter(F.zip_with("s", "t", lambda x, y: x == y), lambda z: z)) / num_perm
 
 
+def _shared(bands_: int, num_perm: int) -> Column:
+    """Whether the signatures s and t agree in all slots of a band."""
+    rows = num_perm // bands_
+    shared = F.lit(False)
+    for k in range(bands_):
+        shared = shared | (F.slice("s", 1 + rows * k, rows) == F.slice("t", 1 + rows * k, rows))
+    return shared
+
+
+def alike(pairs: DataFrame, early: DataFrame, late: DataFrame, bands_: int, threshold: float, num_perm: int) -> DataFrame:
+    """The distinct pairs (early, late) whose signatures share a band and enough slots; the tables are (position,
+    signature). An early row that very many late ones meet is looked up in parts."""
+    both = looked_up(pairs, ["early"], early.toDF("early", "s")).join(late.toDF("late", "t"), "late")
+    return both.filter(_shared(bands_, num_perm) & (similarity(num_perm) >= threshold)).select("early", "late")
+
+
 def near_pairs(df: DataFrame, bands_: int, threshold: float, num_perm: int) -> DataFrame:
     """(early, late) positions that share a band and agree in a fraction of slots of at least the threshold. Buckets hold
     positions alone; signatures come to the distinct pairs, where a band that only its digest shares is seen too."""
-    rows = num_perm // bands_
     split = bands(df, bands_, num_perm)
     a, b = split.withColumnRenamed("position", "early"), split.withColumnRenamed("position", "late")
     pairs = a.join(b, ["band", "part"]).filter("early < late").select("early", "late").distinct()
     signed = df.select("position", "signature")
-    both = pairs.join(signed.toDF("early", "s"), "early").join(signed.toDF("late", "t"), "late")
-    shared = F.lit(False)
-    for k in range(bands_):
-        shared = shared | (F.slice("s", 1 + rows * k, rows) == F.slice("t", 1 + rows * k, rows))
-    return both.filter(shared & (similarity(num_perm) >= threshold)).select("early", "late")
+    return alike(pairs, signed, signed, bands_, threshold, num_perm)
+
+
+def _led(state: DataFrame, bands_: int, threshold: float, num_perm: int) -> tuple[DataFrame, DataFrame]:
+    """One round over undecided rows: the positions of those behind no leader, and of those like a leader among them."""
+    split = cut(bands(state, bands_, num_perm).join(state.select("position", "fits"), "position"))
+    leads = split.filter("fits").groupBy("band", "part").agg(F.min("position").alias("lead"))
+    behind = cut(looked_up(split.select("band", "part", "position"), ["band", "part"], leads).filter("lead < position").select(F.col("lead").alias("early"), F.col("position").alias("late")).distinct())
+    free = state.select("position").join(behind.select(F.col("late").alias("position")).distinct(), "position", "left_anti")
+    free = cut(free)
+    leaders = state.filter("fits").join(free, "position", "left_semi").select("position", "signature")
+    found = alike(behind, leaders, state.select("position", "signature"), bands_, threshold, num_perm)
+    return free, cut(found.select(F.col("late").alias("position")).distinct())
 
 
-def greedy(positions: DataFrame, pairs: DataFrame, fixed: DataFrame | None = None) -> DataFrame:
-    """`duplicate` of each position: some earlier neighbour is accepted. `fixed` (position, accepted) is known before.
+def near_late(signed: DataFrame, bands_: int, threshold: float, num_perm: int, before: Index | None = None) -> DataFrame:
+    """The positions of (position, signature, fits) that are duplicates.
+
+    Of equal signatures only the first row that fits is compared with others: the later ones are duplicates of it, or of
+    what it is a duplicate of. A row that does not fit and precedes it is compared by itself.
+    """
+    heads = signed.filter("fits").groupBy("signature").agg(F.min("position").alias("head"))
+    owned = looked_up(signed, ["signature"], heads)
+    gone = [cut(owned.filter("position > head").select("position"))]
+    state = cut(signed.join(gone[0], "position", "left_anti"))
+    if before is not None:
+        met = bands(state, bands_, num_perm).join(before.bands.withColumnRenamed("position", "early"), ["band", "part"]).select("early", F.col("position").alias("late")).distinct()
+        known = before.signatures.join(met.select(F.col("early").alias("position")).distinct(), "position", "left_semi")
+        late = alike(met, known, state.select("position", "signature"), bands_, threshold, num_perm)
+        gone.append(cut(late.select(F.col("late").alias("position")).distinct()))
+        state = cut(state.join(gone[-1], "position", "left_anti"))
+    rows, share = state.count(), 1.0
+    while rows:
+        each = bands(state, bands_, num_perm).groupBy("band", "part").agg(F.count(F.lit(1)).cast("double").alias("n"))
+        pairs = each.agg(F.coalesce(F.sum(F.expr("n * (n - 1) / 2")), F.lit(0.0))).first()[0]
+        if pairs <= CROWDED * rows * bands_ or share < LEAST_SHARE:
+            unfit = state.filter("NOT fits").select(F.col("position").alias("early"))
+            links = near_pairs(state, bands_, threshold, num_perm).join(unfit, "early", "left_anti")
+            gone.append(greedy(state.select("position"), links).filter("duplicate").select("position"))
+            break
+        free, late = _led(state, bands_, threshold, num_perm)
+        gone.append(late)
+        state = cut(state.join(free, "position", "left_anti").join(late, "position", "left_anti"))
+        left = state.count()
+        share, rows = (rows - left) / rows, left
+    out = gone[0]
+    for more in gone[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def greedy(positions: DataFrame, pairs: DataFrame) -> DataFrame:
+    """`duplicate` of each position: some earlier neighbour is accepted.
 
     Rounds decide every position whose earlier neighbours are decided, or one of whose earlier neighbours is accepted;
     the least undecided one always is, so they end. A round runs several such steps before it is written.
@@ -100,8 +180,6 @@ def greedy(positions: DataFrame, pairs: DataFrame, fixed: DataFrame | None = Non
     early = pairs.select(F.col("early").alias("position")).distinct()
     nodes = late.unionByName(early).distinct()
     state = nodes.join(late.withColumn("late", F.lit(True)), "position", "left").select("position", F.when(F.col("late").isNull(), F.lit(True)).alias("accepted"))
-    if fixed is not None:
-        state = state.join(fixed.withColumnRenamed("accepted", "known"), "position", "left").select("position", F.coalesce("known", "accepted").alias("accepted"))
     state = cut(state)
     while not state.filter("accepted is null").isEmpty():
         for _ in range(2):
@@ -117,27 +195,12 @@ def check_parameters(num_perm: int, bands_: int, threshold: float, words: int, t
         raise ValueError("num_perm is 8 to 1024 and a multiple of bands, threshold 0 to 1, shingle_words 1 to 10, shingle_chars 1 to 32, tokenization words or characters")
 
 
-def minhash(df: DataFrame, field: str, num_perm: int = 128, bands: int = 16, threshold: float = 0.8, words: int = 3, tokenization: str = "words", chars: int = 3, before: DataFrame | None = None) -> DataFrame:
-    """Adds `duplicate` to rows with a position and a text. A `fits` column, where there is one, holds whether the sink
-    takes the row; `before` (position, signature) holds accepted rows of an earlier run, at positions before all others.
-
-    Of equal signatures only the first row that fits is compared with others: the later ones are duplicates of it, or of
-    what it is a duplicate of.
-    """
+def minhash(df: DataFrame, field: str, num_perm: int = 128, bands: int = 16, threshold: float = 0.8, words: int = 3, tokenization: str = "words", chars: int = 3, before: Index | None = None, carry: bool = False) -> DataFrame:
+    """Adds `duplicate` (and, if asked for, `signature`) to rows with a position and a text. A `fits` column, where there is
+    one, holds whether the sink takes the row; `before` are accepted rows, at positions before all others."""
     check_parameters(num_perm, bands, threshold, words, tokenization, chars)
     fits = F.col("fits") if "fits" in df.columns else F.lit(True)
-    signed = signatures(df.select("position", field, fits.alias("fits")), field, num_perm, words, tokenization, chars).select("position", "signature", "fits")
-    if before is not None:
-        signed = signed.unionByName(before.select("position", "signature", F.lit(True).alias("fits")))
-    signed = cut(signed)
-    heads = signed.filter("fits").groupBy("signature").agg(F.min("position").alias("head"))
-    owned = signed.join(heads, "signature", "left")
-    # A row that does not fit and precedes its head is compared by itself; it blocks none.
-    alone = owned.filter("head is null OR position <= head")
-    pairs = near_pairs(alone, bands, threshold, num_perm)
-    unfit = alone.filter("NOT fits").select(F.col("position").alias("early"))
-    pairs = pairs.join(unfit, "early", "left_anti")
-    fixed = None if before is None else before.select("position", F.lit(True).alias("accepted"))
-    decided = greedy(alone.select("position"), pairs, fixed)
-    out = owned.join(decided, "position", "left").select("position", F.coalesce("duplicate", F.lit(True)).alias("duplicate"))
+    signed = cut(signatures(df.select("position", field, fits.alias("fits")), field, num_perm, words, tokenization, chars).select("position", "signature", "fits"))
+    late = near_late(signed, bands, threshold, num_perm, before).withColumn("duplicate", F.lit(True))
+    out = signed.join(late, "position", "left").select("position", *["signature"] * carry, F.coalesce("duplicate", F.lit(False)).alias("duplicate"))
     return df.join(out, "position")

@@ -39,9 +39,10 @@ MESSAGES = {
 
 @dataclass(frozen=True)
 class Earlier:
-    """What rows that are committed already mean for the ones to come: their keys, or signatures and positions."""
+    """What rows that are committed already mean for the ones to come: their keys, or the index of their signatures."""
 
     keys: DataFrame | None = None
+    index: dedups.Index | None = None
 
 
 @dataclass
@@ -228,12 +229,13 @@ def admitted(df: DataFrame, spec: Spec, contract: Contract | None = None, earlie
     df = df.withColumn("fits", F.when(F.col("category").isNull(), contract.fits(row)).otherwise(F.lit(True)) if contract else F.lit(True))
     if spec.dedup:
         able = df.filter("category is null").select("position", "key", "fits")
-        d, before = spec.dedup, earlier.keys if earlier else None
+        d = spec.dedup
         if d.method == "exact":
-            late = dedups.late_positions(able, before)
+            late = dedups.late_positions(able, earlier.keys if earlier else None)
         else:
-            signed = None if before is None else dedups.signatures(before, "key", d.num_perm, d.shingle_words, d.tokenization, d.shingle_chars).select("position", "signature")
-            late = dedups.minhash(able, "key", d.num_perm, d.bands, d.threshold, d.shingle_words, d.tokenization, d.shingle_chars, signed).filter("duplicate").select("position")
+            found = cut(dedups.minhash(able, "key", d.num_perm, d.bands, d.threshold, d.shingle_words, d.tokenization, d.shingle_chars, earlier.index if earlier else None, carry=True).select("position", "signature", "duplicate"))
+            late = found.filter("duplicate").select("position")
+            df = df.join(found.select("position", "signature"), "position", "left")
         df = df.join(late.withColumn("late", F.lit(True)), "position", "left").withColumn("category", F.coalesce("category", F.when(F.col("late"), "duplicate"))).drop("late")
     return df.withColumn("category", F.coalesce("category", F.when(~F.col("fits"), "sink_row"))).drop("fits")
 

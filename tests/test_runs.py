@@ -360,3 +360,90 @@ def test_command_line(spark, tmp_path, capsys):
 def test_specifications_name_the_rule_they_break(tmp_path, more):
     with pytest.raises(spec.SpecError):
         made(tmp_path, **more)
+
+
+def greedy_by_hand(signed, bands, threshold, fits):
+    """Duplicates among signatures in order, each against the accepted ones before it."""
+    width, kept, out = len(signed[0]) // bands, [], []
+    for k, s in enumerate(signed):
+        hit = any(any(s[width * b : width * (b + 1)] == signed[j][width * b : width * (b + 1)] for b in range(bands)) and sum(x == y for x, y in zip(s, signed[j], strict=True)) >= threshold * len(s) for j in kept)
+        out.append(hit)
+        if not hit and fits[k]:
+            kept.append(k)
+    return out
+
+
+@pytest.mark.parametrize("crowded", [0, 4, 10**9])
+def test_crowded_buckets_against_brute_force(spark, monkeypatch, crowded):
+    """Leaders first, pairs at once, or both: groups of near copies, chains, rows that share a band but are not alike."""
+    import random
+
+    monkeypatch.setattr(dedup, "CROWDED", crowded)
+    r, signed = random.Random(3), []
+    for group in range(4):
+        base = [r.randrange(1000) for _ in range(16)]
+        for _ in range(40):
+            own = list(base)
+            for at in range(2, 16):  # the first band stays
+                if r.random() < (0.05, 0.2, 0.5, 1)[group]:
+                    own[at] = r.randrange(3)
+            signed.append(own)
+    r.shuffle(signed)
+    signed += signed[:5]
+    fits = [r.random() < 0.8 for _ in signed]
+    df = spark.createDataFrame([(k, s, f) for k, (s, f) in enumerate(zip(signed, fits, strict=True))], "position long, signature array<long>, fits boolean")
+    got = {x.position for x in dedup.near_late(df, 8, 0.6, 16).collect()}
+    assert got == {k for k, hit in enumerate(greedy_by_hand(signed, 8, 0.6, fits)) if hit}
+
+
+def test_fifty_thousand_near_copies_in_one_bucket(spark, monkeypatch):
+    """No pairs of copies are made; what is accepted is what brute force accepts."""
+    import random
+
+    made = []
+    real = dedup.near_pairs
+    monkeypatch.setattr(dedup, "near_pairs", lambda df, *a: (made.append(df.count()), real(df, *a))[1])
+    r = random.Random(4)
+    base, signed = [r.randrange(10**6) for _ in range(16)], []
+    for k in range(50_000):
+        own = list(base)
+        own[2 + k % 14] = k + 10**6
+        if k % 10_000 == 5000:  # in the bucket, and like nothing else
+            own[2:] = [k * 100 + j + 10**7 for j in range(14)]
+        signed.append(own)
+    df = spark.createDataFrame(list(enumerate(signed)), "position long, signature array<long>").withColumn("fits", F.lit(True)).repartition(8)
+    late = {x.position for x in dedup.near_late(df, 8, 0.8, 16).collect()}
+    assert sorted(set(range(50_000)) - late) == [0, 5000, 15000, 25000, 35000, 45000]
+    assert sum(n * (n - 1) // 2 for n in made) < 10**6
+    some = [0, *r.sample(range(1, 50_000), 60), 5000, 15000]
+    assert [k in late for k in sorted(some)] == greedy_by_hand([signed[k] for k in sorted(some)], 8, 0.8, [True] * len(some))
+
+
+def test_minhash_over_spans_signs_every_text_once(spark, tmp_path, monkeypatch):
+    """Later spans probe the index of earlier ones; rows are those of one pass over all, and of a run that goes on."""
+    import random
+
+    r, texts = random.Random(5), []
+    for _ in range(5):
+        base = [f"w{r.randrange(50)}" for _ in range(25)]
+        for k in range(5):
+            own = list(base)
+            for _ in range(k):
+                own[r.randrange(25)] = f"w{r.randrange(50)}"
+            texts.append(" ".join(own))
+    r.shuffle(texts)
+    (tmp_path / "in.jsonl").write_text("".join(json.dumps({"t": t, "n": k}) + "\n" for k, t in enumerate(texts)))
+    one = spark.createDataFrame(list(enumerate(texts, 1)), "position long, t string")
+    want = sorted(x.position for x in dedup.minhash(one, "t", 32, 16, 0.5).filter("NOT duplicate").collect())
+    monkeypatch.setattr(runs, "LEAST_SPAN", 1)
+    monkeypatch.setattr(runs, "MOST_SPANS", 3)
+    signed = []
+    real = dedup.signatures
+    monkeypatch.setattr(dedup, "signatures", lambda df, *a: (signed.append(df.count()), real(df, *a))[1])
+    s = made(tmp_path, dedup={"method": "minhash", "field": "t", "num_perm": 32, "bands": 16, "threshold": 0.5})
+    token = runs.Token()
+    with pytest.raises(runs.Cancelled):
+        runs.run(spark, s, token, runs.Progress(lambda x: token.cancel() if x["phase"] == "commit" and x["processed"] >= 12 else None, every=60))
+    runs.resume(spark, s)
+    assert [x["_meta"]["source_position"] for x in rows(spark, s.output["path"])] == want and 5 < len(want) < 25
+    assert signed == [12, 12, 1]
