@@ -1,9 +1,13 @@
 """Prompt templates compiled into one Spark expression.
 
-A template holds `{{ expr }}`, `{% if cond %}…{% else %}…{% endif %}` and `{% for i in range(n) %}…{% endfor %}`. An
-expression joins terms by `~`; a term is a quoted literal, a number, a dotted path or one in parentheses, with `| tojson`
-if wanted. An undefined path makes the whole text null, which the engine rejects as `template`; so does a text beyond
-8 MiB. A loop's steps, nested ones multiplied, are bounded when the template is compiled.
+A template holds `{{ expr }}`, `{% if cond %}…{% else %}…{% endif %}`, `{% for i in range(n) %}…{% endfor %}` and
+`{% for x in path %}…{% endfor %}` over the elements of an array or the sorted keys of an object. An expression joins terms
+by `~`; a term is a quoted literal, a number, a dotted path or one in parentheses, with `| tojson` if wanted. Within a
+loop, `loop.index`, `loop.index0`, `loop.length`, `loop.first` and `loop.last` are known. A condition compares two
+expressions, asks whether a path is defined, or is a path, with `not` before it if wanted: false, null, 0 and what is empty
+do not hold. An undefined path makes the whole text null, which the engine rejects as `template`; so does a loop over what
+is no array or object, and a text beyond 8 MiB. A loop's steps, nested ones multiplied, are bounded by MOST_STEPS: when
+the template is compiled, and for loops over data when it is rendered.
 """
 
 from __future__ import annotations
@@ -29,6 +33,11 @@ def _quoted(text: Column) -> Column:
     return F.when(text.isNotNull(), listed.substr(F.lit(2), F.length(listed) - 2))
 
 
+def text_variant(text: Column) -> Column:
+    """A text as a variant of its own."""
+    return F.try_variant_get(F.to_variant_object(F.struct(text.alias("t"))), "$.t", "variant")
+
+
 class _Compiler:
     def __init__(self, context: dict[str, Column], record: Column):
         self.context, self.record, self.loops = context, record, {}
@@ -97,9 +106,22 @@ class _Compiler:
         if m := re.fullmatch(r"(.*?)(==|!=)(.*)", source, re.S):
             a, b = (self.expression(self.parts(x)) for x in (m[1], m[3]))
             return a == b if m[2] == "==" else a != b
-        raise TemplateError("a condition is `path is defined`, `a == b` or `a != b`")
+        if m := re.fullmatch(r"\s*(not\s+)?([A-Za-z_][\w.]*)\s*", source):
+            holds = self.holds(m[2])
+            return ~holds if m[1] else holds
+        raise TemplateError("a condition is `a == b`, `a != b`, `path is defined` or `path`")
+
+    def holds(self, path: str) -> Column:
+        """Whether a value counts as true; null where it is undefined."""
+        if path in self.loops:
+            return self.loops[path].cast("boolean")
+        v = self.variant(path)
+        text = F.to_json(v)
+        number = F.try_variant_get(v, "$", "double")
+        empty = F.is_variant_null(v) | text.isin("false", '""', "[]", "{}") | F.coalesce((number == 0) & ~F.substring(text, 1, 1).isin('"', "t", "f"), F.lit(False))
+        return F.when(v.isNotNull(), ~empty)
 
-    def body(self, tokens: list[tuple[str, str]], ends: tuple[str, ...], steps: int) -> tuple[Column, str]:
+    def body(self, tokens: list[tuple[str, str]], ends: tuple[str, ...], steps: int | Column) -> tuple[Column, str]:
         out = []
         while tokens:
             kind, value = tokens.pop(0)
@@ -122,25 +144,52 @@ class _Compiler:
                     out.append(F.when(when.isNull(), F.lit(None).cast("string")).when(when, yes).otherwise(no))
                 elif word == "for" and (m := re.fullmatch(r"(\w+)\s+in\s+range\((\d+)\)", rest.strip())):
                     out.append(self.loop(m[1], int(m[2]), tokens, steps))
+                elif word == "for" and (m := re.fullmatch(r"(\w+)\s+in\s+([A-Za-z_][\w.]*)", rest.strip())):
+                    out.append(self.over(m[1], m[2], tokens, steps))
                 else:
                     raise TemplateError(f"unknown tag {word}")
         if ends:
             raise TemplateError(f"{ends[-1]} is missing")
         return F.concat(F.lit(""), *out), ""
 
-    def loop(self, name: str, n: int, tokens: list[tuple[str, str]], steps: int) -> Column:
-        if steps * max(n, 1) > MOST_STEPS:
+    def bound(self, names: dict[str, Column], values: dict[str, Column], tokens: list[tuple[str, str]], steps: int | Column) -> Column:
+        """The body of a loop with its names; those of loops around it are there again after it."""
+        loops, context = dict(self.loops), dict(self.context)
+        for n in (*names, *values):  # a name of an inner loop hides the same one of an outer loop
+            self.loops.pop(n, None)
+        self.loops |= names
+        self.context |= values
+        out = self.body(tokens, ("endfor",), steps)[0]
+        self.loops, self.context = loops, context
+        return out
+
+    @staticmethod
+    def places(i: Column, n: Column) -> dict[str, Column]:
+        return {"loop.index": i + 1, "loop.index0": i, "loop.length": n, "loop.first": i == 0, "loop.last": i == n - 1}
+
+    @staticmethod
+    def joined(items: Column) -> Column:
+        return F.when(F.exists(items, lambda x: x.isNull()), F.lit(None).cast("string")).otherwise(F.array_join(items, ""))
+
+    def loop(self, name: str, n: int, tokens: list[tuple[str, str]], steps: int | Column) -> Column:
+        total = steps * max(n, 1)
+        if isinstance(total, int) and total > MOST_STEPS:
             raise TemplateError("the template has too many steps")
-        made: list[Column] = []
-
-        def one(i: Column) -> Column:
-            self.loops[name] = i
-            made.append(self.body(tokens, ("endfor",), steps * max(n, 1))[0])
-            del self.loops[name]
-            return made[0]
-
-        items = F.transform(F.sequence(F.lit(0), F.lit(max(n - 1, 0))), one)
-        return F.when(F.exists(items, lambda x: x.isNull()), F.lit(None).cast("string")).otherwise(F.array_join(items, "")) if n else F.lit("")
+        one = lambda i: self.bound({name: i, **self.places(i, F.lit(n))}, {}, tokens, total)
+        items = self.joined(F.transform(F.sequence(F.lit(0), F.lit(max(n - 1, 0))), one))
+        if not n:
+            return F.lit("")
+        return items if isinstance(total, int) else F.when(total <= MOST_STEPS, items)
+
+    def over(self, name: str, path: str, tokens: list[tuple[str, str]], steps: int | Column) -> Column:
+        """A loop over the elements of an array or the keys of an object."""
+        v = self.variant(path)
+        keys = F.array_sort(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")))
+        items = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.transform(keys, text_variant))
+        n = F.size(items)
+        total = n.cast("long") * steps
+        one = lambda x, i: self.bound(self.places(i, n), {name: x}, tokens, total)
+        return F.when(items.isNotNull() & (total <= MOST_STEPS), self.joined(F.transform(items, one)))
 
 
 def compile_template(source: str, record: Column, context: dict[str, Column] | None = None) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkmill.functions import strictjson
+from sparkmill.operators import sampling
 from sparkmill.operators.ordering import running_total
 
 MOST_DISTINCT = 1_000_000
@@ -130,8 +131,10 @@ def nearest_ranks(df: DataFrame, value: str, ranks: dict[str, float]) -> DataFra
     return run.join(total).agg(*[F.min(F.when(F.col("upto") >= F.round((F.col("total") - 1) * f) + 1, F.col(value))).alias(k) for k, f in ranks.items()])
 
 
-def latency(df: DataFrame, value: str) -> DataFrame:
-    """mean_ms, p50_ms, p95_ms, p99_ms; exact, where a bounded sample would only estimate the percentiles."""
-    ranks = nearest_ranks(df, value, {"p50_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99})
+def latency(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
+    """mean_ms, p50_ms, p95_ms, p99_ms. The mean is of all rows; percentiles are exact, or, where `keys` name the rows, those
+    of a bounded sample."""
+    at = {"p50_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99}
+    ranks = nearest_ranks(df, value, at) if keys is None else sampling.percentiles(df, value, keys, at)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
     return df.agg(F.avg(value).alias("mean_ms")).join(ranks).select(*[zero(c) for c in ("mean_ms", "p50_ms", "p95_ms", "p99_ms")])  # one row each

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sparkmill.functions import strictjson, text
 from sparkmill.functions.template import compile_template
 from sparkmill.functions.validation import compile_schema
-from sparkmill.operators import dedup, inspect, policies, records
+from sparkmill.operators import dedup, inspect, policies, records, sampling
 from sparkmill.plans import contracts, engine, providers, runs, spec, statistics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -262,6 +262,14 @@ def latency_mean(spark, d):
 ORACLE_SQL["latency_mean"] = "select round(avg(value), 6) as mean_ms from events"
 
 
+@query("""
+    with held as (select value from events where value is not null order by md5('7:' || event_id), event_id limit 4096),
+    n as (select count(*) as c from held), r as (select value, row_number() over (order by value) - 1 as k from held)
+    select min(value) filter (k = round((c - 1) * 0.5)) as p50_ms, min(value) filter (k = round((c - 1) * 0.95)) as p95_ms, min(value) filter (k = round((c - 1) * 0.99)) as p99_ms from r, n""")
+def latency_reservoir(spark, d):
+    return sampling.percentiles(table(spark, d, "events"), "value", ["event_id"], {"p50_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99})
+
+
 def _usage(spark, d):
     tokens = F.sum(providers.estimated(F.col("text"))).cast("long")
     return table(spark, d, "conversations").groupBy(F.col("role").alias("provider")).agg(tokens.alias("prompt_tokens"), F.count(F.lit(1)).alias("completion_tokens"))

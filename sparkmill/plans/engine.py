@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkmill.functions import strictjson
-from sparkmill.functions.template import compile_template
+from sparkmill.functions.template import text_variant, compile_template
 from sparkmill.functions.validation import broken, compile_schema
 from sparkmill.operators import dedup as dedups
 from sparkmill.operators.checkpoints import cut
@@ -101,18 +101,13 @@ def source(spark: SparkSession, spec: Spec) -> DataFrame:
     return (readers.jsonl if kind == "jsonl" else readers.csv)(spark, spec.source["path"])
 
 
-def _text_variant(text: Column) -> Column:
-    """A text as a variant of its own."""
-    return F.try_variant_get(F.to_variant_object(F.struct(text.alias("t"))), "$.t", "variant")
-
-
 def _call(df: DataFrame, spec: Spec, name: str, applies: Column, prompt: str, feedback: str | None, out: str, context: dict[str, Column], calls: Calls | None, rejects: Callable[[dict], bool]) -> DataFrame:
     """Adds the reply of a provider to the rows that ask it."""
     provider = spec.providers[name]
     if provider["type"] == "mock":
-        own = {"prompt": _text_variant(F.col(prompt)), "prompt_hash": _text_variant(F.sha2(prompt, 256)), **context}
+        own = {"prompt": text_variant(F.col(prompt)), "prompt_hash": text_variant(F.sha2(prompt, 256)), **context}
         if feedback:
-            own["feedback"] = F.coalesce(_text_variant(F.col(feedback)), F.parse_json(F.lit("null")))
+            own["feedback"] = F.coalesce(text_variant(F.col(feedback)), F.parse_json(F.lit("null")))
         return df.withColumn(out, providers.mocked(compile_template(provider["response"], F.col("_r"), own), MODEL, applies))
     http = spec.http(name)
     asked = df.withColumn("_ask", F.when(applies, F.col(prompt))).drop("_r", "_g")
@@ -193,7 +188,7 @@ def scored(df: DataFrame, spec: Spec, calls: Calls | None = None) -> DataFrame:
         return df.withColumns({"judge_call": none.cast(providers.REPLY), "score": none.cast("double"), "judged": F.lit(False)})
     j = spec.judge
     df = df.withColumn("_g", F.try_parse_json("generated")).withColumn("judged", F.col("category").isNull())
-    df = df.withColumn("_jp", compile_template(j.prompt, F.col("_r"), {"generated": F.col("_g"), "prompt": _text_variant(F.col("prompt"))}))
+    df = df.withColumn("_jp", compile_template(j.prompt, F.col("_r"), {"generated": F.col("_g"), "prompt": text_variant(F.col("prompt"))}))
     df = _call(df, spec, j.provider, F.col("judged") & F.col("_jp").isNotNull(), "_jp", None, "judge_call", {"generated": F.try_parse_json("generated")}, calls, _unpassed(j.score_field, j.min_score))
     df = df.withColumn("_v", F.get(F.transform(F.array(strictjson.fields(F.col("judge_call.text"))), lambda m: F.try_element_at(m, F.lit(j.score_field))), F.lit(0)))
     number = F.when(F.col("_v").rlike(r"^-?[0-9]"), F.col("_v").cast("double"))

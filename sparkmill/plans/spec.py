@@ -38,6 +38,12 @@ class Dedup:
     tokenization: str = "words"
     shingle_chars: int = 3
 
+    @property
+    def charge(self) -> int:
+        """Bytes that the memory budget counts for an accepted record: an entry, the slots of a signature, and an entry for
+        each of its buckets."""
+        return 128 if self.method == "exact" else 128 + 8 * self.num_perm + 128 * self.bands
+
     def check(self) -> None:
         if self.method not in ("exact", "minhash") or self.normalize not in ("none", "lowercase"):
             raise SpecError("dedup: method is exact or minhash, normalize none or lowercase")

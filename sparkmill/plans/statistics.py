@@ -32,9 +32,9 @@ def by_category(rows: DataFrame) -> DataFrame:
 
 
 def calls(done: DataFrame, spec: Spec) -> DataFrame:
-    """(provider, call) of every logical call."""
-    generate = done.select(F.lit(spec.generate["provider"]).alias("provider"), F.explode("calls").alias("call"))
-    judge = done.filter("judge_call is not null").select(F.lit(spec.judge.provider if spec.judge else "").alias("provider"), F.col("judge_call").alias("call"))
+    """(provider, call, position, nth) of every logical call: the calls of generation from 0 on, the judge's as -1."""
+    generate = done.select(F.lit(spec.generate["provider"]).alias("provider"), "position", F.posexplode("calls").alias("nth", "call"))
+    judge = done.filter("judge_call is not null").select(F.lit(spec.judge.provider if spec.judge else "").alias("provider"), "position", F.lit(-1).alias("nth"), F.col("judge_call").alias("call"))
     return generate.unionByName(judge)
 
 
@@ -71,7 +71,7 @@ def report(done: DataFrame, spec: Spec, elapsed: float) -> dict:
     out = counters(done).first().asDict()
     every = calls(done, spec)
     out["latency_calls_total"] = every.count()
-    out["latency"] = inspect.latency(every.select(F.col("call.latency_ms").alias("ms")), "ms").first().asDict()
+    out["latency"] = inspect.latency(every.select("position", "nth", F.col("call.latency_ms").alias("ms")), "ms", ["position", "nth"]).first().asDict()
     rows = {r["provider"]: r.asDict() for r in usage(every).collect()}  # a row for each provider of the specification
     out["provider_usage_by_name"] = rows
     out["returned_tokens_by_provider"] = {k: {n: r[n] for n in ("prompt_tokens", "completion_tokens")} for k, r in rows.items() if r["returned"]}

@@ -179,3 +179,18 @@ def test_references_stay_within_the_schema(schema):
 def test_names_and_values_are_no_references():
     for schema in ({"properties": {"$ref": {"type": "string"}}}, {"enum": [{"$ref": "data"}]}, {"default": {"$ref": "data"}}):
         validation.check_schema(schema)
+
+
+def test_templates_over_data(spark):
+    r = {"l": [{"n": "a", "t": ["x", "y"]}, {"n": "b", "t": []}], "o": {"k2": 1, "k1": [True]}, "e": [], "s": "text", "z": None, "big": list(range(400)), "f": [0, "", "0", None, False, True, {}, 0.5]}
+    assert rendered(spark, "{% for x in l %}{{ loop.index }}:{{ x.n }}{% for y in x.t %}<{{ y }}{{ x.n }}>{% endfor %}{% if not loop.last %}, {% endif %}{% endfor %}", r) == "1:a<xa><ya>, 2:b"
+    assert rendered(spark, "{% for k in o %}{{ k }}={{ k | tojson }};{% endfor %}{% for x in e %}never{% endfor %}", r) == 'k1="k1";k2="k2";'
+    assert rendered(spark, "{% for x in f %}{% if x %}+{% else %}-{% endif %}{% endfor %}", r) == "--+--+-+"
+    assert rendered(spark, "{% for i in range(2) %}{% for x in l %}{{ i }}{{ x.n }}{% if loop.first %}!{% endif %}{% endfor %}{% endfor %}", r) == "0a!0b1a!1b"
+    assert rendered(spark, "{% for x in big %}{% for y in big %}{% endfor %}{% endfor %}", r) is None  # 160,000 steps
+    assert rendered(spark, "{% for x in big %}{% for i in range(200) %}{% endfor %}{% endfor %}.", r) == "."
+    assert rendered(spark, "{% for x in big %}{% for i in range(300) %}{% endfor %}{% endfor %}.", r) is None
+    for bad in ("s", "z", "missing", "l.0.n"):
+        assert rendered(spark, "{% for x in " + bad + " %}{% endfor %}", r) is None
+    assert rendered(spark, "{% if missing %}{% endif %}", r) is None and rendered(spark, "{% for x in l %}{{ x.none }}{% endfor %}", r) is None
+    assert rendered(spark, "{% for x in l %}{{ x.n }}{% endfor %}{% if x is defined %}left{% endif %}", r) == "ab"
