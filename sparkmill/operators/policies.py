@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkmill.operators.ordering import running_total
+
 
 def allowed(errors) -> int | None:
     """Rejections that a run survives; None without a policy that stops it on the way."""
@@ -31,6 +33,15 @@ def cut_at(df: DataFrame, bad: str, most: int) -> DataFrame:
     return df.join(F.broadcast(edge), F.col("edge").isNull() | (F.col("position") <= F.col("edge"))).drop("edge")  # one row
 
 
+def budget_edge(rows: DataFrame, room: int) -> int | None:
+    """The first position that needs room for a key when `room` keys are held; rows (position, good) are unique ones, and
+    the good ones keep their key. A running total is made only where the rows may exceed the room."""
+    if rows.count() <= room:
+        return None
+    held = running_total(rows.select("position", F.col("good").cast("long").alias("good")), ["position"], F.col("good"))
+    return held.filter(F.col("upto") - F.col("amount") >= room).agg(F.min("position").alias("p")).first()["p"]
+
+
 def final(df: DataFrame, bad: str, ratio: float) -> DataFrame:
     total, rejected = F.count(F.lit(1)), F.coalesce(F.sum(bad), F.lit(0)).cast("long")
     return df.agg(total.alias("total"), rejected.alias("rejected")).select("total", "rejected", (F.col("rejected") / F.col("total") > ratio).alias("violated"), ((F.col("total") > 0) & (F.col("rejected") == F.col("total"))).alias("all_rejected"))

@@ -359,6 +359,26 @@ def commit_batches(spark, d):
     return runs.batches(docs(spark, d), 128)
 
 
+@query(
+    f"with p as (select {POS} as position, coalesce(l.quality, -1) >= 1 as good from documents d left join labels l using (doc_id)) "
+    "select least(((position - 1) // 7 + 1) * 7, (select count(*) from p)) as position, count(*) filter (good) as accepted, count(*) filter (not good) as rejected from p group by (position - 1) // 7"
+)
+def commit_entries(spark, d):
+    """The entries of commits of seven rows, as a run writes them."""
+    rows = judged(spark, d).select("position", F.col("text").alias("row"), (F.coalesce("score", F.lit(-1.0)) >= 1).alias("good"))
+    last = rows.agg(F.coalesce(F.max("position"), F.lit(0))).first()[0]
+    found = runs.entries(rows.filter("good"), rows.filter("NOT good"), 0, last, 7)
+    return found.select("position", F.col("accepted.rows").alias("accepted"), F.col("rejected.rows").alias("rejected"))
+
+
+@query(f"with p as (select {POS} as position, lower(text) as k from documents), u as (select min(position) as position from p group by k), r as (select position, row_number() over (order by position) as n from u) select position as edge from r where n = 501")
+def dedup_budget_edge(spark, d):
+    """The row at which 500 keys of 128 bytes leave no room."""
+    rows = dedup.exact(docs(spark, d), [F.lower("text")]).filter("NOT duplicate").select("position", F.lit(True).alias("good"))
+    edge = policies.budget_edge(rows, 64_000 // spec.Dedup(fields=["t"]).charge)
+    return spark.createDataFrame([] if edge is None else [(edge,)], "edge long")
+
+
 @query(f"with p as (select doc_id, {POS} as position from documents) select doc_id, position from p where position > 256")
 def resume_suffix(spark, d):
     return runs.after(docs(spark, d), 256).select("doc_id", "position")
@@ -420,3 +440,25 @@ def pipeline_outcomes(spark, d):
     pipeline = _mock('{"k": {{ n_chars | tojson }}, "lang": {{ lang | tojson }}}', generate={"prompt": "Describe {{ source }}", "output_schema": {"properties": {"k": {"type": "integer", "maximum": 5000}}}}, dedup={"fields": ["k", "lang"]})
     done = engine.outcomes(rows.select("position", "record"), pipeline).select("position", "category")
     return rows.select("doc_id", "position").join(done, "position").select("doc_id", F.coalesce("category", F.lit("accepted")).alias("category"))
+
+
+@query("select conv_id, string_agg(turn || '/' || n || ':' || role || case when k < n then '' else '.' end, ', ' order by turn) as prompt from (select conv_id, turn, role, row_number() over (partition by conv_id order by turn) as k, count(*) over (partition by conv_id) as n from conversations) group by conv_id")
+def template_over_data(spark, d):
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role")))
+    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.to_json(F.struct(turns.alias("turns"))).alias("record"))
+    source = "{% for t in turns %}{{ t.turn }}/{{ loop.length }}:{{ t.role }}{% if loop.last %}.{% else %}, {% endif %}{% endfor %}"
+    return rows.select("conv_id", compile_template(source, F.parse_json("record")).alias("prompt"))
+
+
+@query(
+    "with t as (select conv_id, min(turn) filter (length(text) > 900) as bad from conversations group by conv_id) select conv_id, '/next' || repeat('/next', bad::int) || '/n' as instance_path, "
+    "'/properties/next/$ref' || repeat('/properties/next/$ref', bad::int) || '/properties/n/maximum' as schema_path from t where bad is not null"
+)
+def schema_validate_recursive(spark, d):
+    """Conversations as lists of turns that hold the next one; the first turn that is too long."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", F.length("text").alias("n"))))
+    link = F.aggregate(F.reverse("turns"), F.lit("null"), lambda rest, t: F.concat(F.lit('{"n":'), t["n"].cast("string"), F.lit(',"next":'), rest, F.lit("}")))
+    rows = table(spark, d, "conversations").groupBy("conv_id").agg(turns.alias("turns")).select("conv_id", F.concat(F.lit('{"next":'), link, F.lit("}")).alias("record"))
+    rule = {"$defs": {"link": {"type": ["object", "null"], "properties": {"n": {"maximum": 900}, "next": {"$ref": "#/$defs/link"}}}}, "properties": {"next": {"$ref": "#/$defs/link"}}}
+    found = rows.select("conv_id", compile_schema(rule, F.parse_json("record")).alias("b")).filter("b is not null")
+    return found.select("conv_id", "b.instance_path", "b.schema_path")
