@@ -48,7 +48,8 @@ class Earlier:
 @dataclass
 class Calls:
     """What the HTTP stages of a run share: the lease service with a pool for each provider, the folder that keeps replies
-    (None: a checkpoint does), and how many of the records from `first` on may still fail (None: no policy stops calls)."""
+    (None: a checkpoint does), how many of the records from `first` on may still fail (None: no policy stops calls), and the
+    user's own providers by name, which stand in for those of the specification."""
 
     service: leases.Service
     folder: str | None = None
@@ -56,6 +57,7 @@ class Calls:
     allowed: int | None = None
     stage: int = 0
     pools: dict[str, leases.Pool] = field(default_factory=dict)
+    own: dict[str, Callable[[str, str | None], providers.Answer]] = field(default_factory=dict)
 
     def begin(self, first: int, allowed: int | None) -> None:
         """Stages count from here: the records from `first` on go through all of them."""
@@ -89,9 +91,9 @@ class Calls:
 
 
 @contextlib.contextmanager
-def calling(spark: SparkSession, folder: str | None = None) -> Iterator[Calls]:
+def calling(spark: SparkSession, folder: str | None = None, own: dict | None = None) -> Iterator[Calls]:
     with leases.beside(spark) as service:
-        yield Calls(service, folder)
+        yield Calls(service, folder, own=own or {})
 
 
 def source(spark: SparkSession, spec: Spec) -> DataFrame:
@@ -103,19 +105,19 @@ def source(spark: SparkSession, spec: Spec) -> DataFrame:
 
 def _call(df: DataFrame, spec: Spec, name: str, applies: Column, prompt: str, feedback: str | None, out: str, context: dict[str, Column], calls: Calls | None, rejects: Callable[[dict], bool]) -> DataFrame:
     """Adds the reply of a provider to the rows that ask it."""
-    provider = spec.providers[name]
-    if provider["type"] == "mock":
+    provider, answer = spec.providers[name], calls.own.get(name) if calls else None
+    if provider["type"] == "mock" and answer is None:
         own = {"prompt": text_variant(F.col(prompt)), "prompt_hash": text_variant(F.sha2(prompt, 256)), **context}
         if feedback:
             own["feedback"] = F.coalesce(text_variant(F.col(feedback)), F.parse_json(F.lit("null")))
         return df.withColumn(out, providers.mocked(compile_template(provider["response"], F.col("_r"), own), MODEL, applies))
-    http = spec.http(name)
+    http = spec.http(name) if provider["type"] != "mock" else providers.Http("", name, concurrency=provider.get("concurrency", 1))
     asked = df.withColumn("_ask", F.when(applies, F.col(prompt))).drop("_r", "_g")
     with contextlib.ExitStack() as stack:
         shared = calls or stack.enter_context(calling(df.sparkSession))
         address = shared.address(name, http)
         tasks = df.sparkSession.sparkContext.defaultParallelism
-        called = shared.kept(asked, "_ask", out, lambda rows: providers.called(rows, http, "_ask", feedback, out, tasks, address, F.col("category").isNotNull(), rejects))
+        called = shared.kept(asked, "_ask", out, lambda rows: providers.called(rows, http, "_ask", feedback, out, tasks, address, F.col("category").isNotNull(), rejects, answer))
     return called.withColumn("_r", F.parse_json("record")).drop("_ask")
 
 

@@ -225,3 +225,28 @@ def test_replies_of_tasks_that_ended_are_kept(spark, tmp_path):
             calls.begin(1, None)
             got = calls.kept(part, "ask", "reply", call)
             assert asked[-1] == want and got.count() == part.count() == got.filter("reply.text = concat('r', position) AND ask is not null").count()
+
+
+def test_a_provider_of_the_user_s_own(spark, tmp_path):
+    """Answers as texts and dicts, failures of both kinds, feedback, and names that the specification lacks."""
+
+    def answer(prompt, feedback):
+        if "raise" in prompt:
+            raise KeyError("what the user's code raises")
+        if "refuse" in prompt:
+            raise providers.ProviderError("provider_refusal")
+        if "number" in prompt:
+            return 3
+        if "again" in prompt:
+            return '{"n": 5}' if feedback else '{"n": "x"}'
+        return {"text": '{"n": 7}', "model": "mine-1", "prompt_tokens": 4, "completion_tokens": 2}
+
+    s = made(tmp_path, None, ["fine", "again", "raise", "refuse", "number"], generate={"provider": "m", "prompt": "{{ t }}", "regenerate_on_invalid": 1, "output_schema": {"properties": {"n": {"type": "integer"}}}})
+    report = runs.run(spark, s, own={"m": answer})
+    bad = {x["source_position"]: x["diagnostic"]["category"] for x in (json.loads(r.value) for r in spark.read.text(s.dead_letter).collect())}
+    assert bad == {3: "provider_response", 4: "provider_refusal", 5: "provider_response"} and report["accepted"] == 2
+    good = sorted((json.loads(r.value) for r in spark.read.text(s.output["path"]).collect()), key=lambda g: g["_meta"]["source_position"])
+    assert [(g["generated"]["n"], g["_meta"]["generator_model"], g["_meta"]["attempt"]) for g in good] == [(7, "mine-1", 1), (5, "m", 2)]
+    assert report["statistics"]["prompt_tokens_total"] == 4
+    with pytest.raises(runs.RunFailed, match="no provider z"):
+        runs.run(spark, s, own={"z": answer})
