@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from sparkmill.llm.common import U64, blocks, cut, mix, packed, packed_in, released, shingle_sets, small
 from sparkmill.llm.components import components
+from sparkmill.operators.lookups import looked_up
 
 SHINGLE = 5
 PERCENT = 80
@@ -170,12 +171,13 @@ def boundary(sizes: dict[int, int], share: float, list_length: float, percent: i
     return where
 
 
-def prefixes(docs: DataFrame, width: int, percent: int, known: Identity, frequent: np.ndarray, ranks: np.ndarray, x: int) -> DataFrame:
-    """(key, cls, n, p) of each class: p keys that a similar set must share one of."""
-    shared = docs.sparkSession.sparkContext.broadcast((frequent, ranks))
+def prefixes(docs: DataFrame, width: int, percent: int, known: Identity, frequent: np.ndarray, ranks: np.ndarray, x: int, opened: np.ndarray | None = None) -> DataFrame:
+    """(key, cls, n, p) of each class: p keys that a similar set must share one of. With a bitmap of keys, those outside it
+    are counted in p and left out."""
+    shared = docs.sparkSession.sparkContext.broadcast((frequent, ranks, opened))
 
     def keys(tokens: np.ndarray) -> list[np.ndarray]:
-        frequent, ranks = shared.value
+        frequent, ranks, _ = shared.value
         n = len(tokens)
         p = n - _required(n, percent) + 1
         rank = np.zeros(n, np.int64)
@@ -204,6 +206,9 @@ def prefixes(docs: DataFrame, width: int, percent: int, known: Identity, frequen
                         found += [(x, key, len(own)) for x in keys(own)]
                 sizes = [len(k) for k, _, _ in found]
                 cols = [np.concatenate([k for k, _, _ in found]).astype(np.int64) if found else np.zeros(0, np.int64), np.repeat(np.array([c for _, c, _ in found], np.int64), sizes), np.repeat(np.array([n for _, _, n in found], np.int32), sizes), np.repeat(np.array(sizes, np.int32), sizes)]
+                if shared.value[2] is not None:
+                    kept = _passes(shared.value[2], cols[0])
+                    cols = [c[kept] for c in cols]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "cls", "n", "p"])
 
     return docs.mapInArrow(released(run), "key long, cls long, n int, p int")
@@ -300,7 +305,7 @@ def mixed(lists: DataFrame, reached: DataFrame) -> DataFrame:
     """The lists whose sets lie in more than one component, each set with its component."""
     label = labelled(lists, reached, "cls", "component")
     open_keys = label.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    return cut(label.join(open_keys, "key", "left_semi"))
+    return cut(looked_up(label, ["key"], open_keys))
 
 
 def grouped(lists: DataFrame, stars: DataFrame, reached: DataFrame) -> DataFrame:
@@ -342,7 +347,7 @@ def differing(docs: DataFrame, width: int, known: Identity, members: DataFrame,
     times = sets.select("hub", "tokens").mapInArrow(released(_common_counts), "hub long, token long, times long").groupBy("hub", "token").agg(F.sum("times").alias("times"))
     middle = times.join(size, "hub").filter("2 * times > size").groupBy("hub").agg(F.collect_list("token").alias("middle"))
     # A hub whose sets share no token has an empty middle.
-    apart = sets.join(small(cut(size.select("hub").join(middle, "hub", "left"))), "hub").withColumn("middle", F.coalesce("middle", F.array().cast("array<long>")))
+    apart = sets.join(small(cut(size.select("hub").join(middle, "hub", "left")), weight=1 + F.coalesce(F.size("middle"), F.lit(0))), "hub").withColumn("middle", F.coalesce("middle", F.array().cast("array<long>")))
     apart = apart.withColumn("diff", F.concat(F.array_except("tokens", "middle"), F.array_except("middle", "tokens")))
     weight = (100 - percent) * F.size("tokens") - (100 + percent) * F.size("diff")
     apart = cut(apart.select("hub", "cls", "component", "n", "p", "shared", weight.cast("long").alias("weight"), "diff"))
@@ -355,7 +360,7 @@ def differing(docs: DataFrame, width: int, known: Identity, members: DataFrame,
     step = 2 * (100 + percent)
     need = F.expr(f"greatest(1, ({step - 1} - weight - CASE WHEN far THEN best.weight ELSE beyond END) div {step})")
     tokens = both.filter("beyond IS NOT NULL").withColumn("need", need.cast("int")).select("hub", "cls", "component", "n", "p", "shared", "weight", "far", "need", F.explode("diff").alias("token"))
-    tokens = tokens.withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("hub", "token"))).filter("times > 1")
+    tokens = looked_up(cut(tokens), ["hub", "token"], tokens.groupBy("hub", "token").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"))
     own = Window.partitionBy("cls")
     tokens = tokens.withColumns({"at": F.row_number().over(own.orderBy("times", "token")), "rows": F.count(F.lit(1)).over(own)}).filter("at <= rows - need + 1")
     tokens = cut(tokens.withColumn("left", (F.col("rows") - F.col("at") + 1).cast("int")).drop("times", "rows", "need", "at"))
@@ -413,18 +418,20 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int =
     total = bitmaps.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] or 1
     x = boundary(sizes, float(count.sum()) / total, float(count.mean()) if len(count) else 1.0, percent)
 
-    grouped = Window.partitionBy("key")
-    lists = prefixes(docs, width, percent, known, token[order], count[order], x)
-    lists = lists.withColumns({"lo": F.min("cls").over(grouped), "hi": F.max("cls").over(grouped)}).filter("lo <> hi").drop("lo", "hi")
+    # Keys of more than one class, by sums within tasks first; then only their entries move, a key's in parts.
+    sought = (docs, width, percent, known, token[order], count[order], x)
+    opened = cut(prefixes(*sought).groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi").select("key"))
+    lists = looked_up(cut(prefixes(*sought, _filter(opened)).dropDuplicates(["key", "cls"])), ["key"], opened)
     # A set of the overlap zone has pairs and single tokens among its keys; what a pair shares bounds nothing there.
     shared = F.count(F.lit(1)).over(Window.partitionBy("cls"))
     bound = F.when(F.col("n") > x, shared).otherwise(F.col("n")).cast("int")
     size = F.when(F.col("n") > x, F.col("p")).otherwise(F.lit(0)).cast("int")
-    lists = cut(lists.dropDuplicates(["key", "cls"]).select("key", "cls", "n", size.alias("p"), bound.alias("shared")))
+    lists = cut(lists.select("key", "cls", "n", size.alias("p"), bound.alias("shared")))
 
     clear = F.struct((F.col("shared") - F.col("p")).alias("x"), F.col("shared").alias("s"), F.col("cls").alias("cls"), F.col("n").alias("n"), F.col("p").alias("p"))
     centres = lists.groupBy("key").agg(F.max(clear).alias("c")).select("key", F.col("c.cls").alias("cls"), F.col("c.n").alias("n"), F.col("c.p").alias("p"), F.col("c.s").alias("shared"))
-    met = lists.alias("l").join(centres.alias("c"), F.expr("l.key = c.key AND l.cls <> c.cls AND " + _able("l", "c", percent)))
+    sides = lambda df, name: df.select("key", F.struct("cls", "n", "p", "shared").alias(name))
+    met = looked_up(sides(lists, "l"), ["key"], sides(centres, "c")).filter("l.cls <> c.cls AND " + _able("l", "c", percent))
     stars = cut(met.select(F.col("l.cls").alias("cls"), F.col("c.cls").alias("centre")).groupBy("cls", "centre").agg(F.count(F.lit(1)).alias("times")))
     pair = lambda df: df.select(F.least("cls", "centre").alias("a"), F.greatest("cls", "centre").alias("b")).distinct()
     best = cut(pair(stars.groupBy("cls").agg(F.max(F.struct("times", "centre")).alias("m")).select("cls", "m.centre")))
