@@ -8,6 +8,7 @@ outcome is checkpointed, so that no call is made twice. Deduplication shuffles p
 from __future__ import annotations
 
 import contextlib
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -58,6 +59,7 @@ class Calls:
     stage: int = 0
     pools: dict[str, leases.Pool] = field(default_factory=dict)
     own: dict[str, Callable[[str, str | None], providers.Answer]] = field(default_factory=dict)
+    process: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def begin(self, first: int, allowed: int | None) -> None:
         """Stages count from here: the records from `first` on go through all of them."""
@@ -72,22 +74,27 @@ class Calls:
 
     def kept(self, rows: DataFrame, ask: str, out: str, call: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """The called rows. With a folder, each task's replies are there from its own commit on, so that a run which goes
-        on after its driver was lost calls for no row whose task had ended."""
-        at, self.stage = f"{self.folder}/{self.stage:03d}", self.stage + 1
+        on after its driver was lost calls for no row whose task had ended. Calls that failed are made again then."""
+        stage, self.stage = f"{self.folder}/{self.stage:03d}", self.stage + 1
         if self.folder is None:
             return cut(call(rows))
-        files = sinks.Files(rows.sparkSession, at)
+        files, own = sinks.Files(rows.sparkSession, stage), f"{stage}/{self.process}"
         wanted = rows.columns + [out]
-        if any(n.endswith(".parquet") for n in files.names(at)):
-            schema = rows.sparkSession.read.parquet(at).schema
-            done = cut(rows.sparkSession.read.schema(schema).parquet(at).join(rows.select("position"), "position", "left_semi").select(*wanted))
-            held = done.select("position", F.col(f"{out}.category").isNotNull().alias("_bad"), F.lit(True).alias("_held"))
-            rest = rows.join(held, "position", "left").withColumns({ask: F.when(F.col("_held").isNull(), F.col(ask)), "category": F.coalesce("category", F.when(F.col("_bad"), "provider"))})
-            fresh = call(rest.drop("_bad")).filter("_held is null").drop("_held")
-        else:
-            done, fresh = None, call(rows)
-        fresh.select(*wanted).write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(at)
-        return rows.sparkSession.read.parquet(at).join(rows.select("position"), "position", "left_semi").select(*wanted)
+        before = [f"{stage}/{n}" for n in files.names(stage) if n != self.process and any(x.endswith(".parquet") for x in files.names(f"{stage}/{n}"))]
+        fresh, done = rows, None
+        if before:
+            done = cut(self._stored(rows, before).filter(F.col(f"{out}.category").isNull()).select(*wanted))
+            fresh = rows.join(done.select("position", F.lit(True).alias("_held")), "position", "left").withColumn(ask, F.when(F.col("_held").isNull(), F.col(ask)))
+        called = call(fresh)
+        called = called.filter("_held is null") if before else called
+        called.select(*wanted).write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(own)
+        got = self._stored(rows, [own]).select(*wanted)
+        return got if done is None else got.unionByName(done)
+
+    def _stored(self, rows: DataFrame, paths: list[str]) -> DataFrame:
+        """What is kept of the rows; the files of earlier spans are passed over by their positions."""
+        there = rows.sparkSession.read.parquet(*paths).filter(F.col("position") >= self.first)
+        return there.join(rows.select("position"), "position", "left_semi")
 
 
 @contextlib.contextmanager

@@ -23,7 +23,7 @@ class Stub(BaseHTTPRequestHandler):
             self.server.now += 1
             self.server.most = max(self.server.most, self.server.now)
         time.sleep(self.server.takes)
-        status = 400 if "bad" in prompt else 200
+        status = 400 if "bad" in prompt and not self.server.mended else 200
         content = "no json" if "text" in prompt else '{"n": "x"}' if "type" in prompt else '{"n": 1}'
         raw = json.dumps({"choices": [{"message": {"content": content}}]}).encode()
         self.send_response(status)
@@ -43,7 +43,7 @@ def stub():
         request_queue_size, daemon_threads = 128, True
 
     server = Server(("127.0.0.1", 0), Stub)
-    server.seen, server.lock, server.takes, server.now, server.most = [], threading.Lock(), 0.01, 0, 0
+    server.seen, server.lock, server.takes, server.now, server.most, server.mended = [], threading.Lock(), 0.01, 0, 0, False
     threading.Thread(target=server.serve_forever, daemon=True).start()
     server.url = f"http://127.0.0.1:{server.server_port}/v1"
     yield server
@@ -210,21 +210,34 @@ def test_no_call_is_paid_again_when_the_driver_is_lost(spark, tmp_path, stub):
 
 
 def test_replies_of_tasks_that_ended_are_kept(spark, tmp_path):
-    """Half of the rows have replies; only the others are called, and the gate knows of both."""
+    """A second process calls for what the first has no good reply to, and one process never calls twice."""
     asked = []
     rows = spark.createDataFrame([(k, f"p{k}", None) for k in range(1, 11)], "position long, ask string, category string")
 
     def call(df):
         asked.append(sorted(r.position for r in df.filter("ask is not null").collect()))
-        reply = F.when(F.col("ask").isNotNull(), F.struct(F.concat(F.lit("r"), "position").alias("text"), F.lit(None).cast("string").alias("category")))
+        failed = F.when((F.col("position") == 3) & F.lit(len(asked) == 1), "provider_network")
+        reply = F.when(F.col("ask").isNotNull(), F.struct(F.concat(F.lit("r"), "position").alias("text"), failed.alias("category")))
         return df.withColumn("reply", reply)
 
     with leases.Service() as service:
-        calls = engine.Calls(service, str(tmp_path / "calls"))
-        for part, want in ((rows.filter("position <= 5"), [1, 2, 3, 4, 5]), (rows, [6, 7, 8, 9, 10]), (rows, [])):
+        for part, want in ((rows.filter("position <= 5"), [1, 2, 3, 4, 5]), (rows, [3, 6, 7, 8, 9, 10]), (rows, [])):
+            calls = engine.Calls(service, str(tmp_path / "calls"))  # a new process each
             calls.begin(1, None)
-            got = calls.kept(part, "ask", "reply", call)
-            assert asked[-1] == want and got.count() == part.count() == got.filter("reply.text = concat('r', position) AND ask is not null").count()
+            got = {r.position: r for r in calls.kept(part, "ask", "reply", call).collect()}
+            assert asked[-1] == want and len(got) == part.count() and all(r.reply.text == f"r{p}" and r.ask for p, r in got.items())
+            assert [p for p, r in got.items() if r.reply.category] == ([3] if len(asked) == 1 else [])
+
+
+def test_a_call_that_failed_is_made_again_when_the_run_goes_on(spark, tmp_path, stub):
+    """The second record's call fails under a strict policy; the provider is mended, and the run resumed."""
+    s = made(tmp_path, stub, ["fine", "bad", "fine", "fine"], errors={"strict": True})
+    with pytest.raises(runs.RunFailed, match="strict"):
+        runs.run(spark, s)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(stub, "mended", True)
+        assert runs.resume(spark, s)["accepted"] == 4
+    assert sum("bad" in p for _, p in stub.seen) == 2 and sum(p == "fine 0" for _, p in stub.seen) == 1
 
 
 def test_a_provider_of_the_user_s_own(spark, tmp_path):
