@@ -1,10 +1,9 @@
 """Strict JSON as text: one spelling for each value, numbers as they were written.
 
 Spark's variant keeps one of several equal keys only by failing, and writes 1.0 as 1; record ids and keys must tell these
-apart. Texts in which nothing can differ (no escapes, whole numbers of up to 15 digits, no repeated keys) are read as a
-variant and written again; that their length stays, but for white space, shows that nothing was lost or passed over. All
-others are read here, a batch at a time. The last of repeated keys counts; keys are sorted; NaN, infinities, numbers beyond
-doubles, lone surrogates and nesting beyond 128 are not JSON.
+apart, so texts are read here, a batch at a time. (Spelling plain texts natively, by variants and checks that nothing was
+lost, was slower: 8.4 s against 4.6 s for 100,000 replies.) The last of repeated keys counts; keys are sorted; NaN,
+infinities, numbers beyond doubles, lone surrogates and nesting beyond 128 are not JSON.
 """
 
 from __future__ import annotations
@@ -88,20 +87,9 @@ def _each(f: Callable[[Any], Any]) -> Callable[[pd.Series], pd.Series]:
     return run
 
 
-def _plain(text: Column) -> Column:
-    """The canonical spelling of a text that variants spell in the same way; null for others, which may be JSON or not."""
-    bare = F.regexp_replace(text, '"[^"]*"', '""')  # without what strings hold; a text with escapes is not looked at
-    alike = ~text.contains("\\") & ~bare.rlike(r"[0-9][.eE]|[0-9]{16}|[NI']") & ~text.rlike(r"[\x{10000}-\x{10FFFF}]") & (F.length(F.regexp_replace(bare, r"[^\[{]", "")) <= MOST_DEPTH)
-    spaces = F.length(bare) - F.length(F.regexp_replace(bare, r"[ \t\r\n]+", ""))
-    again = F.to_json(F.try_parse_json(F.when(alike, text)))
-    return F.when(F.octet_length(again) == F.octet_length(text) - spaces, again)
-
-
 def canonical(col: str | Column) -> Column:
     """The canonical spelling of a JSON text, null where it is not JSON."""
-    text = F.col(col) if isinstance(col, str) else col
-    plain = _plain(text)
-    return F.coalesce(plain, F.pandas_udf(_each(dump), "string")(F.when(plain.isNull(), text)))
+    return F.pandas_udf(_each(dump), "string")(col)
 
 
 def fields(col: str | Column) -> Column:
