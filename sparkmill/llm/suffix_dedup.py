@@ -6,27 +6,29 @@ window's bytes alone: equal windows have equal anchors at equal places. Anchors
 anchor stands for are cut into chunks; a chunk's windows share a core, and (place, core) is the group. Common strings
 that stand in many different texts so fall into many groups, and a group holds only windows that agree on their core.
 
-Within a group the windows' suffixes are sorted. Of the positions in suffix order, the previous and the next smaller
-give the longest earlier match of every suffix (LPF), the previous and next larger ones the longest later match (LNF).
-Windows of a group that are equal lie at one place relative to the core, so a group is taken one such place after the
-other, and only one place's windows are held at once. `keep="first"` removes what an earlier copy covers
-(LPF >= length); `keep="none"` what any other copy covers.
+Within a group the suffixes of its segments are sorted, equal segments with their multiplicity. Of the positions in
+suffix order, the previous and the next smaller give the longest earlier match of every suffix (LPF), the previous and
+next larger ones the longest later match (LNF). `keep="first"` removes what an earlier copy covers (LPF >= length);
+`keep="none"` what any other copy covers. Nothing is removed that these arrays do not report.
 
-Anchors and segments that repeat within a task are known there: only one of each goes to where its group meets, so a
-string that a third of all texts hold reaches that task once for each task of the stage before.
+Anchors that repeat within a task are known there. Segments that a task holds at several places run their factors in
+it, and one place of each goes to where its group meets, so a string that a third of all texts hold reaches that task
+once for each task of the stage before.
 
 Whole texts move twice, to where their repeated anchors and where their covered bytes are. Only those move that a
 broadcast bitmap of the keys in question lets pass; false positives cost, and lose nothing.
 
 Texts are UTF-8 bytes; null is empty; no match crosses texts. Equal texts (repeated rows, too) are one text with a
-count, known by 128 bits of SHA-256; windows are compared by their bytes. Where equal texts are long enough, all of
-each is covered (with keep="first", of all but the smallest doc_id's). Lists gathered per text are bounded by that
+count, known by 128 bits of SHA-256; windows are compared by their bytes. All segments of such a text stand in their
+groups twice, for the smallest doc_id's row and for the others, so all of each that is long enough is covered (with
+keep="first", of all but the smallest doc_id's). Lists gathered per text are bounded by that
 text's length. Extra columns take no part, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +44,8 @@ CHUNK = 192
 #: Anchors, and bytes of different segments, that a task holds to find those that repeat in it.
 HELD_ANCHORS = 2_000_000
 HELD_BYTES = 64 << 20
+#: Segments of small groups whose suffixes are sorted together; a larger group is sorted by itself.
+MOST_MEMBERS = 4096
 #: Longs of a bitmap of keys: eight bits a key, and so many at most (16 MB broadcast); beyond, more texts pass.
 MOST_WORDS = 1 << 20
 
@@ -150,41 +154,52 @@ def _anchor_rows(length: int):
 
 
 def _segment_rows(length: int, chunk: int, keep: str):
-    """Segments of the chunks of each repeated anchor: group, place of the core in the segment, text, start, bytes.
+    """Segments of the chunks of each repeated anchor: group, place of the core in the segment, text, start, copy, bytes.
 
-    Of equal segments the first place stands for all; the others, and with keep="none" the first as well, are covered
-    whole, which rows without bytes say (`align` is their length)."""
-    names = ["core", "align", "doc_id", "key", "start", "segment"]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+    A text that more rows hold (`n`) stands for two copies, the second one for all but the smallest doc_id's; all of its
+    segments are looked at. Segments that the task holds at two places or more run their factors here, and the windows
+    found are rows without bytes (`align` is their length); one place of each goes on."""
+    names = ["core", "align", "doc_id", "key", "start", "copy", "segment"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         cols = zip(*rows, strict=True) if rows else [()] * len(names)
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, list] = {}
-        done: list[tuple] = []
+        held: dict[tuple, list] = {}  # places of a segment, and whether it goes on
         size = 0
 
-        def covered(place: tuple, n: int) -> None:
-            (_, doc, key), start = place
-            done.append((int.from_bytes(key[:8], "little", signed=True) ^ start, n, doc, key, start, None))
-
         def flushed() -> Iterator[pa.RecordBatch]:
-            rows, bytes_ = done[:], 0
-            for (core, align, segment), (((none, doc, key), start), _) in held.items():
-                rows.append((core, align, None if none else doc, key, start, segment))
-                bytes_ += len(segment)
-                if bytes_ > 8 << 20:
-                    yield batch(rows)
-                    rows, bytes_ = [], 0
+            rows: list[tuple] = []
+            bytes_ = 0
+            for (core, align, segment), (places, on) in held.items():
+                if on:
+                    none, doc, key, at, copy = min(places)
+                    rows.append((core, align, None if none else doc, key, at - align, copy, segment))
+                    bytes_ += len(segment)
+                    if bytes_ > 8 << 20:
+                        yield batch(rows)
+                        rows, bytes_ = [], 0
+            again = [(k, align, segment, sorted(places)) for k, ((_, align, segment), (places, _)) in enumerate(held.items()) if len(places) > 1]
+            for i in range(0, len(again), MOST_MEMBERS):
+                for doc, key, first, last, copy in group_spans(again[i : i + MOST_MEMBERS], length, keep):
+                    rows.append((int.from_bytes(key[:8], "little", signed=True) ^ first, last - first, doc, key, first, copy, None))
+                yield batch(rows)
+                rows = []
             yield batch(rows)
 
         for b in batches:
-            for doc, key, text, runs in zip(*(b.column(k) for k in range(4)), strict=True):
+            for doc, key, text, runs, n in zip(*(b.column(k) for k in range(5)), strict=True):
                 raw, doc, key = text.as_py().encode(), doc.as_py(), key.as_py()
-                own = (doc is None, doc or 0, key)
-                for at, first, last in sorted({(r["at"], r["first"], r["last"]) for r in runs.as_py()}):
+                go = {(r["at"], r["first"], r["last"]) for r in runs.as_py() or []}
+                copies = 2 if n.as_py() else 1
+                looked = go
+                if copies > 1:
+                    _, at, first, last, _ = anchors(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), length)
+                    looked = go | set(zip(at.tolist(), first.tolist(), last.tolist(), strict=True))
+                for at, first, last in sorted(looked):
+                    on = (at, first, last) in go
                     for c in range((at - last) // chunk, (at - first) // chunk + 1):
                         low, high = max(first, at - chunk * c - chunk + 1), min(last, at - chunk * c)
                         core = at - chunk * c
@@ -192,139 +207,142 @@ def _segment_rows(length: int, chunk: int, keep: str):
                         entry = (int.from_bytes(digest, "little", signed=True), core - low, raw[low : high + length])
                         before = held.get(entry)
                         if before is None:
-                            held[entry] = [(own, low), False]
+                            before = held[entry] = [set(), False]
                             size += len(entry[2]) + 200
-                        elif before[0] != (own, low):
-                            if keep == "none" and not before[1]:
-                                covered(before[0], len(entry[2]))
-                                before[1] = True
-                            early, late = sorted((before[0], (own, low)))
-                            covered((own, low) if keep == "none" else late, len(entry[2]))
-                            before[0] = early
-                if size + 100 * len(done) > HELD_BYTES:
+                        before[0].update((doc is None, doc or 0, key, core, k) for k in range(copies))
+                        before[1] = before[1] or on
+                        size += 150 * copies
+                if size > HELD_BYTES:
                     yield from flushed()
-                    held, done, size = {}, [], 0
+                    held, size = {}, 0
         yield from flushed()
 
     return run
 
 
-def _common(a: bytes, b: bytes) -> int:
-    """Length of the longest common prefix, by halving."""
-    low, high = 0, min(len(a), len(b))
-    while low < high:
-        middle = (low + high + 1) // 2
-        if a[low:middle] == b[low:middle]:
-            low = middle
-        else:
-            high = middle - 1
-    return low
-
-
-def suffix_order(texts: list[bytes], size: int) -> tuple[list[int], list[int]]:
-    """The suffix array of windows (their order by their first `size` bytes) and the LCP of each with the one before."""
-    order = sorted(range(len(texts)), key=texts.__getitem__)
-    lcp = [0] * len(order)
-    for k in range(1, len(order)):
-        a, b = texts[order[k - 1]], texts[order[k]]
-        lcp[k] = size if a == b else _common(a, b)
-    return order, lcp
-
-
-def longest_factors(order: list[int], lcp: list[int], places: list) -> tuple[list[int], list[int]]:
-    """LPF and LNF of each window: its longest match with a window at a smaller, and at a larger, place.
+def longest_factors(order: np.ndarray, lcp: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """LPF and LNF of each suffix: its longest match with one at a smaller, and at a larger, place.
 
-    One pass over the suffix order with a stack for each: what stays on the stack of a window is its previous smaller
-    (larger) place, and the window that pops it is its next smaller (larger) one.
+    `lcp` is that of each suffix in `order` with the one before. The longest match at a smaller place is with the
+    previous or the next smaller place in suffix order; all suffixes look for theirs at once. A suffix whose candidate
+    is not smaller goes on to that one's candidate: all that it passed over is larger still.
     """
     n = len(order)
     out = []
     for sign in (1, -1):
-        best = [0] * n
-        stack: list[list] = []  # [window, LCP with what lies below it]
-        for k in range(n + 1):
-            reach = lcp[k] if k < n else 0
-            while stack:
-                top = stack[-1]
-                if k < n and not (places[order[k]] < places[top[0]] if sign > 0 else places[order[k]] > places[top[0]]):
-                    break
-                best[top[0]] = max(best[top[0]], top[1], reach)  # previous smaller, next smaller
-                stack.pop()
-                reach = min(reach, top[1]) if stack else reach
-            if k < n:
-                stack.append([order[k], reach if stack else 0])
-        out.append(best)
+        best = np.zeros(n, np.int64)
+        for step in (1, -1):
+            place = sign * np.asarray(places)[order][::step]
+            reach = np.concatenate(([0], np.asarray(lcp)[1:] if step > 0 else np.asarray(lcp)[:0:-1])).astype(np.int64)[:n]
+            found = np.arange(-1, n - 1)
+            going = np.flatnonzero(reach > 0)
+            while len(going := going[place[found[going]] >= place[going]]):
+                other = found[going]
+                least = np.minimum(reach[going], reach[other])
+                reach[going], found[going] = least, found[other]
+                going = going[least > 0]
+            best = np.maximum(best, reach[::step])
+        own = np.zeros(n, np.int64)
+        own[order] = best
+        out.append(own)
     return out[0], out[1]
 
 
-def group_spans(members: list[tuple], length: int, keep: str) -> Iterator[tuple[int, int, int]]:
-    """(member, first, last window) that are covered, of different segments (align, place, bytes) of one group."""
-    own = [(align, len(segment) - length - align, (place[0], place[1]), segment) for align, place, segment in members]
-    open_: dict[int, list[int]] = {}
-    for r in range(-max(x[0] for x in own), max(x[1] for x in own) + 1):
-        there = [k for k, x in enumerate(own) if -x[0] <= r <= x[1]]
-        if len(there) < 2:
-            continue
-        windows = [own[k][3][own[k][0] + r : own[k][0] + r + length] for k in there]
-        order, lcp = suffix_order(windows, length)
-        earlier, later = longest_factors(order, lcp, [(own[k][2][0], own[k][2][1] + own[k][0] + r) for k in there])
-        for k, before, after in zip(there, earlier, later, strict=True):
-            if before >= length or keep == "none" and after >= length:
-                i = own[k][0] + r
-                run = open_.get(k)
-                if run and run[1] + 1 == i:
-                    run[1] = i
-                else:
-                    if run:
-                        yield k, *run
-                    open_[k] = [i, i]
-    for k, run in open_.items():
-        yield k, *run
+def covered_windows(group: np.ndarray, align: np.ndarray, segments: list[bytes], first: np.ndarray, second: np.ndarray, length: int, keep: str) -> Iterator[tuple[np.ndarray, ...]]:
+    """(copy, segment, first, last window) of the runs of covered windows of different segments.
+
+    The suffix array is that of the groups' segments put one after the other, built from the right: a suffix is its
+    letter and the suffix behind it, so the order at one place is that of (letter, rank at the place behind). A segment
+    with two places (`second` >= 0) is there twice. Windows of a group that are equal stand at one place relative to
+    the core, where all suffixes of that place are at hand: their LCPs, cut at `length`, and LPF and LNF.
+    """
+    n, sizes = len(segments), np.array([len(x) for x in segments], np.int64)
+    begins = align.max() - align
+    ends = begins + sizes
+    text = np.zeros((n, int(ends.max())), np.uint8)
+    row, ahead = np.repeat(np.arange(n), sizes), np.cumsum(sizes) - sizes
+    text[row, np.arange(len(row)) + np.repeat(begins - ahead, sizes)] = np.frombuffer(b"".join(segments), np.uint8)
+    rank = np.zeros(n, np.int64)
+    high = np.full((2, n), -1, np.int64)
+    for r in range(text.shape[1] - 1, -1, -1):
+        keys = (group * 257 + np.where(r < ends, text[:, r].astype(np.int64) + 1, 0)) * n + rank
+        order = np.argsort(keys)
+        ordered = keys[order]
+        rank[order] = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1])))
+        hit = np.zeros((2, n), bool)
+        here = order[(r >= begins[order]) & (r <= ends[order] - length)]
+        if len(here):
+            lcp = np.zeros(len(here), np.int64)
+            pair = 1 + np.flatnonzero((group[here[1:]] == group[here[:-1]]) & (text[here[1:], r] == text[here[:-1], r]))
+            for part in np.split(pair, range(1 << 16, len(pair), 1 << 16)):
+                lcp[part] = length * (text[here[part], r : r + length] == text[here[part - 1], r : r + length]).all(1)
+            counts = 1 + (second[here] >= 0)
+            starts = np.cumsum(counts) - counts
+            member = np.repeat(here, counts)
+            copy = np.ones(len(member), np.int64)
+            copy[starts] = 0
+            full = np.full(len(member), length)
+            full[starts] = lcp
+            earlier, later = longest_factors(np.arange(len(member)), full, np.where(copy > 0, second[member], first[member]))
+            hit[copy, member] = (earlier >= length) | ((later >= length) & (keep == "none"))
+        over = (high >= 0) & ~hit
+        if over.any():
+            copy, member = np.nonzero(over)
+            yield copy, member, r + 1 - begins[member], high[over] - begins[member]
+            high[over] = -1
+        high[hit & (high < 0)] = r
+    copy, member = np.nonzero(high >= 0)
+    yield copy, member, -begins[member], high[copy, member] - begins[member]
+
+
+def group_spans(members: list[tuple], length: int, keep: str) -> Iterator[tuple]:
+    """(doc_id, key, first, last byte + 1, copy) that are covered, of different segments (group, align, bytes, sorted
+    places) of some groups. Of equal segments the third and later ones have the second one's factors."""
+    if not members:
+        return
+    names = {g: k for k, g in enumerate(sorted({x[0] for x in members}))}
+    ranks = {p: k for k, p in enumerate(sorted({p for x in members for p in x[3][:2]}))}
+    group = np.array([names[x[0]] for x in members], np.int64)
+    align = np.array([x[1] for x in members], np.int64)
+    first = np.array([ranks[x[3][0]] for x in members], np.int64)
+    second = np.array([ranks[x[3][1]] if len(x[3]) > 1 else -1 for x in members], np.int64)
+    for runs in covered_windows(group, align, [x[2] for x in members], first, second, length, keep):
+        for later, k, a, b in zip(*(x.tolist() for x in runs), strict=True):
+            _, own, _, places = members[k]
+            for none, doc, key, at, copy in places[1:] if later else places[:1]:
+                yield None if none else doc, key, at - own + a, at - own + b + length, copy if keep == "first" else 0
 
 
 def _span_rows(length: int, keep: str):
-    """Covered bytes from segments that come sorted by group and bytes; equal segments pass through in a stream."""
+    """Covered bytes from segments that come sorted by group and bytes; small groups share one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[list] = [[], [], []]
-        core, last, first_row, repeats = None, None, None, False
-        members: list[tuple] = []
+        out: set[tuple] = set()
+        members: list[tuple] = []  # whole groups, and the open one
 
-        def put(key: bytes, a: int, b: int) -> None:
-            for c, v in zip(out, (key, a, b), strict=True):
-                c.append(v)
+        def batch() -> pa.RecordBatch:
+            cols = zip(*out, strict=True) if out else [()] * 5
+            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32()]
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], ["doc_id", "key", "a", "b", "copy"])
 
         def close() -> None:
-            if len(members) > 1:
-                for k, a, b in group_spans(members, length, keep):
-                    ((_, _, key), start) = members[k][1]
-                    put(key, start + a, start + b + length)
-
-        def batch() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32())], ["key", "a", "b"])
+            sizes = Counter(x[0] for x in members)
+            out.update(group_spans([(g, align, segment, sorted(places)) for g, align, segment, places in members if sizes[g] > 1 or len(places) > 1], length, keep))
+            members.clear()
 
         for rows in batches:
-            for group, align, doc, key, start, segment in zip(*(rows.column(k).to_pylist() for k in range(6)), strict=True):
+            for group, align, doc, key, start, copy, segment in zip(*(rows.column(k).to_pylist() for k in range(7)), strict=True):
                 if segment is None:
-                    put(key, start, start + align)
+                    out.add((doc, key, start, start + align, copy))
                     continue
-                if group != core:
+                if members and group != members[-1][0] and len(members) >= MOST_MEMBERS:
                     close()
-                    core, last, members = group, None, []
-                place = ((doc is None, doc or 0, key), start)
-                if (align, segment) == last:
-                    if place == first_row:
-                        continue  # the same place, from another row of the same text
-                    put(key, start, start + len(segment))
-                    if keep == "none" and not repeats:
-                        put(first_row[0][2], first_row[1], first_row[1] + len(segment))
-                        repeats = True
-                    continue
-                last, first_row, repeats = (align, segment), place, False
-                members.append((align, place, segment))
-            if len(out[0]) > 20_000:
+                if not members or (group, align, segment) != members[-1][:3]:
+                    members.append((group, align, segment, set()))
+                members[-1][3].add((doc is None, doc or 0, key, start + align, copy))
+            if len(out) > 20_000:
                 yield batch()
-                out = [[], [], []]
+                out.clear()
         close()
         yield batch()
 
@@ -358,21 +376,24 @@ def marked(rows: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def spans(rows: DataFrame, length: int = LENGTH, keep: str = "none", chunk: int = CHUNK) -> DataFrame:
-    """(key, spans) of each text that has covered bytes besides what equal texts cover."""
+    """(key, spans) of each text that has covered bytes; a span of copy 0 is of its doc_id's row, one of copy 1 of the
+    other rows of that text (keep="first"; else all rows have the same spans)."""
     found = rows.select("key", "text").mapInArrow(released(_anchor_rows(length)), "key binary, at int, first int, last int, h long, state int")
     w = Window.partitionBy("h", F.greatest("state", F.lit(0)))
     place = F.struct("key", "at")
     again = found.withColumns({"lo": F.min(place).over(w), "hi": F.max(place).over(w), "told": F.max(F.col("state") != 0).over(w)}).filter("(told OR lo <> hi) AND state >= 0")
-    runs = cut(again.groupBy("key").agg(F.collect_set(F.struct("at", "first", "last")).alias("runs")))
+    runs = again.groupBy("key").agg(F.collect_set(F.struct("at", "first", "last")).alias("runs"))
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text")).alias("size")).filter((F.col("n") > 1) & (F.col("size") >= length))
+    runs = cut(runs.join(counts.select("key", "n"), "key", "full_outer"))
     rows = marked(rows, runs).filter("may").drop("may")
     first = rows.groupBy("key").agg(F.min("doc_id").alias("least"))
     # By key and id, so that the rows of one text that very many documents hold do not meet in one task.
-    wanted = runs.join(first, "key").select(F.col("key").alias("own"), "least", "runs")
-    texts = rows.join(wanted, (F.col("key") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("doc_id", "key", "text", "runs")
-    schema = "core long, align int, doc_id long, key binary, start int, segment binary"
-    dealt = texts.mapInArrow(released(_segment_rows(length, chunk, keep)), schema).repartition("core").sortWithinPartitions("core", "align", "segment", "doc_id", "key", "start")
-    covered = dealt.mapInArrow(released(_span_rows(length, keep)), "key binary, a int, b int")
-    return covered.groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    wanted = runs.join(first, "key").select(F.col("key").alias("own"), "least", "runs", "n")
+    texts = rows.join(wanted, (F.col("key") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("doc_id", "key", "text", "runs", "n")
+    schema = "core long, align int, doc_id long, key binary, start int, copy int, segment binary"
+    dealt = texts.mapInArrow(released(_segment_rows(length, chunk, keep)), schema).repartition("core").sortWithinPartitions("core", "align", "segment")
+    covered = dealt.mapInArrow(released(_span_rows(length, keep)), "doc_id long, key binary, a int, b int, copy int")
+    return covered.groupBy("key").agg(F.collect_set(F.struct("a", "b", "copy", "doc_id")).alias("spans"))
 
 
 def remove(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, keep: str = "none", kept_text: bool = False) -> DataFrame:
@@ -381,23 +402,18 @@ def remove(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int
     if keep not in ("none", "first"):
         raise ValueError("keep is none or first")
     rows = keyed(docs, text, key)
-    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")).filter("n > 1")
-    info = cut(spans(rows, length, keep).join(counts, "key", "full_outer"))
+    info = cut(spans(rows, length, keep))
     dealt = marked(rows, info)
-    both = dealt.filter("may").join(info, "key", "left").select("doc_id", "text", "spans", "n", "least")
-    none = [F.lit(None).cast(info.schema[x].dataType).alias(x) for x in ("spans", "n", "least")]
-    both = both.unionByName(dealt.filter("NOT may").select("doc_id", "text", *none))
+    both = dealt.filter("may").join(info, "key", "left").select("doc_id", "text", "spans")
+    both = both.unionByName(dealt.filter("NOT may").select("doc_id", "text", F.lit(None).cast(info.schema["spans"].dataType).alias("spans")))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", starts array<long>, ends array<long>, kept binary" * kept_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols: list[list] = [[] for _ in range(8 if kept_text else 5)]
-            for doc, text, found, n, least in zip(*(b.column(k) for k in range(5)), strict=True):
+            for doc, text, found in zip(*(b.column(k) for k in range(3)), strict=True):
                 raw, doc, found = text.as_py().encode(), doc.as_py(), found.as_py() or []
-                runs = [(s["a"], s["b"]) for s in found]
-                if n.as_py() and len(raw) >= length and (keep == "none" or doc != least.as_py()):
-                    runs = [(0, len(raw))]
-                runs = merged(runs)
+                runs = merged([(s["a"], s["b"]) for s in found if keep == "none" or s["copy"] == (doc != s["doc_id"])])
                 edges = [0, *(x for r in runs for x in r), len(raw)]
                 kept = b"".join(raw[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True))
                 row = (doc, len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest())

@@ -20,8 +20,9 @@ def test_longest_factors_against_brute_force():
     for _ in range(200):
         texts = ["".join(r.choice("ab") for _ in range(6)).encode() for _ in range(r.randint(1, 12))]
         places = r.sample(range(100), len(texts))
-        order, lcp = suffix_dedup.suffix_order(texts, 6)
-        lpf, lnf = suffix_dedup.longest_factors(order, lcp, places)
+        order = sorted(range(len(texts)), key=texts.__getitem__)
+        lcp = [0] + [next((i for i in range(6) if texts[a][i] != texts[b][i]), 6) for a, b in zip(order, order[1:])]
+        lpf, lnf = suffix_dedup.longest_factors(np.array(order), np.array(lcp), np.array(places))
         for k, t in enumerate(texts):
             def reach(other):
                 return next((i for i in range(6) if t[i] != other[i]), 6)
@@ -415,34 +416,71 @@ def test_pii_promotes_across_long_gaps_and_words(spark):
 
 
 @pytest.mark.parametrize("keep", ["none", "first"])
-def test_groups_go_through_suffix_order(keep, monkeypatch):
-    """Every group of two or more segments runs the longest previous factors, and they find what pairs by hand find."""
-    calls = []
-    real = suffix_dedup.longest_factors
-    monkeypatch.setattr(suffix_dedup, "longest_factors", lambda *a: calls.append(1) or real(*a))
+def test_groups_against_pairs_by_hand(keep):
+    """Groups that share a pass, with segments at several places, give what windows compared by hand give."""
     r = random.Random(16)
-    for n in (2, 3, 5, 9):
-        for _ in range(20):
-            calls.clear()
+    size = 14
+    for _ in range(60):
+        members, taken = [], set()
+        for g in range(r.randint(1, 3)):
             core = bytes(r.choice(b"ab") for _ in range(12))
-            members = []
-            for k in range(n):
+            for _ in range(r.choice((1, 2, 3, 9))):
                 left, right = (bytes(r.choice(b"ab") for _ in range(r.randint(0, 6))) for _ in range(2))
-                members.append((len(left), ((False, k, b"k"), r.randint(0, 3)), left + core + right))
-            if len({(a, s) for a, _, s in members}) < n:
-                continue
-            size = 14
-            members = [m for m in members if len(m[2]) >= size]
-            if len(members) < 2:
-                continue
-            at = defaultdict(list)
-            for k, (_, (doc, start), s) in enumerate(members):
-                for i in range(len(s) - size + 1):
-                    at[s[i : i + size], i - members[k][0]].append(((doc, start + i), k, i))
-            want = {(k, i) for own in at.values() if len(own) > 1 for place, k, i in own if keep == "none" or place != min(own)[0]}
-            got = {(k, i) for k, a, b in suffix_dedup.group_spans(members, size, keep) for i in range(a, b + 1)}
-            places = Counter(i - align for align, _, s in members for i in range(len(s) - size + 1))
-            assert got == want and len(calls) == sum(n > 1 for n in places.values())
+                if len(left + core + right) < size or any((g, len(left), left + core + right) == x[:3] for x in members):
+                    continue
+                places = {(False, k, b"k%d" % k, 10 + len(left), 0) for k in r.sample(range(50), r.choice((1, 1, 2, 4)))} - taken
+                taken |= places
+                if places:
+                    members.append((g, len(left), left + core + right, sorted(places)))
+        at = defaultdict(list)
+        for g, align, s, places in members:
+            for i in range(len(s) - size + 1):
+                at[g, s[i : i + size], i - align].extend(((p[1], p[3] - align + i), p) for p in places)
+        want = {(place[0], place[1] + k) for own in at.values() if len(own) > 1 for place, _ in own if keep == "none" or place != min(own)[0] for k in range(size)}
+        assert {(doc, x) for doc, _, a, b, _ in suffix_dedup.group_spans(members, size, keep) for x in range(a, b)} == want
+
+
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_every_removed_byte_has_a_longest_factor(spark, keep, monkeypatch):
+    """The stages alone, task by task: what is removed are the windows whose LPF (or LNF) reaches the length, no others."""
+    reached = []
+    real = suffix_dedup.longest_factors
+
+    def counted(*a):
+        lpf, lnf = real(*a)
+        reached.append(int(((lpf >= 400) | ((lnf >= 400) & (keep == "none"))).sum()))
+        return lpf, lnf
+
+    monkeypatch.setattr(suffix_dedup, "longest_factors", counted)
+    r = random.Random(21)
+    base = ["".join(r.choice("abcdefgh ") for _ in range(900)) for _ in range(3)]
+    texts = [base[0], base[0], base[1] + base[0][:500], base[1][200:] + "x", base[2], "z" * 600]
+    rows = pa.table({"key": [hashlib.sha256(t.encode()).digest()[:16] for t in texts], "text": texts})
+    found = pa.Table.from_batches(suffix_dedup._anchor_rows(400)(rows.to_batches())).to_pylist()
+    runs = defaultdict(list)
+    for x in found:
+        if x["state"] >= 0:
+            runs[x["key"]].append({c: x[c] for c in ("at", "first", "last")})
+    own = {}
+    for k, t in enumerate(texts):
+        own.setdefault(t, []).append(k)
+    kind = pa.list_(pa.struct([("at", pa.int32()), ("first", pa.int32()), ("last", pa.int32())]))
+    keys = [hashlib.sha256(t.encode()).digest()[:16] for t in own]
+    dealt = pa.table({"doc_id": [d[0] for d in own.values()], "key": keys, "text": list(own), "runs": pa.array([runs[k] for k in keys], kind), "n": [len(d) if len(d) > 1 else None for d in own.values()]})
+    segments = pa.Table.from_batches(suffix_dedup._segment_rows(400, 192, keep)(dealt.to_batches()))
+    local = sum(reached)
+    rows = sorted(segments.to_pylist(), key=lambda x: (x["core"], x["align"], x["segment"] or b""))
+    spans = pa.Table.from_batches(suffix_dedup._span_rows(400, keep)(pa.Table.from_pylist(rows, segments.schema).to_batches())).to_pylist()
+    windows = {(x["doc_id"], x["key"], x["copy"], i) for x in spans for i in range(x["a"], x["b"] - 399)}
+    assert local >= 501 and sum(reached) > local and windows  # third and later copies have the second one's factors
+    got = {x.doc_id: x.n_removed for x in suffix_dedup.remove(frame(spark, texts), keep=keep).collect()}
+    for k, t in enumerate(texts):
+        first = own[t][0]
+        mine = {y for d, _, c, i in windows if d == first and (keep == "none" or c == (k != first)) for y in range(i, i + 400)}
+        assert got[k] == len(mine), k
+    monkeypatch.setattr(suffix_dedup, "longest_factors", lambda order, lcp, places: (np.zeros(len(order)), np.zeros(len(order))))
+    segments = pa.Table.from_batches(suffix_dedup._segment_rows(400, 192, keep)(dealt.to_batches()))
+    assert pa.Table.from_batches(suffix_dedup._span_rows(400, keep)(segments.to_batches())).num_rows == 0
 
 
 def test_suffix_dedup_edges(spark):
