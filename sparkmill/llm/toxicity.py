@@ -2,8 +2,8 @@
 
 The chain predicts its categories in order. Every link is a logistic regression over hashed words and word beginnings
 plus the probabilities of the links before it; a link is trained with the earlier links' out-of-fold predictions, so
-that it sees earlier probabilities as unsure as they will be on new texts. Within a fold the features are selected, and
-the link is fitted, from the other folds' rows alone.
+that it sees earlier probabilities as unsure as they will be on new texts. Within a fold the kinds are found, the
+features are selected, and the link is fitted, from the other folds' rows alone.
 
 The categories are the label columns that `train` is given, the last one the verdict. Where there is one label alone,
 the categories before it are kinds of positive texts: the words that tell positive from negative texts best are
@@ -130,6 +130,21 @@ def kinds(row: np.ndarray, slot: np.ndarray, y: np.ndarray, n: int = KINDS, mark
     return out
 
 
+def fold_targets(row: np.ndarray, slot: np.ndarray, y: np.ndarray, train: np.ndarray) -> np.ndarray:
+    """The targets of a fold: kinds found from the rows of `train` alone, other rows 0, then the label. Kinds are told
+    which is which by the rows of `train` that they share with the columns of `y`."""
+    own = np.zeros_like(y)
+    where, mine = np.cumsum(train) - 1, train[row]
+    found = kinds(where[row[mine]], slot[mine], y[train, -1], y.shape[1] - 1)
+    shared = y[train, :-1].T @ found
+    for _ in range(found.shape[1]):  # the pair that shares most, then the next of those left
+        k, j = np.unravel_index(np.argmax(shared), shared.shape)
+        own[train, k] = found[:, j]
+        shared[k], shared[:, j] = -1, -1
+    own[train, -1] = y[train, -1]
+    return own
+
+
 @dataclass
 class Chain:
     names: tuple[str, ...]
@@ -178,10 +193,12 @@ def fit(texts: list[str], labels, folds: int = FOLDS, size: int = FEATURES, name
         found.append(np.unique((row + a) * (1 << _BITS) + slot))
     keys = np.concatenate(found) if found else np.zeros(0, np.int64)
     row, slot = keys >> _BITS, keys & ((1 << _BITS) - 1)
-    if len(names) == 1:
+    found_kinds = len(names) == 1
+    if found_kinds:
         y = np.column_stack((kinds(row, slot, y[:, 0]), y))
         names = (*(f"{names[0]}_kind_{k + 1}" for k in range(y.shape[1] - 1)), *names)
     fold = np.arange(n) % folds
+    targets = [fold_targets(row, slot, y, fold != f) for f in range(folds)] if found_kinds else [y] * folds
     seen = np.zeros((n, 0))
     chain = None
     for k in range(len(names)):
@@ -190,7 +207,7 @@ def fit(texts: list[str], labels, folds: int = FOLDS, size: int = FEATURES, name
             train, test = fold != f, fold == f
             if not train.any() or not test.any():
                 continue
-            link, table = _fold(row, slot, y, seen, train, size)
+            link, table = _fold(row, slot, targets[f], seen, train, size)
             use = table[slot] >= 0
             out[test] = link.predict(row[use], table[slot[use]], seen, n)[test]
         link, table = _fold(row, slot, y, seen, np.ones(n, bool), size)

@@ -189,7 +189,7 @@ def test_pii_rounds_reach_the_fixed_point(spark):
 
 def test_packing_is_whole_and_tight(spark):
     r = random.Random(5)
-    rows = [(k, 0, 0, r.randint(1, 1024), k) for k in range(3000)]
+    rows = [(k, 0, 0, r.randint(1, 1024), k) for k in range(1000)]
     df = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
     bins = defaultdict(list)
     for x in bestfit_packing.pack(df, chunk=500).collect():
@@ -567,7 +567,26 @@ def test_toxicity_folds_never_see_their_own_rows(monkeypatch):
     real = toxicity.select
     monkeypatch.setattr(toxicity, "select", lambda row, slot, labels, size: seen.append(len(labels)) or real(row, slot, labels, size))
     toxicity.fit(list(texts), list(y), folds=4)
-    assert seen.count(150) == 16 and seen.count(200) == 5  # four links of four folds; the last fits, and the kinds
+    assert seen.count(150) == 20 and seen.count(200) == 5  # four links and the kinds of four folds; the last fits, and their kinds
+
+
+def test_toxicity_kinds_of_a_fold_never_see_its_rows():
+    """A fold's targets stay the same whatever the labels of its own rows are."""
+    r = random.Random(22)
+    words = {0: ["calm", "tree", "river"], 1: ["vile", "scum"], 2: ["hate", "burn"], 3: ["kill", "hurt"]}
+    kind = [r.randrange(4) for _ in range(400)]
+    texts = [" ".join(r.choice(words[0] + words[k]) for _ in range(30)) for k in kind]
+    row, slot = toxicity.features(*toxicity.packed(pa.array(texts)))
+    keys = np.unique(row * (1 << 20) + slot)
+    row, slot = keys >> 20, keys & ((1 << 20) - 1)
+    y = np.array([[float(k > 0)] for k in kind])
+    y = np.column_stack((toxicity.kinds(row, slot, y[:, 0]), y))
+    train = np.arange(400) % 4 != 1
+    own = toxicity.fold_targets(row, slot, y, train)
+    flipped = y.copy()
+    flipped[~train, -1] = 1 - flipped[~train, -1]
+    assert (toxicity.fold_targets(row, slot, flipped, train) == own).all() and not own[~train].any()
+    assert (own[train] == y[train]).mean() > 0.9
 
 
 def test_toxicity_takes_label_columns_and_edges(spark):
@@ -608,6 +627,20 @@ def test_samples_are_bounded_by_bytes(spark):
     assert 1500 < sum(map(len, texts)) <= 2000 and y.shape == (len(texts), 1)
 
 
+def test_url_filters_of_a_large_table_run_few_expressions(spark):
+    """1,200 rules: each url runs those of its rarest tokens alone, and gets the longest that fits."""
+    rules = [url_filters.HostRule("block" if k % 2 else "allow", f"h{k}.example", f"/s{k % 7}/") for k in range(1000)]
+    rules += [url_filters.HostRule("allow", f"h{k}.example", f"/s{k % 7}/x") for k in range(0, 1000, 5)]
+    urls = [f"http://www.h{k}.example/s{k % 7}/{'x' if k % 2 else 'y'}/a" for k in range(0, 2000, 3)] + [None, "no scheme", "http://example/s1/"]
+    df = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string")
+    got = url_filters.judge(df, rules=rules, patterns=(), tested="n").collect()
+    names = {r.name: r.action for r in rules}
+    for x in got:
+        fit = [r for r in (f"{x.host[4:]}{x.path[:n]}" for n in range(len(x.path) + 1)) if r in names] if x.host.startswith("www.") else []
+        assert (x.rule, x.verdict) == ((fit[-1], names[fit[-1]]) if fit else (None, "allow")) and x.n <= 2
+    assert max(x.n for x in got) == 2 and len(got) == len(urls)
+
+
 def test_url_filters_take_clashing_names(spark):
     df = spark.createDataFrame([(1, "http://a.com/en/x", "a", "b", "c")], "page_id long, url string, tokens string, row string, rule string")
     got = url_filters.judge(df)
