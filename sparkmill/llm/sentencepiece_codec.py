@@ -12,7 +12,7 @@ time; `merge` is the same loop in Python, for models whose units can't be told a
 (`MOST_UNITS`); once full, further units are merged whenever they come.
 
 Null counts as empty: begin and end ids alone, decoded to the empty text. Repeated rows are encoded one by one; empty
-tables give empty results; whole texts of any length are encoded.
+tables give empty results; whole texts of any length are encoded; extra columns take no part, whatever their names.
 """
 
 from __future__ import annotations

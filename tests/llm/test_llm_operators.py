@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 
 from sparkmill.llm import bestfit_packing, exact_dedup, ngram_join, pii, quality_classifier, quality_rules, sentencepiece_codec, suffix_dedup, toxicity, url_filters
+from sparkmill.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, n_words string"
 
@@ -671,3 +672,35 @@ def test_suffix_dedup_moves_only_texts_that_repeat_something(spark):
     got = {x.doc_id: x.n_removed for x in suffix_dedup.remove(frame(spark, texts)).collect()}
     assert all(n == (500 if k >= 100 else 0) for k, n in got.items()) and len(got) == len(texts)
     assert sum(v for k, v in shuffled().items() if k not in before) < 0.5 * sum(map(len, texts))
+
+
+def test_codec_takes_empty_tables_and_clashing_names(spark):
+    import sentencepiece
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = [None, "", "one text", "one text", "a long text, " * 40_000]
+    df = spark.createDataFrame([(k, t, "clash", 7) for k, t in enumerate(texts)], "doc_id long, text string, ids_sha256 string, n_tokens int")
+    got = {x.doc_id: x for x in sentencepiece_codec.digests(df, path).collect()}
+    for k, t in enumerate(texts):
+        ids = library.encode(t or "", add_bos=True, add_eos=True)
+        assert got[k].n_tokens == len(ids) and got[k].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+    assert sentencepiece_codec.digests(df.limit(0), path).count() == 0
+
+
+def test_long_texts_repeat_link_and_pack(spark):
+    """Texts of a megabyte next to short ones: repeats inside one, links between two, pieces of all."""
+    r = random.Random(23)
+    words = [f"word{k}" for k in range(20_000)]
+    long = " ".join(r.choice(words) for _ in range(120_000))
+    passage = long[500_000:500_700]
+    texts = [long, long + " one more word", "short " + passage, "short"]
+    cut = {x.doc_id: x for x in suffix_dedup.remove(frame(spark, texts)).collect()}
+    assert [cut[k].n_removed for k in range(4)] == [len(long), len(long), 700 + (long[499_999] == " "), 0]
+    linked = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.join(frame(spark, texts), width=4, percent=85).collect()}
+    assert [c for _, c in (linked[k] for k in range(4))] == [0, 0, 2, 3] and linked[0][0] > 119_000 and linked[3][0] == 1
+    pieces = defaultdict(int)
+    for x in bestfit_packing.pack_documents(frame(spark, texts), tokenizer_path("byte_bpe_50k.json")).collect():
+        assert x.length <= 1024
+        pieces[x.doc_id] += x.length
+    assert len(pieces) == 4 and pieces[1] > pieces[0] > 120_000
