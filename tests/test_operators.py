@@ -56,3 +56,12 @@ def test_minhash_query_takes_the_default_signature(spark, tmp_path):
     found = lambda df: {x.position for x in df.filter("duplicate").collect()}
     whole, short = (found(dedup.minhash(catalog.docs(spark, str(tmp_path)), "text", n, b, 0.8)) for n, b in ((128, 16), (32, 8)))
     assert found(catalog.minhash_greedy_accept(spark, str(tmp_path))) == whole != short
+
+
+def test_minhash_of_empty_tables_and_texts(spark):
+    df = spark.createDataFrame([(1, None, 7), (2, "", 7), (3, "", 7), (4, "a b c d", 7), (5, "a b c d", 7)], "position long, t string, duplicate_of int")
+    got = {r.position: r.duplicate for r in dedup.minhash(df, "t", 16, 8, 0.8).collect()}
+    assert got[5] and not got[4] and set(got) == {1, 2, 3, 4, 5}
+    assert dedup.minhash(df.limit(0), "t", 16, 8, 0.8).count() == 0
+    pairs = spark.createDataFrame([], "early long, late long")
+    assert dedup.greedy(df.select("position"), pairs).filter("duplicate").count() == 0
