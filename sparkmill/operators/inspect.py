@@ -45,8 +45,9 @@ def _kind(f: T.StructField) -> str:
     return "string"
 
 
-def profile(df: DataFrame, most_distinct: int = MOST_DISTINCT) -> DataFrame:
-    """One row per column: name, data_type, count, null_count, min, max, mean, distinct (null beyond the cap).
+def profile(df: DataFrame, most_distinct: int | None = MOST_DISTINCT) -> DataFrame:
+    """One row per column: name, data_type, count, null_count, min, max, mean, distinct (null beyond the cap; without a cap,
+    exact for any number of values).
 
     Extrema are compared in the column's own type and shown as text, so none is rounded.
     """
@@ -63,7 +64,8 @@ def profile(df: DataFrame, most_distinct: int = MOST_DISTINCT) -> DataFrame:
         distinct = df.select(F.col(f"`{f.name}`").alias("v")).filter("v IS NOT NULL").distinct().agg(F.count(F.lit(1)).alias("distinct"))
         at = lambda k: F.col(f"`{f.name}|{k}`")
         row = totals.select(F.lit(f.name).alias("name"), F.lit(_kind(f)).alias("data_type"), at("count").alias("count"), (F.col("`|rows`") - at("count")).alias("null_count"), at("min").cast("string").alias("min"), at("max").cast("string").alias("max"), at("mean").alias("mean"))
-        return row.join(distinct).withColumn("distinct", F.when(F.col("distinct") <= most_distinct, F.col("distinct")))  # one row each
+        row = row.join(distinct)  # one row each
+        return row if most_distinct is None else row.withColumn("distinct", F.when(F.col("distinct") <= most_distinct, F.col("distinct")))
 
     return reduce(DataFrame.unionByName, map(part, df.schema.fields))
 

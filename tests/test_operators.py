@@ -65,3 +65,14 @@ def test_minhash_of_empty_tables_and_texts(spark):
     assert dedup.minhash(df.limit(0), "t", 16, 8, 0.8).count() == 0
     pairs = spark.createDataFrame([], "early long, late long")
     assert dedup.greedy(df.select("position"), pairs).filter("duplicate").count() == 0
+
+
+def test_inspect_queries_count_more_than_a_million_values(spark, tmp_path):
+    from sparkmill.plans import catalog
+
+    n = inspect.MOST_DISTINCT + 1
+    spark.range(n).selectExpr("id AS o_orderkey", "id % 7 / 2 AS o_totalprice", "'O' AS o_orderstatus").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {x["name"]: x.distinct for x in catalog.QUERIES["inspect_orders"](spark, str(tmp_path)).collect()}
+    assert got == {"o_orderkey": n, "o_totalprice": 7, "o_orderstatus": 1}
+    capped = inspect.profile(spark.read.parquet(f"{tmp_path}/orders.parquet").select("o_orderkey")).first()
+    assert capped["distinct"] is None and capped["count"] == n
