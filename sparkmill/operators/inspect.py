@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from sparkmill.functions import strictjson
 from sparkmill.operators import sampling
+from sparkmill.operators.checkpoints import cut
 from sparkmill.operators.ordering import running_total
 
 MOST_DISTINCT = 1_000_000
@@ -71,17 +72,20 @@ def profile(df: DataFrame, most_distinct: int | None = MOST_DISTINCT) -> DataFra
 
 
 def profile_json(rows: DataFrame, limits: Limits | None = None, most_distinct: int = MOST_DISTINCT) -> DataFrame:
-    """The profile of the top-level fields of JSON rows (`record`, canonical): data_type is a JSON type, `mixed` or
+    """The profile of the top-level fields of JSON rows (`record`, in any spelling): data_type is a JSON type, `mixed` or
     `empty`; an absent field counts as null; numbers alone count for min, max and mean, which compare whole numbers and
-    fractions exactly; values are distinct by their spelling. Rows that are not objects count as rows."""
+    fractions exactly; values are distinct by their spelling. Rows that are not objects count as rows.
+
+    Equal texts are read once, and the columns' figures are kept, so that the budget's checks read no row again."""
     limits = limits or Limits()
     total = rows.agg(F.count(F.lit(1)).alias("rows"))
-    fields = rows.filter(F.substring("record", 1, 1) == "{").select(F.explode(strictjson.fields("record")).alias("name", "value"))
+    texts = rows.groupBy("record").agg(F.count(F.lit(1)).alias("n"))
+    fields = texts.select("n", F.explode(strictjson.fields("record")).alias("name", "value"))
     first = F.substring("value", 1, 1)
     kind = F.when(F.col("value") == "null", None).when(first == '"', "string").when(first == "{", "object").when(first == "[", "array").when(F.col("value").isin("true", "false"), "boolean").otherwise("number")
     typed = fields.withColumn("kind", kind)
     # One row for each name and value; a double is exact in its shortest spelling, so extrema are found among distinct ones.
-    values = typed.groupBy("name", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
+    values = typed.groupBy("name", "kind", "value").agg(F.sum("n").alias("n"))
     number = F.when(F.col("kind") == "number", F.col("value").cast("double"))
     # Doubles order numbers up to rounding; whole numbers of up to 38 digits that round alike are told apart as decimals.
     place = F.struct(number.alias("x"), F.coalesce(F.try_to_number(F.regexp_extract("value", r"^-?[0-9]{1,38}$", 0), F.lit("S" + "9" * 38)), number.cast("decimal(38,0)")).alias("y"), "value")
@@ -92,7 +96,7 @@ def profile_json(rows: DataFrame, limits: Limits | None = None, most_distinct: i
         F.sum(F.when(F.col("kind").isNotNull(), F.col("n")).otherwise(0)).alias("count"), F.count_if(F.col("kind").isNotNull()).alias("distinct"), F.collect_set("kind").alias("kinds"),
         F.min(known).getField("value").alias("min"), F.max(known).getField("value").alias("max"), F.when(F.max(F.abs(number)) > 1e290, weighted).otherwise(plain).alias("mean"),
     )
-    counted = counted.withColumn("data_type", F.when(F.size("kinds") == 0, "empty").when(F.size("kinds") > 1, "mixed").otherwise(F.get("kinds", F.lit(0))))
+    counted = cut(counted.withColumn("data_type", F.when(F.size("kinds") == 0, "empty").when(F.size("kinds") > 1, "mixed").otherwise(F.get("kinds", F.lit(0)))))  # a row per column
     charge = counted.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("name") + COLUMN_BYTES), F.lit(0)).alias("bytes")).first()
     if charge["n"] > limits.columns or charge["bytes"] > limits.statistics_bytes:
         raise InspectError("inspect column statistics budget exceeded")

@@ -76,3 +76,31 @@ def test_inspect_queries_count_more_than_a_million_values(spark, tmp_path):
     assert got == {"o_orderkey": n, "o_totalprice": 7, "o_orderstatus": 1}
     capped = inspect.profile(spark.read.parquet(f"{tmp_path}/orders.parquet").select("o_orderkey")).first()
     assert capped["distinct"] is None and capped["count"] == n
+
+
+def test_json_profile_reads_each_text_once(spark, monkeypatch):
+    """Every text that is parsed leaves a line; equal ones, and the budget's checks, leave no more."""
+    import tempfile
+
+    from sparkmill.functions import strictjson
+
+    log = tempfile.mkdtemp() + "/parsed"
+    plain = strictjson.parse
+
+    def parse(text):
+        with open(log, "a") as f:
+            f.write("x\n")
+        return plain(text)
+
+    def fields(col):
+        from pyspark.sql import functions as F
+
+        return F.udf(lambda t: {k: strictjson.dump(x) for k, x in parse(t).items()} if t and t.lstrip()[:1] == "{" else None, "map<string,string>").asNondeterministic()(col)
+
+    monkeypatch.setattr(strictjson, "fields", fields)
+    texts = ['{"k": 1}', '{"k": 2}', ' {"k":1}', "[1]", None, '{"k": "a", "z": 2.5}'] * 50
+    got = {x["name"]: x for x in inspect.profile_json(spark.createDataFrame([(t,) for t in texts], "record string")).collect()}
+    k, z = got["k"], got["z"]
+    assert (k["data_type"], k["count"], k["null_count"], k["min"], k["max"], k["distinct"]) == ("mixed", 200, 100, "1", "2", 3) and k["mean"] == pytest.approx(4 / 3)
+    assert (z["data_type"], z["count"], z["null_count"], z["mean"], z["distinct"]) == ("number", 50, 250, 2.5, 1)
+    assert len(open(log).readlines()) == 4
