@@ -26,14 +26,13 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkmill.llm.common import UnitStore, cut, released, small, unit_hashes
+from sparkmill.llm.common import UnitStore, arrow_stage, cut, held_by_worker, released, small, unit_hashes
 
 CAPACITY = 1024
 END = 2
@@ -109,7 +108,7 @@ class Tokens:
         return [np.zeros(0, np.uint32) if x is None else x for x in out]
 
 
-@lru_cache(maxsize=2)
+@held_by_worker(maxsize=2)
 def tokens(path: str) -> Tokens:
     return Tokens(path)
 
@@ -139,7 +138,7 @@ def pieces(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", ca
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, kinds[i]) for i, c in enumerate(cols)], names[: len(cols)])
 
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(released(run), schema)
+    return arrow_stage(df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), run, schema)
 
 
 def _below(left: np.ndarray, most: int) -> int:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkmill.llm.common import SPACES, cut, released, small, text_or_empty
+from sparkmill.llm.common import SPACES, arrow_stage, cut, small, text_or_empty
 
 TABLE_BYTES = 48 << 20
 FAN_OUT = 16
@@ -173,8 +173,8 @@ def _merge(table_bytes: int):
 
 def groups(df: DataFrame, text: str = "text", key: str = "doc_id", table_bytes: int = TABLE_BYTES) -> DataFrame:
     """One row per distinct normalised text: keep_id, group_size, text_sha256."""
-    local = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(released(_local(table_bytes)), SCHEMA)
-    merged = local.repartition("hash").mapInArrow(released(_merge(table_bytes)), SCHEMA)
+    local = arrow_stage(df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), _local(table_bytes), SCHEMA)
+    merged = arrow_stage(local.repartition("hash"), _merge(table_bytes), SCHEMA)
     return merged.select(F.col("best_id").alias("keep_id"), F.col("n").alias("group_size"), "n_best", "text_sha256")
 
 

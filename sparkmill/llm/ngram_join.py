@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkmill.llm.common import U64, blocks, cut, mix, packed, packed_in, released, shingle_sets, small
+from sparkmill.llm.common import U64, arrow_stage, blocks, cut, mix, packed, packed_in, released, shingle_sets, small
 from sparkmill.llm.components import components
 
 SHINGLE = 5
@@ -115,6 +115,16 @@ def _required(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def _repeated(held: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens that come `least` times or more, and how often; empties `held`, and makes one sorted copy alone."""
+    tokens = np.concatenate([np.zeros(0, U64), *held])
+    held.clear()
+    tokens.sort()
+    later = tokens[least - 1 :]
+    u = np.unique(later[later == tokens[: len(later)]])
+    return u, np.searchsorted(tokens, u, side="right") - np.searchsorted(tokens, u)
+
+
 def classes(docs: DataFrame, width: int, known: Identity) -> DataFrame:
     """Rows of kind 0: doc_id, cls, n, other half of the class; the first row of a class in each task carries the hash
     of its text and the bitmap of its set. Rows of kind 1 hold frequent tokens (cls) and their counts (n)."""
@@ -127,8 +137,7 @@ def classes(docs: DataFrame, width: int, known: Identity) -> DataFrame:
         size = 0
 
         def frequent() -> pa.RecordBatch:
-            u, c = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, U64), np.zeros(0, np.int64))
-            u, c = u[c >= LOCAL_COUNT], c[c >= LOCAL_COUNT]
+            u, c = _repeated(held, LOCAL_COUNT)
             none = [pa.nulls(len(u), t) for t in (long, long, some)]
             return pa.RecordBatch.from_arrays([pa.array(np.ones(len(u), np.int32)), pa.nulls(len(u), long), pa.array(u.astype(np.int64)), pa.array(c.astype(np.int64)), *none], names)
 
@@ -152,7 +161,7 @@ def classes(docs: DataFrame, width: int, known: Identity) -> DataFrame:
                     held, size = [], 0
         yield frequent()
 
-    return docs.mapInArrow(released(run), "kind int, doc_id long, cls long, n long, half long, mark long, bits array<long>")
+    return arrow_stage(docs, run, "kind int, doc_id long, cls long, n long, half long, mark long, bits array<long>")
 
 
 def boundary(sizes: dict[int, int], share: float, list_length: float, percent: int) -> int:
@@ -206,7 +215,7 @@ def prefixes(docs: DataFrame, width: int, percent: int, known: Identity, frequen
                 cols = [np.concatenate([k for k, _, _ in found]).astype(np.int64) if found else np.zeros(0, np.int64), np.repeat(np.array([c for _, c, _ in found], np.int64), sizes), np.repeat(np.array([n for _, _, n in found], np.int32), sizes), np.repeat(np.array(sizes, np.int32), sizes)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "cls", "n", "p"])
 
-    return docs.mapInArrow(released(run), "key long, cls long, n int, p int")
+    return arrow_stage(docs, run, "key long, cls long, n int, p int")
 
 
 def _filter(values: DataFrame) -> np.ndarray:
@@ -243,7 +252,7 @@ def full_sets(docs: DataFrame, width: int, known: Identity, wanted: DataFrame) -
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int64()), pa.array([t for _, t in rows], pa.list_(pa.int64()))], ["cls", "tokens"])
 
-    found = docs.mapInArrow(released(run), "cls long, tokens array<long>")
+    found = arrow_stage(docs, run, "cls long, tokens array<long>")
     return found.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
 
 

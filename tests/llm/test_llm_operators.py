@@ -711,3 +711,53 @@ def test_long_texts_repeat_link_and_pack(spark):
         assert x.length <= 1024
         pieces[x.doc_id] += x.length
     assert len(pieces) == 4 and pieces[1] > pieces[0] > 120_000
+
+
+def test_repeated_tokens_take_one_sorted_copy():
+    import tracemalloc
+
+    r = np.random.default_rng(3)
+    held = [r.integers(0, 150_000, 10_000, dtype=np.uint64) for _ in range(100)]
+    u, c = np.unique(np.concatenate(held), return_counts=True)
+    want = dict(zip(u[c >= 8].tolist(), c[c >= 8].tolist(), strict=True))
+    tracemalloc.start()
+    got = ngram_join._repeated(held, 8)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert dict(zip(*(x.tolist() for x in got), strict=True)) == want and want and not held
+    assert most < 20_000_000  # a copy is 8 MB; np.unique with counts takes over three
+    assert [len(x) for x in ngram_join._repeated([], 8)] == [0, 0] == [len(x) for x in ngram_join._repeated([u[:3]], 8)]
+
+
+def test_workers_drop_what_another_operator_keeps():
+    from sparkmill.llm import common
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    kept = bestfit_packing.tokens(path)
+    own, other = (lambda batches: iter(()) for _ in range(2))
+    own.__module__, other.__module__ = bestfit_packing.__name__, ngram_join.__name__
+    list(common.released(own)(iter(())))
+    assert bestfit_packing.tokens(path) is kept
+    list(common.released(other)(iter(())))
+    assert bestfit_packing.tokens.cache_info().currsize == 0
+
+
+def test_arrow_batches_of_texts_are_bounded_by_bytes(spark):
+    from sparkmill.llm import common
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([len(b)])], ["n", "rows"])
+
+    docs = spark.range(0, 2000, 1, 1).selectExpr("id", "repeat('abcdefghij', 1000) AS text")
+    found = common.arrow_stage(docs, sizes, "n long, rows long").collect()
+    assert sum(x.rows for x in found) == 2000 and max(x.n for x in found) < common.BATCH_BYTES + 100_000
+    before = spark.conf.get(name)
+    try:
+        for own in ("1000000", "1m"):
+            spark.conf.set(name, own)
+            assert max(x.n for x in common.arrow_stage(docs, sizes, "n long, rows long").collect()) < 1_100_000
+    finally:
+        spark.conf.set(name, before)
