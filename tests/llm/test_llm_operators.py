@@ -761,3 +761,23 @@ def test_arrow_batches_of_texts_are_bounded_by_bytes(spark):
             assert max(x.n for x in common.arrow_stage(docs, sizes, "n long, rows long").collect()) < 1_100_000
     finally:
         spark.conf.set(name, before)
+
+
+def test_suffix_dedup_of_planted_passages(spark, tmp_path):
+    """Of passages of over 50 words that two documents share, those of 400 bytes go whole, and shorter ones stay."""
+    from sparkmill.llm.queries import op2_suffix_dedup
+
+    r = random.Random(24)
+
+    def prose(n):
+        return " ".join("".join(r.choices("abcdefghij", k=6)) for _ in range(n))
+
+    passages = [prose(100)[:n] for n in (365, 399, 400, 690)]
+    assert all(len(p.split()) > 50 for p in passages)
+    texts = [f"{prose(90)} {k}{passages[k % 4]}{k} {prose(90)}" for k in range(8)] + [prose(300) for _ in range(40)]
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x for x in op2_suffix_dedup(spark, str(tmp_path)).collect()}
+    for k, t in enumerate(texts):
+        kept = t.replace(passages[k % 4], "") if k < 8 and len(passages[k % 4]) >= 400 else t
+        want = (len(t), len(t) - len(kept), int(kept != t), hashlib.sha256(kept.encode()).hexdigest(), kept)
+        assert (got[k].n_bytes, got[k].n_removed, got[k].n_spans, got[k].kept_sha256, got[k].text) == want
