@@ -71,13 +71,25 @@ def profile(df: DataFrame, most_distinct: int | None = MOST_DISTINCT) -> DataFra
     return reduce(DataFrame.unionByName, map(part, df.schema.fields))
 
 
-def profile_json(rows: DataFrame, limits: Limits | None = None, most_distinct: int = MOST_DISTINCT) -> DataFrame:
+def _budgeted(counted: DataFrame, limits: Limits) -> DataFrame:
+    """The columns' figures with distinct null where the budget has no room for its values; too many columns are refused."""
+    counted = cut(counted)  # a row per column, kept, so that the checks read no row again
+    charge = counted.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("name") + COLUMN_BYTES), F.lit(0)).alias("bytes")).first()
+    if charge["n"] > limits.columns or charge["bytes"] > limits.statistics_bytes:
+        raise InspectError("inspect column statistics budget exceeded")
+    # The budget that names leave is shared; a column takes its share in the order of its size, the smallest first.
+    left = (limits.statistics_bytes - charge["bytes"]) // DISTINCT_BYTES
+    shared = running_total(counted.select("distinct", "name"), ["distinct", "name"], F.col("distinct")).select("name", "upto")  # a row per column
+    return counted.join(shared, "name").withColumn("distinct", F.when(F.col("upto") <= left, F.col("distinct")))
+
+
+def profile_json(rows: DataFrame, limits: Limits | None = None, most_distinct: int | None = None) -> DataFrame:
     """The profile of the top-level fields of JSON rows (`record`, in any spelling): data_type is a JSON type, `mixed` or
     `empty`; an absent field counts as null; numbers alone count for min, max and mean, which compare whole numbers and
     fractions exactly; values are distinct by their spelling. Rows that are not objects count as rows.
 
-    Equal texts are read once, and the columns' figures are kept, so that the budget's checks read no row again."""
-    limits = limits or Limits()
+    Exact for any number of columns and values; distinct is null beyond a cap or a budget only where the caller names one.
+    Equal texts are read once."""
     total = rows.agg(F.count(F.lit(1)).alias("rows"))
     texts = rows.groupBy("record").agg(F.count(F.lit(1)).alias("n"))
     fields = texts.select("n", F.explode(strictjson.fields("record")).alias("name", "value"))
@@ -96,15 +108,12 @@ def profile_json(rows: DataFrame, limits: Limits | None = None, most_distinct: i
         F.sum(F.when(F.col("kind").isNotNull(), F.col("n")).otherwise(0)).alias("count"), F.count_if(F.col("kind").isNotNull()).alias("distinct"), F.collect_set("kind").alias("kinds"),
         F.min(known).getField("value").alias("min"), F.max(known).getField("value").alias("max"), F.when(F.max(F.abs(number)) > 1e290, weighted).otherwise(plain).alias("mean"),
     )
-    counted = cut(counted.withColumn("data_type", F.when(F.size("kinds") == 0, "empty").when(F.size("kinds") > 1, "mixed").otherwise(F.get("kinds", F.lit(0)))))  # a row per column
-    charge = counted.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("name") + COLUMN_BYTES), F.lit(0)).alias("bytes")).first()
-    if charge["n"] > limits.columns or charge["bytes"] > limits.statistics_bytes:
-        raise InspectError("inspect column statistics budget exceeded")
-    # The budget that names leave is shared; a column takes its share in the order of its size, the smallest first.
-    left = (limits.statistics_bytes - charge["bytes"]) // DISTINCT_BYTES
-    shared = running_total(counted.select("distinct", "name"), ["distinct", "name"], F.col("distinct")).select("name", "upto")  # a row per column
-    capped = counted.join(shared, "name").withColumn("distinct", F.when((F.col("distinct") <= most_distinct) & (F.col("upto") <= left), F.col("distinct")))
-    return capped.join(total).select("name", "data_type", "count", (F.col("rows") - F.col("count")).alias("null_count"), "min", "max", "mean", "distinct")  # one row of totals
+    counted = counted.withColumn("data_type", F.when(F.size("kinds") == 0, "empty").when(F.size("kinds") > 1, "mixed").otherwise(F.get("kinds", F.lit(0))))
+    if limits is not None:
+        counted = _budgeted(counted, limits)
+    if most_distinct is not None:
+        counted = counted.withColumn("distinct", F.when(F.col("distinct") <= most_distinct, F.col("distinct")))
+    return counted.join(total).select("name", "data_type", "count", (F.col("rows") - F.col("count")).alias("null_count"), "min", "max", "mean", "distinct")  # one row of totals
 
 
 def summarize(spark: SparkSession, path: str, limits: Limits | None = None) -> tuple[int, int, DataFrame]:
@@ -126,7 +135,7 @@ def summarize(spark: SparkSession, path: str, limits: Limits | None = None) -> t
         raise InspectError("inspect row exceeds byte limit")
     if bad["bad"]:
         raise InspectError("invalid JSON row")
-    return bad["n"], size, profile_json(lines.select("record"), limits)
+    return bad["n"], size, profile_json(lines.select("record"), limits, MOST_DISTINCT)
 
 
 def nearest_ranks(df: DataFrame, value: str, ranks: dict[str, float]) -> DataFrame:

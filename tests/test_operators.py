@@ -78,6 +78,26 @@ def test_inspect_queries_count_more_than_a_million_values(spark, tmp_path):
     assert capped["distinct"] is None and capped["count"] == n
 
 
+def test_json_profile_counts_every_value_and_column(spark, tmp_path):
+    """Beyond the cap of values, the budget of bytes and the number of columns that a file's profile has."""
+    import json
+
+    from sparkmill.plans import catalog
+
+    n, wide = inspect.MOST_DISTINCT + 1, json.dumps({f"c{i}": i for i in range(inspect.Limits().columns + 1)})
+    rows = spark.range(n).selectExpr("""'{"k": ' || id || '}' AS props""").union(spark.createDataFrame([(wide,), (None,)], "props string"))
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    got = [tuple(x) for x in catalog.QUERIES["inspect_json_props"](spark, str(tmp_path)).collect()]
+    assert got == [("k", "number", n, 1, "0", str(n - 1), (n - 1) / 2, n)]
+    few = spark.createDataFrame([(f'{{"a": {i % 2}, "b": {i}}}',) for i in range(9)], "record string")
+    found = lambda *x: {c.name: c.distinct for c in inspect.profile_json(few, *x).collect()}
+    room = 2 * (inspect.COLUMN_BYTES + 1)
+    assert found() == {"a": 2, "b": 9} and found(None, 8) == {"a": 2, "b": None} == found(inspect.Limits(statistics_bytes=room + 10 * inspect.DISTINCT_BYTES))
+    assert found(inspect.Limits(statistics_bytes=room + 11 * inspect.DISTINCT_BYTES)) == {"a": 2, "b": 9}
+    with pytest.raises(inspect.InspectError):
+        found(inspect.Limits(columns=1))
+
+
 def test_json_profile_reads_each_text_once(spark, monkeypatch):
     """Every text that is parsed leaves a line; equal ones, and the budget's checks, leave no more."""
     import tempfile
